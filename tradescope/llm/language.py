@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import slices
 from .ftrl import Ftrl, dense, softmax
@@ -119,7 +120,7 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def predict(idf: np.ndarray, weights: np.ndarray, heat: float, languages: list[str]):
+def predict(idf, weights, heat: float, languages: list[str], keep: list[str]):
     """A function for mapInArrow: documents in, languages out."""
     classes = len(languages)
 
@@ -135,10 +136,9 @@ def predict(idf: np.ndarray, weights: np.ndarray, heat: float, languages: list[s
             best = p.argmax(axis=1)
             known = has_letter & (classes > 0)
             result = {"lang_pred": pa.array([languages[k] if ok else UNDETERMINED for k, ok in zip(best, known, strict=True)], pa.string()), "score": pa.array(np.where(known, p[np.arange(len(texts)), best], 0.0), pa.float64())}
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text" or "text" in keep), *result.values()], names=[*(c for c in batch.schema.names if c != "text" or "text" in keep), *result])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *result.values()], names=[*keep, *result])
 
-    keep: set[str] = set()
-    return run, keep
+    return run
 
 
 def undetermined(docs: DataFrame) -> DataFrame:
@@ -177,8 +177,5 @@ def identify_languages(docs: DataFrame, learn_from: Column | None = None, sample
     share = F.element_at(F.create_map(*[x for g in languages for x in (F.lit(g), F.lit(min(1.0, sample / counts[g])))]), F.col("lang"))
     chosen = known.select(u, "lang", "text").filter(F.col("_u") < share).repartition(1)
     w, heat = pickle.loads(chosen.mapInArrow(fit(idf, languages), "model binary").first()["model"])
-    run, keep = predict(spark.sparkContext.broadcast(idf), spark.sparkContext.broadcast(w), heat, languages)
-    if keep_text:
-        keep.add("text")
-    schema = plain.schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    run = predict(spark.sparkContext.broadcast(idf), spark.sparkContext.broadcast(w), heat, languages, plain.columns)
+    return rows.mapInArrow(run, StructType([*plain.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import slices
 from .ftrl import Ftrl, dense
@@ -129,8 +130,6 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
         model = pickle.loads(found["model"]) if found else None
     if model is None:
         return rows.select(*keep, *[F.lit(0.0).alias(c) for c in results], F.lit(False).alias(LAST))
-    schema = rows.select(*keep).schema
-    for c in results:
-        schema = schema.add(c, "double")
+    schema = StructType([*rows.select(*keep).schema.fields, *(StructField(c, DoubleType()) for c in results)])
     scored = rows.mapInArrow(score(docs.sparkSession.sparkContext.broadcast(model), categories, keep), schema)
     return scored.withColumn(LAST, F.col(f"p_{LAST}") >= threshold)
