@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, dedup, language, lm, mixing, packing, quality, search, toxicity, urls
 from .common import read
+from .oracles import ORACLE_SQL  # noqa: F401
 
 #: Rules of the URL filter (fixed values): verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -96,4 +97,3 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_chat_formatting, op3_top_k_search, op4_language_id, op5_url_filter, op6_minhash_dedup, op7_quality_rules, op8_packing, op9_toxicity, op10_mixing)
 }
-ORACLE_SQL: dict[str, str] = {}
