@@ -74,7 +74,7 @@ js AS (
   FROM pq WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY ALL),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
 SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed,
-       NOT (f.base_failed OR (f.chars >= 300 AND coalesce(c.d, 0) > 0.25) OR (f.n_words >= 100 AND coalesce(w.d, 0) > 0.22)) AS kept
+       NOT (f.base_failed OR (f.chars >= 300 AND coalesce(c.d, 0) > 0.25) OR (f.n_words >= 200 AND coalesce(w.d, 0) > 0.22)) AS kept
 FROM f LEFT JOIN js c ON c.rid = f.rid AND c.kind = 'c' LEFT JOIN js w ON w.rid = f.rid AND w.kind = 'w'"""
 
 OP10 = f"""

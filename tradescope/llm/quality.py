@@ -102,7 +102,7 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return bind(F.struct(counts.alias("p"), reference.alias("q"), F.nullif(total(counts), F.lit(0.0)).alias("np"), F.nullif(total(reference), F.lit(0.0)).alias("nq")), distance)
 
 
-def judge_quality(docs: DataFrame, most_chars: float = 0.25, most_words: float = 0.22, least_chars: int = 300, least_words: int = 100) -> DataFrame:
+def judge_quality(docs: DataFrame, most_chars: float = 0.25, most_words: float = 0.22, least_chars: int = 300, least_words: int = 200) -> DataFrame:
     """Judge every document (doc_id, text, lang) by base counts and divergence.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

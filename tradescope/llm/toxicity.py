@@ -1,6 +1,6 @@
 """Toxicity by a chain of classifiers.
 
-Categories are predicted one after the other; each linear model sees a document's words and the
+Categories are predicted one after the other; each linear model sees a document's words and stems and the
 probabilities of the categories before it. In training those are out-of-fold predictions, so
 that a later model meets probabilities as good as it will meet on new documents. The chain is
 fitted in one task on a bounded sample of labelled documents and applied to whole texts.
@@ -24,6 +24,12 @@ from .ftrl import Ftrl, dense
 
 #: Labelled documents of each kind in the sample, folds, and documents a word must occur in.
 SAMPLE, FOLDS, LEAST = 4000, 3, 3
+#: Rows seen in training at least and epochs at least: small samples are gone through more often.
+SEEN, EPOCHS = 60_000, 8
+#: Words that the models may use: those that divide the labelled documents best.
+WORDS = 4096
+#: Lengths of stems, so that an inflected or compounded word is known by how it begins.
+STEMS = (4, 5, 6, 7)
 #: Categories before the last, by words that name them (fixed values).
 SEEDS = {
     "insult": ("idiot", "moron", "stupid", "clown", "loser", "dumb", "fool", "jerk"),
@@ -34,8 +40,23 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def word_set(text: str | None) -> set[str]:
-    """Distinct words of letters, in small letters."""
-    return set(WORD.findall(text.lower())) if text else set()
+    """Distinct words of letters, in small letters, and their stems: the first letters and a star."""
+    words = set(WORD.findall(text.lower())) if text else set()
+    return words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in STEMS))
+
+
+def dividing_words(rows: list[tuple]) -> list[str]:
+    """The WORDS words that speak for the last category, by chi-square; what speaks against it is the bias."""
+    every, toxic = Counter(w for r in rows for w in r[1]), Counter(w for r in rows if r[2] for w in r[1])
+    n, positive = len(rows), sum(r[2] for r in rows)
+
+    def chi_square(w: str) -> float:
+        with_word, both = every[w], toxic[w]
+        spread = with_word * (n - with_word) * positive * (n - positive)
+        return n * (both * n - with_word * positive) ** 2 / spread if spread and both * n > with_word * positive else 0.0
+
+    scores = {w: chi_square(w) for w in toxic if every[w] >= LEAST}
+    return sorted((w for w, x in scores.items() if x > 0), key=lambda w: (-scores[w], w))[:WORDS]
 
 
 def fit(categories: list[str]):
@@ -43,8 +64,7 @@ def fit(categories: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted({(d if d is not None else -1, tuple(sorted(word_set(t))), bool(y)) for b in batches for d, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", LAST)), strict=True)})
-        frequency = Counter(w for r in rows for w in r[1])
-        vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in frequency.items() if n >= LEAST))}
+        vocabulary = {w: i for i, w in enumerate(dividing_words(rows))}
         width = len(vocabulary) + len(categories)
         base = [np.array([vocabulary[w] for w in r[1] if w in vocabulary], dtype=np.int64) for r in rows]
         fold = np.arange(len(rows)) % FOLDS
@@ -58,12 +78,13 @@ def fit(categories: list[str]):
         for name in categories:
             y = np.array([r[2] if name == LAST else not set(SEEDS[name]).isdisjoint(r[1]) for r in rows], dtype=np.float32)[:, None]
             new = lambda: Ftrl(width, 1, alpha=0.5, l1=0.004, l2=1e-3)
-            chain.append(new().fit(with_earlier(range(len(rows))), y, epochs=6).weights()[:, 0])
+            epochs = max(EPOCHS, min(100, SEEN // max(len(rows), 1)))
+            chain.append(new().fit(with_earlier(range(len(rows))), y, epochs=epochs).weights()[:, 0])
             out = np.zeros(len(rows))
             for k in range(FOLDS) if name != categories[-1] else ():
                 inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
                 if len(inside) and len(outside):
-                    model = new().fit(with_earlier(inside), y[inside], epochs=6)
+                    model = new().fit(with_earlier(inside), y[inside], epochs=epochs)
                     out[outside] = np.concatenate([model.predict(dense([r], width))[:, 0] for r in with_earlier(outside)])
             earlier.append(out)
         words = {w: np.array([c[i] for c in chain]) for w, i in vocabulary.items() if any(c[i] != 0 for c in chain)}
