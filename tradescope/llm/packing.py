@@ -7,8 +7,10 @@ per document of its share; full pieces are sequences by themselves and pass stra
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,30 +23,67 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-class TokenBytes(dict):
-    """Little-endian 32-bit ids of blank-separated chunks, remembered up to a bound.
+class TokenBytes:
+    """Little-endian 32-bit ids of texts, by blank-separated chunks that are remembered.
 
-    The vocabulary file lower-cases and drops white space before it looks for tokens, so no
-    token spans a blank and a text's ids are those of its chunks in order.
+    The vocabulary file lower-cases and drops white space before it looks for tokens, so no token
+    spans a blank and a text's ids are those of its chunks in order. A chunk of Latin letters with
+    punctuation behind is two of the file's pre-tokens, which are looked up by themselves. The
+    memory outlives a task where Spark uses a Python worker again.
     """
 
-    LIMIT, LONGEST = 300_000, 64
+    LONGEST, TOGETHER, LIMIT = 64, 50, 700_000
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?#$%&*|]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def add(self, chunks: list[str]) -> None:
-        fresh = [c for c in set(chunks).difference(self) if len(c) <= self.LONGEST]
-        if len(self) + len(fresh) > self.LIMIT:
-            self.clear()
-            fresh = [c for c in set(chunks) if len(c) <= self.LONGEST]
-        for chunk, encoded in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(encoded.ids, dtype="<u4").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def add_parts(self, parts: set[str]) -> None:
+        """Learn pre-tokens; they are encoded some at a time and cut after word ends."""
+        fresh = list(parts.difference(self.parts))
+        groups = [fresh[i : i + self.TOGETHER] for i in range(0, len(fresh), self.TOGETHER)]
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            self.parts.update(zip(group, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)] if len(cuts) == len(group) else map(self.encode, group), strict=True))
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        if len(self.chunks) > self.LIMIT:
+            self.chunks = {}
+        if len(self.parts) > self.LIMIT:
+            self.parts = {"": b""}
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        fresh: set[str] = set()
+        for one in split:
+            fresh.update(set(one).difference(self.chunks))
+        plain = []
+        for chunk in fresh:
+            m = self.PLAIN.fullmatch(chunk) if len(chunk) <= self.LONGEST else None
+            if m and len(core := m[1].lower()) == len(m[1]):
+                plain.append((chunk, core, m[2]))
+            else:
+                self.chunks[chunk] = self.encode(chunk)
+        self.add_parts({core for _, core, _ in plain}.union(tail for _, _, tail in plain))
+        parts = self.parts
+        self.chunks.update((chunk, parts[core] + parts[tail]) for chunk, core, tail in plain)
+        return [b"".join(map(self.chunks.__getitem__, one)) for one in split]
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> TokenBytes:
+    """One encoder for each file and worker."""
+    return TokenBytes(path)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -58,15 +97,12 @@ def pieces_of(path: str | None, capacity: int, end_id: int):
     """A function for mapInArrow: documents in, descriptions of their pieces out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = TokenBytes(path or tokenizer_path())
+        encoder = token_bytes(path or tokenizer_path())
         tail = np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches, "text", 2_000_000):
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-            cache.add([c for one in chunks for c in one])
+        for batch in slices(batches, "text", 4_000_000):
             rows = []
-            for doc_id, one in zip(ids, chunks, strict=True):
-                data = b"".join(map(cache.__getitem__, one)) + tail
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), encoder.of([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+                data += tail
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
