@@ -22,7 +22,7 @@ from .common import ensure_checkpoint_dir, parts_for
 
 #: Pivots, and rows and queries in one task's block.
 PIVOTS, BLOCK_ROWS, BLOCK_QUERIES = 64, 2048, 2048
-LEAF = 48
+LEAF = 128
 MISSING = np.iinfo(np.int64).min
 
 
@@ -38,6 +38,8 @@ def scaled(vector: Column) -> Column:
 
 def matrix(vectors, width: int) -> np.ndarray:
     """Rows as float64, shorter ones filled with 0; sums stay exact below 2^53."""
+    if len(vectors) and all(len(v) == width for v in vectors):
+        return np.array(list(vectors), dtype=float)
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
@@ -45,32 +47,31 @@ def matrix(vectors, width: int) -> np.ndarray:
 
 
 class CoverTree:
-    """Nodes of points with a centre and a covering radius, halved from level to level."""
+    """Nodes of points with a centre and a covering radius.
 
-    def __init__(self, points: np.ndarray, rows: np.ndarray | None = None, shrink: float = 0.7):
+    A node's children have centres that lie further apart than half of its radius, as far as
+    FAN of them allow, each the farthest point from those before; points go to the nearest.
+    """
+
+    FAN = 16
+
+    def __init__(self, points: np.ndarray, rows: np.ndarray | None = None):
         self.points, self.rows = points, np.arange(len(points)) if rows is None else rows
         self.centre = points[self.rows[0]]
-        distance = np.sqrt(np.maximum(((points[self.rows] - self.centre) ** 2).sum(axis=1), 0.0))
+        distance = self._from(self.centre)
         self.radius = float(distance.max()) * (1 + 1e-9)
         self.norm = float(np.sqrt((self.centre**2).sum()))
         self.children: list[CoverTree] = []
         if len(self.rows) > LEAF and self.radius > 0:
-            self.children = self._split(self.radius * shrink, shrink)
-
-    def _split(self, reach: float, shrink: float) -> list[CoverTree]:
-        left, groups, alone = self.rows, [], []
-        while len(left):
-            near = ((self.points[left] - self.points[left[0]]) ** 2).sum(axis=1) <= reach * reach
-            near[0] = True
-            (groups if near.sum() > 1 else alone).append(left[near])
-            left = left[~near]
-        if len(groups) <= 1 and len(alone) + len(groups) > LEAF or not groups:
-            halves = np.array_split(self.rows, -(-len(self.rows) // LEAF))  # points far from each other: leaves of any of them
-            return [CoverTree(self.points, h, shrink) for h in halves]
-        if alone:
-            singles = np.concatenate(alone)
-            groups += np.array_split(singles, -(-len(singles) // LEAF))
-        return [CoverTree(self.points, g, shrink) for g in groups]
+            near, owner, centres = distance, np.zeros(len(self.rows), dtype=np.int64), 1
+            while centres < self.FAN and near.max() > self.radius / 2:
+                other = self._from(points[self.rows[int(near.argmax())]])
+                owner[other < near] = centres
+                near, centres = np.minimum(near, other), centres + 1
+            self.children = [CoverTree(points, self.rows[owner == c]) for c in range(centres) if (owner == c).any()]
+
+    def _from(self, point: np.ndarray) -> np.ndarray:
+        return np.sqrt(((self.points[self.rows] - point) ** 2).sum(axis=1))
 
 
 class TopK:
@@ -90,6 +91,10 @@ class TopK:
         score = self.q[q] @ self.x[x].T
         ids = np.broadcast_to(self.id[x], score.shape)
         score = np.where(ids == self.qid[q][:, None], -np.inf, score)
+        reached = (score >= np.maximum(self.score[q, -1], self.floor[q])[:, None]).any(axis=1)
+        if not reached.any():
+            return
+        q, score, ids = q[reached], score[reached], ids[reached]
         score, ids = np.concatenate([self.score[q], score], axis=1), np.concatenate([self.best[q], ids], axis=1)
         order = np.lexsort((ids, -score), axis=1)[:, : self.k]
         self.score[q], self.best[q] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
