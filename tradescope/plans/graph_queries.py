@@ -48,7 +48,7 @@ def grf07(t):
     return G.pagerank(t("edges"))
 
 
-_BFS = f"WITH RECURSIVE {_BOTH}, bfs(node, d) AS (SELECT min(src), 0 FROM edges UNION SELECT other, d + 1 FROM bfs JOIN both_ways USING (node) WHERE d < 10)"
+_BFS = f"WITH RECURSIVE {_BOTH}, bfs(node, d) AS (SELECT DISTINCT src, 0 FROM edges WHERE src = (SELECT min(src) FROM edges) UNION SELECT other, d + 1 FROM bfs JOIN both_ways USING (node) WHERE d < 10)"
 
 
 @query("grf08_shortest_paths", f"{_BFS} SELECT node, CAST(min(d) AS INTEGER) AS distance FROM bfs GROUP BY 1")
@@ -87,7 +87,7 @@ def grf15(t):
 def grf18(t):
     c = G.components(t("edges")).agg(rows().alias("nodes"), F.count_distinct("component").alias("components"))
     e = t("edges").agg(rows().alias("edges"))
-    return c.join(F.broadcast(e)).select("nodes", "edges", r(2.0 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).alias("density"), "components")
+    return c.join(F.broadcast(e)).select("nodes", "edges", r(2.0 * F.col("edges") / F.nullif(F.col("nodes") * (F.col("nodes") - 1), F.lit(0))).alias("density"), "components")
 
 
 @query("grf20_closure_candidates", "SELECT DISTINCT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = a.src AND e.dst = b.dst)")

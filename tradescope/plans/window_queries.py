@@ -154,11 +154,11 @@ def win18(t):
     return t("records").select("pk", r(F.col("amount") / F.avg("amount").over(w)).alias("ratio"), r((F.col("amount") - F.avg("amount").over(w)) / F.stddev_samp("amount").over(w)).alias("z"))
 
 
-@query("win19_comparable_rows", "SELECT pk, round(avg(amount) OVER w, 4) AS mean, count(*) OVER w AS n, CASE WHEN stddev_pop(amount) OVER w > 0 AND count(*) OVER w > 2 THEN abs(amount - avg(amount) OVER w) > 2 * stddev_pop(amount) OVER w END AS deviates FROM records WINDOW w AS (PARTITION BY hs_code, company_id ORDER BY date, pk ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
+@query("win19_comparable_rows", "SELECT pk, round(sum(amount) OVER w, 4) AS total, count(*) OVER w AS n, CASE WHEN stddev_pop(amount) OVER w > 0 AND count(*) OVER w > 2 THEN abs(amount - avg(amount) OVER w) > 2 * stddev_pop(amount) OVER w END AS deviates FROM records WINDOW w AS (PARTITION BY hs_code, company_id ORDER BY date, pk ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
 def win19(t):
     w = W.last_n(["hs_code", "company_id"], ["date", "pk"], 20, current=False)
     m, s, n = F.avg("amount").over(w), F.stddev_pop("amount").over(w), rows().over(w)
-    return t("records").select("pk", r(m, 4).alias("mean"), n.alias("n"), F.when((s > 0) & (n > 2), F.abs(F.col("amount") - m) > 2 * s).alias("deviates"))
+    return t("records").select("pk", r(F.sum("amount").over(w), 4).alias("total"), n.alias("n"), F.when((s > 0) & (n > 2), F.abs(F.col("amount") - m) > 2 * s).alias("deviates"))
 
 
 @query("win20_returns_volatility", "WITH p AS (SELECT symbol, ts, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars) SELECT symbol, round(stddev_samp(ret) * sqrt(252), 6) AS volatility, round(arg_max(close, ts) / arg_min(close, ts) - 1, 6) AS total_return FROM p GROUP BY 1")
