@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 def test_stages_keep_the_columns_and_drop_what_they_should(spark):
     sf_dir = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    copy = docs.filter("doc_id = 5").withColumn("doc_id", F.lit(900_001).cast("long"))
+    copy = docs.filter("doc_id = 4").withColumn("doc_id", F.lit(900_001).cast("long"))
     silent = docs.filter("doc_id = 6").withColumns({"doc_id": F.lit(900_002).cast("long"), "text": F.lit("12 34 !!"), "lang": F.lit(None).cast("string")})
     rude = docs.filter("doc_id = 7").withColumns({"doc_id": F.lit(900_003).cast("long"), "text": F.concat("text", F.lit(" idiot moron scum trash worthless clown"))})
     docs = docs.unionByName(copy).unionByName(silent).unionByName(rude)
