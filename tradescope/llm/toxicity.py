@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,38 +44,47 @@ def word_set(text: str | None) -> set[str]:
     return words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in STEMS))
 
 
-def dividing_words(rows: list[tuple]) -> list[str]:
+def dividing_words(rows: list[np.ndarray], toxic: np.ndarray, names: list[str]) -> list[int]:
     """The WORDS words that speak for the last category, by chi-square; what speaks against it is the bias."""
-    every, toxic = Counter(w for r in rows for w in r[1]), Counter(w for r in rows if r[2] for w in r[1])
-    n, positive = len(rows), sum(r[2] for r in rows)
-
-    def chi_square(w: str) -> float:
-        with_word, both = every[w], toxic[w]
-        spread = with_word * (n - with_word) * positive * (n - positive)
-        return n * (both * n - with_word * positive) ** 2 / spread if spread and both * n > with_word * positive else 0.0
-
-    scores = {w: chi_square(w) for w in toxic if every[w] >= LEAST}
-    return sorted((w for w, x in scores.items() if x > 0), key=lambda w: (-scores[w], w))[:WORDS]
+    count = lambda some: np.bincount(np.concatenate(some), minlength=len(names)).astype(float) if some else np.zeros(len(names))
+    every, both = count(rows), count([r for r, y in zip(rows, toxic, strict=True) if y])
+    n, positive = len(rows), float(toxic.sum())
+    spread = every * (n - every) * positive * (n - positive)
+    score = np.where((every >= LEAST) & (spread > 0) & (both * n > every * positive), n * (both * n - every * positive) ** 2 / np.maximum(spread, 1.0), 0.0)
+    return sorted(np.flatnonzero(score).tolist(), key=lambda k: (-score[k], names[k]))[:WORDS]
 
 
 def fit(categories: list[str]):
-    """A function for mapInArrow: labelled documents in (one task), the pickled chain out."""
+    """A function for mapInArrow: labelled documents in (one task), the pickled chain out.
+
+    Words are kept as numbers, so that the sample takes a few bytes for each of its words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted({(d if d is not None else -1, tuple(sorted(word_set(t))), bool(y)) for b in batches for d, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", LAST)), strict=True)})
-        vocabulary = {w: i for i, w in enumerate(dividing_words(rows))}
-        width = len(vocabulary) + len(categories)
-        base = [np.array([vocabulary[w] for w in r[1] if w in vocabulary], dtype=np.int64) for r in rows]
+        codes: dict[str, int] = {}
+        sample = []
+        for batch in batches:
+            for doc_id, text, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", LAST)), strict=True):
+                words = word_set(text)
+                sample.append((doc_id, len(words), bool(y), np.fromiter((codes.setdefault(w, len(codes)) for w in words), dtype=np.int32, count=len(words))))
+        sample.sort(key=lambda r: r[:3])
+        rows, toxic, names = [r[3] for r in sample], np.array([r[2] for r in sample], dtype=bool), list(codes)
+        chosen = dividing_words(rows, toxic, names)
+        width = len(chosen) + len(categories)
+        place = np.full(len(names), -1, dtype=np.int64)
+        place[chosen] = np.arange(len(chosen))
+        base = [np.sort(p[p >= 0]) for p in (place[r] for r in rows)]
         fold = np.arange(len(rows)) % FOLDS
         earlier: list[np.ndarray] = []
         chain = []
 
         def with_earlier(indices) -> list[tuple[np.ndarray, np.ndarray]]:
-            extra = np.arange(len(earlier)) + len(vocabulary)
+            extra = np.arange(len(earlier)) + len(chosen)
             return [(np.append(base[i], extra).astype(np.int64), np.append(np.ones(len(base[i])), [p[i] for p in earlier]).astype(np.float32)) for i in indices]
 
         for name in categories:
-            y = np.array([r[2] if name == LAST else not set(SEEDS[name]).isdisjoint(r[1]) for r in rows], dtype=np.float32)[:, None]
+            seeds = [codes[w] for w in SEEDS.get(name, ()) if w in codes]
+            y = (toxic if name == LAST else np.array([np.isin(r, seeds).any() for r in rows], dtype=bool)).astype(np.float32)[:, None]
             new = lambda: Ftrl(width, 1, alpha=0.5, l1=0.004, l2=1e-3)
             epochs = max(EPOCHS, min(100, SEEN // max(len(rows), 1)))
             chain.append(new().fit(with_earlier(range(len(rows))), y, epochs=epochs).weights()[:, 0])
@@ -87,8 +95,8 @@ def fit(categories: list[str]):
                     model = new().fit(with_earlier(inside), y[inside], epochs=epochs)
                     out[outside] = np.concatenate([model.predict(dense([r], width))[:, 0] for r in with_earlier(outside)])
             earlier.append(out)
-        words = {w: np.array([c[i] for c in chain]) for w, i in vocabulary.items() if any(c[i] != 0 for c in chain)}
-        links = np.array([[c[len(vocabulary) + k] for k in range(len(categories))] for c in chain])
+        words = {names[k]: np.array([c[i] for c in chain]) for i, k in enumerate(chosen) if any(c[i] != 0 for c in chain)}
+        links = np.array([[c[len(chosen) + k] for k in range(len(categories))] for c in chain])
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps((words, links, np.array([c[-1] for c in chain])))], pa.binary())})
 
     return run
