@@ -32,7 +32,7 @@ class TokenBytes:
     memory outlives a task where Spark uses a Python worker again.
     """
 
-    LONGEST, TOGETHER, LIMIT = 64, 50, 700_000
+    LONGEST, TOGETHER, LIMIT = 64, 50, 250_000
     PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?#$%&*|]*)")
 
     def __init__(self, path: str):
