@@ -18,16 +18,20 @@ from tradescope.llm.common import ensure_checkpoint_dir, read
 #: Predictions under this probability count as no language.
 LEAST_SCORE = 0.3
 BROADCAST_IDS = 2_000_000
+#: Documents that a Python worker is handed at a time: whole texts, so fewer than Spark's usual number.
+BATCH_ROWS = "1000"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not find toxic."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     judged = toxicity.classify_toxicity(docs, read(spark, sf_dir, "labels"), keep_text=True)
     return judged.filter(~F.col("toxic")).select(docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the table names; texts without letters go."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     found = language.identify_languages(docs, keep_text=True)
     return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
@@ -37,6 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without an id cannot be a group's choice by id; of those with one text, one stays.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     ensure_checkpoint_dir(spark)
     found = dedup.near_duplicates(docs.filter(F.col("doc_id").isNotNull()), shingle_words=5, percent=80)
     gone = found.filter(~F.col("kept")).select("doc_id").distinct().checkpoint()
@@ -59,6 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all documents in sequences of 2048 tokens."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return packing.pack_documents(docs, capacity=2048)
 
 
