@@ -285,6 +285,30 @@ def test_lm_scores_prefer_the_target(spark):
     assert abs(rows[150]["score"] - (rows[150]["ce_target"] - rows[150]["ce_background"])) < 1e-12
 
 
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 3000, "part_rows": 500}])
+def test_lm_scores_equal_exact_counts(spark, sizes):
+    texts = [prose(i, 60) for i in range(60)] + list(ODD) + [prose(3, 60)] * 20
+    target = set(range(0, 40, 3))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, prose(5, 40)), (0, texts[0])]
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    models = []
+    for own in (lambda i: i in target, lambda i: True):
+        word, context, pair = Counter(), Counter(), Counter()
+        for (i, _), w in zip(rows, words, strict=True):
+            if own(i):
+                word.update(w), context.update([None, *w[:-1]] if w else []), pair.update(zip([None, *w], w, strict=False))
+        models.append((word, context, pair, sum(word.values())))
+    size = len({x for w in words for x in w})
+    loss = lambda m, a, b: -math.log((m[2][a, b] + lm.PRIOR * (m[0][b] + lm.ADDED) / (m[3] + lm.ADDED * size)) / (m[1][a] + lm.PRIOR))
+    expected = [(i, len(w), *([sum(loss(m, a, b) for a, b in zip([None, *w], w, strict=False)) / len(w) for m in models] if w else [None] * 2)) for (i, _), w in zip(rows, words, strict=True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm.score_documents(df, spark.createDataFrame([(i,) for i in target], "doc_id long"), **sizes).collect()
+    rounded = lambda found: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in found), key=repr)
+    assert rounded(tuple(r)[:4] for r in got) == rounded(expected)
+    assert all(r["score"] is None or abs(r["score"] - (r["ce_target"] - r["ce_background"])) < 1e-12 for r in got)
+    assert lm.score_documents(df.limit(0), df).count() == 0
+
+
 # urls and quality
 
 
