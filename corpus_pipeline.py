@@ -37,22 +37,22 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id. Of rows that repeat an id one stays.
+    """One document of each group: that with the smallest id, or of those without ids one.
 
-    Rows without an id cannot be a group's choice by id; of those with one text, one stays.
+    Rows are told apart by all their columns, so that rows that share an id are judged each by
+    its own text. Of rows that are the same in every column one stays.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     ensure_checkpoint_dir(spark)
-    found = dedup.near_duplicates(docs.filter(F.col("doc_id").isNotNull()), shingle_words=5, percent=80)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct().checkpoint()
+    found = dedup.near_duplicates(docs, shingle_words=5, percent=80).select("row_key", "first_row").checkpoint()
+    gone = found.filter(F.col("row_key") != F.col("first_row")).select("row_key").distinct().checkpoint()
     small = gone.count() <= BROADCAST_IDS
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
-    nameless = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id").checkpoint()
+    kept = docs.withColumn("row_key", dedup.row_key(docs)).join(F.broadcast(gone) if small else gone, "row_key", "left_anti")
+    repeated = found.groupBy("row_key").count().filter("count > 1").select("row_key").checkpoint()
     if repeated.limit(1).count():
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
-    return kept.unionByName(nameless).select(docs.columns)
+        once = kept.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"])
+        kept = kept.join(repeated, "row_key", "left_anti").unionByName(once)
+    return kept.select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

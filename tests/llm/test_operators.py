@@ -136,6 +136,16 @@ def test_dedup_edges(spark):
     assert got == [("7", 7, True), ("7", 7, True), ("None", 7, False), ("None", None, True)]
 
 
+def test_dedup_links_classes_without_ids(spark):
+    near = lambda seed, k: prose(seed, 60) + f" end{k}"
+    rows = spark.createDataFrame([(None, near(1, 0)), (None, near(1, 1)), (None, near(2, 0)), (4, near(2, 1)), (None, near(3, 0)), (None, near(3, 0))], "doc_id long, text string")
+    got = [(r["n_shingles"], r["component_id"], r["kept"], r["row_key"], r["first_row"]) for r in dedup.near_duplicates(rows, 4, 80).collect()]
+    assert len(got) == 6 and len({first for *_, first in got}) == 3
+    assert sorted(kept for _, component, kept, _, _ in got if component == 4) == [False, True]
+    nameless = [(kept, key == first) for _, component, kept, key, first in got if component is None]
+    assert all(kept == own for kept, own in nameless) and sorted(own for own, _ in nameless) == [False, True, True, True]
+
+
 def test_large_node_blocks():
     import pandas as pd
 

@@ -28,3 +28,15 @@ def test_stages_keep_the_columns_and_drop_what_they_should(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+def test_near_dedup_judges_rows_by_their_texts(spark):
+    texts = {x: " ".join(f"{x}{i}" for i in range(60)) for x in "ABCD"}
+    rows = [(5, "A"), (9, "A"), (3, "B"), (5, "B"), (None, "C"), (None, "C+"), (None, "D"), (8, "D+"), (8, "D"), (7, "C-"), (7, "C-"), (None, None), (1, None), (1, None)]
+    near = {"C+": texts["C"] + " more", "D+": texts["D"] + " more", "C-": "alone " * 3 + "text", None: ""}
+    docs = spark.createDataFrame([(i, {**texts, **near}[x], "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    names = sorted((r["text"][:1], r["doc_id"]) for r in kept if r["text"] and r["text"][:1] in "ABD")
+    assert names == [("A", 5), ("B", 3), ("D", 8)]
+    assert sum(r["text"].startswith("C") for r in kept) == 1
+    assert sorted((str(r["doc_id"]) for r in kept if r["text"] == "" or r["text"].startswith("alone"))) == ["1", "7", "None"]

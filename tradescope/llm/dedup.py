@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, hash_words, mix, slices
@@ -35,7 +35,7 @@ TREES, LEVELS, SMALL, BLOCK = 12, 3, 24, 512
 SLOTS = TREES * (LEVELS + 1)
 #: Pairs whose sketches agree in under this share of slots are not confirmed: five deviations below 0.8.
 SKETCH_SHARE = 0.5
-#: Documents to fetch full sets of are broadcast by id up to this number.
+#: Documents to fetch full sets of are broadcast by key up to this number.
 BROADCAST_IDS = 2_000_000
 
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,6 +67,12 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A 128-bit key of a row by all its columns; rows with one key are the same in every column."""
+    values = [*(F.col(c).isNull() for c in docs.columns), *map(F.col, docs.columns)]
+    return F.concat_ws("-", *(F.hex(F.xxhash64(F.lit(seed), *values)) for seed in (1, 2)))
+
+
 def sketch(n: int):
     """A function for mapInArrow: documents in; size, fingerprint and minwise values of their sets out."""
 
@@ -81,7 +87,7 @@ def sketch(n: int):
                         values[i] = least if part[0] == s[0] else np.minimum(values[i], least)
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             slots = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SLOTS, pa.array(values.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), slots], names=["doc_id", "n_shingles", "class", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), slots], names=["doc_id", "row_key", "n_shingles", "class", "slots"])
 
     return run
 
@@ -104,16 +110,16 @@ class Corpus:
     """Classes of documents, with their sketches and, on demand, their full sets."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int):
-        self.docs, self.n, self.percent = docs.select("doc_id", "text"), n, percent
+        self.docs, self.n, self.percent = docs.select("doc_id", "text", row_key(docs).alias("row_key")), n, percent
         ensure_checkpoint_dir(docs.sparkSession)
-        self.rows = self.docs.mapInArrow(sketch(n), "doc_id long, n_shingles long, class binary, slots array<bigint>").checkpoint()
-        self.classes = self.rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("slots").alias("slots")).checkpoint()
+        self.rows = self.docs.mapInArrow(sketch(n), "doc_id long, row_key string, n_shingles long, class binary, slots array<bigint>").checkpoint()
+        self.classes = self.rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("choice"), F.first("n_shingles").alias("size"), F.first("slots").alias("slots")).checkpoint()
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(class, shingles) of the classes in ``wanted`` (class), from one document of each."""
-        ids = self.classes.join(wanted.distinct(), "class", "left_semi").select("doc_id").checkpoint()
-        few = ids.count() <= BROADCAST_IDS
-        found = self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(full_sets(self.n), "class binary, shingles array<bigint>")
+        keys = self.classes.join(wanted.distinct(), "class", "left_semi").select("choice.row_key").checkpoint()
+        few = keys.count() <= BROADCAST_IDS
+        found = self.docs.join(F.broadcast(keys) if few else keys, "row_key", "left_semi").select("text").mapInArrow(full_sets(self.n), "class binary, shingles array<bigint>")
         return found.filter(F.col("class").isNotNull()).dropDuplicates(["class"])
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -186,13 +192,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     """Group documents (doc_id, text) whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
     Returns doc_id, n_shingles, class (the fingerprint of the set), component_id (the smallest
-    doc_id that links reach, itself included) and kept (whether it is that document).
+    doc_id that links reach, itself included), kept (whether it is that document), row_key (of
+    all columns of ``docs``) and first_row (the row key of the component's first row: that with
+    the smallest doc_id, then the smallest key).
 
     Nulls: documents without words or text have an empty set, are linked with nothing and are
     kept; rows with a null doc_id take part, but have no id to give, and are not kept unless
-    nothing is linked with them. Repeated rows are documents of one class; each gets its row, with
-    equal ids all of them kept, as the rule on ids says. Empty tables give no rows; further
-    columns are ignored.
+    nothing with an id is linked with them; of a component without ids the first row is kept.
+    Repeated rows are documents of one class; each gets its row, with equal ids all of them kept,
+    as the rule on ids says. Empty tables give no rows; further columns only enter the key.
     """
     corpus = Corpus(docs, shingle_words, percent)
     tree = F.posexplode(F.slice("slots", 1, trees)).alias("tree", "path")
@@ -219,12 +227,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     if large.limit(1).count():
         links = links.union(large_links(corpus, large, block))
     labels = connected_components(links)
-    least = corpus.classes.join(labels, F.col("class") == F.col("node")).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = labels.join(least, "label").select(F.col("node").alias("class"), "component_id")
-    alone = corpus.classes.select("class", F.col("doc_id").alias("component_id")).join(linked, "class", "left_anti")
-    found = corpus.rows.select("doc_id", "n_shingles", "class").join(linked.union(alone), "class", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return found.select("doc_id", "n_shingles", "class", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    least = corpus.classes.join(labels, F.col("class") == F.col("node")).groupBy("label").agg(F.min("choice").alias("choice"))
+    linked = labels.join(least, "label").select(F.col("node").alias("class"), "choice")
+    alone = corpus.classes.select("class", "choice").join(linked, "class", "left_anti")
+    found = corpus.rows.select("doc_id", "row_key", "n_shingles", "class").join(linked.union(alone), "class", "left")
+    found = found.withColumns({"component_id": F.coalesce("choice.doc_id", "doc_id"), "first_row": F.coalesce("choice.row_key", "row_key")})
+    kept = F.when(F.col("component_id").isNull(), F.col("row_key") == F.col("first_row")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.select("doc_id", "n_shingles", "class", "component_id", kept.alias("kept"), "row_key", "first_row")
 
 
 def small_pairs(nodes: DataFrame, small: int) -> DataFrame:
