@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import os
+import sys
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -64,6 +67,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8_000_00
             yield batch.slice(start)
 
 
+def release() -> None:
+    """Give a worker's free memory back to the system, as Spark uses its workers again."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def n_words(text: str | Column) -> Column:
     """Number of words of a text; 0 for null."""
     column = F.col(text) if isinstance(text, str) else text

@@ -7,83 +7,110 @@ per document of its share; full pieces are sequences by themselves and pass stra
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import parts_for, slices
+from .common import parts_for, release, slices
+
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-class TokenBytes:
-    """Little-endian 32-bit ids of texts, by blank-separated chunks that are remembered.
+class TokenIds:
+    """Token ids of texts, by blank-separated chunks that are encoded once for each batch of texts.
 
     The vocabulary file lower-cases and drops white space before it looks for tokens, so no token
     spans a blank and a text's ids are those of its chunks in order. A chunk of Latin letters with
-    punctuation behind is two of the file's pre-tokens, which are looked up by themselves. The
-    memory outlives a task where Spark uses a Python worker again.
+    punctuation behind is two of the file's pre-tokens: the letters go to the file's model by
+    themselves and are remembered, up to LIMIT words. Other chunks are encoded whole, and so is
+    every text where the file treats PROBE otherwise.
     """
 
-    LONGEST, TOGETHER, LIMIT = 64, 50, 250_000
-    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?#$%&*|]*)")
+    LIMIT = 150_000
+    PLAIN = "^(?P<core>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]{1,48})(?P<tail>[.,;:!?#$%&*|]{0,16})$"
+    PROBE = "The river, le caf\u00e9!  \u00c9t\u00e9 ;\nwords Zw\u00f6lf? 12 don't a|b x.y |"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.word_end[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte_letters = np.arange(256, dtype="<u4")  # how byte-level files write bytes as letters; the blank stays
+        self.byte_letters[[b for b in range(256) if b not in shown]] = 256 + np.arange(256 - len(shown))
+        self.byte_letters[32] = 32
+        self.words: dict[str, bytes] = {}
+        self.by_chunks = True
+        self.by_chunks = self.of([self.PROBE])[0].tobytes() == self.encode(self.PROBE)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def add_parts(self, parts: set[str]) -> None:
-        """Learn pre-tokens; they are encoded some at a time and cut after word ends."""
-        fresh = list(parts.difference(self.parts))
-        groups = [fresh[i : i + self.TOGETHER] for i in range(0, len(fresh), self.TOGETHER)]
-        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(encoded.ids, dtype="<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of pre-tokens in small letters."""
+        fresh = [w for w in words if w and w not in self.words]
+        for at in range(0, len(fresh), 2000):
+            some = fresh[at : at + 2000]
+            written = self.byte_letters[np.frombuffer(" ".join(some).encode("utf-8"), dtype=np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.model.encode_batch_fast([written], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.word_end[ids]) + 1)).tolist()
             data = ids.tobytes()
-            self.parts.update(zip(group, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)] if len(cuts) == len(group) else map(self.encode, group), strict=True))
-
-    def of(self, texts: list[str]) -> list[bytes]:
+            self.words.update(zip(some, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)] if len(cuts) == len(some) else map(self.encode, some), strict=True))
+
+    def chunks(self, chunks: pa.StringArray) -> list[bytes]:
+        """Ids of distinct chunks."""
+        if len(self.words) > self.LIMIT:
+            self.words = {}
+        plain = pc.extract_regex(chunks, self.PLAIN)
+        odd = plain.is_null().to_numpy(zero_copy_only=False) & (pc.binary_length(chunks).to_numpy() > 0)
+        parts = []
+        for i in (0, 1):
+            field = pc.fill_null(pc.struct_field(plain, i), "").dictionary_encode()
+            words = pc.utf8_lower(field.dictionary).to_numpy(zero_copy_only=False).tolist()
+            self.learn(words)
+            parts.append(np.array([*map(self.words.get, words, repeat(b"")), b""], dtype=object)[field.indices.to_numpy()])
+        found = parts[0] + parts[1]
+        for i in np.flatnonzero(odd):
+            found[i] = self.encode(chunks[int(i)].as_py())
+        return found.tolist()
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.chunks) > self.LIMIT:
-            self.chunks = {}
-        if len(self.parts) > self.LIMIT:
-            self.parts = {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh: set[str] = set()
-        for one in split:
-            fresh.update(set(one).difference(self.chunks))
-        plain = []
-        for chunk in fresh:
-            m = self.PLAIN.fullmatch(chunk) if len(chunk) <= self.LONGEST else None
-            if m and len(core := m[1].lower()) == len(m[1]):
-                plain.append((chunk, core, m[2]))
-            else:
-                self.chunks[chunk] = self.encode(chunk)
-        self.add_parts({core for _, core, _ in plain}.union(tail for _, _, tail in plain))
-        parts = self.parts
-        self.chunks.update((chunk, parts[core] + parts[tail]) for chunk, core, tail in plain)
-        return [b"".join(map(self.chunks.__getitem__, one)) for one in split]
-
-
-@lru_cache(maxsize=2)
-def token_bytes(path: str) -> TokenBytes:
+        if not self.by_chunks:
+            return [np.frombuffer(self.encode(t), dtype="<u4") for t in texts]
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        data = self.chunks(coded.dictionary)
+        sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 4
+        ids, starts = np.frombuffer(b"".join(data), dtype="<u4"), np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        flat = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - lengths), lengths)]
+        bounds = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+@lru_cache(maxsize=1)
+def token_ids(path: str) -> TokenIds:
     """One encoder for each file and worker."""
-    return TokenBytes(path)
+    return TokenIds(path)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -97,16 +124,17 @@ def pieces_of(path: str | None, capacity: int, end_id: int):
     """A function for mapInArrow: documents in, descriptions of their pieces out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = token_bytes(path or tokenizer_path())
-        tail = np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches, "text", 4_000_000):
+        encoder = token_ids(path or tokenizer_path())
+        tail = np.array([end_id], dtype="<u4")
+        for batch in slices(batches, "text", SLICE_BYTES):
             rows = []
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), encoder.of([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                data += tail
-                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.of([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+                ids = np.append(ids, tail)
+                for piece, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    rows.append((doc_id, piece, at, len(part), zlib.crc32(part)))
             yield _batch(rows, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return run
 
