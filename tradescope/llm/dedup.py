@@ -1,9 +1,12 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document is the set of its word shingles. Trees branch the documents recursively by minwise
-tokens: a node holds documents that agree on the tokens chosen along its path, small nodes are
-compared exhaustively, large ones branch on, and independent trees are repeated until a pair at
-the threshold is missed with negligible probability (0.2^12 where nodes become small at once).
+tokens: a node picks one of its level's minwise tokens by a hash of its path, and a second one
+with probability BRANCH, and a document goes to the child of each picked token's value. Small
+nodes are compared exhaustively, large ones branch on, and independent trees are repeated. A pair
+at a similarity of 0.8 meets in a tree with probability 0.8 where nodes are small at once, and
+still with 0.51 where nodes stay large to the last level, so that 12 trees miss it with
+probability 0.2^12 at best and 0.49^12 (0.0002) at worst.
 
 What keeps this linear on groups of copies:
 * documents with equal sets are one class from the start;
@@ -12,13 +15,15 @@ What keeps this linear on groups of copies:
   nothing left to find, however large it is;
 * pairs are first compared by their sketches (far below the threshold, so that none is lost to
   the estimate), then confirmed on full sets;
-* nodes that stay large to the last level are compared in blocks with exact set intersections,
-  and only links between different components leave a block.
+* nodes that stay large to the last level are compared in blocks with exact set intersections;
+  blocks inside the node's largest component are not compared with each other, and only links
+  between different components leave a pair of blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +32,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, hash_words, mix, slices
+from .common import ensure_checkpoint_dir, hash_words, mix, release, slices
 from .components import connected_components
 
 #: Trees, further levels of each, the size of a small node, and of a block of a large one.
 TREES, LEVELS, SMALL, BLOCK = 12, 3, 24, 512
 SLOTS = TREES * (LEVELS + 1)
-#: Pairs whose sketches agree in under this share of slots are not confirmed: five deviations below 0.8.
-SKETCH_SHARE = 0.5
+#: Share of nodes that branch on a second token: 1 / similarity - 1, which keeps a pair at the threshold alive.
+BRANCH = 0.25
+#: Pairs whose sketches agree in fewer slots than so many deviations below the threshold are not confirmed.
+DEVIATIONS = 5
 #: Documents to fetch full sets of are broadcast by key up to this number.
 BROADCAST_IDS = 2_000_000
 
+#: Bytes of text that are cut into shingles together.
+SLICE_BYTES = 1_000_000
+
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = np.random.default_rng(21).integers(1, 1 << 63, SLOTS, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +87,7 @@ def sketch(n: int):
     """A function for mapInArrow: documents in; size, fingerprint and minwise values of their sets out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text", SLICE_BYTES):
             sets = shingle_sets(batch.column("text").to_pylist(), n)
             values = np.zeros((len(sets), SLOTS), dtype=np.uint64)
             with np.errstate(over="ignore"):
@@ -86,8 +96,9 @@ def sketch(n: int):
                         least = (part[:, None] * _ODD + _PLUS).min(axis=0)
                         values[i] = least if part[0] == s[0] else np.minimum(values[i], least)
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            slots = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SLOTS, pa.array(values.view(np.int64).ravel()))
+            slots = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SLOTS, pa.array((values >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), slots], names=["doc_id", "row_key", "n_shingles", "class", "slots"])
+        release()
 
     return run
 
@@ -96,23 +107,30 @@ def full_sets(n: int):
     """A function for mapInArrow: documents of chosen classes in, their sets out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text", SLICE_BYTES):
             sets = shingle_sets(batch.column("text").to_pylist(), n)
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             starts = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.ListArray.from_arrays(starts, pa.array(flat))], names=["class", "shingles"])
+        release()
 
     return run
 
 
+def sketch_share(percent: int) -> float:
+    """The share of slots that sketches of a pair at the threshold agree in, less DEVIATIONS."""
+    p = percent / 100
+    return max(0.0, p - DEVIATIONS * math.sqrt(p * (1 - p) / SLOTS))
+
+
 class Corpus:
     """Classes of documents, with their sketches and, on demand, their full sets."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int):
         self.docs, self.n, self.percent = docs.select("doc_id", "text", row_key(docs).alias("row_key")), n, percent
         ensure_checkpoint_dir(docs.sparkSession)
-        self.rows = self.docs.mapInArrow(sketch(n), "doc_id long, row_key string, n_shingles long, class binary, slots array<bigint>").checkpoint()
+        self.rows = self.docs.mapInArrow(sketch(n), "doc_id long, row_key string, n_shingles long, class binary, slots array<int>").checkpoint()
         self.classes = self.rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("choice"), F.first("n_shingles").alias("size"), F.first("slots").alias("slots")).checkpoint()
 
     def sets(self, wanted: DataFrame) -> DataFrame:
@@ -127,7 +145,7 @@ class Corpus:
         side = lambda x: self.classes.select(F.col("class").alias(x), F.col("size").alias(f"n_{x}"), F.col("slots").alias(f"s_{x}"))
         likely = pairs.join(side("a"), "a").join(side("b"), "b")
         agree = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, v: t + v)
-        near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent) & (agree >= int(SKETCH_SHARE * SLOTS))
+        near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent) & (agree >= sketch_share(self.percent) * SLOTS)
         likely = likely.filter(near).select("a", "b").checkpoint()
         sets = self.sets(likely.select(F.col("a").alias("class")).union(likely.select("b"))).checkpoint()
         full = likely.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
@@ -183,9 +201,23 @@ def intersections(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
 
 
 def nodes_of(members: DataFrame) -> DataFrame:
-    """Members (tree, path, class, label) with their node's size and first member; nodes of one component go."""
-    found = members.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("first"), F.min("label").alias("low"), F.max("label").alias("high"))
-    return members.join(found.filter(F.col("low") != F.col("high")).select("tree", "path", "members", "first"), ["tree", "path"])
+    """Members (tree, path, class, label) of nodes of more than one component, with the node's size."""
+    found = members.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return members.join(found.filter(F.col("low") != F.col("high")).select("tree", "path", "members"), ["tree", "path"])
+
+
+def children(large: DataFrame, classes: DataFrame, level: int, trees: int) -> DataFrame:
+    """Members of the children of large nodes (tree, path, class, label), one look-up a class.
+
+    A node picks its tokens among the ``trees`` minwise values of its level.
+    """
+    inside = large.groupBy("class").agg(F.first("label").alias("label"), F.collect_list(F.struct("tree", "path")).alias("nodes"))
+    inside = inside.join(classes.select("class", F.slice("slots", trees * level + 1, trees).alias("tokens")), "class")
+    pick = lambda x, k: F.pmod(F.xxhash64(x["path"], F.lit(k)), F.lit(trees)).cast("int")
+    child = lambda x, k: F.struct(x["tree"].alias("tree"), F.xxhash64(x["path"], pick(x, k), F.get("tokens", pick(x, k))).alias("path"))
+    second = lambda x: (F.pmod(F.xxhash64(x["path"], F.lit(2)), F.lit(1000)) < int(1000 * BRANCH)) & (pick(x, 0) != pick(x, 1))
+    reached = F.concat(F.transform("nodes", lambda x: child(x, 0)), F.transform(F.filter("nodes", second), lambda x: child(x, 1)))
+    return inside.select("class", "label", F.explode(F.array_distinct(reached)).alias("node")).select("node.tree", "node.path", "class", "label")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, trees: int = TREES, levels: int = LEVELS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
@@ -203,24 +235,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     as the rule on ids says. Empty tables give no rows; further columns only enter the key.
     """
     corpus = Corpus(docs, shingle_words, percent)
-    tree = F.posexplode(F.slice("slots", 1, trees)).alias("tree", "path")
-    members = corpus.classes.select("class", F.col("class").alias("label"), tree)
-    star = nodes_of(members).filter(F.col("class") != F.col("first")).select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
-    links = corpus.links(star)
+    members = corpus.classes.select("class", F.posexplode(F.slice("slots", 1, trees)).alias("tree", "token")).select("class", "tree", F.col("token").cast("long").alias("path"))
+    found = members.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("first")).filter("members > 1")
+    shared = members.join(found.select("tree", "path", "first"), ["tree", "path"]).checkpoint()
+    links = corpus.links(shared.filter(F.col("class") != F.col("first")).select(F.col("first").alias("a"), F.col("class").alias("b")).distinct())
     labels = connected_components(links)
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.drop("label").join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-
-    open_nodes = nodes_of(labelled(members)).checkpoint()
+    labelled = shared.select("tree", "path", "class").join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
+    open_nodes = nodes_of(labelled.withColumn("label", F.coalesce("label", "class"))).checkpoint()
     pairs = small_pairs(open_nodes, small)
     large = open_nodes.filter(F.col("members") > small)
     for level in range(1, levels + 1):
         if large.limit(1).count() == 0:
             break
-        token = F.element_at("slots", F.col("tree") + trees * level + 1)
-        deeper = large.select("tree", "path", "class", "label").join(corpus.classes.select("class", "slots"), "class")
-        deeper = nodes_of(deeper.select("tree", F.xxhash64("path", token).alias("path"), "class", "label")).checkpoint()
+        deeper = nodes_of(children(large, corpus.classes, level, trees)).checkpoint()
         pairs = pairs.union(small_pairs(deeper, small))
         large = deeper.filter(F.col("members") > small)
     links = links.union(corpus.links(pairs.distinct()))
@@ -244,10 +271,18 @@ def small_pairs(nodes: DataFrame, small: int) -> DataFrame:
 
 
 def large_links(corpus: Corpus, large: DataFrame, block: int) -> DataFrame:
-    """Links inside nodes that stayed large, from pairs of blocks of about ``block`` members."""
-    blocks = F.ceil(F.col("members") / block)
-    dealt = large.select("tree", "path", "class", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("class"), blocks).alias("own"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("tree", "path", "class", "label", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).cast("int").alias("half"))
+    """Links inside nodes that stayed large, from pairs of blocks of about ``block`` members.
+
+    The node's largest component has blocks of its own, which meet the others' blocks only.
+    """
+    node = ["tree", "path"]
+    sizes = large.groupBy(*node, "label").agg(F.count(F.lit(1)).alias("n"))
+    majors = sizes.groupBy(*node).agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("members"))
+    majors = majors.select(*node, F.col("m.label").alias("major"), F.ceil(F.col("m.n") / block).alias("inner"), F.ceil((F.col("members") - F.col("m.n")) / block).alias("outer"))
+    dealt = large.select(*node, "class", "label").join(majors, node).withColumn("within", F.col("label") == F.col("major"))
+    dealt = dealt.withColumn("own", F.when(F.col("within"), F.col("outer") + F.pmod(F.xxhash64("class"), "inner")).otherwise(F.pmod(F.xxhash64("class"), "outer")))
+    met = F.when(F.col("within"), F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("outer") + F.col("inner") - 1))
+    dealt = dealt.withColumn("other", F.explode(met))
+    dealt = dealt.select(*node, "class", "label", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).cast("int").alias("half"))
     sets = corpus.sets(large.select("class"))
-    return dealt.join(sets, "class").groupBy("tree", "path", "left", "right").applyInPandas(block_links(corpus.percent), "a binary, b binary").distinct().checkpoint()
+    return dealt.join(sets, "class").groupBy(*node, "left", "right").applyInPandas(block_links(corpus.percent), "a binary, b binary").distinct().checkpoint()
