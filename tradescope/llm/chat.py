@@ -108,5 +108,5 @@ def digest(conversations: DataFrame) -> DataFrame:
 
 def events_of_turns(conversations: DataFrame) -> DataFrame:
     """A table of turns (conv_id, turn, role, text) as an event log: a message per row."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     return conversations.select("conv_id", F.row_number().over(order).cast("long").alias("seq"), F.row_number().over(order).cast("long").alias("message_id"), F.lit("message").alias("kind"), "role", "text")

@@ -23,11 +23,14 @@ BLANKS = " \t\n\x0b\f\r"
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Let checkpoint() write to the folder that the cluster names in spark.checkpoint.dir.
 
-    A folder of this machine is used only where that setting is absent, as in local tests.
+    A folder of this machine is used only where that setting is absent and the master is local,
+    as in tests; on a cluster a missing setting is an error, as executors share no local folder.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tradescope-checkpoints"))
 
 
@@ -81,6 +84,11 @@ def n_words(text: str | Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(column, F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")).cast("long")
 
 
+def uniform(*columns: str) -> Column:
+    """A number from 0 to 1 by a hash of the columns, the same in every run."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+
+
 def parts_for(rows: int, rows_per_part: int) -> int:
     """How many partitions hold ``rows`` at ``rows_per_part`` each; 1 at least."""
     return max(1, math.ceil(rows / rows_per_part))

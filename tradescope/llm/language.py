@@ -19,12 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import slices
+from .common import release, slices, uniform
 from .ftrl import Ftrl, dense, softmax
 
 #: Hash buckets of n-grams, their lengths, and labelled documents per language in the sample.
 BUCKETS, SIZES, SAMPLE = 1 << 15, (1, 2, 3), 1000
 UNDETERMINED = "und"
+#: Labelled documents in the sample in all at most, and languages that can be learned.
+SAMPLE_TOTAL, MOST_LANGUAGES = 20_000, 200
+#: Bytes of text whose n-grams are found together.
+SLICE_BYTES = 400_000
 SCALE = 100.0
 
 
@@ -73,7 +77,7 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequencies of a task's texts, and their number in bucket -1."""
     df, total = np.zeros(BUCKETS, dtype=np.int64), 0
-    for batch in slices(batches, "text", 1_000_000):
+    for batch in slices(batches, "text", SLICE_BYTES):
         texts = [t for t in batch.column("text").to_pylist() if t]
         total += len(texts)
         if texts:
@@ -83,6 +87,7 @@ def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 df += np.bincount(one, minlength=BUCKETS) > 0
     used = np.flatnonzero(df)
     yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(used, -1), pa.int32()), "n": pa.array(np.append(df[used], total), pa.int64())})
+    release()
 
 
 def term_rows(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -92,23 +97,30 @@ def term_rows(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.nd
         grams, _, _ = gram_buckets([text])
         tf = np.bincount(grams, minlength=BUCKETS)
         columns = np.flatnonzero(tf)
-        rows.append((columns, (tf[columns] / max(len(grams), 1) * idf[columns] * SCALE).astype(np.float32)))
+        rows.append((columns.astype(np.int32), (tf[columns] / max(len(grams), 1) * idf[columns] * SCALE).astype(np.float32)))
     return rows
 
 
-def fit(idf: np.ndarray, languages: list[str]):
-    """A function for mapInArrow: the sample in (one task), the pickled model out."""
+def fit(idf: np.ndarray, languages: list[str], sample: int):
+    """A function for mapInArrow: the sample in (one task), the pickled model out.
+
+    Of each language the ``sample`` rows with the smallest hashes count. Every fifth row is kept
+    from training, and the temperature is fitted on those.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = sorted({(t, g, d) for b in batches for t, g, d in zip(*(b.column(c).to_pylist() for c in ("_u", "lang", "text")), strict=True)})
+        pairs = sorted(p for g in languages for p in [p for p in pairs if p[1] == g][:sample])
         rows = term_rows([p[2] for p in pairs], idf)
         y = np.array([[p[1] == g for g in languages] for p in pairs], dtype=np.float32).reshape(len(pairs), len(languages))
-        test = np.arange(len(pairs)) % 5 == 0 if len(pairs) >= 20 else np.ones(len(pairs), dtype=bool)
-        train = [i for i in range(len(pairs)) if not test[i] or len(pairs) < 20]
-        model = Ftrl(BUCKETS, len(languages)).fit([rows[i] for i in train], y[train])
+        test = np.arange(len(pairs)) % 5 == 4
+        del pairs
+        model = Ftrl(BUCKETS, len(languages)).fit([rows[i] for i in np.flatnonzero(~test)], y[~test])
         w = model.weights()
         held = np.concatenate([dense([rows[i]], BUCKETS) @ w for i in np.flatnonzero(test)]) if test.any() else np.zeros((0, len(languages)))
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps((w, temperature(held, y[test])))], pa.binary())})
+        del rows, model
+        release()
 
     return run
 
@@ -127,7 +139,7 @@ def predict(idf, weights, heat: float, languages: list[str], keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value[:-1] * (idf.value * SCALE)[:, None]
         bias = weights.value[-1].astype(np.float64)
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text", SLICE_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             grams, owner, has_letter = gram_buckets(texts)
             number = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
@@ -137,6 +149,7 @@ def predict(idf, weights, heat: float, languages: list[str], keep: list[str]):
             known = has_letter & (classes > 0)
             result = {"lang_pred": pa.array([languages[k] if ok else UNDETERMINED for k, ok in zip(best, known, strict=True)], pa.string()), "score": pa.array(np.where(known, p[np.arange(len(texts)), best], 0.0), pa.float64())}
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *result.values()], names=[*keep, *result])
+        release()
 
     return run
 
@@ -147,24 +160,28 @@ def undetermined(docs: DataFrame) -> DataFrame:
 
 
 def identify_languages(docs: DataFrame, learn_from: Column | None = None, sample: int = SAMPLE, keep_text: bool = False) -> DataFrame:
-    """Add lang_pred and score to every document (doc_id, text, lang, ...).
+    """Add lang_pred and score to every document (text, lang, ...).
 
     Learns from text and non-null lang of the rows where ``learn_from`` is true (all, if none is
-    given): n-gram statistics over all of them, the classifier on at most about ``sample``
-    documents of each language, chosen by a hash of the doc_id. A prediction sees the text only.
-    The score is the calibrated probability of the predicted language.
+    given): n-gram statistics over all of them, the classifier on at most ``sample`` different
+    rows of each language and SAMPLE_TOTAL in all, chosen by a hash of text and language. A
+    prediction sees the text only. The score is the calibrated probability of the predicted language.
 
     Nulls: a text that is null or has no letter is ``und`` with score 0, as is every text where
-    there is nothing to learn from (empty tables, no languages). Null doc_ids share a hash. Ties
-    between languages go to the first by code point. Texts are read whole and in slices, so long
-    ones need no more memory than their own size. Repeated rows get equal results; columns named
-    lang_pred and score are replaced; text is dropped unless ``keep_text``.
+    there is nothing to learn from (empty tables, no languages). Ties between languages go to the
+    first by code point. Texts are read whole and in slices, so long ones need no more memory than
+    their own size. Repeated rows get equal results, count in the n-gram statistics and enter the
+    sample once. Columns named lang_pred and score are replaced; text is dropped unless
+    ``keep_text``. More than MOST_LANGUAGES languages are an error.
     """
     spark = docs.sparkSession
     rows = docs.drop("lang_pred", "score")
     learn = F.coalesce(learn_from, F.lit(False)) if learn_from is not None else F.lit(True)
-    known = rows.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    known = rows.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    known = known.withColumn("_u", uniform("text", "lang"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("_u").alias("n")).limit(MOST_LANGUAGES + 1).collect()}  # a row per language
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
     languages = sorted(counts)
     plain = rows if keep_text else rows.drop("text")
     if not languages:
@@ -173,9 +190,9 @@ def identify_languages(docs: DataFrame, learn_from: Column | None = None, sample
     for r in known.select("text").mapInArrow(count_documents, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS + 1 rows at most
         df[r["bucket"]] = r["n"]
     idf = np.log((df[-1] + 1.0) / (df[:-1] + 1.0)) + 1.0
-    u = (F.xxhash64(F.col("doc_id"), F.lit("lang")).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)).alias("_u")
-    share = F.element_at(F.create_map(*[x for g in languages for x in (F.lit(g), F.lit(min(1.0, sample / counts[g])))]), F.col("lang"))
-    chosen = known.select(u, "lang", "text").filter(F.col("_u") < share).repartition(1)
-    w, heat = pickle.loads(chosen.mapInArrow(fit(idf, languages), "model binary").first()["model"])
+    each = max(1, min(sample, SAMPLE_TOTAL // len(languages)))
+    share = F.element_at(F.create_map(*[x for g in languages for x in (F.lit(g), F.lit(min(1.0, 1.2 * each / max(counts[g], 1))))]), F.col("lang"))
+    chosen = known.filter(F.col("_u") <= share).dropDuplicates(["_u"]).repartition(1)
+    w, heat = pickle.loads(chosen.mapInArrow(fit(idf, languages, each), "model binary").first()["model"])
     run = predict(spark.sparkContext.broadcast(idf), spark.sparkContext.broadcast(w), heat, languages, plain.columns)
     return rows.mapInArrow(run, StructType([*plain.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

@@ -20,9 +20,9 @@ INTERVALS = 4096
 BROADCAST_SOURCES = 20_000
 
 
-def sampling_key(doc_id: Column, weight: Column, seed: str) -> Column:
-    """u^(1/w) in (0, 1); the same in every run."""
-    digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def sampling_key(doc_id: Column, text: Column, weight: Column, seed: str) -> Column:
+    """u^(1/w) in (0, 1), from the id or, where there is none, from the text; the same in every run."""
+    digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(text, F.lit("")))))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
     return F.pow(u, 1.0 / weight)
 
@@ -55,31 +55,33 @@ def mix_sources(docs: DataFrame, weight: Column | None = None, seed: str = "mix"
     key, and the last of them is in if at least half of it fits. ``weight`` is a positive quality
     weight per document (null, or not positive: 1).
 
-    Nulls: a null source is a source of its own; a null text has size 0 and takes 0. Rows that
-    repeat a doc_id share a key and are ordered by size and then by chance of equal rows, so a
-    rerun gives the same multiset of rows. Empty tables give no rows. Columns of ``docs`` named
-    like the results are replaced.
+    Nulls: a null source is a source of its own; a null text has size 0 and takes 0; a row
+    without an id is keyed by its text. Rows that repeat a doc_id share a key and are ordered by
+    size and text, so a rerun gives the same multiset of rows. Empty tables give no rows. Columns
+    of ``docs`` named like the results are replaced; others may have any name.
     """
     w = F.lit(1.0) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(F.lit(1.0))
-    rows = docs.withColumn("_key", sampling_key(F.col("doc_id"), w, seed)).withColumn("size", n_words("text")).drop("source_size", "target", "taken", "times")
-    rows = rows.withColumn("_slot", F.floor((1.0 - F.col("_key")) * INTERVALS).cast("int"))
-    slots = rows.groupBy("source", "_slot").agg(F.sum("size").alias("words"))
+    results = ["size", "source_size", "target", "taken", "times"]
+    names = [c for c in docs.columns if c not in results]
+    rows = docs.select(F.struct(*names).alias("row"), sampling_key(F.col("doc_id"), F.col("text"), w, seed).alias("key"), n_words("text").alias("size"))
+    rows = rows.withColumn("source", F.col("row.source")).withColumn("slot", F.floor((1.0 - F.col("key")) * INTERVALS).cast("int"))
+    slots = rows.groupBy("source", "slot").agg(F.sum("size").alias("words"))
     budgets = source_targets(slots.groupBy("source").agg(F.sum("words").alias("source_size")), cycle, share, most)
     budgets = budgets.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long"))
     budgets = budgets.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     ends = slots.join(budgets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    ends = ends.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("_slot")) - F.col("words"))
-    last = F.max(F.when(F.col("before") <= F.col("budget"), F.struct("_slot", "before")))
+    ends = ends.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("slot")) - F.col("words"))
+    last = F.max(F.when(F.col("before") <= F.col("budget"), F.struct("slot", "before")))
     plan = ends.groupBy("s", "source_size", "target", "epochs", "budget").agg(last.alias("last"))
-    plan = plan.select(F.col("s").alias("_source"), "source_size", "target", "epochs", "budget", F.col("last._slot").alias("_last"), F.col("last.before").alias("_before"))
+    plan = plan.select("s", "source_size", "target", "epochs", "budget", F.col("last.slot").alias("last_slot"), F.col("last.before").alias("before"))
     ensure_checkpoint_dir(docs.sparkSession)
     plan = plan.checkpoint()
     small = plan.count() <= BROADCAST_SOURCES
-    marked = rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("_source")))
-    chosen, at_end = F.col("_slot") < F.col("_last"), F.col("_slot") == F.col("_last")
-    order = Window.partitionBy("source", "_slot").orderBy(F.col("_key").desc(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    through = F.col("_before") + F.sum("size").over(order)
-    ended = marked.filter(at_end).withColumn("_extra", (through - F.col("size") / 2.0 <= F.col("budget")).cast("long"))
-    others = marked.filter(~at_end).withColumn("_extra", chosen.cast("long"))
-    taken = others.unionByName(ended).withColumn("taken", ((F.col("epochs") + F.col("_extra")) * F.col("size")).cast("long"))
-    return taken.withColumn("times", (F.col("epochs") + F.col("_extra")).cast("int")).drop("_key", "_slot", "_source", "_last", "_before", "_extra", "epochs", "budget")
+    marked = rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("s")))
+    chosen, at_end = F.col("slot") < F.col("last_slot"), F.col("slot") == F.col("last_slot")
+    order = Window.partitionBy("source", "slot").orderBy(F.col("key").desc(), "row.doc_id", "size", F.xxhash64("row.text")).rowsBetween(Window.unboundedPreceding, 0)
+    through = F.col("before") + F.sum("size").over(order)
+    ended = marked.filter(at_end).withColumn("extra", (through - F.col("size") / 2.0 <= F.col("budget")).cast("long"))
+    others = marked.filter(~at_end).withColumn("extra", chosen.cast("long"))
+    times = F.col("epochs") + F.col("extra")
+    return others.unionByName(ended).select("row.*", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("int").alias("times"))

@@ -81,7 +81,7 @@ OP10 = f"""
 WITH votes AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 d AS (
   SELECT row_number() OVER () AS rid, documents.doc_id, source, CAST(coalesce(len({_WORDS.format(text="text")}), 0) AS BIGINT) AS size,
-         pow((CAST('0x' || substr(md5('mix:' || coalesce(CAST(documents.doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) + 0.5) / pow(16.0, 12),
+         pow((CAST('0x' || substr(md5('mix:' || coalesce(CAST(documents.doc_id AS VARCHAR), 'null' || md5(coalesce(text, '')))), 1, 12) AS BIGINT) + 0.5) / pow(16.0, 12),
              1.0 / CASE WHEN quality >= 1 THEN 2.0 WHEN quality = 0 THEN 0.5 ELSE 1.0 END) AS k
   FROM documents LEFT JOIN votes ON documents.doc_id = votes.doc_id),
 s AS (

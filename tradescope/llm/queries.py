@@ -73,18 +73,26 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), capacity=2048)
 
 
+def with_poor(labels: DataFrame) -> DataFrame:
+    """Labels with the category ``poor``, of which good quality is the contrary."""
+    return labels.select("doc_id", (F.col("quality") == 0).cast("int").alias("poor"), "toxic")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document by the chain of classifiers."""
-    found = toxicity.classify_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return found.select("doc_id", "p_insult", "p_contempt", "p_toxic", "toxic")
+    """Toxicity of every document by the chain of classifiers: poor first, then toxic."""
+    found = toxicity.classify_toxicity(read(spark, sf_dir, "documents"), with_poor(read(spark, sf_dir, "labels")), ("poor", "toxic"))
+    return found.select("doc_id", "p_poor", "p_toxic", "toxic")
 
 
 def with_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add quality_weight: 2 for good labels, 0.5 for bad ones, 1 where there is none."""
-    votes = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
+    """Add quality_weight as the last column: 2 for good labels, 0.5 for bad ones, 1 where there is none."""
+    votes = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
     small = votes.count() <= BROADCAST_LABELS
-    joined = docs.join(F.broadcast(votes) if small else votes, F.col("doc_id") == F.col("_id"), "left")
-    return joined.withColumn("quality_weight", F.when(F.col("_quality") >= 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)).drop("_id", "_quality")
+    docs = docs.drop("quality_weight")
+    rows = docs.select(F.struct("*").alias("row"))
+    joined = rows.join(F.broadcast(votes) if small else votes, F.col("row.doc_id") == F.col("id"), "left")
+    weight = F.when(F.col("quality") >= 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
+    return joined.select("row.*", weight.alias("weight")).toDF(*docs.columns, "quality_weight")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,23 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import slices
+from .common import release, slices, uniform
 from .ftrl import Ftrl, dense
 
 #: Labelled documents of each kind in the sample, folds, and documents a word must occur in.
 SAMPLE, FOLDS, LEAST = 4000, 3, 3
 #: Rows seen in training at least and epochs at least: small samples are gone through more often.
 SEEN, EPOCHS = 60_000, 8
-#: Words that the models may use: those that divide the labelled documents best.
+#: Words that the models may use: those that speak most for a category.
 WORDS = 4096
 #: Lengths of stems, so that an inflected or compounded word is known by how it begins.
 STEMS = (4, 5, 6, 7)
-#: Categories before the last, by words that name them (fixed values).
-SEEDS = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser", "dumb", "fool", "jerk"),
-    "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting", "filth", "garbage", "vermin"),
-}
+#: The last category of the chain, whose verdict counts.
 LAST = "toxic"
+#: Bytes of text that are judged together.
+SLICE_BYTES = 1_000_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -44,32 +42,34 @@ def word_set(text: str | None) -> set[str]:
     return words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in STEMS))
 
 
-def dividing_words(rows: list[np.ndarray], toxic: np.ndarray, names: list[str]) -> list[int]:
-    """The WORDS words that speak for the last category, by chi-square; what speaks against it is the bias."""
+def dividing_words(rows: list[np.ndarray], y: np.ndarray, names: list[str], most: int) -> list[int]:
+    """The ``most`` words that speak for a category, by chi-square; what speaks against it is the bias."""
     count = lambda some: np.bincount(np.concatenate(some), minlength=len(names)).astype(float) if some else np.zeros(len(names))
-    every, both = count(rows), count([r for r, y in zip(rows, toxic, strict=True) if y])
-    n, positive = len(rows), float(toxic.sum())
+    every, both = count(rows), count([r for r, v in zip(rows, y, strict=True) if v])
+    n, positive = len(rows), float(y.sum())
     spread = every * (n - every) * positive * (n - positive)
     score = np.where((every >= LEAST) & (spread > 0) & (both * n > every * positive), n * (both * n - every * positive) ** 2 / np.maximum(spread, 1.0), 0.0)
-    return sorted(np.flatnonzero(score).tolist(), key=lambda k: (-score[k], names[k]))[:WORDS]
+    return sorted(np.flatnonzero(score).tolist(), key=lambda k: (-score[k], names[k]))[:most]
 
 
 def fit(categories: list[str]):
     """A function for mapInArrow: labelled documents in (one task), the pickled chain out.
 
-    Words are kept as numbers, so that the sample takes a few bytes for each of its words.
+    Words are kept as numbers, so that the sample takes a few bytes for each of its words. Where a
+    category is not known of a document (null), its model does not learn from it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[str, int] = {}
         sample = []
         for batch in batches:
-            for doc_id, text, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", LAST)), strict=True):
+            for u, text, *ys in zip(*(batch.column(c).to_pylist() for c in ("_u", "text", *categories)), strict=True):
                 words = word_set(text)
-                sample.append((doc_id, len(words), bool(y), np.fromiter((codes.setdefault(w, len(codes)) for w in words), dtype=np.int32, count=len(words))))
+                sample.append((u, len(words), [np.nan if v is None else float(v) for v in ys], np.fromiter((codes.setdefault(w, len(codes)) for w in words), dtype=np.int32, count=len(words))))
         sample.sort(key=lambda r: r[:3])
-        rows, toxic, names = [r[3] for r in sample], np.array([r[2] for r in sample], dtype=bool), list(codes)
-        chosen = dividing_words(rows, toxic, names)
+        rows, truth, names = [r[3] for r in sample], np.array([r[2] for r in sample]), list(codes)
+        del sample, codes
+        chosen = sorted({w for k in range(len(categories)) for w in dividing_words(rows, truth[:, k] == 1, names, WORDS // len(categories))}, key=lambda w: names[w])
         width = len(chosen) + len(categories)
         place = np.full(len(names), -1, dtype=np.int64)
         place[chosen] = np.arange(len(chosen))
@@ -82,22 +82,27 @@ def fit(categories: list[str]):
             extra = np.arange(len(earlier)) + len(chosen)
             return [(np.append(base[i], extra).astype(np.int64), np.append(np.ones(len(base[i])), [p[i] for p in earlier]).astype(np.float32)) for i in indices]
 
-        for name in categories:
-            seeds = [codes[w] for w in SEEDS.get(name, ()) if w in codes]
-            y = (toxic if name == LAST else np.array([np.isin(r, seeds).any() for r in rows], dtype=bool)).astype(np.float32)[:, None]
-            new = lambda: Ftrl(width, 1, alpha=0.5, l1=0.004, l2=1e-3)
-            epochs = max(EPOCHS, min(100, SEEN // max(len(rows), 1)))
-            chain.append(new().fit(with_earlier(range(len(rows))), y, epochs=epochs).weights()[:, 0])
+        def learned(inside: np.ndarray, y: np.ndarray, epochs: int) -> Ftrl:
+            return Ftrl(width, 1, alpha=0.5, l1=0.004, l2=1e-3).fit(with_earlier(inside), y[inside].astype(np.float32)[:, None], epochs=epochs)
+
+        for k, name in enumerate(categories):
+            y = truth[:, k]
+            known = np.flatnonzero(~np.isnan(y))
+            epochs = max(EPOCHS, min(100, SEEN // max(len(known), 1)))
+            chain.append(learned(known, y, epochs).weights()[:, 0])
             out = np.zeros(len(rows))
-            for k in range(FOLDS) if name != categories[-1] else ():
-                inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-                if len(inside) and len(outside):
-                    model = new().fit(with_earlier(inside), y[inside], epochs=epochs)
-                    out[outside] = np.concatenate([model.predict(dense([r], width))[:, 0] for r in with_earlier(outside)])
+            if name != categories[-1]:
+                for f in range(FOLDS):
+                    inside, outside = known[fold[known] != f], np.flatnonzero(fold == f)
+                    if len(inside) and len(outside):
+                        model = learned(inside, y, epochs)
+                        out[outside] = np.concatenate([model.predict(dense([r], width))[:, 0] for r in with_earlier(outside)])
             earlier.append(out)
         words = {names[k]: np.array([c[i] for c in chain]) for i, k in enumerate(chosen) if any(c[i] != 0 for c in chain)}
         links = np.array([[c[len(chosen) + k] for k in range(len(categories))] for c in chain])
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps((words, links, np.array([c[-1] for c in chain])))], pa.binary())})
+        del rows, base, place, names
+        release()
 
     return run
 
@@ -115,50 +120,58 @@ def score(model, categories: list[str], keep: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, links, bias = model.value
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text", SLICE_BYTES):
             sums = np.zeros((batch.num_rows, len(categories)))
             for i, text in enumerate(batch.column("text").to_pylist()):
                 for w in words.keys() & word_set(text):
                     sums[i] += words[w]
             p = chain_probabilities(sums, links, bias)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(p[:, k]) for k in range(len(categories)))], names=[*keep, *(f"p_{c}" for c in categories)])
+        release()
 
     return run
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """At most about ``sample`` toxic and twice as many other labelled documents, by hash."""
-    votes = labels.filter(F.col("doc_id").isNotNull() & F.col(LAST).isNotNull()).groupBy("doc_id").agg((F.max(LAST) > 0).alias(LAST))
-    counts = {r[LAST]: r["n"] for r in votes.groupBy(LAST).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    share = F.when(F.col(LAST), min(1.0, sample / max(counts.get(True, 0), 1))).otherwise(min(1.0, 2 * sample / max(counts.get(False, 0), 1)))
-    u = F.xxhash64(F.col("doc_id"), F.lit(LAST)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    return docs.select("doc_id", "text").join(F.broadcast(votes.filter(u < share)), "doc_id")  # about 3 * sample ids
-
-
-def classify_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.4, keep_text: bool = False) -> DataFrame:
-    """Add p_insult, p_contempt, p_toxic and the verdict ``toxic`` to every document.
-
-    ``labels`` (doc_id, toxic) teach the last category; the earlier ones are taught by the words
-    in SEEDS. At most about three times ``sample`` labelled documents are learned from, chosen by
-    a hash; every document is judged on all its words.
-
-    Nulls: labels with nulls are left out; a null or empty text has no words and is judged by
-    the bias alone. Without labels of both kinds nothing can be learned, and no document is
-    toxic (probabilities 0). Repeated labels of a document count once, as toxic if one says so;
-    repeated documents get equal results. Columns named like the results are replaced; text is
-    dropped unless ``keep_text``.
+def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int) -> DataFrame:
+    """At most ``sample`` documents of the last category and twice as many others: _u, text and the categories."""
+    last = categories[-1]
+    votes = labels.filter(F.col("doc_id").isNotNull() & F.col(last).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(*[F.max((F.col(c) > 0).cast("int")).alias(f"_y{k}") for k, c in enumerate(categories)])
+    y = F.col(f"_y{len(categories) - 1}") > 0
+    counts = {r["y"]: r["n"] for r in votes.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    share = F.when(y, min(1.0, 2 * sample / max(counts.get(True, 0), 1))).otherwise(min(1.0, 4 * sample / max(counts.get(False, 0), 1)))
+    drawn = votes.filter(uniform("_id") <= share)  # about 6 * sample ids
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))
+    found = found.withColumn("_u", uniform("doc_id", "text")).dropDuplicates(["_u"])
+    picked = found.filter(y).orderBy("_u").limit(sample).unionByName(found.filter(~y).orderBy("_u").limit(2 * sample))
+    return picked.select("_u", "text", *[F.col(f"_y{k}").alias(c) for k, c in enumerate(categories)])
+
+
+def classify_toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = (LAST,), sample: int = SAMPLE, threshold: float = 0.4, keep_text: bool = False) -> DataFrame:
+    """Add p_<category> for each of ``categories`` and the verdict ``toxic`` to every document.
+
+    ``labels`` has doc_id and a column of 0 and 1 for each category; the chain takes them in the
+    given order and the last one decides. At most ``sample`` different documents that the last
+    category names and twice as many others are learned from, chosen by hashes of id and text;
+    models may use the WORDS words and stems, in LEAST documents at least, that speak most for a
+    category. Every document is judged on all its words.
+
+    Nulls: labels with a null id or a null last category are left out, another null category only
+    for that category; a null or empty text has no words and is judged by the bias alone. Without
+    labels of both kinds nothing can be learned, and no document is toxic (probabilities 0).
+    Repeated labels of a document count once, as 1 if one says so; repeated documents get equal
+    results and are learned from once. Empty tables give no rows. Columns named like the results
+    are replaced; text is dropped unless ``keep_text``.
     """
-    categories = [*SEEDS, LAST]
-    results = [f"p_{c}" for c in categories]
+    categories = list(categories)
+    last, results = categories[-1], [f"p_{c}" for c in categories]
     rows = docs.drop(*results, LAST)
     keep = [c for c in rows.columns if keep_text or c != "text"]
     model = None
-    chosen = labelled_sample(rows, labels, sample)
-    if labels.filter(F.col(LAST).isNotNull() & F.col("doc_id").isNotNull()).select((F.col(LAST) > 0).alias("y")).distinct().count() == 2:
-        found = chosen.repartition(1).mapInArrow(fit(categories), "model binary").first()
+    if labels.filter(F.col(last).isNotNull() & F.col("doc_id").isNotNull()).select((F.col(last) > 0).alias("y")).distinct().count() == 2:
+        found = labelled_sample(rows, labels, categories, sample).repartition(1).mapInArrow(fit(categories), "model binary").first()
         model = pickle.loads(found["model"]) if found else None
     if model is None:
         return rows.select(*keep, *[F.lit(0.0).alias(c) for c in results], F.lit(False).alias(LAST))
     schema = StructType([*rows.select(*keep).schema.fields, *(StructField(c, DoubleType()) for c in results)])
     scored = rows.mapInArrow(score(docs.sparkSession.sparkContext.broadcast(model), categories, keep), schema)
-    return scored.withColumn(LAST, F.col(f"p_{LAST}") >= threshold)
+    return scored.withColumn(LAST, F.col(f"p_{last}") >= threshold)
