@@ -309,8 +309,13 @@ def test_lm_scores_equal_exact_counts(spark, sizes):
                 word.update(w), context.update([None, *w[:-1]] if w else []), pair.update(zip([None, *w], w, strict=False))
         models.append((word, context, pair, sum(word.values())))
     size = len({x for w in words for x in w})
-    loss = lambda m, a, b: -math.log((m[2][a, b] + lm.PRIOR * (m[0][b] + lm.ADDED) / (m[3] + lm.ADDED * size)) / (m[1][a] + lm.PRIOR))
-    expected = [(i, len(w), *([sum(loss(m, a, b) for a, b in zip([None, *w], w, strict=False)) / len(w) for m in models] if w else [None] * 2)) for (i, _), w in zip(rows, words, strict=True)]
+
+    def mean_loss(m, w, inside):
+        mine = [Counter(w), Counter([None, *w[:-1]]), Counter(zip([None, *w], w, strict=False)), len(w)] if inside else [Counter(), Counter(), Counter(), 0]
+        loss = lambda a, b: -math.log((m[2][a, b] - mine[2][a, b] + lm.PRIOR * (m[0][b] - mine[0][b] + lm.ADDED) / (m[3] - mine[3] + lm.ADDED * size)) / (m[1][a] - mine[1][a] + lm.PRIOR))
+        return sum(loss(a, b) for a, b in zip([None, *w], w, strict=False)) / len(w)
+
+    expected = [(i, len(w), *([mean_loss(m, w, inside) for m, inside in zip(models, (i in target, True), strict=True)] if w else [None] * 2)) for (i, _), w in zip(rows, words, strict=True)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = lm.score_documents(df, spark.createDataFrame([(i,) for i in target], "doc_id long"), **sizes).collect()
     rounded = lambda found: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in found), key=repr)

@@ -1,8 +1,10 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models with one vocabulary, one smoothing and one order are counted over all
-documents: the background over every document, the target over those marked as such. A
-document's score is the mean over its tokens of target loss minus background loss.
+documents: the background over every document, the target over those marked as such. What a
+document itself added to a model is taken off the counts that it is scored with, so that no text
+speaks for itself. A document's score is the mean over its tokens of target loss minus background
+loss.
 
 Words, contexts and pairs are counted under their own 64-bit hashes, so the counts grow with the
 corpus and nothing is gathered but three sums. A task cuts its documents into chunks and adds up
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, slices
+from .common import hash_words, mix, release, slices
 
 #: Weight of the unigram model in a bigram's estimate, and added to each unigram count.
 PRIOR, ADDED = 50.0, 0.1
@@ -32,8 +34,10 @@ BROADCAST_IDS = 2_000_000
 CHUNK_BYTES, PART_ROWS = 16_000_000, 2_000_000
 #: Distinct words that a task holds before it passes them on.
 HELD_WORDS = 2_000_000
+#: Tokens that are scored together.
+SCORED = 400_000
 
-BLOCKS = "chunk long, part long, doc_ids array<bigint>, sizes binary, tokens binary, keys binary, counts binary"
+BLOCKS = "chunk long, part long, doc_ids array<bigint>, sizes binary, targets binary, tokens binary, keys binary, counts binary"
 SCORES = "doc_id long, n_tokens long, ce_target double, ce_background double, score double"
 
 
@@ -128,25 +132,27 @@ def chunk_blocks(parts: tuple[int, int], chunk_bytes: int):
                 hashes.append(hash_words([w for one in words for w in one]))
             sizes = np.concatenate(sizes)
             names, pairs, word_of, context_of, pair_of = ngrams(np.concatenate(hashes), sizes)
-            target = np.repeat(np.asarray(batch.column("target").to_numpy(zero_copy_only=False), dtype=bool), sizes)
+            flags = np.asarray(batch.column("target").to_numpy(zero_copy_only=False), dtype=bool)
+            target = np.repeat(flags, sizes)
             by_pair = np.stack([np.bincount(of, minlength=len(pairs)) for of in (pair_of, pair_of[target])])
             by_word = np.stack([np.bincount(of, weights=n, minlength=len(names)).astype(np.int64) for of in (word_of, context_of) for n in by_pair])
             number = np.empty(len(names), dtype=np.int64)
             number[by_count(by_word[0])] = np.arange(len(names))
-            yield batch_of([(chunk, -1 - chunk, batch.column("doc_id").to_pylist(), pack(sizes), pack(number[word_of[pair_of]]), None, pack(by_word[0]))])
+            yield batch_of([(chunk, -1 - chunk, batch.column("doc_id").to_pylist(), pack(sizes), pack(flags), pack(number[word_of[pair_of]]), None, pack(by_word[0]))])
             del target, hashes, words
             rows = []
             for start, bound, keys, counts in ((0, bounds[0], names, by_word), (parts[0], bounds[1], pairs, by_pair)):
                 cuts = [0, *np.searchsorted(keys, bound).tolist(), len(keys)]
-                rows += [(chunk, start + i, None, None, None, pack_keys(keys[a:b]), pack(counts[:, a:b].ravel())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+                rows += [(chunk, start + i, None, None, None, None, pack_keys(keys[a:b]), pack(counts[:, a:b].ravel())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
             if rows:
                 yield batch_of(rows)
+        release()
 
     return run
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"chunk": pa.int64(), "part": pa.int64(), "doc_ids": pa.list_(pa.int64())} | dict.fromkeys(("sizes", "tokens", "keys", "counts"), pa.binary())
+    kinds = {"chunk": pa.int64(), "part": pa.int64(), "doc_ids": pa.list_(pa.int64())} | dict.fromkeys(("sizes", "targets", "tokens", "keys", "counts"), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
@@ -164,34 +170,51 @@ def add_up(word_parts: int):
         for total, n in zip(sums, counts, strict=True):
             np.add.at(total, which, n)
         own = np.split(which, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.Table.from_batches([batch_of([(row["chunk"], row["part"], None, None, None, row["keys"] if row["part"] < word_parts else None, pack(sums[:, of].ravel())) for row, of in zip(rows, own, strict=True)])])
+        return pa.Table.from_batches([batch_of([(row["chunk"], row["part"], None, None, None, None, row["keys"] if row["part"] < word_parts else None, pack(sums[:, of].ravel())) for row, of in zip(rows, own, strict=True)])])
 
     return run
 
 
-def losses(pair: np.ndarray, word: np.ndarray, context: np.ndarray, total: int, words: int) -> np.ndarray:
+def losses(pair: np.ndarray, word: np.ndarray, context: np.ndarray, total: np.ndarray, words: int) -> np.ndarray:
     """Negative log probability of words given their contexts, from the counts of pairs, words and contexts."""
     unigram = (word + ADDED) / (total + ADDED * words)
     return -np.log((pair + PRIOR * unigram) / (context + PRIOR))
 
 
+def own_counts(owner: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each token, how often its document has the n-gram that ``of`` numbers."""
+    _, which, count = np.unique(owner * (of.max(initial=0) + 1) + of, return_inverse=True, return_counts=True)
+    return count[which]
+
+
 def score_chunks(word_parts: int, words: int, total: int, total_target: int):
     """A function for groups: a chunk and its n-grams' counts in, the scores of its documents out."""
 
     def run(blocks: pa.Table) -> pa.Table:
         own, *parts = blocks.sort_by("part").to_pylist()
-        sizes, own_rows = unpack(own["sizes"]).astype(np.int64), len(own["doc_ids"])
-        sums = [np.zeros(own_rows)] * 2
+        sizes, rows = unpack(own["sizes"]).astype(np.int64), len(own["doc_ids"])
+        flags = (unpack(own["targets"]).astype(np.int64), np.ones(rows, dtype=np.int64))
+        sums = np.zeros((2, rows))
         if parts:
             names = np.concatenate([unpack_keys(part["keys"]) for part in parts if part["part"] < word_parts])
-            by_word = np.concatenate([unpack(part["counts"]).reshape(4, -1) for part in parts if part["part"] < word_parts], axis=1)
-            by_pair = np.concatenate([unpack(part["counts"]).reshape(2, -1) for part in parts if part["part"] >= word_parts], axis=1)
+            by_word = np.concatenate([unpack(part["counts"]).reshape(4, -1) for part in parts if part["part"] < word_parts], axis=1).astype(np.int64)
+            by_pair = np.concatenate([unpack(part["counts"]).reshape(2, -1) for part in parts if part["part"] >= word_parts], axis=1).astype(np.int64)
             tokens = names[by_count(unpack(own["counts"]))[unpack(own["tokens"]).astype(np.int64)]]
             _, _, word_of, context_of, pair_of = ngrams(tokens, sizes)
-            owner, sums = np.repeat(np.arange(own_rows), sizes), []
-            for i, n in ((1, total_target), (0, total)):
-                loss = losses(by_pair[i], by_word[i][word_of], by_word[2 + i][context_of], n, words)
-                sums.append(np.bincount(owner, weights=loss[pair_of], minlength=own_rows) / np.maximum(sizes, 1))
+            del tokens, names
+            ends = np.cumsum(sizes)
+            first = 0
+            while first < rows:  # documents of about SCORED tokens at a time
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SCORED, side="right")))
+                pair = pair_of[ends[first] - sizes[first] : ends[last - 1]]
+                owner = np.repeat(np.arange(last - first), sizes[first:last])
+                word, context = word_of[pair], context_of[pair]
+                mine = [own_counts(owner, of) for of in (pair, word, context)]
+                for k, (i, n) in enumerate(((1, total_target), (0, total))):
+                    off = flags[k][first:last][owner]
+                    loss = losses(by_pair[i][pair] - off * mine[0], by_word[i][word] - off * mine[1], by_word[2 + i][context] - off * mine[2], n - off * sizes[first:last][owner], words)
+                    sums[k, first:last] = np.bincount(owner, weights=loss, minlength=last - first) / np.maximum(sizes[first:last], 1)
+                first = last
         empty = sizes == 0
         return pa.Table.from_arrays([pa.array(own["doc_ids"], pa.int64()), pa.array(sizes), *(pa.array(v, mask=empty) for v in (*sums, sums[0] - sums[1]))], names=["doc_id", "n_tokens", "ce_target", "ce_background", "score"])
 
@@ -203,7 +226,9 @@ def score_documents(docs: DataFrame, targets: DataFrame, chunk_bytes: int = CHUN
 
     ``targets`` has the doc_ids of the target sample. Tokens are blank-separated words with A-Z
     in small letters; entropies are in nats per token. A low score means close to the target. The
-    vocabulary of both models is the distinct words of all documents.
+    vocabulary of both models is the distinct words of all documents; both have one order and one
+    smoothing. Each document's own n-grams are taken off the background's counts, and off the
+    target's if it belongs there, before it is scored.
 
     Nulls and empty texts have no tokens and null scores; null doc_ids are in no target. Repeated
     rows count, and are scored, as often as they occur; repeated targets count once. With no

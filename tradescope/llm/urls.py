@@ -9,18 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled URLs to train from where a caller brings none: (url, 1 for block).
-LABELLED = tuple((u, 1) for u in (
-    "http://casino-win.example.org/play", "https://www.online-casino.example.com/bonus", "http://free-bets.example.com/en/1", "https://bets-now.example.net/odds", "http://cheap-pills.example.com/buy",
-    "https://pills-online.example.org/order", "http://adult-x.example.com/video", "https://x-adult.example.net/live", "http://ads-track.example.com/click", "https://track-ads.example.net/pixel",
-    "http://spam-farm.example.org/en/2", "https://link-spam.example.com/farm", "http://win-cash.example.net/free", "http://free-cash.example.org/win", "https://m.casino-vip.example.com/slots",
-    "http://blog.cheap-meds.example.net/pills", "https://www.bet-casino.example.net/en/7", "http://m.adult-cams.example.org/en/3", "https://ads-click.example.com/de/4", "http://spam-links.example.net/fr/9",
-)) + tuple((u, 0) for u in (
-    "http://news.example.com/en/12", "https://www.library.example.org/catalogue/7", "http://blog.garden.example.net/en/5", "https://school.example.org/de/timetable", "http://m.weather.example.com/today",
-    "https://recipes.example.net/fr/soup", "http://www.history.example.org/en/44.html", "https://science.example.com/en/paper?page=2", "http://museum.example.net/es/visit", "https://blog.travel.example.org/fr/33#top",
-    "http://theatre.example.com/en/9/", "https://www.music.example.net/de/101", "http://m.sport.example.org/en/8", "https://tionther.example.com/en/21", "http://thering.example.net/fr/210",
-    "https://blog.hander.example.org/en/76", "http://www.ouring.example.com/de/310.html", "https://stonered.example.net/en/18", "http://eathly.example.org/es/4", "https://m.whation.example.com/fr/61",
-))
+#: Site names of labelled URLs to train from where a caller brings none, to block and to allow.
+BLOCKED_SITES = """royalcasino casino777 mega-casinos grand-casino livecasino casinos-online vipcasino sportbets bets24 topbets bets-daily bigbets livebets pills4less discount-pills dietpills pillshop
+easy-pills pills-direct adultcams adults-only adulthub adult-chat myadult adult-videos adsserver bannerads clicktrack trackernet popads adtracks ads-click tracks-pixel spamlinks linkfarm seo-spam
+content-farms spammers farm-links spam-mail cashprizes winbig free-prizes wins-now win-cash poker-win viagra-shop cheap-meds cheapdrugs xxx-clips""".split()
+ALLOWED_SITES = """library garden weather recipes history science museum travel theatre music mountain harbour kitchen painting cathedral northern station orchard lanterns sisters weaving engines tinnery anthems
+redstone hearth intention healing ordinary whether erring bleat tidings thornbury thistle bathhouse thirteenth thermal thunder smithery thousand nationals mentions editions shoreline shedding handed
+handling landed wooden heaters theories southern otherwise enthusiast rather weather-at-sea onward hatters whistle estates tenants antlers entertain shelter""".split()
+#: How their hosts begin and end, and their paths, dealt alike to both kinds.
+STARTS, ENDS, PATHS = ("", "www.", "m.", "blog."), (".example.com", ".example.net", ".example.org"), ("/en/12", "/de/345", "/fr/6789/", "/es/21", "/en/4070/", "/fr/983", "/de/5116")
+LABELLED = tuple((f"http://{STARTS[i % 4]}{name}{ENDS[i % 3]}{PATHS[i % 7]}", blocked) for blocked, names in ((1, BLOCKED_SITES), (0, ALLOWED_SITES)) for i, name in enumerate(names))
 #: Buckets, lengths of n-grams, and the rounds, step and L2 penalty of training.
 DIMENSIONS, SIZES, ROUNDS, RATE, PENALTY = 4096, (3, 4), 300, 4.0, 1e-4
 
