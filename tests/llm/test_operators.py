@@ -60,6 +60,30 @@ def test_chat_folds_deltas_edits_and_regenerations(spark):
     assert got == [(1, 1, "user", "hello!"), (1, 2, "assistant", "Hi!"), (2, 1, "", "")]
 
 
+def fold_plainly(log):
+    out = {}
+    for conv in {r[0] for r in log}:
+        state = {}
+        for _, seq, message, kind, role, text in sorted((r for r in log if r[0] == conv), key=lambda r: (r[1], r[2], r[3] or "message", r[4] or "", r[5] or "")):
+            kind = kind or "message"
+            if kind in ("edit", "regenerate"):
+                state = {m: t for m, t in state.items() if m <= message}
+            if kind == "delta" and message in state:
+                state[message] = (state[message][0], state[message][1] + (text or ""))
+            else:
+                state[message] = (role or "", text or "")
+        out |= {(conv, m): t for m, t in state.items()}
+    return out
+
+
+def test_chat_folding_equals_a_plain_fold(spark):
+    r = random.Random(11)
+    log = [(r.randrange(4), r.randrange(40), r.randrange(6), r.choice(["message", "delta", "delta", "edit", "regenerate", None]), "assistant", f"t{i} ") for i in range(300)]
+    got = {(x["conv_id"], x["message_id"]): (x["role"], x["text"]) for x in chat.fold_messages(spark.createDataFrame(log, "conv_id long, seq long, message_id long, kind string, role string, text string")).collect()}
+    assert got == fold_plainly(log)
+    assert chat.format_conversations(spark.createDataFrame([], "conv_id long, seq long, message_id long, kind string, role string, text string, formatted string")).count() == 0
+
+
 # search
 
 
@@ -80,6 +104,44 @@ def test_search_is_exact_with_copies_and_ties(spark):
     assert sorted(map(tuple, got.collect())) == brute_top_k(vectors, [(i, v) for i, v in vectors if i % 50 == 0], 5)
 
 
+def test_search_prunes_clustered_vectors():
+    g = np.random.default_rng(0)
+    points = np.floor(g.normal(size=(40, 16))[g.integers(0, 40, 4000)] * 400 + g.normal(size=(4000, 16)) * 8).astype(np.int64)
+    asked = np.arange(0, 4000, 50)
+    found = search.TopK(points[asked], asked, points, np.arange(4000), 5, np.full(80, search.MISSING), False)
+    search.dual_search(search.CoverTree(points[asked].astype(float), leaf=search.LEAF_QUERIES), search.CoverTree(points.astype(float)), found)
+    assert found.compared < 0.2 * 80 * 4000
+    expected = brute_top_k(list(enumerate(points)), [(i, points[i]) for i in asked], 5)
+    assert sorted((int(asked[i]), n + 1, int(found.best[i, n]), int(found.score[i, n])) for i in range(80) for n in range(5)) == expected
+
+
+def nodes_below(tree):
+    return [tree, *(n for c in tree.children for n in nodes_below(c))]
+
+
+def test_cover_tree_keeps_its_invariants():
+    g = np.random.default_rng(2)
+    points = np.concatenate((g.normal(size=(20, 3))[g.integers(0, 20, 900)] * 100 + g.normal(size=(900, 3)), np.ones((200, 3))))
+    for node in nodes_below(search.CoverTree(points, leaf=4)):
+        apart = np.sqrt(((points[node.rows] - node.centre) ** 2).sum(axis=1))
+        assert apart.max() <= node.radius and sorted(np.concatenate([c.rows for c in node.children] or [node.rows])) == sorted(node.rows)
+        if node.children:
+            reach, centres = 2.0 ** (node.level - 1), np.array([c.centre for c in node.children])
+            assert any((c == node.centre).all() for c in centres) and all(c.radius <= reach * 1.001 for c in node.children)
+            gaps = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))
+            assert gaps[~np.eye(len(centres), dtype=bool)].min(initial=np.inf) > reach
+
+
+def test_search_is_exact_beyond_floats_and_refuses_overflow(spark):
+    big = [(0, [2**30 + 1, 1]), (1, [2**30, 3]), (2, [2**30, 2]), (3, [1, 2])]
+    df = spark.createDataFrame([*big, (3, [0, 0])], "vec_id long, v array<bigint>")
+    assert sorted(map(tuple, search.top_k(df, df, 2).collect())) == brute_top_k([*big[:3], (3, [0, 0])], [*big[:3], (3, [0, 0])], 2)
+    with pytest.raises(OverflowError):
+        search.top_k(spark.createDataFrame([(1, [2**62]), (2, [4])], "vec_id long, v array<bigint>"), df)
+    with pytest.raises(Exception, match="passes 64 bits"):
+        spark.createDataFrame([(1, [1e17, 1.0])], "vec_id long, e array<double>").select(search.scaled(F.col("e"))).collect()
+
+
 def test_search_edges(spark):
     assert search.top_k(spark.createDataFrame([], "vec_id long, v array<bigint>"), spark.createDataFrame([], "vec_id long, v array<bigint>")).count() == 0
     two = spark.createDataFrame([(0, [1, 2]), (1, [3, 4]), (None, [9, 9]), (2, None)], "vec_id long, v array<bigint>")

@@ -2,8 +2,9 @@
 
 An event log is partitioned by conversation and ordered by sequence number; streamed deltas,
 edits and regenerations are folded into final messages, which a template renders. Everything is
-SQL functions and windows. Messages are folded before conversations are gathered, so a long
-stream of deltas is spread by message; what is gathered last is the output row itself.
+SQL functions. Events are gathered by message, so a long stream of deltas is as large as the
+message it makes; only messages, folded already, are ordered by conversation, and what is
+gathered last is the output row itself.
 """
 
 from __future__ import annotations
@@ -40,18 +41,22 @@ def fold_messages(events: DataFrame) -> DataFrame:
     before it in later messages of the conversation, as those answered the old version.
 
     Nulls: a null text is empty, a null role is empty, a null kind is ``message``; a null conv_id
-    is a conversation of its own. Events with equal seq are taken in order of message_id, kind,
-    role and text; repeated rows count as often as they occur. Empty tables give no rows.
+    is a conversation of its own and a null message_id its first message. Events with equal seq
+    are taken in order of message_id, kind, role and text, nulls first; repeated rows count as
+    often as they occur. Empty tables give no rows; further columns are ignored.
     """
     kind = F.coalesce(F.col("kind"), F.lit("message"))
-    rows = events.select("conv_id", "seq", "message_id", kind.alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    latest_first = Window.partitionBy("conv_id").orderBy(F.col("seq").desc(), F.col("message_id").desc(), F.col("kind").desc(), F.col("role").desc(), F.col("text").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    own = Window.partitionBy("conv_id", "message_id").orderBy(F.col("seq").desc(), F.col("kind").desc(), F.col("role").desc(), F.col("text").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_cut", F.min(F.when(F.col("kind").isin("edit", "regenerate"), F.col("message_id"))).over(latest_first))
-    rows = rows.withColumn("_reset", F.max(F.col("kind") != "delta").over(own))
-    rows = rows.filter((F.col("_cut").isNull() | (F.col("_cut") >= F.col("message_id"))) & ~F.coalesce("_reset", F.lit(False)))
-    parts = F.sort_array(F.collect_list(F.struct("seq", "kind", "role", "text")))
-    return rows.groupBy("conv_id", "message_id").agg(parts.alias("parts")).select("conv_id", "message_id", F.col("parts")[0]["role"].alias("role"), F.array_join(F.col("parts.text"), "").alias("text"))
+    rows = events.select("conv_id", "message_id", F.struct("seq", "message_id", kind.alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("e"))
+    messages = rows.groupBy("conv_id", "message_id").agg(
+        F.sort_array(F.collect_list("e")).alias("parts"),
+        F.max(F.when(F.col("e.kind") != "delta", F.col("e"))).alias("start"),
+        F.max(F.when(F.col("e.kind").isin("edit", "regenerate"), F.col("e"))).alias("change"),
+    )
+    before = Window.partitionBy("conv_id").orderBy("message_id").rowsBetween(Window.unboundedPreceding, -1)
+    messages = messages.withColumn("cut", F.max("change").over(before))
+    alive = lambda e: (F.col("start").isNull() | (e >= F.col("start"))) & (F.col("cut").isNull() | (e > F.col("cut")))
+    messages = messages.select("conv_id", "message_id", F.filter("parts", alive).alias("parts")).filter(F.size("parts") > 0)
+    return messages.select("conv_id", "message_id", F.col("parts")[0]["role"].alias("role"), F.array_join(F.col("parts.text"), "").alias("text"))
 
 
 def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
@@ -107,6 +112,18 @@ def digest(conversations: DataFrame) -> DataFrame:
 
 
 def events_of_turns(conversations: DataFrame) -> DataFrame:
-    """A table of turns (conv_id, turn, role, text) as an event log: a message per row."""
+    """A table of turns (conv_id, turn, role, text) as the event log of how they came about.
+
+    Roles but ``assistant`` write a draft, the first half, and edit it; the assistant streams a
+    first answer, starts anew and streams the text in two halves. Folding gives the turns back.
+    Turns are ordered by turn, nulls last, then role and text; repeated rows stay apart.
+    """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
-    return conversations.select("conv_id", F.row_number().over(order).cast("long").alias("seq"), F.row_number().over(order).cast("long").alias("message_id"), F.lit("message").alias("kind"), "role", "text")
+    rows = conversations.select("conv_id", F.row_number().over(order).cast("long").alias("message_id"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    event = lambda n, kind, text: F.struct((F.col("message_id") * 8 + n).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    written = F.array(event(0, "message", first), event(1, "edit", F.col("text")))
+    streamed = F.array(event(0, "message", second), event(1, "delta", first), event(2, "regenerate", first), event(3, "delta", second))
+    events = rows.select("conv_id", "message_id", "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(written)).alias("e"))
+    return events.select("conv_id", "e.seq", "message_id", "e.kind", "role", "e.text")
