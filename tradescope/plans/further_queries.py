@@ -19,32 +19,6 @@ def r(c, digits=6):
     return F.round(c, digits)
 
 
-@query("snk01_dedup_append", "SELECT min(pk) AS pk, order_id, line_number FROM records WHERE order_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0) GROUP BY 2, 3")
-def snk01(t):
-    have = t("orders").filter("o_orderkey % 5 = 0").select("o_orderkey")
-    return joins.in_list(t("records"), "order_id", have, negate=True).groupBy("order_id", "line_number").agg(F.min("pk").alias("pk"))
-
-
-@query("snk02_search_documents", "SELECT pk, hs_code, date, concat_ws(' ', company_name, customs_office) AS full_text FROM records WHERE amount IS NOT NULL")
-def snk02(t):
-    return t("records").filter("amount IS NOT NULL").select("pk", "hs_code", "date", F.concat_ws(" ", "company_name", "customs_office").alias("full_text"))
-
-
-@query("snk06_alert_evidence", """SELECT pk, 'active' AS status, '{"company_id":' || company_id || ',"hs_code":"' || hs_code || '"}' AS evidence FROM records WHERE amount > 90000""")
-def snk06(t):
-    return t("records").filter("amount > 90000").select("pk", F.lit("active").alias("status"), F.to_json(F.struct("company_id", "hs_code")).alias("evidence"))
-
-
-@query("snk07_dead_letters", "SELECT o_orderkey AS record_id, 'vector' AS target_db, 'bad total' AS error_message, 0 AS retry_count FROM orders WHERE o_totalprice < 2000")
-def snk07(t):
-    return t("orders").filter("o_totalprice < 2000").select(F.col("o_orderkey").alias("record_id"), F.lit("vector").alias("target_db"), F.lit("bad total").alias("error_message"), F.lit(0).alias("retry_count"))
-
-
-@query("snk08_log_days", "SELECT CAST(substr(line, 1, 10) AS DATE) AS log_date, count(*) AS n FROM logs GROUP BY 1")
-def snk08(t):
-    return t("logs").groupBy(F.to_date(F.substring("line", 1, 10)).alias("log_date")).agg(rows().alias("n"))
-
-
 @query("str17_ratio_alerts", "WITH w AS (SELECT date_trunc('hour', ts) AS h, avg((event_type = 'error')::INT) AS ratio FROM events GROUP BY 1) SELECT epoch_ms(h) // 1000 AS start, round(ratio, 6) AS ratio FROM w WHERE ratio > 0.3")
 def str17(t):
     w = E.keyed_windows(t("events").withColumn("k", F.lit(1)), "k", "1 hour", F.avg((F.col("event_type") == "error").cast("int")).alias("ratio"))
@@ -61,54 +35,12 @@ def str24(t):
     return t("events").filter("(event_type = 'view' AND value > 375) OR (event_type = 'click' AND value > 400)").select("event_id", F.when(F.col("event_type") == "view", "disk").otherwise("memory").alias("metric"), F.lit("capacity").alias("prediction"))
 
 
-@query("str25_error_rate", "SELECT epoch_ms(time_bucket(INTERVAL 10 MINUTES, ts)) // 1000 AS start, count(*) AS hits, count(*) AS total FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 3")
-def str25(t):
-    return E.bursts(t("events").filter("event_type = 'error'"), F.lit(True), "10 minutes", least=3)
-
-
 #: Words of four feelings in an invented-prose corpus (fixed values).
 EMOTIONS = {"joy": ("best", "for", "with"), "anger": ("idiot", "stupid", "trash"), "fear": ("from", "was"), "trust": ("is", "that")}
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _EMO = ", ".join("len([x FOR x IN w IF x IN (" + ", ".join(f"'{v}'" for v in words) + f")]) AS {name}" for name, words in EMOTIONS.items())
 
 
-@query("txt08_emotion_lexicon", f"WITH x AS (SELECT doc_id, {_TOK} AS w FROM documents), e AS (SELECT doc_id, len(w) AS n, {_EMO} FROM x) SELECT doc_id, " + ", ".join(f"round(least(1.0, 10.0 * {k} / nullif(n, 0)), 6)::DOUBLE AS {k}" for k in EMOTIONS) + " FROM e")
-def txt08(t):
-    x = t("documents").select("doc_id", S.tokens(F.col("text")).alias("w"))
-    share = lambda words: F.size(F.filter("w", lambda v: v.isin(*words))) * 10.0 / F.nullif(F.size("w"), F.lit(0))
-    return x.select("doc_id", *[r(F.when(share(v).isNotNull(), F.least(F.lit(1.0), share(v)))).alias(k) for k, v in EMOTIONS.items()])
-
-
-@query("txt26_semantic_categories", f"SELECT doc_id, CASE WHEN list_has_any({_TOK}, ['idiot', 'stupid']) THEN 'abuse' WHEN list_has_any({_TOK}, ['the', 'and']) THEN 'english' ELSE 'other' END AS category FROM documents")
-def txt26(t):
-    has = lambda *v: F.arrays_overlap("w", F.array(*map(F.lit, v)))
-    return t("documents").select("doc_id", S.tokens(F.col("text")).alias("w")).select("doc_id", F.when(has("idiot", "stupid"), "abuse").when(has("the", "and"), "english").otherwise("other").alias("category"))
-
-
-@query("ret06_lexical_overlap", f"WITH q AS (SELECT list_distinct({_TOK}) AS q FROM benchmark WHERE item_id = 0), d AS (SELECT doc_id, list_distinct({_TOK}) AS w FROM documents) SELECT doc_id, round(len(list_intersect(w, q)) * 1.0 / nullif(len(w) + len(q) - len(list_intersect(w, q)), 0), 6)::DOUBLE AS overlap FROM d, q")
-def ret06(t):
-    q = t("benchmark").filter("item_id = 0").select(F.array_distinct(S.tokens(F.col("text"))).alias("q"))
-    d = t("documents").select("doc_id", F.array_distinct(S.tokens(F.col("text"))).alias("w"))
-    return d.join(F.broadcast(q)).select("doc_id", r(S.jaccard(F.col("w"), F.col("q"))).alias("overlap"))
-
-
-@query("ret12_tuning", "SELECT source, CASE WHEN avg(coalesce(quality, 0)) > 0.3 THEN 0.5 ELSE 0.7 END::DOUBLE AS threshold FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
-def ret12(t):
-    j = t("documents").select("doc_id", "source").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
-    return j.groupBy("source").agg(F.when(F.avg(F.coalesce("quality", F.lit(0))) > 0.3, 0.5).otherwise(0.7).alias("threshold"))
-
-
-@query("rsk21_risk_alerts", "SELECT company_id, count(*) AS n FROM records WHERE amount > 95000 GROUP BY 1 HAVING count(*) >= 2")
-def rsk21(t):
-    return t("records").filter("amount > 95000").groupBy("company_id").agg(rows().alias("n")).filter("n >= 2")
-
-
-@query("rsk23_risk_report", "WITH y AS (SELECT company_id, year(date) AS year, round(sum(amount), 4) AS s FROM records GROUP BY 1, 2) SELECT company_id, arg_max(s, year) AS latest, round(regr_slope(s, year), 2) > 0 AS rising FROM y GROUP BY 1")
-def rsk23(t):
-    y = t("records").groupBy("company_id", F.year("date").alias("year")).agg(F.round(F.sum("amount"), 4).alias("s"))
-    return y.groupBy("company_id").agg(F.max_by("s", "year").alias("latest"), (F.round(F.regr_slope("s", "year"), 2) > 0).alias("rising"))
-
-
 @query("rsk24_composite_score", "SELECT p_partkey, least(10, round(p_size * 0.1 * CASE WHEN p_retailprice > 1500 THEN 2.0 WHEN p_retailprice > 1200 THEN 1.5 ELSE 1.0 END, 6))::DOUBLE AS score FROM part")
 def rsk24(t):
     impact = F.when(F.col("p_retailprice") > 1500, 2.0).when(F.col("p_retailprice") > 1200, 1.5).otherwise(1.0)
@@ -118,21 +50,3 @@ def rsk24(t):
 @query("rec12_engagement", "SELECT user_id, category, round(0.1 * sum(rating), 6)::DOUBLE AS engagement, CASE WHEN count(*) > 10 THEN 'strong' ELSE 'weak' END AS interest FROM interactions GROUP BY 1, 2")
 def rec12(t):
     return t("interactions").groupBy("user_id", "category").agg(r(F.sum("rating") * 0.1).alias("engagement"), F.when(rows() > 10, "strong").otherwise("weak").alias("interest"))
-
-
-@query("grf11_network_risk", "WITH b AS (SELECT src AS node, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges), d AS (SELECT node, count(*) AS degree, count(*) FILTER (WHERE balance > 5000) AS rich FROM b JOIN companies ON company_id = other GROUP BY 1) SELECT node, round(0.4 * degree / (SELECT max(degree) FROM d) + 0.3 * rich / degree, 6)::DOUBLE AS risk FROM d")
-def grf11(t):
-    b = joins.undirected(t("edges")).join(t("companies").select(F.col("company_id").alias("other"), "balance"), "other")
-    d = b.groupBy("node").agg(rows().alias("degree"), F.count_if(F.col("balance") > 5000).alias("rich"))
-    return d.join(F.broadcast(d.agg(F.max("degree").alias("most")))).select("node", r(0.4 * F.col("degree") / F.col("most") + 0.3 * F.col("rich") / F.col("degree")).alias("risk"))
-
-
-@query("sec05_scanner_signatures", "SELECT page_id FROM pages WHERE regexp_matches(lower(url), 'bets|casino|pills|track')")
-def sec05(t):
-    return t("pages").filter(F.lower("url").rlike("bets|casino|pills|track")).select("page_id")
-
-
-@query("str10_user_history", "SELECT user_id, count(*) AS kept, round(avg(amount), 6) AS mean FROM (SELECT * FROM transactions QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, transaction_id DESC) <= 20) GROUP BY 1")
-def str10(t):
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("transaction_id")))
-    return t("transactions").withColumn("k", k).filter("k <= 20").groupBy("user_id").agg(rows().alias("kept"), r(F.avg("amount")).alias("mean"))

@@ -105,16 +105,6 @@ def src03(t):
     return t("records").filter("date >= DATE '2001-06-01'").select("pk", "hs_code", "date", F.round("amount", 4).alias("amount"))
 
 
-@query("src07_html_links", r"""SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS href FROM pages""")
-def src07(t):
-    return t("pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)))).alias("href"))
-
-
-@query("src08_page_titles", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages")
-def src08(t):
-    return t("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<p[ >]"), F.lit(0))).cast("long").alias("paragraphs"))
-
-
 @query("src13_outbox_poll", "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber < 3 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey LIMIT 100")
 def src13(t):
     return t("lineitem").filter("l_linestatus = 'F' AND l_linenumber < 3").orderBy("l_shipdate", "l_orderkey", "l_partkey", "l_suppkey").limit(100).select("l_orderkey", "l_partkey", "l_suppkey")
@@ -124,23 +114,3 @@ def src13(t):
 def src15(t):
     k = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
     return t("bars").withColumn("k", k).filter("k <= 100").select("symbol", F.unix_timestamp("ts").alias("at"), "open", "high", "low", "close", "volume")
-
-
-@query("snk04_graph_projection", "SELECT 'Company' AS type, edrpou AS id, max(company_name) AS name FROM records GROUP BY 2 UNION ALL SELECT 'Product', hs_code, NULL FROM records GROUP BY 2 UNION ALL SELECT 'Country', country_code, NULL FROM records GROUP BY 2")
-def snk04(t):
-    x = t("records")
-    firms = x.groupBy(F.col("edrpou").alias("id")).agg(F.max("company_name").alias("name")).withColumn("type", F.lit("Company"))
-    others = x.select(F.explode(F.array(F.struct(F.lit("Product").alias("type"), F.col("hs_code").alias("id")), F.struct(F.lit("Country").alias("type"), F.col("country_code").alias("id")))).alias("n")).select("n.*").distinct()
-    return firms.unionByName(others, allowMissingColumns=True).select("type", "id", "name")
-
-
-@query("snk05_counters", "SELECT 'hs:' || hs_code AS key, count(*)::DOUBLE AS value FROM records GROUP BY 1 UNION ALL SELECT 'country:' || country_code, count(*)::DOUBLE FROM records GROUP BY 1")
-def snk05(t):
-    keys = F.array(F.concat(F.lit("hs:"), "hs_code"), F.concat(F.lit("country:"), "country_code"))
-    return t("records").select(F.explode(keys).alias("key")).groupBy("key").agg(rows().cast("double").alias("value"))
-
-
-@query("snk10_upsert", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS order_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY 1")
-def snk10(t):
-    latest = F.max_by(F.struct(F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("status")), F.struct("o_orderdate", "o_orderkey"))
-    return t("orders").groupBy("o_custkey").agg(latest.alias("x")).select("o_custkey", "x.*")

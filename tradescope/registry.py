@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,18 @@ class Tables:
             return views.VIEWS[name](self)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def scratch(self) -> str:
+        """A new folder that all executors share."""
+        return f"{shared_dir(self.spark)}/tradescope-{uuid.uuid4().hex}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; of this machine only where that is unset and the master is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or os.path.join(tempfile.gettempdir(), "tradescope")
+
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}

@@ -1 +1 @@
-"""See the modules."""
+"""Readers of files, topics, pages and messages."""
