@@ -218,18 +218,6 @@ def txt22(t):
     return t("conversations").select("conv_id", "turn", F.when(low.rlike("the|for"), "question").when(low.rlike("und|der"), "request").otherwise("other").alias("intent"))
 
 
-@query("txt25_tfidf_similarity", f"WITH {_TFIDF}, v AS (SELECT doc_id, term, n * ln((SELECT count(*) FROM documents) * 1.0 / d) AS x FROM tf JOIN df USING (term) WHERE d > 1), l AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM v GROUP BY 1) SELECT b.doc_id, round(sum(a.x * b.x) / any_value(la.l) / any_value(lb.l), 6) AS similarity FROM v a JOIN v b ON a.term = b.term AND a.doc_id = 0 AND b.doc_id <> 0 JOIN l la ON la.doc_id = 0 JOIN l lb ON lb.doc_id = b.doc_id GROUP BY 1 HAVING sum(a.x * b.x) > 0")
-def txt25(t):
-    tf = token_index(t)
-    df = tf.groupBy("term").agg(rows().alias("d")).filter("d > 1")
-    v = tf.join(df, "term").join(F.broadcast(t("documents").agg(rows().alias("docs")))).select("doc_id", "term", (F.col("n") * F.log(F.col("docs") / F.col("d"))).alias("x"))
-    length = v.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
-    a = v.filter("doc_id = 0").select("term", F.col("x").alias("ax"))
-    dots = v.filter("doc_id <> 0").join(F.broadcast(a), "term").groupBy("doc_id").agg(F.sum(F.col("ax") * F.col("x")).alias("dot")).filter("dot > 0")
-    own = F.broadcast(length.filter("doc_id = 0").select(F.col("l").alias("al")))
-    return dots.join(length, "doc_id").join(own).select("doc_id", r(F.col("dot") / F.col("al") / F.col("l")).alias("similarity"))
-
-
 @query("txt29_capitalised_entities", "SELECT item_id, list_sort(list_distinct([x FOR x IN regexp_extract_all(text, '[A-Za-z]+') IF length(x) > 3 AND regexp_matches(x, '^[A-Z]')])) AS entities FROM benchmark")
 def txt29(t):
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
@@ -264,24 +252,9 @@ def bm25(t):
     return j.groupBy("item_id", "doc_id").agg(F.sum(s).alias("score"))
 
 
-@query("ret03_srt05_bm25_top_documents", f"{_BM25} SELECT item_id, doc_id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 5) DESC, doc_id) <= 10")
-def ret03(t):
-    s = bm25(t).withColumn("score", r(F.col("score"), 5))
-    return s.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).filter("k <= 10").drop("k")
-
-
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
 
 
-@query("ret04_vector_top_k", f"SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < 20) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5")
-def ret04(t):
-    e = t("embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = joins.similar_vectors(q, e, S.cosine(F.col("q"), F.col("embedding")), -1.0)
-    k = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return s.withColumn("k", k).filter("k <= 5").select("query_id", "vec_id", r(F.col("score")).alias("score"))
-
-
 _RANKED = "ranked AS (SELECT d.doc_id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY n_chars DESC, d.doc_id) AS rank, coalesce(quality, 0) AS rel FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
 
 
@@ -305,11 +278,6 @@ def ret10(t):
     return c.groupBy("source").agg(r(F.max(F.col("rel") / F.col("rank"))).alias("mrr"), r(F.avg(hit(1.0 / F.col("rank")))).alias("mean_rr_all"), r(F.avg(hit(F.col("hits") / F.col("rank")))).alias("ap_found"), r(gain("rank") / F.nullif(gain("ideal"), F.lit(0.0))).alias("ndcg"))
 
 
-@query("ret14_late_fusion", "SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 5) AS first, round(avg(CAST(embedding[2] AS DOUBLE)), 5) AS second FROM embeddings GROUP BY 1")
-def ret14(t):
-    return t("embeddings").groupBy("label").agg(*[r(F.avg(F.col("embedding")[i].cast("double")), 5).alias(n) for i, n in enumerate(("first", "second"))])
-
-
 # recommendation
 
 

@@ -103,14 +103,6 @@ def txt28(t):
     return t("documents").select(p.alias("p")).agg(r(F.avg("p")).alias("mean"), F.count_if(F.col("p") > 0.01).alias("positive"), F.count_if(F.col("p") < -0.01).alias("negative"))
 
 
-@query("ret05_hybrid_merge", "WITH a AS (SELECT s_suppkey AS pk, 1.0 AS score FROM supplier WHERE s_acctbal > 5000), b AS (SELECT s_suppkey, (s_acctbal + 1000) / 11000 * 1.2 FROM supplier WHERE s_nationkey < 10), c AS (SELECT s_suppkey, least(s_suppkey % 30 / 10.0, 1.0) * 0.8 FROM supplier WHERE s_suppkey % 4 = 0) SELECT pk, round(max(score), 6)::DOUBLE AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1 ORDER BY score DESC, pk LIMIT 100")
-def ret05(t):
-    s, k = t("supplier"), F.col("s_suppkey")
-    one = lambda cond, score, name: s.filter(cond).select(k.alias("pk"), score.cast("double").alias("score"), F.lit(name).alias("source"))
-    merged = joins.merge_ranked(one("s_acctbal > 5000", F.lit(1.0), "table"), one("s_nationkey < 10", (F.col("s_acctbal") + 1000) / 11000 * 1.2, "vector"), one("s_suppkey % 4 = 0", F.least(k % 30 / 10.0, F.lit(1.0)) * 0.8, "text"))
-    return merged.select("pk", r(F.col("score")).alias("score")).orderBy(F.desc("score"), "pk").limit(100)
-
-
 @query("grf09_influence", "WITH RECURSIVE p(\"end\", path, s) AS (SELECT dst, [src, dst], CAST(weight AS DOUBLE) / 100 FROM edges WHERE src = (SELECT min(src) FROM edges) UNION ALL SELECT e.dst, list_append(path, e.dst), s * e.weight / 100 FROM p JOIN edges e ON e.src = p.\"end\" WHERE NOT list_contains(path, e.dst) AND len(path) < 4) SELECT \"end\", round(max(s), 9) AS strength FROM p GROUP BY 1 ORDER BY strength DESC, \"end\" LIMIT 10")
 def grf09(t):
     first = t("edges").agg(F.min("src")).first()[0]

@@ -214,13 +214,6 @@ def jn15(t):
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
 
 
-@query("jn16_vector_threshold", f"SELECT q.vec_id AS query_id, v.vec_id, round({_COS}, 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < 20 AND {_COS} >= 0.3")
-def jn16(t):
-    e = t("embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return joins.similar_vectors(q, e, S.cosine(F.col("q"), F.col("embedding")), 0.3).select("query_id", "vec_id", F.round("score", 6).alias("score"))
-
-
 @query("jn17_preferred_category", "WITH liked AS (SELECT DISTINCT user_id, category FROM interactions WHERE rating >= 4) SELECT event_id, CASE WHEN l.user_id IS NOT NULL THEN 0.7 ELSE 0.5 END::DOUBLE AS score FROM interactions i LEFT JOIN liked l ON l.user_id = i.user_id AND l.category = i.category")
 def jn17(t):
     i = t("interactions")

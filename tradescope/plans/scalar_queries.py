@@ -126,14 +126,6 @@ def scl20(t):
     return t("events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("payload"))
 
 
-@query("scl21_token_jaccard", r"""WITH x AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark), y AS (SELECT * FROM x WHERE item_id < 5)
-SELECT x.item_id, y.item_id AS other, round(CAST(len(list_intersect(x.w, y.w)) AS DOUBLE) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), 9) AS similarity FROM x JOIN y ON x.item_id > y.item_id""")
-def scl21(t):
-    x = t("benchmark").select("item_id", F.array_distinct(S.tokens(F.col("text"))).alias("w"))
-    y = x.filter("item_id < 5").select(F.col("item_id").alias("other"), F.col("w").alias("v"))
-    return x.join(F.broadcast(y), F.col("item_id") > F.col("other")).select("item_id", "other", F.round(S.jaccard(F.col("w"), F.col("v")), 9).alias("similarity"))
-
-
 @query("scl22_severity", "SELECT event_id, CASE WHEN value / 500 >= 0.95 THEN 'critical' WHEN value / 500 >= 0.9 THEN 'high' WHEN value / 500 >= 0.75 THEN 'medium' ELSE 'low' END AS severity FROM events")
 def scl22(t):
     return t("events").select("event_id", S.severity(F.col("value") / 500).alias("severity"))
