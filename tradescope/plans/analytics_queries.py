@@ -40,12 +40,6 @@ def rsk06(t):
     return A.with_figures(m, F.percentile("n", 0.95).alias("q")).filter("n > 1 AND n > q").select("user_id", F.unix_timestamp("h").alias("at"), "n")
 
 
-@query("rsk07_alert_assembly", "SELECT pk, rule, confidence, CASE WHEN confidence >= 0.95 THEN 'critical' WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.75 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT pk, 'bulk' AS rule, 0.6 AS confidence FROM records WHERE qty = 50 UNION ALL SELECT pk, 'large', 0.95 FROM records WHERE amount > 90000 UNION ALL SELECT pk, 'cheap', 0.8 FROM records WHERE amount / qty < 950)")
-def rsk07(t):
-    a = rules.alerts(t("records"), ["pk"], [("bulk", F.col("qty") == 50, 0.6), ("large", F.col("amount") > 90000, 0.95), ("cheap", F.col("amount") / F.col("qty") < 950, 0.8)])
-    return a.withColumn("severity", S.severity(F.col("confidence")))
-
-
 @query("rsk08_company_risk", "WITH a AS (SELECT company_id, count(*) AS alerts FROM records WHERE amount > 90000 GROUP BY 1), d AS (SELECT company_id, count(*) AS n FROM records GROUP BY 1) SELECT company_id, least(100, 10 * coalesce(alerts, 0) + n / 10.0)::DOUBLE AS score, CASE WHEN least(100, 10 * coalesce(alerts, 0) + n / 10.0) >= 70 THEN 'high' WHEN least(100, 10 * coalesce(alerts, 0) + n / 10.0) >= 40 THEN 'medium' ELSE 'low' END AS level FROM d LEFT JOIN a USING (company_id)")
 def rsk08(t):
     g = t("records").groupBy("company_id").agg(F.count_if(F.col("amount") > 90000).alias("a"), rows().alias("n"))
@@ -53,48 +47,6 @@ def rsk08(t):
     return g.select("company_id", s.alias("score"), A.tier(s, (70, "high"), (40, "medium"), otherwise="low").alias("level"))
 
 
-@query("rsk09_company_risk_period", "SELECT company_id, (CASE WHEN count(*) > 40 THEN 30 ELSE 0 END + CASE WHEN max(amount) > 90000 THEN 20 ELSE 0 END + CASE WHEN sum(amount) > 1500000 THEN 25 ELSE 0 END) AS score FROM records WHERE year(date) = 1999 GROUP BY 1")
-def rsk09(t):
-    g = t("records").filter("year(date) = 1999").groupBy("company_id")
-    return g.agg((F.when(rows() > 40, 30).otherwise(0) + F.when(F.max("amount") > 90000, 20).otherwise(0) + F.when(F.sum("amount") > 1500000, 25).otherwise(0)).alias("score"))
-
-
-@query("rsk10_alert_drill_down", "SELECT company_id, pk, k FROM (SELECT company_id, pk, row_number() OVER (PARTITION BY company_id ORDER BY amount DESC, pk) AS k FROM records WHERE amount > 80000) WHERE k <= 10")
-def rsk10(t):
-    w = Window.partitionBy("company_id").orderBy(F.desc("amount"), "pk")
-    return t("records").filter("amount > 80000").withColumn("k", F.row_number().over(w)).filter("k <= 10").select("company_id", "pk", "k")
-
-
-@query("rsk11_pattern_flags", "WITH m AS (SELECT hs_code, quantile_cont(amount / qty, 0.5) AS med FROM records GROUP BY 1), c AS (SELECT company_id, count(*) AS n FROM records GROUP BY 1) SELECT pk, concat_ws(',', CASE WHEN amount / qty < 0.8 * med THEN 'dumping' END, CASE WHEN customs_office = 'AFRICA' AND qty > 45 THEN 'office' END, CASE WHEN n < 2 THEN 'one shot' END) AS flags FROM records JOIN m USING (hs_code) JOIN c USING (company_id) WHERE amount / qty < 0.8 * med OR (customs_office = 'AFRICA' AND qty > 45) OR n < 2")
-def rsk11(t):
-    x = t("records")
-    m = x.groupBy("hs_code").agg(F.percentile(F.col("amount") / F.col("qty"), 0.5).alias("med"))
-    c = x.groupBy("company_id").agg(rows().alias("n"))
-    j = x.join(m, "hs_code").join(c, "company_id")
-    h = rules.hits([("dumping", F.col("amount") / F.col("qty") < 0.8 * F.col("med"), 0.9), ("office", (F.col("customs_office") == "AFRICA") & (F.col("qty") > 45), 0.8), ("one shot", F.col("n") < 2, 0.7)])
-    return j.withColumn("h", h).filter(F.size("h") > 0).select("pk", F.array_join(F.col("h.rule"), ",").alias("flags"))
-
-
-@query("rsk13_fraud_rules", "WITH p AS (SELECT *, avg(amount) OVER (PARTITION BY user_id) AS m FROM transactions) SELECT transaction_id, concat_ws(',', CASE WHEN amount > 30000 THEN 'large' END, CASE WHEN hour(ts) BETWEEN 2 AND 5 THEN 'night' END, CASE WHEN amount > 3 * m THEN 'unusual' END) AS rules FROM p WHERE amount > 30000 OR hour(ts) BETWEEN 2 AND 5 OR amount > 3 * m")
-def rsk13(t):
-    x = t("transactions").withColumn("m", F.avg("amount").over(Window.partitionBy("user_id")))
-    h = rules.hits([("large", F.col("amount") > 30000, 0.9), ("night", F.hour("ts").between(2, 5), 0.5), ("unusual", F.col("amount") > 3 * F.col("m"), 0.8)])
-    return x.withColumn("h", h).filter(F.size("h") > 0).select("transaction_id", F.array_join(F.col("h.rule"), ",").alias("rules"))
-
-
-@query("rsk14_behaviour_score", "WITH p AS (SELECT user_id, avg(amount) AS m, stddev_pop(amount) AS d, count(*) AS n FROM transactions GROUP BY 1) SELECT transaction_id, CASE WHEN n < 10 THEN 0.5 ELSE ((abs(amount - m) > 2 * d)::INT + (hour(ts) < 6)::INT) / 2.0 END::DOUBLE AS score FROM transactions JOIN p USING (user_id)")
-def rsk14(t):
-    w = Window.partitionBy("user_id")
-    m, d, n = F.avg("amount").over(w), F.stddev_pop("amount").over(w), rows().over(w)
-    return t("transactions").select("transaction_id", F.when(n < 10, 0.5).otherwise(((F.abs(F.col("amount") - m) > 2 * d).cast("int") + (F.hour("ts") < 6).cast("int")) / 2.0).alias("score"))
-
-
-@query("rsk16_fraud_ensemble", "SELECT event_id, round(0.6 * value / 500 + 0.4 * (event_type = 'error')::INT, 6)::DOUBLE AS score, 0.6 * value / 500 + 0.4 * (event_type = 'error')::INT > 0.8 AS alert FROM events")
-def rsk16(t):
-    s = rules.weighted([(F.col("value") / 500, 0.6), ((F.col("event_type") == "error").cast("double"), 0.4)])
-    return t("events").select("event_id", r(s).alias("score"), (s > 0.8).alias("alert"))
-
-
 @query("rsk19_rsk20_risk_levels", "WITH f AS (SELECT c_nationkey AS dimension, c_custkey AS entity_id, greatest(0, least(1, (c_acctbal + 1000) / 11000)) AS v FROM customer), s AS (SELECT dimension, avg(v) AS s FROM f GROUP BY 1) SELECT dimension, round(s, 6) AS score, CASE WHEN s < 0.3 THEN 'low' WHEN s < 0.48 THEN 'medium' WHEN s < 0.52 THEN 'high' ELSE 'critical' END AS level FROM s")
 def rsk19(t):
     g = t("customer").groupBy(F.col("c_nationkey").alias("dimension")).agg(F.avg(S.clamp((F.col("c_acctbal") + 1000) / 11000)).alias("s"))
