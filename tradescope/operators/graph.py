@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradescope.operators.joins import undirected
+from tradescope.registry import shared_dir
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; a local one only where there is none."""
+    """Use the folder that the cluster names in spark.checkpoint.dir; a local one only where there is none and the master is local."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tradescope-checkpoints"))
+        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -73,25 +71,25 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     return ranks
 
 
-def distances(edges: DataFrame, source: int, most: int = 10) -> DataFrame:
-    """node, distance, path from one node, breadth first; of equal paths the least is kept."""
+def distances(edges: DataFrame, source: int) -> DataFrame:
+    """node, distance, path from one node, breadth first to the end; of equal paths the least is kept."""
     shared_checkpoints(edges.sparkSession)
     both = undirected(edges).select("node", "other").checkpoint()
     found = both.filter(F.col("node") == source).select("node").distinct().select("node", F.lit(0).alias("distance"), F.array("node").alias("path")).checkpoint()
-    edge_of = found
-    for step in range(1, most + 1):
+    edge_of, step = found, 0
+    while True:
+        step += 1
         near = edge_of.join(both, "node").select(F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path")).groupBy("node").agg(F.min("path").alias("path"))
         edge_of = near.join(found.select("node"), "node", "left_anti").select("node", F.lit(step).alias("distance"), "path").checkpoint()
         if edge_of.limit(1).count() == 0:
-            break
+            return found
         found = found.union(edge_of).checkpoint()
-    return found
 
 
-def simple_paths(edges: DataFrame, source: int, most: int) -> DataFrame:
-    """end, path, strength of all simple directed paths of up to ``most`` edges; strength is the product of weights."""
+def simple_paths(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """end, path, strength of all simple directed paths of up to ``most`` edges from ``sources`` (one column); strength is the product of weights."""
     step = edges.select(F.col("src").alias("end"), F.col("dst").alias("next"), F.col("weight").cast("double").alias("w"))
-    paths = edges.filter(F.col("src") == source).select(F.col("dst").alias("end"), F.array("src", "dst").alias("path"), F.col("weight").cast("double").alias("strength"))
+    paths = edges.join(sources.select(F.col(sources.columns[0]).alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("end"), F.array("src", "dst").alias("path"), F.col("weight").cast("double").alias("strength"))
     found = paths
     for _ in range(most - 1):
         paths = paths.join(step, "end").filter(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("end"), F.concat("path", F.array("next")).alias("path"), (F.col("strength") * F.col("w")).alias("strength"))
@@ -100,7 +98,7 @@ def simple_paths(edges: DataFrame, source: int, most: int) -> DataFrame:
 
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """node, community by label propagation: the most frequent label around, ties to the least."""
+    """node, community by label propagation: the most frequent label around, ties to the least; ``rounds`` at most, as labels may swap for ever."""
     shared_checkpoints(edges.sparkSession)
     both = undirected(edges).checkpoint()
     labels = both.select("node").distinct().withColumn("community", F.col("node")).checkpoint()

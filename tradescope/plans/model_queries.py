@@ -103,13 +103,6 @@ def txt28(t):
     return t("documents").select(p.alias("p")).agg(r(F.avg("p")).alias("mean"), F.count_if(F.col("p") > 0.01).alias("positive"), F.count_if(F.col("p") < -0.01).alias("negative"))
 
 
-@query("grf09_influence", "WITH RECURSIVE p(\"end\", path, s) AS (SELECT dst, [src, dst], CAST(weight AS DOUBLE) / 100 FROM edges WHERE src = (SELECT min(src) FROM edges) UNION ALL SELECT e.dst, list_append(path, e.dst), s * e.weight / 100 FROM p JOIN edges e ON e.src = p.\"end\" WHERE NOT list_contains(path, e.dst) AND len(path) < 4) SELECT \"end\", round(max(s), 9) AS strength FROM p GROUP BY 1 ORDER BY strength DESC, \"end\" LIMIT 10")
-def grf09(t):
-    first = t("edges").agg(F.min("src")).first()[0]
-    e = t("edges").withColumn("weight", F.col("weight") / 100)
-    return graph.simple_paths(e, first if first is not None else -1, 3).groupBy("end").agg(F.round(F.max("strength"), 9).alias("strength")).orderBy(F.desc("strength"), "end").limit(10)
-
-
 @query("sec03_login_level", "WITH x AS (SELECT *, event_type IN ('error', 'click') AS hit FROM events), y AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM x), z AS (SELECT *, sum(hit::INT) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS run FROM y) SELECT event_id, CASE WHEN run >= 5 THEN 'high' WHEN run >= 3 THEN 'medium' ELSE 'low' END AS level FROM z WHERE hit")
 def sec03(t):
     hit = F.col("event_type").isin("error", "click")

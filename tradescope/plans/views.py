@@ -7,7 +7,7 @@ interactions  events as ratings of items by users
 bars          hourly open, high, low, close and volume per event type
 daily         amount and number of declarations per day
 logs          events as lines of text
-edges         pairs of companies that share orders, with the number of shared orders
+edges         pairs of companies that declare a product group on the same day more than 3 times, with that number
 """
 
 from __future__ import annotations
@@ -126,13 +126,17 @@ def logs(t) -> DataFrame:
     return t("events").select("event_id", F.concat(when, F.lit(" - "), level, F.lit(" - "), message, F.lit(" user_id="), F.col("user_id"), F.lit(" ip=10.0."), F.col("user_id") % 200, F.lit("."), F.col("event_id") % 250, F.lit(" took "), F.col("event_id") % 997, F.lit("ms")).alias("line"))
 
 
+#: Shared declarations that make two companies partners: more than so many (fixed value).
+PARTNERS_OVER = 3
+
+
 @view(
     "edges",
-    """SELECT src, dst, weight FROM (SELECT a.s AS src, b.s AS dst, count(*) AS weight FROM (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem) a
-    JOIN (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem) b ON a.o = b.o AND a.s < b.s GROUP BY a.s, b.s) QUALIFY weight > avg(weight) OVER () + 2.5 * stddev_pop(weight) OVER ()""",
+    f"""SELECT a.s AS src, b.s AS dst, count(*) AS weight FROM (SELECT DISTINCT p_size AS h, l_shipdate AS d, l_suppkey AS s FROM lineitem JOIN part ON p_partkey = l_partkey) a
+    JOIN (SELECT DISTINCT p_size AS h, l_shipdate AS d, l_suppkey AS s FROM lineitem JOIN part ON p_partkey = l_partkey) b ON a.h = b.h AND a.d = b.d AND a.s < b.s GROUP BY a.s, b.s HAVING count(*) > {PARTNERS_OVER}""",
 )
 def edges(t) -> DataFrame:
-    own = t("lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("src")).distinct()
-    pairs = own.join(own.select("o", F.col("src").alias("dst")), "o").filter(F.col("src") < F.col("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
-    level = pairs.agg((F.avg("weight") + 2.5 * F.stddev_pop("weight")).alias("level"))
-    return pairs.join(F.broadcast(level), F.col("weight") > F.col("level")).select("src", "dst", "weight")  # one row
+    lines = t("lineitem").select("l_partkey", "l_shipdate", "l_suppkey").join(t("part").select("p_partkey", "p_size"), F.col("p_partkey") == F.col("l_partkey"))
+    own = lines.select(F.col("p_size").alias("h"), F.col("l_shipdate").alias("d"), F.col("l_suppkey").alias("src")).distinct()
+    pairs = own.join(own.select("h", "d", F.col("src").alias("dst")), ["h", "d"]).filter(F.col("src") < F.col("dst"))
+    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") > PARTNERS_OVER)
