@@ -83,46 +83,11 @@ def txt01(t):
     return d.select("doc_id", "chars", n.cast("long").alias("words"), r(F.size(F.array_distinct("w")) / F.nullif(n, F.lit(0))).alias("diversity"))
 
 
-@query("txt02_linguistic_features", f"SELECT doc_id, len([x FOR x IN {_TOK} IF x LIKE '%ing']) AS ing, len([x FOR x IN {_TOK} IF x LIKE '%ed']) AS ed, len([x FOR x IN {_TOK} IF x IN ('the', 'of', 'and', 'to', 'in')]) AS stops FROM documents")
-def txt02(t):
-    d = t("documents").select("doc_id", S.tokens(F.col("text")).alias("w"))
-    n = lambda f: F.size(F.filter("w", f)).cast("long")
-    return d.select("doc_id", n(lambda x: x.endswith("ing")).alias("ing"), n(lambda x: x.endswith("ed")).alias("ed"), n(lambda x: x.isin("the", "of", "and", "to", "in")).alias("stops"))
-
-
-@query("txt03_readability", f"WITH x AS (SELECT doc_id, len({_TOK}) AS w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS y FROM documents WHERE lang = 'en') SELECT doc_id, round(206.835 - 1.015 * w / s - 84.6 * y / w, 6)::DOUBLE AS flesch FROM x WHERE w > 0")
-def txt03(t):
-    n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
-    x = t("documents").filter("lang = 'en'").select("doc_id", F.size(S.tokens(F.col("text"))).alias("w"), F.greatest(n("[.!?]+"), F.lit(1)).alias("s"), F.size(F.regexp_extract_all(F.lower("text"), F.lit("[aeiouy]+"), F.lit(0))).alias("y"))
-    return x.filter("w > 0").select("doc_id", r(206.835 - 1.015 * F.col("w") / F.col("s") - 84.6 * F.col("y") / F.col("w"), 6).alias("flesch"))
-
-
-@query("txt04_syllables", "SELECT item_id, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS syllables FROM benchmark")
-def txt04(t):
-    return t("benchmark").select("item_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit("[aeiouy]+"), F.lit(0))).cast("long").alias("syllables"))
-
-
 #: Weights of a small lexicon (fixed values).
 LEXICON = {"the": 0.1, "is": 0.2, "and": 0.1, "stupid": -0.9, "worthless": -0.8, "idiot": -1.0, "only": -0.2, "best": 0.9}
 _LEX = "(VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in LEXICON.items()) + ") l(term, weight)"
 
 
-@query("txt05_lexicon_sentiment", f"WITH w AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents) SELECT doc_id, round(avg(weight), 6) AS polarity, CASE WHEN round(avg(weight), 6) > 0.1 THEN 'positive' WHEN round(avg(weight), 6) < -0.1 THEN 'negative' ELSE 'neutral' END AS label, count(*) AS matched FROM w JOIN {_LEX} USING (term) GROUP BY 1")
-def txt05(t):
-    w = t("documents").select("doc_id", F.explode(F.filter(S.tokens(F.col("text")), lambda x: x.isin(*LEXICON))).alias("term"))
-    weight = F.create_map(*[F.lit(x) for k, v in LEXICON.items() for x in (k, v)])[F.col("term")]
-    g = w.groupBy("doc_id").agg(r(F.avg(weight)).alias("p"), rows().alias("matched"))
-    return g.select("doc_id", F.col("p").alias("polarity"), F.when(F.col("p") > 0.1, "positive").when(F.col("p") < -0.1, "negative").otherwise("neutral").alias("label"), "matched")
-
-
-@query("txt11_language_indicators", f"SELECT doc_id, CASE WHEN a >= b AND a >= c THEN 'en' WHEN b >= c THEN 'de' ELSE 'fr' END AS guess FROM (SELECT doc_id, len([x FOR x IN {_TOK} IF x IN ('the', 'and', 'of')]) AS a, len([x FOR x IN {_TOK} IF x IN ('der', 'die', 'und')]) AS b, len([x FOR x IN {_TOK} IF x IN ('le', 'la', 'les')]) AS c FROM documents)")
-def txt11(t):
-    d = t("documents").select("doc_id", S.tokens(F.col("text")).alias("w"))
-    n = lambda *x: F.size(F.filter("w", lambda w: w.isin(*x)))
-    a, b, c = n("the", "and", "of"), n("der", "die", "und"), n("le", "la", "les")
-    return d.select("doc_id", F.when((a >= b) & (a >= c), "en").when(b >= c, "de").otherwise("fr").alias("guess"))
-
-
 _TFIDF = f"w AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY 1, 2), df AS (SELECT term, count(*) AS d FROM tf GROUP BY 1)"
 
 
@@ -141,17 +106,6 @@ def txt12(t):
     return j.withColumn("k", k).filter("k <= 5").select("doc_id", "term", "score")
 
 
-@query("txt13_regex_entities", "SELECT page_id, unnest(list_distinct(regexp_extract_all(url, '[0-9]{2,10}'))) AS entity FROM pages")
-def txt13(t):
-    return t("pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("url", F.lit("[0-9]{2,10}"), F.lit(0)))).alias("entity"))
-
-
-@query("txt15_position_keywords", f"WITH w AS (SELECT item_id, unnest({_TOK}) AS term, unnest(range(0, len({_TOK}))) AS p FROM benchmark) SELECT item_id, term, round(max(1.0 / (p + 1)), 6)::DOUBLE AS score FROM w GROUP BY 1, 2")
-def txt15(t):
-    w = t("benchmark").select("item_id", F.posexplode(S.tokens(F.col("text"))).alias("p", "term"))
-    return w.groupBy("item_id", "term").agg(r(F.max(1.0 / (F.col("p") + 1))).alias("score"))
-
-
 @query("txt20_log_parse", "SELECT event_id, split_part(line, ' - ', 2) AS level, substr(line, 1, 19) AS at FROM logs")
 def txt20(t):
     line = r"^([0-9-]{10} [0-9:]{8}) - ([A-Z]+) - (.*)$"
@@ -164,18 +118,6 @@ def txt21(t):
     return t("logs").select("event_id", f("user_id=([0-9]+)").alias("user_id"), f("([A-Z][A-Za-z]+Error)").alias("error_type"), f("took ([0-9]+)ms").cast("long").alias("ms"), f("with ([0-9]{3})").cast("int").alias("status"))
 
 
-@query("txt22_intent", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'the|for') THEN 'question' WHEN regexp_matches(lower(text), 'und|der') THEN 'request' ELSE 'other' END AS intent FROM conversations")
-def txt22(t):
-    low = F.lower("text")
-    return t("conversations").select("conv_id", "turn", F.when(low.rlike("the|for"), "question").when(low.rlike("und|der"), "request").otherwise("other").alias("intent"))
-
-
-@query("txt29_capitalised_entities", "SELECT item_id, list_sort(list_distinct([x FOR x IN regexp_extract_all(text, '[A-Za-z]+') IF length(x) > 3 AND regexp_matches(x, '^[A-Z]')])) AS entities FROM benchmark")
-def txt29(t):
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    return t("benchmark").select("item_id", F.array_sort(F.array_distinct(F.filter(words, lambda x: (F.length(x) > 3) & x.rlike("^[A-Z]")))).alias("entities"))
-
-
 # retrieval
 
 

@@ -67,12 +67,6 @@ def fcs05(t):
 _SENT = r"[x FOR x IN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) IF trim(x) <> '']"
 
 
-@query("txt16_leading_sentences", f"SELECT item_id, len({_SENT}) AS sentences, trim({_SENT}[1]) AS first FROM benchmark")
-def txt16(t):
-    s = S.sentences(F.col("text"))
-    return t("benchmark").select("item_id", F.size(s).cast("long").alias("sentences"), F.try_element_at(s, F.lit(1)).alias("first"))
-
-
 @query("txt17_span_merge", "WITH s AS (SELECT user_id, epoch_ms(date_trunc('second', ts)) // 1000 AS a, epoch_ms(date_trunc('second', ts)) // 1000 + 3600 AS b, event_id FROM events), m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s), g AS (SELECT *, sum(CASE WHEN before >= a THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY a, event_id) AS g FROM m) SELECT user_id, min(a) AS start, max(b) AS stop, count(*) AS parts FROM g GROUP BY user_id, g")
 def txt17(t):
     a = F.unix_timestamp(F.col("ts").cast("timestamp"))
@@ -83,26 +77,6 @@ def txt17(t):
     return g.groupBy("user_id", "g").agg(F.min("a").alias("start"), F.max("b").alias("stop"), rows().alias("parts")).drop("g")
 
 
-@query("txt18_cohesion", rf"WITH s AS (SELECT item_id, unnest({_SENT}) AS s, unnest(range(0, len({_SENT}))) AS i FROM benchmark), w AS (SELECT item_id, i, list_distinct(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+')) AS w FROM s) SELECT a.item_id, round(avg(len(list_intersect(a.w, b.w)) * 1.0 / nullif(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)), 0)), 6)::DOUBLE AS cohesion FROM w a JOIN w b ON a.item_id = b.item_id AND b.i = a.i + 1 GROUP BY 1")
-def txt18(t):
-    words = F.transform(S.sentences(F.col("text")), lambda s: F.array_distinct(S.tokens(s)))
-    w = t("benchmark").select("item_id", words.alias("w")).filter("size(w) > 1")
-    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), S.jaccard)
-    return w.select("item_id", r(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / (F.size("w") - 1)).alias("cohesion"))
-
-
-@query("txt27_complexity", r"SELECT item_id, least(10, length(text) / 100.0 + len(regexp_extract_all(text, ',')) * 0.5)::DOUBLE AS complexity FROM benchmark")
-def txt27(t):
-    return t("benchmark").select("item_id", F.least(F.lit(10.0), F.length("text") / 100.0 + S.occurrences(F.col("text"), ",") * 0.5).alias("complexity"))
-
-
-@query("txt28_corpus_sentiment", r"WITH p AS (SELECT doc_id, (len(regexp_extract_all(lower(text), '(?:^|[^a-z])the(?:$|[^a-z])')) - len(regexp_extract_all(text, '!'))) * 1.0 / length(text) AS p FROM documents) SELECT round(avg(p), 6)::DOUBLE AS mean, count(*) FILTER (WHERE p > 0.01) AS positive, count(*) FILTER (WHERE p < -0.01) AS negative FROM p")
-def txt28(t):
-    the = F.size(F.regexp_extract_all(F.lower("text"), F.lit("(?:^|[^a-z])the(?:$|[^a-z])"), F.lit(0)))
-    p = (the - S.occurrences(F.col("text"), "!")) / F.length("text")
-    return t("documents").select(p.alias("p")).agg(r(F.avg("p")).alias("mean"), F.count_if(F.col("p") > 0.01).alias("positive"), F.count_if(F.col("p") < -0.01).alias("negative"))
-
-
 @query("sec03_login_level", "WITH x AS (SELECT *, event_type IN ('error', 'click') AS hit FROM events), y AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM x), z AS (SELECT *, sum(hit::INT) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS run FROM y) SELECT event_id, CASE WHEN run >= 5 THEN 'high' WHEN run >= 3 THEN 'medium' ELSE 'low' END AS level FROM z WHERE hit")
 def sec03(t):
     hit = F.col("event_type").isin("error", "click")
