@@ -184,21 +184,6 @@ def rec03(t):
     return j.select("a", "b", r(F.col("shared") / F.sqrt(F.col("na") * F.col("nb"))).alias("similarity"))
 
 
-@query("rec04_hybrid", "WITH p AS (SELECT item_id, avg(rating) / 5 AS cf FROM interactions WHERE item_id % 2 = 0 GROUP BY 1), c AS (SELECT item_id, avg(price) / 500 AS cb FROM interactions WHERE item_id % 3 = 0 GROUP BY 1) SELECT item_id, round(0.6 * coalesce(cf, 0) + 0.4 * coalesce(cb, 0), 6) AS score FROM p FULL JOIN c USING (item_id)")
-def rec04(t):
-    i = t("interactions")
-    p = i.filter("item_id % 2 = 0").groupBy("item_id").agg((F.avg("rating") / 5).alias("cf"))
-    c = i.filter("item_id % 3 = 0").groupBy("item_id").agg((F.avg("price") / 500).alias("cb"))
-    zero = F.lit(0.0)
-    return p.join(c, "item_id", "full_outer").select("item_id", r(0.6 * F.coalesce("cf", zero) + 0.4 * F.coalesce("cb", zero)).alias("score"))
-
-
-@query("rec05_context_factors", "SELECT event_id, round((CASE WHEN hour(ts) BETWEEN 6 AND 11 THEN 1.2 ELSE 1.0 END + CASE WHEN isodow(ts) > 5 THEN 1.1 ELSE 0.9 END) / 2, 6)::DOUBLE AS factor FROM events")
-def rec05(t):
-    ts = F.col("ts").cast("timestamp")
-    return t("events").select("event_id", r((F.when(F.hour(ts).between(6, 11), 1.2).otherwise(1.0) + F.when(F.weekday(ts) > 4, 1.1).otherwise(0.9)) / 2).alias("factor"))
-
-
 @query("rec06_popularity", "SELECT item_id, count(*) AS n FROM interactions WHERE rating >= 3 GROUP BY 1 ORDER BY n DESC, item_id LIMIT 20")
 def rec06(t):
     return t("interactions").filter("rating >= 3").groupBy("item_id").agg(rows().alias("n")).orderBy(F.desc("n"), "item_id").limit(20)
@@ -214,8 +199,3 @@ def rec10(t):
     age = F.datediff(F.to_date(F.lit("2024-01-31")), F.col("ts").cast("date"))
     s = t("interactions").withColumn("s", F.round(0.3 * F.col("rating") / 5 + 0.25 * F.col("price") / 500 + 0.2 * F.pow(F.lit(0.95), age), 9))
     return W.capped(s, ["user_id"], "category", [F.desc("s"), F.col("event_id")], 2, 8).select("user_id", "event_id")
-
-
-@query("rec13_feed_edition", "SELECT user_id, category, count(*) AS n, arg_max(event_id, (price, event_id)) AS top_story FROM interactions WHERE user_id < 30 GROUP BY 1, 2")
-def rec13(t):
-    return t("interactions").filter("user_id < 30").groupBy("user_id", "category").agg(rows().alias("n"), F.max_by("event_id", F.struct("price", "event_id")).alias("top_story"))

@@ -123,16 +123,6 @@ def jn02(t):
     return t("edges").filter("weight >= 3").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("shared"))
 
 
-@query("jn03_industry_cluster", "SELECT a.company_id AS a, b.company_id AS b, count(*) AS shared FROM (SELECT DISTINCT company_id, hs_code FROM records WHERE qty = 50) a JOIN (SELECT DISTINCT company_id, hs_code FROM records WHERE qty = 50) b ON a.hs_code = b.hs_code AND a.company_id < b.company_id GROUP BY 1, 2 HAVING count(*) >= 5")
-def jn03(t):
-    return joins.partner_pairs(t("records").filter("qty = 50"), "hs_code", "company_id", least=5)
-
-
-@query("jn04_shared_owner", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, count(*) AS shared FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey GROUP BY 1, 2")
-def jn04(t):
-    return joins.partner_pairs(t("supplier"), "s_nationkey", "s_suppkey")
-
-
 @query("jn05_left_anti", "SELECT pk FROM records WHERE order_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def jn05(t):
     return joins.in_list(t("records").select("pk", "order_id"), "order_id", t("orders").filter("o_orderstatus = 'F'").select("o_orderkey"), negate=True).select("pk")
@@ -164,14 +154,6 @@ def jn08(t):
     return t("records").select("pk", F.round(F.avg("amount").over(hs), 4).alias("hs_mean"), F.count(F.lit(1)).over(company).alias("company_n"))
 
 
-@query("jn09_unrated_items", "SELECT u.user_id, count(*) AS unrated FROM (SELECT DISTINCT user_id FROM interactions WHERE user_id <= 50) u CROSS JOIN (SELECT DISTINCT item_id FROM interactions) i WHERE NOT EXISTS (SELECT 1 FROM interactions x WHERE x.user_id = u.user_id AND x.item_id = i.item_id) GROUP BY 1")
-def jn09(t):
-    i = t("interactions").filter("user_id <= 50")
-    items = F.broadcast(t("interactions").agg(F.count_distinct("item_id").alias("items")))  # one row: all items less those rated
-    rated = i.groupBy("user_id").agg(F.count_distinct("item_id").alias("rated"))
-    return rated.join(items).select("user_id", (F.col("items") - F.col("rated")).alias("unrated")).filter("unrated > 0")
-
-
 @query("jn10_threat_lookup", "SELECT event_id, user_id % 200 AS net FROM events WHERE user_id % 200 IN (3, 17, 44)")
 def jn10(t):
     feed = t("nation").filter("n_nationkey IN (3, 17)").select(F.col("n_nationkey").cast("long").alias("net")).union(t("nation").filter("n_nationkey = 4").select((F.col("n_nationkey") * 11).cast("long")))

@@ -105,12 +105,6 @@ def scl17(t):
     return t("events").select("event_id", F.round(S.sigmoid((F.col("value") - 100) / 50), 9).alias("p"), S.clamp(F.col("value") / 100).alias("share"))
 
 
-@query("scl18_array_ops", "SELECT vec_id, len([x FOR x IN embedding[1:8] IF x > 0]) AS positive, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding[1:8]]) / 8, 9) AS mean FROM embeddings")
-def scl18(t):
-    part = F.slice("embedding", 1, 8)
-    return t("embeddings").select("vec_id", F.size(F.filter(part, lambda x: x > 0)).cast("long").alias("positive"), F.round(F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double")) / 8, 9).alias("mean"))
-
-
 @query("scl19_map_merge", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderpriority END AS priority, coalesce(CASE WHEN o_orderstatus = 'F' THEN 'yes' END, 'no') AS closed FROM orders")
 def scl19(t):
     done = F.col("o_orderstatus") == "F"
