@@ -91,13 +91,6 @@ def dq14(t):
     return t("part").agg(r((F.count_distinct("p_brand") + F.count_distinct("p_name") + F.count_distinct("p_size")) / (3.0 * rows())).alias("uniqueness"))
 
 
-@query("dq15_overall", "WITH d AS (SELECT 'completeness' AS dimension, avg(CASE WHEN l_tax > 0.07 THEN 0.0 ELSE 1.0 END)::DOUBLE AS score FROM lineitem UNION ALL SELECT 'validity', avg(CASE WHEN l_quantity > 40 THEN 0.0 ELSE 1.0 END)::DOUBLE FROM lineitem) SELECT dimension, round(score, 6) AS score, round(avg(score) OVER (), 6) AS overall, CASE WHEN score < 0.85 THEN 'improve ' || dimension ELSE 'keep' END AS recommendation FROM d")
-def dq15(t):
-    one = t("lineitem").agg(F.avg(F.when(F.col("l_tax") > 0.07, 0.0).otherwise(1.0)).alias("completeness"), F.avg(F.when(F.col("l_quantity") > 40, 0.0).otherwise(1.0)).alias("validity"))
-    d = one.select(F.explode(F.create_map(F.lit("completeness"), F.col("completeness"), F.lit("validity"), F.col("validity"))).alias("dimension", "score"), ((F.col("completeness") + F.col("validity")) / 2).alias("o"))
-    return d.select("dimension", r(F.col("score")).alias("score"), r(F.col("o")).alias("overall"), F.when(F.col("score") < 0.85, F.concat(F.lit("improve "), "dimension")).otherwise("keep").alias("recommendation"))
-
-
 def _profile(c):
     return f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values, round(min({c}), 4) AS low, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q3, round(max({c}), 4) AS high, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS deviation FROM lineitem"
 
@@ -164,29 +157,12 @@ def out01(t):
 _ODD = " OR ".join(f"abs({c} - (SELECT avg({c}) FROM lineitem)) > 3 * (SELECT stddev_samp({c}) FROM lineitem) OR {c} > (SELECT quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM lineitem) OR {c} < (SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM lineitem)" for c in ("l_extendedprice", "l_quantity"))
 
 
-@query("out02_z_or_iqr", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE {_ODD}")
-def out02(t):
-    return Q.outliers(t("lineitem"), ["l_extendedprice", "l_quantity"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-
-
 @query("out03_per_stream_z", "SELECT event_id FROM events QUALIFY abs(value - avg(value) OVER (PARTITION BY event_type)) > 3 * stddev_pop(value) OVER (PARTITION BY event_type)")
 def out03(t):
     w = Window.partitionBy("event_type")
     return t("events").filter(F.lit(True)).withColumn("odd", F.abs(F.col("value") - F.avg("value").over(w)) > 3 * F.stddev_pop("value").over(w)).filter("odd").select("event_id")
 
 
-@query("out09_weighted_ensemble", "SELECT event_id, round((0.25 * (value > 300)::INT + 0.20 * (value > 200)::INT + 0.55 * (event_type = 'error')::INT) / 1.0, 6)::DOUBLE AS score FROM events")
-def out09(t):
-    flag = lambda c: F.expr(c).cast("int")
-    return t("events").select("event_id", r(0.25 * flag("value > 300") + 0.20 * flag("value > 200") + 0.55 * flag("event_type = 'error'")).alias("score"))
-
-
-@query("out11_feature_builder", "SELECT pk, round(ln(1 + amount), 6) AS value_log, month(date) AS month, date_diff('day', registration_date, date) AS age_days, r.country_code IN ('NB', 'ND') AS high_risk FROM records r JOIN companies USING (company_id)")
-def out11(t):
-    j = t("records").join(t("companies").select("company_id", "registration_date"), "company_id")
-    return j.select("pk", r(F.log1p("amount")).alias("value_log"), F.month("date").alias("month"), F.datediff("date", "registration_date").cast("long").alias("age_days"), F.col("country_code").isin("NB", "ND").alias("high_risk"))
-
-
 @query("out12_standard_scaling", "SELECT event_id, round((value - (SELECT avg(value) FROM events)) / (SELECT stddev_samp(value) FROM events), 6) AS scaled FROM events")
 def out12(t):
     e = A.with_figures(t("events"), F.avg("value").alias("m"), F.stddev_samp("value").alias("d"))
@@ -254,11 +230,6 @@ def mon07(t):
 _SQLI = r"(union +select|or +1 *= *1|drop +table|--|<script|javascript:)"
 
 
-@query("sec01_injection_patterns", f"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '{_SQLI}')")
-def sec01(t):
-    return t("documents").filter(F.lower("text").rlike(_SQLI)).select("doc_id")
-
-
 @query("sec02_event_level", "SELECT event_id, CASE WHEN event_type = 'purchase' AND event_id % 5 = 4 THEN 'high' WHEN value > 300 THEN 'medium' ELSE 'low' END AS level FROM events")
 def sec02(t):
     return t("events").select("event_id", F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 5 == 4), "high").when(F.col("value") > 300, "medium").otherwise("low").alias("level"))

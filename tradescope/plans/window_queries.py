@@ -24,12 +24,12 @@ def months(t):
 
 
 _MONTHS = "months AS (SELECT company_id, CAST(date_trunc('month', date) AS DATE) AS month, round(sum(amount), 4) AS amount FROM records GROUP BY 1, 2)"
-_SERIES = "series AS (SELECT r_regionkey AS id, date, amount + r_regionkey AS amount FROM daily, region)"
+_SERIES = "series AS (SELECT ascii(substr(country_code, 2, 1)) - 65 AS id, date, round(sum(amount), 4) AS amount FROM records GROUP BY 1, 2)"
 
 
 def series(t):
-    """The daily series once for each region, moved by its key: several keys to partition by."""
-    return t("daily").join(F.broadcast(t("region"))).select(F.col("r_regionkey").alias("id"), "date", (F.col("amount") + F.col("r_regionkey")).alias("amount"))
+    """Amount of each country and day; countries are numbered from 0."""
+    return t("records").groupBy((F.ascii(F.substring("country_code", 2, 1)) - 65).alias("id"), "date").agg(F.round(F.sum("amount"), 4).alias("amount"))
 
 
 @query("win01_value_spikes", f"WITH {_MONTHS} SELECT company_id, month, round(amount / lag(amount) OVER w - 1, 6) AS change FROM months WINDOW w AS (PARTITION BY company_id ORDER BY month) QUALIFY amount / lag(amount) OVER w - 1 > 1")
@@ -214,13 +214,6 @@ def win27(t):
     return W.recent(t("events"), ["user_id"], ["ts", "event_id"], 50).groupBy("user_id").agg(r(F.avg("value")).alias("mean"), r(F.stddev_pop("value")).alias("deviation"), (F.max_by("value", at) > F.min_by("value", at)).alias("improving"))
 
 
-@query("fcs03_ensemble_forecast", f"WITH {_SERIES} SELECT id, date, round(0.6 * lag(amount, 1) OVER w + 0.4 * lag(amount, 7) OVER w, 4) AS forecast, least(lag(amount, 1) OVER w, lag(amount, 7) OVER w) AS low, greatest(lag(amount, 1) OVER w, lag(amount, 7) OVER w) AS high FROM series WINDOW w AS (PARTITION BY id ORDER BY date)")
-def fcs03(t):
-    w = W.ordered(["id"], ["date"])
-    a, b = F.lag("amount", 1).over(w), F.lag("amount", 7).over(w)
-    return series(t).select("id", "date", r(0.6 * a + 0.4 * b, 4).alias("forecast"), F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
-
-
 @query("fcs04_accuracy", f"WITH {_SERIES}, p AS (SELECT id, amount, lag(amount, 7) OVER (PARTITION BY id ORDER BY date) AS f FROM series) SELECT id, round(avg(abs(amount - f)), 4) AS mae, round(sqrt(avg((amount - f) * (amount - f))), 4) AS rmse, round(100 * avg(abs(amount - f) / amount), 6) AS mape, round(avg(f - amount), 4) AS bias, round(greatest(0, 100 - 100 * avg(abs(amount - f) / amount)), 6) AS accuracy FROM p WHERE f IS NOT NULL GROUP BY 1")
 def fcs04(t):
     p = series(t).withColumn("f", F.lag("amount", 7).over(W.ordered(["id"], ["date"]))).filter("f IS NOT NULL")
@@ -242,12 +235,6 @@ def fcs08(t):
     return g.select("symbol", (F.when(F.col("last") > F.col("m"), 5).otherwise(0) + F.when(F.col("d") < F.col("m"), 5).otherwise(0) + F.when(F.col("v") > 1500, 10).otherwise(5)).alias("points"))
 
 
-@query("fcs09_market_risk_flags", "WITH p AS (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars) SELECT symbol, CASE WHEN stddev_samp(ret) > 30 THEN 'high' WHEN stddev_samp(ret) > 2 THEN 'medium' ELSE 'low' END AS risk FROM p GROUP BY 1")
-def fcs09(t):
-    p = t("bars").withColumn("ret", W.change("close", W.ordered(["symbol"], ["ts"])))
-    return p.groupBy("symbol").agg(F.stddev_samp("ret").alias("s")).select("symbol", A.tier(F.col("s"), (30.000000001, "high"), (2.000000001, "medium"), otherwise="low").alias("risk"))
-
-
 @query("fcs10_opportunities", "WITH m AS (SELECT hs_code, avg(amount) FILTER (WHERE year(date) = 2000) AS a, avg(amount) FILTER (WHERE year(date) = 1999) AS b FROM records GROUP BY 1) SELECT hs_code, round(100 * (a / b - 1), 6) AS expected FROM m WHERE 100 * (a / b - 1) > 2")
 def fcs10(t):
     y = F.year("date")
