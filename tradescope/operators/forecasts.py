@@ -7,15 +7,15 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FEATURES = ["lag1", "lag2", "lag3", "mean3", "month"]
+FEATURES = ["f_lag1", "f_lag2", "f_lag3", "f_mean3", "f_month"]
 
 
 def lag_features(series: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """Add lags 1 to 3, the mean of the three before, and the month; rows without three before them go."""
     w = Window.partitionBy(key).orderBy(at)
-    lags = {f"lag{i}": F.lag(value, i).over(w) for i in (1, 2, 3)}
-    x = series.withColumns(lags).withColumns({"mean3": (F.col("lag1") + F.col("lag2") + F.col("lag3")) / 3, "month": F.month(at).cast("double")})
-    return x.filter(F.col("lag3").isNotNull())
+    lags = {f"f_lag{i}": F.lag(value, i).over(w) for i in (1, 2, 3)}
+    x = series.withColumns(lags).withColumns({"f_mean3": (F.col("f_lag1") + F.col("f_lag2") + F.col("f_lag3")) / 3, "f_month": F.month(at).cast("double")})
+    return x.filter(F.col("f_lag3").isNotNull())
 
 
 def split_by_time(rows: DataFrame, at: str, share: float = 0.8) -> DataFrame:

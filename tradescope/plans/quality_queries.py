@@ -108,11 +108,15 @@ def dq17(t):
     return top.join(F.broadcast(figures))
 
 
-@query("dq18_dataset_profile")
+_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@query("dq18_dataset_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS total, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values, round(count({c}) * 1.0 / count(*), 6)::DOUBLE AS completeness FROM orders" for c in _ORDER_COLUMNS))
 def dq18(t):
-    d = t("lineitem")
-    columns = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(k).alias("type")) for n, k in d.dtypes])
-    return d.agg(rows().alias("total")).select(F.explode(columns).alias("c"), "total").select("c.column", "c.type", "total")
+    one = t("orders").agg(rows().alias("total"), *[F.struct(F.count(c).alias("known"), F.count_distinct(c).alias("distinct_values")).alias(c) for c in _ORDER_COLUMNS])
+    parts = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)["known"].alias("known"), F.col(c)["distinct_values"].alias("distinct_values")) for c in _ORDER_COLUMNS])
+    x = one.select("total", F.explode(parts).alias("p"))
+    return x.select("p.column", "total", (F.col("total") - F.col("p.known")).alias("nulls"), "p.distinct_values", F.round(F.col("p.known") / F.col("total"), 6).alias("completeness"))
 
 
 @query("dq19_correlations", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(COLUMNS) for b in COLUMNS[i + 1 :]))
