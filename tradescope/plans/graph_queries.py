@@ -83,9 +83,10 @@ def grf22(t):
     return G.match_triples(triples, [("?firm", "is", "indebted"), ("?firm", "at", "?place"), ("?place", "in", "?area")]).select("place", "area").distinct()
 
 
-@query("grf23_isolated_nodes", f"WITH {_DEG} SELECT company_id FROM companies WHERE company_id NOT IN (SELECT node FROM deg)")
+@query("grf23_isolated_nodes", "WITH h AS (SELECT * FROM edges WHERE weight >= 7) SELECT company_id FROM companies WHERE company_id NOT IN (SELECT src FROM h UNION SELECT dst FROM h)")
 def grf23(t):
-    return joins.in_list(t("companies").select("company_id"), "company_id", joins.undirected(t("edges")).select("node"), negate=True)
+    """Companies without a heavy link."""
+    return joins.in_list(t("companies").select("company_id"), "company_id", joins.undirected(t("edges").filter("weight >= 7")).select("node"), negate=True)
 
 
 @query("grf25_transaction_graph", "SELECT user_id, merchant, arg_max(amount, (ts, transaction_id)) AS last_amount, count(*) AS n FROM transactions GROUP BY 1, 2")
