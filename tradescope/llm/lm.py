@@ -31,7 +31,7 @@ PRIOR, ADDED = 50.0, 0.1
 #: Ids of target documents up to this number are broadcast; beyond, Spark joins as it sees fit.
 BROADCAST_IDS = 2_000_000
 #: Bytes of text in a chunk, and entries in a part of the table of counts, at most.
-CHUNK_BYTES, PART_ROWS = 16_000_000, 2_000_000
+CHUNK_BYTES, PART_ROWS = 12_000_000, 1_500_000
 #: Distinct words that a task holds before it passes them on.
 HELD_WORDS = 2_000_000
 #: Tokens that are scored together.
@@ -183,7 +183,7 @@ def losses(pair: np.ndarray, word: np.ndarray, context: np.ndarray, total: np.nd
 
 def own_counts(owner: np.ndarray, of: np.ndarray) -> np.ndarray:
     """For each token, how often its document has the n-gram that ``of`` numbers."""
-    _, which, count = np.unique(owner * (of.max(initial=0) + 1) + of, return_inverse=True, return_counts=True)
+    _, which, count = np.unique(owner.astype(np.int64) * (int(of.max(initial=0)) + 1) + of, return_inverse=True, return_counts=True)
     return count[which]
 
 
@@ -197,10 +197,11 @@ def score_chunks(word_parts: int, words: int, total: int, total_target: int):
         sums = np.zeros((2, rows))
         if parts:
             names = np.concatenate([unpack_keys(part["keys"]) for part in parts if part["part"] < word_parts])
-            by_word = np.concatenate([unpack(part["counts"]).reshape(4, -1) for part in parts if part["part"] < word_parts], axis=1).astype(np.int64)
-            by_pair = np.concatenate([unpack(part["counts"]).reshape(2, -1) for part in parts if part["part"] >= word_parts], axis=1).astype(np.int64)
+            by_word = np.concatenate([unpack(part["counts"]).reshape(4, -1) for part in parts if part["part"] < word_parts], axis=1).view(np.int64)
+            by_pair = np.concatenate([unpack(part["counts"]).reshape(2, -1) for part in parts if part["part"] >= word_parts], axis=1).view(np.int64)
+            del parts
             tokens = names[by_count(unpack(own["counts"]))[unpack(own["tokens"]).astype(np.int64)]]
-            _, _, word_of, context_of, pair_of = ngrams(tokens, sizes)
+            word_of, context_of, pair_of = (a.astype(np.int32) for a in ngrams(tokens, sizes)[2:])
             del tokens, names
             ends = np.cumsum(sizes)
             first = 0
