@@ -16,6 +16,17 @@ def partner_pairs(links: DataFrame, key: str, entity: str, least: int = 1) -> Da
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
+def checked_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Broadcast a side of at most ``most`` rows; a larger one is joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def map_back(df: DataFrame, key: str, *figures: Column) -> DataFrame:
+    """Add figures of each row's group: aggregated first, so that a large group is summed where its rows lie. Null is a group."""
+    found = df.groupBy(F.col(key).alias("group_of_map_back")).agg(*figures)
+    return df.join(checked_broadcast(found), F.col(key).eqNullSafe(F.col("group_of_map_back"))).drop("group_of_map_back")
+
+
 def merge_ranked(*lists: DataFrame, key: str = "pk") -> DataFrame:
     """Merge ranked lists (key, score, source): the best score and the sorted sources of each key."""
     merged = lists[0]
@@ -52,8 +63,3 @@ def unlinked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 def in_list(df: DataFrame, column: str, keys: DataFrame, negate: bool = False) -> DataFrame:
     """Rows whose value is (or is not) among the keys."""
     return df.join(keys.select(F.col(keys.columns[0]).alias(column)), column, "left_anti" if negate else "left_semi")
-
-
-def similar_vectors(queries: DataFrame, vectors: DataFrame, cosine: Column, least: float) -> DataFrame:
-    """(query, vector) rows whose cosine is at least ``least``; queries are a bounded set."""
-    return vectors.join(F.broadcast(queries), F.col("query_id") != F.col("vec_id")).withColumn("score", cosine).filter(F.col("score") >= least)

@@ -11,16 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradescope.functions import scalars as S
+from tradescope.operators.joins import checked_broadcast
 
 #: Query terms, and rows and queries in a block of a vector search.
 BROADCAST_TERMS, BLOCK = 1_000_000, 4096
 
 
-def checked_broadcast(df: DataFrame, most: int) -> DataFrame:
-    """Broadcast a side of at most ``most`` rows; a larger one is joined as Spark sees fit."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def field_terms(docs: DataFrame, key: str, fields: Sequence[tuple[Column, int]]) -> DataFrame:
     """Postings (key, term, n): occurrences in each (text, boost) count ``boost`` times. Documents are moved once."""
     terms = F.concat(*[F.flatten(F.array_repeat(S.tokens(F.coalesce(text, F.lit(""))), boost)) for text, boost in fields])

@@ -78,7 +78,7 @@ def grf20(t):
 
 @query("grf22_triple_patterns", "SELECT DISTINCT n_name AS place, r_name AS area FROM nation JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal < 0")
 def grf22(t):
-    n, s = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")), t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    n, s = t("nation").join(joins.checked_broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")), t("supplier").join(joins.checked_broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     triples = n.select(F.col("n_name").alias("s"), F.lit("in").alias("p"), F.col("r_name").alias("o")).union(s.select("s_name", F.lit("at"), "n_name")).union(s.filter("s_acctbal < 0").select("s_name", F.lit("is"), F.lit("indebted")))
     return G.match_triples(triples, [("?firm", "is", "indebted"), ("?firm", "at", "?place"), ("?place", "in", "?area")]).select("place", "area").distinct()
 

@@ -9,6 +9,7 @@ from tradescope.functions import scalars as S
 from tradescope.operators import aggregates as A
 from tradescope.operators import quality as Q
 from tradescope.operators import windows as W
+from tradescope.operators import joins
 from tradescope.registry import query
 
 COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -163,8 +164,8 @@ _ODD = " OR ".join(f"abs({c} - (SELECT avg({c}) FROM lineitem)) > 3 * (SELECT st
 
 @query("out03_per_stream_z", "SELECT event_id FROM events QUALIFY abs(value - avg(value) OVER (PARTITION BY event_type)) > 3 * stddev_pop(value) OVER (PARTITION BY event_type)")
 def out03(t):
-    w = Window.partitionBy("event_type")
-    return t("events").filter(F.lit(True)).withColumn("odd", F.abs(F.col("value") - F.avg("value").over(w)) > 3 * F.stddev_pop("value").over(w)).filter("odd").select("event_id")
+    x = joins.map_back(t("events"), "event_type", F.avg("value").alias("m"), F.stddev_pop("value").alias("d"))
+    return x.filter(F.abs(F.col("value") - F.col("m")) > 3 * F.col("d")).select("event_id")
 
 
 @query("out12_standard_scaling", "SELECT event_id, round((value - (SELECT avg(value) FROM events)) / (SELECT stddev_samp(value) FROM events), 6) AS scaled FROM events")
@@ -194,7 +195,7 @@ def mon03(t):
     before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.groupBy("k").agg(F.sum("a").alias("ka"), F.sum("b").alias("kb")).withColumns({"sa": F.coalesce(F.sum("ka").over(before), F.lit(0)), "sb": F.coalesce(F.sum("kb").over(before), F.lit(0))})
     inner = Window.partitionBy("k").orderBy("value")
-    j = buckets.join(F.broadcast(starts), "k").select((F.col("sa") + F.sum("a").over(inner)).alias("ca"), (F.col("sb") + F.sum("b").over(inner)).alias("cb"))
+    j = buckets.join(joins.checked_broadcast(starts), "k").select((F.col("sa") + F.sum("a").over(inner)).alias("ca"), (F.col("sb") + F.sum("b").over(inner)).alias("cb"))
     return A.with_figures(j, F.max("ca").alias("na"), F.max("cb").alias("nb")).agg(r(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb")))).alias("d"))
 
 
@@ -222,7 +223,7 @@ def mon05(t):
 @query("mon06_label_encoding", "SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS label FROM customer")
 def mon06(t):
     codes = t("customer").select("c_mktsegment").distinct().withColumn("label", F.row_number().over(Window.orderBy("c_mktsegment")) - 1)
-    return t("customer").join(F.broadcast(codes), "c_mktsegment").select("c_custkey", "label")
+    return t("customer").join(joins.checked_broadcast(codes), "c_mktsegment").select("c_custkey", "label")
 
 
 @query("mon07_model_summary", f"WITH {_SCORES} SELECT model, round(arg_max(accuracy, day), 6) AS latest, string_agg(CAST(day AS VARCHAR), ',' ORDER BY day DESC) FILTER (WHERE k <= 5) AS last_days FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY day DESC) AS k FROM scores) GROUP BY 1")
@@ -254,7 +255,7 @@ def sec06(t):
 @query("sec07_access_matrix", "SELECT event_id, event_type IN ('view', 'click') OR user_id % 3 = 0 AS allowed FROM events")
 def sec07(t):
     granted = t("region").filter("r_regionkey < 2").select(F.element_at(F.array(F.lit("view"), F.lit("click")), F.col("r_regionkey") + 1).alias("event_type"), F.lit(True).alias("open"))
-    return t("events").join(F.broadcast(granted), "event_type", "left").select("event_id", (F.coalesce("open", F.lit(False)) | (F.col("user_id") % 3 == 0)).alias("allowed"))
+    return t("events").join(joins.checked_broadcast(granted), "event_type", "left").select("event_id", (F.coalesce("open", F.lit(False)) | (F.col("user_id") % 3 == 0)).alias("allowed"))
 
 
 @query("sec09_recommendations", "SELECT event_type, CASE WHEN count(*) > 2500 THEN 'limit rates' ELSE 'watch' END AS advice FROM events GROUP BY 1")

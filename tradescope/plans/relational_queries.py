@@ -150,8 +150,8 @@ def jn07(t):
 
 @query("jn08_group_stats_map_back", "SELECT pk, round(avg(amount) OVER (PARTITION BY hs_code), 4) AS hs_mean, count(*) OVER (PARTITION BY company_id) AS company_n FROM records")
 def jn08(t):
-    hs, company = Window.partitionBy("hs_code"), Window.partitionBy("company_id")
-    return t("records").select("pk", F.round(F.avg("amount").over(hs), 4).alias("hs_mean"), F.count(F.lit(1)).over(company).alias("company_n"))
+    x = joins.map_back(t("records"), "hs_code", F.round(F.avg("amount"), 4).alias("hs_mean"))
+    return joins.map_back(x, "company_id", F.count(F.lit(1)).alias("company_n")).select("pk", "hs_mean", "company_n")
 
 
 @query("jn10_threat_lookup", "SELECT event_id, user_id % 200 AS net FROM events WHERE user_id % 200 IN (3, 17, 44)")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradescope.operators import aggregates as A
+from tradescope.operators import joins
 from tradescope.operators import windows as W
 from tradescope.registry import query
 
@@ -119,8 +120,7 @@ def win12(t):
 @query("win13_first_difference_outliers", "WITH d AS (SELECT symbol, ts, abs(close - lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS d FROM bars), s AS (SELECT symbol, avg(d) + 2 * stddev_pop(d) AS cut FROM d GROUP BY 1) SELECT symbol, epoch_ms(ts) // 1000 AS at, round(d, 6) AS jump FROM d JOIN s USING (symbol) WHERE d > cut")
 def win13(t):
     d = t("bars").withColumn("d", F.abs(F.col("close") - F.lag("close").over(W.ordered(["symbol"], ["ts"]))))
-    every = Window.partitionBy("symbol")
-    d = d.withColumn("cut", F.avg("d").over(every) + 2 * F.stddev_pop("d").over(every))
+    d = joins.map_back(d, "symbol", (F.avg("d") + 2 * F.stddev_pop("d")).alias("cut"))
     return d.filter("d > cut").select("symbol", F.unix_timestamp("ts").alias("at"), r(F.col("d")).alias("jump"))
 
 
@@ -150,8 +150,8 @@ def win17(t):
 
 @query("win18_ratio_to_group", "SELECT pk, round(amount / avg(amount) OVER (PARTITION BY hs_code), 6) AS ratio, round((amount - avg(amount) OVER (PARTITION BY hs_code)) / stddev_samp(amount) OVER (PARTITION BY hs_code), 6) AS z FROM records")
 def win18(t):
-    w = Window.partitionBy("hs_code")
-    return t("records").select("pk", r(F.col("amount") / F.avg("amount").over(w)).alias("ratio"), r((F.col("amount") - F.avg("amount").over(w)) / F.stddev_samp("amount").over(w)).alias("z"))
+    x = joins.map_back(t("records"), "hs_code", F.avg("amount").alias("m"), F.stddev_samp("amount").alias("d"))
+    return x.select("pk", r(F.col("amount") / F.col("m")).alias("ratio"), r((F.col("amount") - F.col("m")) / F.col("d")).alias("z"))
 
 
 @query("win19_comparable_rows", "SELECT pk, round(sum(amount) OVER w, 4) AS total, count(*) OVER w AS n, CASE WHEN stddev_pop(amount) OVER w > 0 AND count(*) OVER w > 2 THEN abs(amount - avg(amount) OVER w) > 2 * stddev_pop(amount) OVER w END AS deviates FROM records WINDOW w AS (PARTITION BY hs_code, company_id ORDER BY date, pk ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
