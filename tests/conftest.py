@@ -11,7 +11,8 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled",
+            "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "3g").config("spark.sql.autoBroadcastJoinThreshold", "1m").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -51,7 +51,8 @@ def test_stream_windows_equal_the_table(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = stream_of(spark, events.coalesce(1), tmp_path / "in")
     make = lambda d: E.keyed_windows(d, "event_type", "1 hour", F.count(F.lit(1)).alias("n"))
-    q = make(stream).writeStream.outputMode("complete").format("memory").queryName("windows_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = make(stream).writeStream.outputMode("complete").format("memory").queryName("windows_out").option("checkpointLocation",
+        str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     key = lambda d: sorted(map(tuple, d.select("event_type", "start", "n").collect()))
     assert key(spark.table("windows_out")) == key(make(events))
@@ -61,7 +62,8 @@ def test_outbox_routes_each_event_once(spark, tmp_path):
     rows = spark.createDataFrame([(i, "customs" if i % 3 else "company") for i in range(30)], "id long, aggregate_type string")
     seen = {"customs": [], "company": []}
     keep = lambda name: lambda d: seen[name].extend(r["id"] for r in d.collect())
-    q = stream_of(spark, rows, tmp_path / "in").writeStream.foreachBatch(E.route({n: keep(n) for n in seen})).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = stream_of(spark, rows, tmp_path / "in").writeStream.foreachBatch(E.route({n: keep(n) for n in seen})).option("checkpointLocation",
+        str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(seen["customs"]) == [i for i in range(30) if i % 3] and sorted(seen["company"]) == [i for i in range(0, 30, 3)]
 

@@ -192,7 +192,8 @@ def test_rake_scores_phrases_by_degree(spark):
 def test_vector_search_in_blocks_equals_all_pairs(spark):
     g = np.random.default_rng(6)
     x = g.normal(size=(90, 5))
-    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(200, [0.0] * 5), (201, None)], "vec_id long, embedding array<double>")
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(200, [0.0] * 5), (201,
+        None)], "vec_id long, embedding array<double>")
     unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
     cos = unit @ unit.T
     got = {(r["query_id"], r["vec_id"]): r["score"] for r in retrieval.vector_search(df.filter("vec_id % 10 = 0"), df, k=4, block=16).collect()}
@@ -215,7 +216,8 @@ def test_ring_scores_of_a_stream_equal_the_table(spark, tmp_path):
     g = np.random.default_rng(2)
     df = spark.createDataFrame([(int(k), i, float(g.normal())) for i in range(150) for k in (1, 2)], "k long, seq long, v double").coalesce(1)
     table = {(r["k"], r["seq"]): r["score"] for r in detectors.ring_scores_table(df, "k", ("seq",), "v", ring=30).collect()}
-    got = {(r["k"], r["seq"]): r["score"] for r in collected(detectors.ring_scores(as_stream(spark, df, tmp_path / "in"), "k", "v", ring=30), tmp_path / "cp", "ring_out", spark)}
+    got = {(r["k"], r["seq"]): r["score"] for r in collected(detectors.ring_scores(as_stream(spark, df, tmp_path / "in"),
+        "k", "v", ring=30), tmp_path / "cp", "ring_out", spark)}
     assert got.keys() == table.keys() and all(abs(got[x] - table[x]) < 1e-9 for x in got)
 
 
@@ -224,5 +226,6 @@ def test_failed_logins_of_a_stream_equal_the_table(spark, tmp_path):
     df = spark.createDataFrame([(i % 3, i, next(outcomes)) for i in range(60)], "user long, seq long, outcome string").coalesce(1)
     found = detectors.failed_logins_table(df, "user", ("seq",), F.col("outcome") == "failed", F.col("outcome") == "success")
     table = {(r["user"], r["seq"]): (r["failures"], r["locked"]) for r in found.collect()}
-    got = {(r["user"], r["seq"]): (r["failures"], r["locked"]) for r in collected(detectors.failed_logins(as_stream(spark, df, tmp_path / "in"), "user"), tmp_path / "cp", "logins_out", spark)}
+    got = {(r["user"], r["seq"]): (r["failures"], r["locked"]) for r in collected(detectors.failed_logins(as_stream(spark,
+        df, tmp_path / "in"), "user"), tmp_path / "cp", "logins_out", spark)}
     assert got == table

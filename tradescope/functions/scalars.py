@@ -51,7 +51,8 @@ def short_hash(value: Column, size: int = 16) -> Column:
 
 def parse_date(text: Column) -> Column:
     """The first that fits of 2024-01-31, 31.01.2024 and 01/31/2024 anywhere in a text."""
-    found = [(r"([0-9]{4}-[0-9]{2}-[0-9]{2})", "yyyy-MM-dd"), (r"([0-9]{2}\.[0-9]{2}\.[0-9]{4})", "dd.MM.yyyy"), (r"([0-9]{2}/[0-9]{2}/[0-9]{4})", "MM/dd/yyyy")]
+    found = [(r"([0-9]{4}-[0-9]{2}-[0-9]{2})", "yyyy-MM-dd"), (r"([0-9]{2}\.[0-9]{2}\.[0-9]{4})", "dd.MM.yyyy"),
+        (r"([0-9]{2}/[0-9]{2}/[0-9]{4})", "MM/dd/yyyy")]
     return F.coalesce(*[F.try_to_timestamp(F.nullif(F.regexp_extract(text, p, 1), F.lit("")), F.lit(f)) for p, f in found]).cast("date")
 
 
@@ -86,7 +87,8 @@ def severity(confidence: Column) -> Column:
 
 
 #: What follows from a severity (fixed values): level of escalation, hours to respond, action.
-ESCALATION = {"critical": ("executive", 1, "block and investigate"), "high": ("management", 4, "review by an expert"), "medium": ("team", 24, "manual check"), "low": ("log", 168, "watch")}
+ESCALATION = {"critical": ("executive", 1, "block and investigate"), "high": ("management", 4, "review by an expert"),
+    "medium": ("team", 24, "manual check"), "low": ("log", 168, "watch")}
 
 
 def escalation(level: Column, field: int) -> Column:

@@ -38,7 +38,8 @@ def boosted_forecast(series: DataFrame, key: str, at: str, value: str) -> DataFr
     model = GBTRegressor(maxIter=10, maxDepth=3, seed=5).fit(early)
     error = model.transform(early).agg(F.stddev_pop(F.col("label") - F.col("prediction")).alias("e"))
     found = model.transform(ready.filter("late")).join(F.broadcast(error))
-    return found.select(key, at, value, F.col("prediction").alias("forecast"), (F.col("prediction") - 1.96 * F.col("e")).alias("low"), (F.col("prediction") + 1.96 * F.col("e")).alias("high"))
+    return found.select(key, at, value, F.col("prediction").alias("forecast"), (F.col("prediction") - 1.96 * F.col("e")).alias("low"),
+        (F.col("prediction") + 1.96 * F.col("e")).alias("high"))
 
 
 def price_ensemble(series: DataFrame, key: str, at: str, value: str) -> DataFrame:
@@ -55,7 +56,8 @@ def price_ensemble(series: DataFrame, key: str, at: str, value: str) -> DataFram
     if train.limit(1).count() == 0 or check.limit(1).count() == 0:
         return rows.limit(0).select(key, at, value, *[F.lit(0.0).alias(c) for c in ("forecast", "dispersion")])
     late = ready.filter("late")
-    models = {"linear": LinearRegression(regParam=0.1), "forest": RandomForestRegressor(numTrees=10, maxDepth=4, seed=5), "boosted": GBTRegressor(maxIter=10, maxDepth=3, seed=5)}
+    models = {"linear": LinearRegression(regParam=0.1), "forest": RandomForestRegressor(numTrees=10, maxDepth=4,
+        seed=5), "boosted": GBTRegressor(maxIter=10, maxDepth=3, seed=5)}
     fitted = {n: m.setPredictionCol(n).fit(train) for n, m in models.items()}
     for model in fitted.values():
         check, late = model.transform(check), model.transform(late)

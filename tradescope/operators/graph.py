@@ -18,15 +18,18 @@ def shared_checkpoints(spark: SparkSession) -> None:
 def degrees(edges: DataFrame) -> DataFrame:
     """node, degree, centrality: degree over the number of other nodes."""
     d = undirected(edges).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    return d.join(F.broadcast(d.agg(F.count(F.lit(1)).alias("n")))).select("node", "degree", (F.col("degree") / F.nullif(F.col("n") - 1, F.lit(0))).alias("centrality"))
+    return d.join(F.broadcast(d.agg(F.count(F.lit(1)).alias("n")))).select("node", "degree", (F.col("degree") / F.nullif(F.col("n") - 1,
+        F.lit(0))).alias("centrality"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
     """node, triangles. Each edge points to the end of higher degree, so that no hub is expanded."""
     d = degrees(edges).select("node", "degree")
     rank = lambda c: F.struct(F.col(f"d{c}"), F.col(c))
-    e = edges.select("src", "dst").join(d.select(F.col("node").alias("src"), F.col("degree").alias("dsrc")), "src").join(d.select(F.col("node").alias("dst"), F.col("degree").alias("ddst")), "dst")
-    up = e.select(F.when(rank("src") < rank("dst"), F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(rank("src") < rank("dst"), F.col("dst")).otherwise(F.col("src")).alias("b"))
+    e = edges.select("src", "dst").join(d.select(F.col("node").alias("src"), F.col("degree").alias("dsrc")),
+        "src").join(d.select(F.col("node").alias("dst"), F.col("degree").alias("ddst")), "dst")
+    up = e.select(F.when(rank("src") < rank("dst"), F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(rank("src") < rank("dst"),
+        F.col("dst")).otherwise(F.col("src")).alias("b"))
     wedge = up.join(up.select("a", F.col("b").alias("c")), "a").filter("b <> c")
     closed = wedge.join(up.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"])
     return closed.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
@@ -47,7 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         seen = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
         met = labels.join(seen, "node").select("node", "component", F.least("component", "c").alias("m"))
-        after = met.join(labels.select(F.col("node").alias("m"), F.col("component").alias("f")), "m").select("node", "component", F.least("m", "f").alias("next")).checkpoint()
+        after = met.join(labels.select(F.col("node").alias("m"), F.col("component").alias("f")), "m").select("node",
+            "component", F.least("m", "f").alias("next")).checkpoint()
         moved = after.filter("next <> component").limit(1).count()
         labels = after.select("node", F.col("next").alias("component"))
         if not moved:
@@ -65,7 +69,8 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     for i in range(rounds):
         given = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
         loose = ranks.join(out.select(F.col("src").alias("node")), "node", "left_anti").agg((F.coalesce(F.sum("rank"), F.lit(0.0)) / n).alias("loose"))
-        ranks = nodes.join(given, "node", "left").join(F.broadcast(loose)).select("node", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose"))).alias("rank"))
+        ranks = nodes.join(given, "node", "left").join(F.broadcast(loose)).select("node",
+            (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose"))).alias("rank"))
         if i % 5 == 4:
             ranks = ranks.checkpoint()
     return ranks
@@ -75,7 +80,8 @@ def distances(edges: DataFrame, source: int) -> DataFrame:
     """node, distance, path from one node, breadth first to the end; of equal paths the least is kept."""
     shared_checkpoints(edges.sparkSession)
     both = undirected(edges).select("node", "other").checkpoint()
-    found = both.filter(F.col("node") == source).select("node").distinct().select("node", F.lit(0).alias("distance"), F.array("node").alias("path")).checkpoint()
+    found = both.filter(F.col("node") == source).select("node").distinct().select("node", F.lit(0).alias("distance"),
+        F.array("node").alias("path")).checkpoint()
     edge_of, step = found, 0
     while True:
         step += 1
@@ -89,10 +95,12 @@ def distances(edges: DataFrame, source: int) -> DataFrame:
 def simple_paths(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     """end, path, strength of all simple directed paths of up to ``most`` edges from ``sources`` (one column); strength is the product of weights."""
     step = edges.select(F.col("src").alias("end"), F.col("dst").alias("next"), F.col("weight").cast("double").alias("w"))
-    paths = edges.join(sources.select(F.col(sources.columns[0]).alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("end"), F.array("src", "dst").alias("path"), F.col("weight").cast("double").alias("strength"))
+    paths = edges.join(sources.select(F.col(sources.columns[0]).alias("src")).distinct(), "src",
+        "left_semi").select(F.col("dst").alias("end"), F.array("src", "dst").alias("path"), F.col("weight").cast("double").alias("strength"))
     found = paths
     for _ in range(most - 1):
-        paths = paths.join(step, "end").filter(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("end"), F.concat("path", F.array("next")).alias("path"), (F.col("strength") * F.col("w")).alias("strength"))
+        paths = paths.join(step, "end").filter(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("end"),
+            F.concat("path", F.array("next")).alias("path"), (F.col("strength") * F.col("w")).alias("strength"))
         found = found.union(paths)
     return found
 
@@ -111,7 +119,8 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
         votes = both.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("weight").alias("v"))
         best = votes.groupBy("node").agg(F.max_by("community", F.struct("v", -F.col("community"))).alias("best"))
         turn = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0
-        after = labels.join(best, "node").select("node", F.when(turn, F.col("best")).otherwise(F.col("community")).alias("community"), (F.col("best") != F.col("community")).alias("unrest")).checkpoint()
+        after = labels.join(best, "node").select("node", F.when(turn, F.col("best")).otherwise(F.col("community")).alias("community"),
+            (F.col("best") != F.col("community")).alias("unrest")).checkpoint()
         labels = after.select("node", "community")
         if after.filter("unrest").limit(1).count() == 0:
             break
@@ -120,7 +129,8 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
 
 def closure_candidates(edges: DataFrame) -> DataFrame:
     """Directed pairs two steps apart that are no edge yet: src, dst."""
-    two = edges.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").filter("src <> dst").select("src", "dst").distinct()
+    two = edges.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"),
+        "mid").filter("src <> dst").select("src", "dst").distinct()
     return two.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
 
 

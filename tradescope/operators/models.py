@@ -53,7 +53,8 @@ def isolation_scores(df: DataFrame, row_id: str, columns: Sequence[str], seed: i
     rows = df.select(F.col(row_id), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
     share = min(1.0, TREES * TREE_ROWS * 1.3 / max(n, 1))
     dealt = rows.filter(F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    dealt = dealt.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))) if n < TREES * TREE_ROWS else F.pmod(F.xxhash64(row_id, F.lit(seed + 1)), F.lit(TREES)))
+    dealt = dealt.withColumn("tree", F.explode(F.sequence(F.lit(0),
+        F.lit(TREES - 1))) if n < TREES * TREE_ROWS else F.pmod(F.xxhash64(row_id, F.lit(seed + 1)), F.lit(TREES)))
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed + int(key[0]))
@@ -100,7 +101,8 @@ def reconstruction_scores(df: DataFrame, row_id: str, columns: Sequence[str], pa
 
 def distance_scores(df: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
     """row_id, score: squared Mahalanobis distance from the mean."""
-    figures = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.covar_samp(a, b).alias(f"c{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns)]).first()  # one row
+    figures = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.covar_samp(a, b).alias(f"c{i}_{j}") for i,
+        a in enumerate(columns) for j, b in enumerate(columns)]).first()  # one row
     mean = [figures[f"m{i}"] or 0.0 for i in range(len(columns))]
     inverse = np.linalg.pinv(np.array([[figures[f"c{i}_{j}"] or 0.0 for j in range(len(columns))] for i in range(len(columns))]))
     d = [F.col(c) - float(m) for c, m in zip(columns, mean, strict=True)]
@@ -111,13 +113,15 @@ def recommend(ratings: DataFrame, user: str, item: str, rating: str, k: int = 5)
     """The k items of the best predicted rating for each user (user, item, score), by ALS."""
     als = ALS(userCol=user, itemCol=item, ratingCol=rating, rank=8, maxIter=5, seed=3, coldStartStrategy="drop")
     means = ratings.groupBy(F.col(user).cast("int").alias(user), item).agg(F.avg(rating).cast("float").alias(rating))
-    return als.fit(means).recommendForAllUsers(k).select(user, F.explode("recommendations").alias("r")).select(user, F.col(f"r.{item}").alias(item), F.col("r.rating").cast("double").alias("score"))
+    return als.fit(means).recommendForAllUsers(k).select(user, F.explode("recommendations").alias("r")).select(user,
+        F.col(f"r.{item}").alias(item), F.col("r.rating").cast("double").alias("score"))
 
 
 def fraud_probabilities(df: DataFrame, row_id: str, columns: Sequence[str], label: str) -> DataFrame:
     """row_id, label, p of a random forest whose rows weigh as much as their class is rare."""
     share = df.agg(F.avg(F.col(label).cast("double")).alias("s")).first()["s"] or 0.5
-    x = VectorAssembler(inputCols=list(columns), outputCol="x", handleInvalid="skip").transform(df.withColumn("w", F.when(F.col(label) == 1, 1 - share).otherwise(share)))
+    x = VectorAssembler(inputCols=list(columns), outputCol="x", handleInvalid="skip").transform(df.withColumn("w",
+        F.when(F.col(label) == 1, 1 - share).otherwise(share)))
     model = RandomForestClassifier(featuresCol="x", labelCol=label, weightCol="w", numTrees=20, maxDepth=5, seed=5).fit(x)
     return model.transform(x).select(row_id, label, vector_to_array("probability")[1].alias("p"))
 
@@ -139,7 +143,8 @@ def seasonal_forecast(key: str, day: str, value: str, horizon: int = 14):
         spread = 1.96 * float(np.std(y - x @ weights))
         ahead = t[-1] + np.arange(1, horizon + 1)
         mean = design(ahead) @ weights
-        return pd.DataFrame({key: frame[key].iloc[0], "date": [(days.iloc[-1] + pd.Timedelta(days=i)).date() for i in range(1, horizon + 1)], "forecast": mean, "low": mean - spread, "high": mean + spread})
+        return pd.DataFrame({key: frame[key].iloc[0], "date": [(days.iloc[-1] + pd.Timedelta(days=i)).date() for i in range(1,
+            horizon + 1)], "forecast": mean, "low": mean - spread, "high": mean + spread})
 
     return run
 

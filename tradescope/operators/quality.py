@@ -37,7 +37,9 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row per column: nulls, distinct values, least, quartiles, greatest, mean, deviation."""
     v = F.col("value")
     p = unpivot(df, columns).groupBy("column").agg(
-        F.count_if(v.isNull()).alias("nulls"), F.count_distinct(v).alias("distinct_values"), F.min(v).alias("low"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.75).alias("q3"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("deviation"),
+        F.count_if(v.isNull()).alias("nulls"), F.count_distinct(v).alias("distinct_values"), F.min(v).alias("low"),
+            F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.75).alias("q3"), F.max(v).alias("high"),
+            F.avg(v).alias("mean"), F.stddev_samp(v).alias("deviation"),
     )
     return p.select("column", "nulls", "distinct_values", *[F.round(c, 4).alias(c) for c in ("low", "q1", "median", "q3", "high", "mean", "deviation")])
 
@@ -46,12 +48,14 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of each pair, all in one aggregate: a, b, r."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = df.agg(*[F.corr(a, b).alias(f"{a}~{b}") for a, b in pairs])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"{a}~{b}"), 6).alias("r")) for a, b in pairs])).alias("p")).select("p.*")
+    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"{a}~{b}"),
+        6).alias("r")) for a, b in pairs])).alias("p")).select("p.*")
 
 
 def outliers(df: DataFrame, columns: Sequence[str], z: float = 3.0, width: float = 1.5) -> DataFrame:
     """Rows with a column further than ``z`` deviations, or than ``width`` ranges beyond the quartiles."""
-    figures = [f for c in columns for f in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"d_{c}"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}"))]
+    figures = [f for c in columns for f in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"d_{c}"), F.percentile(c,
+        F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}"))]
     joined = df.join(F.broadcast(df.agg(*figures)))
 
     def odd(c: str) -> Column:

@@ -19,7 +19,8 @@ def mean_ratings(ratings: DataFrame) -> DataFrame:
 def content_based(ratings: DataFrame, similar: DataFrame, liked: float = 4.0) -> DataFrame:
     """(user_id, item_id, score): the largest similarity of an unrated item to one that the user rates ``liked`` or more."""
     mine = mean_ratings(ratings)
-    near = mine.filter(F.col("rating") >= liked).join(both_ways(similar), F.col("item_id") == F.col("a")).groupBy("user_id", F.col("b").alias("item_id")).agg(F.max("similarity").alias("score"))
+    near = mine.filter(F.col("rating") >= liked).join(both_ways(similar), F.col("item_id") == F.col("a")).groupBy("user_id",
+        F.col("b").alias("item_id")).agg(F.max("similarity").alias("score"))
     return near.join(mine.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 

@@ -56,7 +56,8 @@ def _block(k: int | None, least: float):
         unit = lambda v: (m := np.array(v.tolist(), dtype=float)) / np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)[:, None]
         score = unit(queries["qv"]) @ unit(rows["v"]).T
         ids = rows["vec_id"].to_numpy()
-        ok = (score >= least) & (queries["query_id"].to_numpy()[:, None] != ids[None, :]) & (queries["qkind"].to_numpy()[:, None] == rows["kind"].to_numpy()[None, :])
+        ok = (score >= least) & (queries["query_id"].to_numpy()[:, None] != ids[None, :]) & (queries["qkind"].to_numpy()[:,
+            None] == rows["kind"].to_numpy()[None, :])
         score = np.where(ok, score, -np.inf)
         if k is not None and score.shape[1] > k:
             score = np.where(score >= np.partition(score, score.shape[1] - k, axis=1)[:, [score.shape[1] - k]], score, -np.inf)
@@ -66,19 +67,23 @@ def _block(k: int | None, least: float):
     return run
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, least: float = -1.0, k: int | None = None, kind: Column | None = None, block: int = BLOCK) -> DataFrame:
+def vector_search(queries: DataFrame, vectors: DataFrame, least: float = -1.0, k: int | None = None, kind: Column | None = None,
+    block: int = BLOCK) -> DataFrame:
     """(query_id, vec_id, score): cosines of at least ``least``, the k best of each query if ``k`` is given.
 
     Both sides have vec_id and embedding; ``kind`` is a column of both that must agree. Every
     query meets every row, in blocks of ``block`` rows by ``block`` queries that numpy multiplies;
     a block hands on no more than its own k best a query. Vectors of zeros or nulls find nothing.
     """
-    made = lambda d: d.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), (F.lit("") if kind is None else kind.cast("string")).alias("kind")).filter(F.col("v").isNotNull() & F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull()))
+    made = lambda d: d.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"),
+        (F.lit("") if kind is None else kind.cast("string")).alias("kind")).filter(F.col("v").isNotNull() & F.exists("v",
+        lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull()))
     rows, asked = made(vectors), made(queries)
     n_rows, n_queries = (max(1, math.ceil(d.count() / block)) for d in (rows, asked))
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     rows = rows.withColumn("rb", place(n_rows)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    asked = asked.withColumn("qb", place(n_queries)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("kind").alias("qkind"), "qb").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
+    asked = asked.withColumn("qb", place(n_queries)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"),
+        F.col("kind").alias("qkind"), "qb").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
     found = rows.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(_block(k, least), "query_id long, vec_id long, score double")
     if k is None:
         return found
@@ -91,7 +96,8 @@ def hybrid(exact: DataFrame, vector: DataFrame, text: DataFrame, key: str = "pk"
 
     Each key has its best; the ``most`` best stay, ties to the smaller key.
     """
-    parts = exact.select(key, F.lit(1.0).alias("score")).union(vector.select(key, F.col("score") * 1.2)).union(text.select(key, F.least(F.col("score") / 10.0, F.lit(1.0)) * 0.8))
+    parts = exact.select(key, F.lit(1.0).alias("score")).union(vector.select(key, F.col("score") * 1.2)).union(text.select(key,
+        F.least(F.col("score") / 10.0, F.lit(1.0)) * 0.8))
     return parts.groupBy(key).agg(F.round(F.max("score"), 6).alias("score")).orderBy(F.desc("score"), key).limit(most)
 
 

@@ -17,7 +17,8 @@ FRAUD_WEIGHTS = {"isolation": 0.15, "forest": 0.20, "boosted": 0.20, "leaf_boost
 
 def profiles(history: DataFrame) -> DataFrame:
     """Users as their transactions (user_id, amount, location, ts) show them: mean, deviation, places, hours."""
-    return history.groupBy("user_id").agg(F.avg("amount").alias("mean_amount"), F.stddev_pop("amount").alias("sd_amount"), F.collect_set("location").alias("places"), F.collect_set(F.hour("ts")).alias("hours"))
+    return history.groupBy("user_id").agg(F.avg("amount").alias("mean_amount"), F.stddev_pop("amount").alias("sd_amount"),
+        F.collect_set("location").alias("places"), F.collect_set(F.hour("ts")).alias("hours"))
 
 
 def last_hour(transactions: DataFrame) -> DataFrame:
@@ -65,8 +66,10 @@ def network_scores(pairs: DataFrame) -> DataFrame:
     e = pairs.select(F.concat(F.lit("u:"), F.col("user_id")).alias("u"), F.concat(F.lit("m:"), F.col("merchant")).alias("m"), "user_id", "merchant").distinct()
     degree = lambda c: e.groupBy(c).agg(F.count(F.lit(1)).alias(f"d_{c}"))
     nodes = degree("u").agg(F.count(F.lit(1)).alias("users")).join(degree("m").agg(F.count(F.lit(1)).alias("merchants")))
-    both = e.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("m").alias("a"), F.col("u").alias("b")))).alias("x")).select("x.*")
-    common = e.join(both.select(F.col("a").alias("u"), F.col("b").alias("c")), "u").join(both.select(F.col("a").alias("m"), F.col("b").alias("c")), ["m", "c"]).select("u", "m").distinct().withColumn("common", F.lit(True))
+    both = e.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("m").alias("a"),
+        F.col("u").alias("b")))).alias("x")).select("x.*")
+    common = e.join(both.select(F.col("a").alias("u"), F.col("b").alias("c")), "u").join(both.select(F.col("a").alias("m"),
+        F.col("b").alias("c")), ["m", "c"]).select("u", "m").distinct().withColumn("common", F.lit(True))
     j = e.join(degree("u"), "u").join(degree("m"), "m").join(F.broadcast(nodes)).join(common, ["u", "m"], "left")
     others = F.nullif(F.col("users") + F.col("merchants") - 1, F.lit(0))
     flags = [F.col("d_u") / others > 0.8, F.col("d_m") / others < 0.1, F.col("common").isNull()]
@@ -81,4 +84,5 @@ def ensemble(methods: Mapping[str, Column], weights: Mapping[str, float] = FRAUD
 def company_period_risk(alerts: Column, severe: Column, age_days: Column, volume: Column) -> Column:
     """0 to 100 of a company in a period: 30 for alerts (ten are full), 20 for the share of severe ones, 25 for an age under a year, 25 for volume (10 million is full)."""
     share = lambda x, full: F.least(F.coalesce(x, F.lit(0.0)) / full, F.lit(1.0))
-    return 30 * share(alerts, 10) + 20 * F.coalesce(severe / F.nullif(alerts, F.lit(0)), F.lit(0.0)) + 25 * F.when(age_days < 365, 1.0).otherwise(0.0) + 25 * share(volume, 1e7)
+    return 30 * share(alerts, 10) + 20 * F.coalesce(severe / F.nullif(alerts, F.lit(0)), F.lit(0.0)) + 25 * F.when(age_days < 365,
+        1.0).otherwise(0.0) + 25 * share(volume, 1e7)

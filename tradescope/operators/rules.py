@@ -12,7 +12,8 @@ Rule = tuple[str, Column, float]
 
 def hits(rules: Sequence[Rule]) -> Column:
     """Array of struct(rule, confidence) of the rules whose condition holds."""
-    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("rule"), F.lit(float(w)).alias("confidence"))) for n, c, w in rules]))
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("rule"),
+        F.lit(float(w)).alias("confidence"))) for n, c, w in rules]))
 
 
 def alerts(df: DataFrame, keys: Sequence[str], rules: Sequence[Rule]) -> DataFrame:

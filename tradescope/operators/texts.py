@@ -11,7 +11,8 @@ from tradescope.functions import scalars as S
 
 # Word lists and weights that results depend on (fixed values).
 SENTIMENT = {
-    "good": 1, "great": 2, "excellent": 2, "amazing": 2, "wonderful": 2, "fantastic": 2, "love": 2, "like": 1, "best": 1, "awesome": 2, "perfect": 2, "brilliant": 2, "outstanding": 2, "superb": 2,
+    "good": 1, "great": 2, "excellent": 2, "amazing": 2, "wonderful": 2, "fantastic": 2, "love": 2, "like": 1, "best": 1,
+        "awesome": 2, "perfect": 2, "brilliant": 2, "outstanding": 2, "superb": 2,
     "bad": -1, "terrible": -2, "awful": -2, "hate": -2, "worst": -1, "horrible": -2, "disappointing": -1, "poor": -1,
 }
 EMOTIONS = {
@@ -32,7 +33,8 @@ INTENTS = (
     ("technical_issue", ("error", "bug", "crash", "fail", "broken")), ("how_to_question", ("how to", "how do", "guide", "tutorial")),
     ("billing_inquiry", ("billing", "payment", "cost", "price")), ("feature_request", ("feature", "enhancement", "request")),
 )
-SUPPORT = {"positive": ("good", "great", "excellent", "thanks", "helpful", "appreciate"), "negative": ("bad", "terrible", "awful", "frustrated", "angry", "hate", "worst")}
+SUPPORT = {"positive": ("good", "great", "excellent", "thanks", "helpful", "appreciate"), "negative": ("bad", "terrible",
+    "awful", "frustrated", "angry", "hate", "worst")}
 SUPPORT_EMOTIONS = {"anger": ("frustrated", "angry"), "fear": ("worried", "concerned")}
 MARKERS = "however therefore moreover furthermore consequently nevertheless accordingly similarly likewise instead although though despite because since as and but or so then after before while".split()
 REQUESTS, THANKS, IMPERATIVES = ("please", "could you", "would you"), ("thank", "thanks", "appreciate"), ("please", "do", "can you", "will you")
@@ -66,7 +68,8 @@ def linguistic(text: Column) -> dict[str, Column]:
     """Counts of words: content (no stop word), stop words, in -ing, -ed and -ly, and numbers."""
     w, n = S.tokens(text), lambda f: F.size(F.filter(S.tokens(text), f)).cast("long")
     ends = lambda e: n(lambda x: F.endswith(x, F.lit(e)))
-    return {"content": F.size(w).cast("long") - count_in(w, STOPS), "stops": count_in(w, STOPS), "ing": ends("ing"), "ed": ends("ed"), "ly": ends("ly"), "numeric": n(lambda x: x.rlike("^[0-9]+$"))}
+    return {"content": F.size(w).cast("long") - count_in(w, STOPS), "stops": count_in(w, STOPS), "ing": ends("ing"),
+        "ed": ends("ed"), "ly": ends("ly"), "numeric": n(lambda x: x.rlike("^[0-9]+$"))}
 
 
 def syllables(word: Column) -> Column:
@@ -84,7 +87,8 @@ def readability(n_words: Column, n_sentences: Column, n_syllables: Column) -> di
     """Flesch reading ease from 0 to 100, school grade, and level: easy over 60, standard over 30, else difficult."""
     length, per_word = n_words / F.greatest(n_sentences, F.lit(1)), n_syllables / F.nullif(n_words, F.lit(0))
     ease = S.clamp(206.835 - 1.015 * length - 84.6 * per_word, 0.0, 100.0)
-    return {"flesch": ease, "grade": 0.39 * length + 11.8 * per_word - 15.59, "level": F.when(ease > 60, "easy").when(ease > 30, "standard").otherwise("difficult")}
+    return {"flesch": ease, "grade": 0.39 * length + 11.8 * per_word - 15.59, "level": F.when(ease > 60, "easy").when(ease > 30,
+        "standard").otherwise("difficult")}
 
 
 def lexicon_sentiment(w: Column, lexicon: Mapping[str, float] = SENTIMENT) -> dict[str, Column]:
@@ -93,12 +97,14 @@ def lexicon_sentiment(w: Column, lexicon: Mapping[str, float] = SENTIMENT) -> di
     hit = F.filter(w, lambda x: x.isin(*lexicon))
     n, total = F.size(hit), F.aggregate(F.transform(hit, lambda x: weight[x]), F.lit(0.0), lambda t, x: t + x)
     score = share(total, n)
-    return {"matched": n.cast("long"), "score": score, "label": F.when(score / 2 > 0.1, "positive").when(score / 2 < -0.1, "negative").otherwise("neutral"), "confidence": F.when(n == 0, 0.5).otherwise(F.least(F.lit(0.9), 0.3 + 0.6 * F.abs(score)))}
+    return {"matched": n.cast("long"), "score": score, "label": F.when(score / 2 > 0.1, "positive").when(score / 2 < -0.1,
+        "negative").otherwise("neutral"), "confidence": F.when(n == 0, 0.5).otherwise(F.least(F.lit(0.9), 0.3 + 0.6 * F.abs(score)))}
 
 
 def emotion_scores(w: Column, lexicon: Mapping[str, Sequence[str]] = EMOTIONS) -> Column:
     """Array of (score, emotion), score being ten times the share of an emotion's words, 1 at most."""
-    one = lambda name, names: F.struct(F.least(F.lit(1.0), 10.0 * share(count_in(w, names), F.size(w))).alias("score"), F.lit(name).alias("emotion"))
+    one = lambda name, names: F.struct(F.least(F.lit(1.0), 10.0 * share(count_in(w, names), F.size(w))).alias("score"),
+        F.lit(name).alias("emotion"))
     return F.array(*[one(n, v) for n, v in lexicon.items()])
 
 
@@ -146,8 +152,10 @@ def sentiment_features(text: Column) -> dict[str, Column]:
     upper = chars - F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[A-Z]", ""))
     good, bad = [k for k, v in SENTIMENT.items() if v > 0], [k for k, v in SENTIMENT.items() if v < 0]
     return {
-        "chars": chars.cast("long"), "words": F.size(w).cast("long"), "sentences": F.size(S.sentences(F.coalesce(text, F.lit("")))).cast("long"), "mean_word": share(F.aggregate(w, F.lit(0), lambda t, x: t + F.length(x)), F.size(w)),
-        "exclamations": n("!"), "questions": n("?"), "commas": n(","), "dots": n("."), "ellipses": n("..."), "upper_share": share(upper, chars), "digit_share": share(chars - F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[0-9]", "")), chars),
+        "chars": chars.cast("long"), "words": F.size(w).cast("long"), "sentences": F.size(S.sentences(F.coalesce(text,
+            F.lit("")))).cast("long"), "mean_word": share(F.aggregate(w, F.lit(0), lambda t, x: t + F.length(x)), F.size(w)),
+        "exclamations": n("!"), "questions": n("?"), "commas": n(","), "dots": n("."), "ellipses": n("..."), "upper_share": share(upper,
+            chars), "digit_share": share(chars - F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[0-9]", "")), chars),
         "positive": count_in(w, good), "negative": count_in(w, bad), "negations": count_in(w, ("not", "no", "never", "none")),
     }
 
@@ -157,13 +165,16 @@ def sentence_kind(s: Column) -> Column:
     low, starts = F.lower(F.trim(s)), F.lit(False)
     for part in IMPERATIVES:
         starts = starts | F.startswith(low, F.lit(part))
-    return F.when(F.endswith(low, F.lit("?")), "interrogative").when(F.endswith(low, F.lit("!")), "exclamatory").when(starts, "imperative").otherwise("declarative")
+    return F.when(F.endswith(low, F.lit("?")), "interrogative").when(F.endswith(low, F.lit("!")), "exclamatory").when(starts,
+        "imperative").otherwise("declarative")
 
 
 def speech_acts(text: Column) -> Column:
     """questioning, requesting, thanking, exclaiming as the text shows them, else stating."""
     low = F.lower(text)
-    acts = F.array_join(F.array_compact(F.array(F.when(F.contains(text, F.lit("?")), "questioning"), F.when(holds_any(low, REQUESTS), "requesting"), F.when(holds_any(low, THANKS), "thanking"), F.when(F.contains(text, F.lit("!")), "exclaiming"))), ",")
+    acts = F.array_join(F.array_compact(F.array(F.when(F.contains(text, F.lit("?")), "questioning"), F.when(holds_any(low,
+        REQUESTS), "requesting"), F.when(holds_any(low, THANKS), "thanking"), F.when(F.contains(text, F.lit("!")), "exclaiming"))),
+        ",")
     return F.when(acts == "", "stating").otherwise(acts)
 
 
@@ -176,7 +187,9 @@ def style(text: Column) -> dict[str, Column]:
     spread = F.sqrt(F.greatest(share(F.aggregate(lengths, F.lit(0.0), lambda t, x: t + x * x), F.size(lengths)) - mean * mean, F.lit(0.0)))
     of = lambda k: F.size(F.filter(kinds, lambda x: x == k)).cast("long")
     markers = F.array_join(F.array_sort(F.array_intersect(words(text), F.array(*map(F.lit, MARKERS)))), ",")
-    return {"richness": share(F.size(F.array_distinct(w)), F.sqrt(2.0 * F.size(w))), "variety": share(spread, mean), "markers": markers, "questions": of("interrogative"), "exclamations": of("exclamatory"), "statements": of("declarative"), "orders": of("imperative"), "acts": speech_acts(text)}
+    return {"richness": share(F.size(F.array_distinct(w)), F.sqrt(2.0 * F.size(w))), "variety": share(spread, mean),
+        "markers": markers, "questions": of("interrogative"), "exclamations": of("exclamatory"), "statements": of("declarative"),
+        "orders": of("imperative"), "acts": speech_acts(text)}
 
 
 def rake(docs: DataFrame, key: str, text: str, longest: int = 3, k: int = 10) -> DataFrame:
@@ -185,7 +198,8 @@ def rake(docs: DataFrame, key: str, text: str, longest: int = 3, k: int = 10) ->
     A word's degree is the number of words of the phrases it stands in; a phrase scores the sum of
     its words. Each document's ``k`` best phrases come, ties by phrase.
     """
-    marked = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", " | "), rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(STOPS)})(?![\p{{L}}\p{{N}}])", "|")
+    marked = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", " | "),
+        rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(STOPS)})(?![\p{{L}}\p{{N}}])", "|")
     runs = F.transform(F.split(marked, r"\|"), lambda p: F.filter(F.split(p, r"\s+"), lambda w: w != ""))
     phrases = docs.select(key, F.explode(F.filter(runs, lambda p: (F.size(p) > 0) & (F.size(p) <= longest))).alias("p"))
     scored = phrases.select(key, F.size("p").alias("n"), F.explode("p").alias("w")).groupBy(key, "w").agg((F.sum("n") / F.count(F.lit(1))).alias("s"))
@@ -214,7 +228,8 @@ def summaries(docs: DataFrame, key: str, text: str, k: int = 3) -> DataFrame:
     figures = s.groupBy(key).agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.size("w")).alias("words"))
     frequent = each.join(counts, [key, "word"]).groupBy(key, "i").agg(F.avg("n").alias("n"))
     j = s.join(figures, key).join(frequent, [key, "i"], "left")
-    score = 0.4 * (1.0 - F.col("i") / F.col("sentences")) + 0.3 * F.least(F.size("w") / 20.0, F.lit(1.0)) + 0.3 * F.coalesce(F.col("n") / F.col("words"), F.lit(0.0))
+    score = 0.4 * (1.0 - F.col("i") / F.col("sentences")) + 0.3 * F.least(F.size("w") / 20.0,
+        F.lit(1.0)) + 0.3 * F.coalesce(F.col("n") / F.col("words"), F.lit(0.0))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "i"))
     best = j.select(key, "i", "s", F.round(score, 9).alias("score")).withColumn("k", rank).filter(F.col("k") <= k)
     return best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ").alias("summary"))
@@ -223,9 +238,11 @@ def summaries(docs: DataFrame, key: str, text: str, k: int = 3) -> DataFrame:
 def entities(text: Column) -> Column:
     """Array of (kind, value, confidence): edrpou (8 to 10 digits) .9, hs (4 to 10 digits) .8, name (capitalised, over 3 letters) .6; each once."""
     found = lambda p: F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0)))
-    made = lambda values, kind, c: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(c).alias("confidence")))
+    made = lambda values, kind, c: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"),
+        F.lit(c).alias("confidence")))
     digits = lambda low, high: rf"(?<![0-9])[0-9]{{{low},{high}}}(?![0-9])"
-    return F.concat(made(found(digits(8, 10)), "edrpou", 0.9), made(found(digits(4, 10)), "hs", 0.8), made(found(r"(?<![\p{L}])[A-Z][a-z]{3,}(?![\p{L}])"), "name", 0.6))
+    return F.concat(made(found(digits(8, 10)), "edrpou", 0.9), made(found(digits(4, 10)), "hs", 0.8),
+        made(found(r"(?<![\p{L}])[A-Z][a-z]{3,}(?![\p{L}])"), "name", 0.6))
 
 
 #: Operations of a text pipeline by name: text Column in, Column out.

@@ -28,46 +28,81 @@ def rsk01(t):
     return t("events").filter((F.round(F.col("value") * 100).cast("long") % 1000 == 0) & (F.col("value") >= 100)).select("event_id")
 
 
-@query("rsk04_new_company_high_value", "WITH q AS (SELECT quantile_cont(amount, 0.9) AS q FROM records) SELECT pk FROM records JOIN companies USING (company_id), q WHERE date_diff('day', registration_date, date) < 365 AND amount > q")
+@query(
+    "rsk04_new_company_high_value",
+    """WITH q AS (SELECT quantile_cont(amount, 0.9) AS q FROM records) SELECT pk FROM records JOIN companies USING (company_id),
+    q WHERE date_diff('day', registration_date, date) < 365 AND amount > q""",
+)
 def rsk04(t):
     x = A.with_figures(t("records"), F.percentile("amount", 0.9).alias("q")).filter("amount > q")
     return x.join(t("companies").select("company_id", "registration_date"), "company_id").filter(F.datediff("date", "registration_date") < 365).select("pk")
 
 
-@query("rsk06_timing", "WITH m AS (SELECT user_id, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, epoch_ms(h) // 1000 AS at, n FROM m WHERE n > 1 AND n > (SELECT quantile_cont(n, 0.95) FROM m)")
+@query(
+    "rsk06_timing",
+    """WITH m AS (SELECT user_id, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, epoch_ms(h)
+    // 1000 AS at, n FROM m WHERE n > 1 AND n > (SELECT quantile_cont(n, 0.95) FROM m)""",
+)
 def rsk06(t):
     m = t("events").groupBy("user_id", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h")).agg(rows().alias("n"))
     return A.with_figures(m, F.percentile("n", 0.95).alias("q")).filter("n > 1 AND n > q").select("user_id", F.unix_timestamp("h").alias("at"), "n")
 
 
-@query("rsk08_company_risk", "WITH a AS (SELECT company_id, count(*) AS alerts FROM records WHERE amount > 90000 GROUP BY 1), d AS (SELECT company_id, count(*) AS n FROM records GROUP BY 1) SELECT company_id, least(100, 10 * coalesce(alerts, 0) + n / 10.0)::DOUBLE AS score, CASE WHEN least(100, 10 * coalesce(alerts, 0) + n / 10.0) >= 70 THEN 'high' WHEN least(100, 10 * coalesce(alerts, 0) + n / 10.0) >= 40 THEN 'medium' ELSE 'low' END AS level FROM d LEFT JOIN a USING (company_id)")
+@query(
+    "rsk08_company_risk",
+    """WITH a AS (SELECT company_id, count(*) AS alerts FROM records WHERE amount > 90000 GROUP BY 1), d AS (SELECT company_id,
+    count(*) AS n FROM records GROUP BY 1) SELECT company_id, least(100, 10 * coalesce(alerts, 0) + n / 10.0)::DOUBLE AS
+    score, CASE WHEN least(100, 10 * coalesce(alerts, 0) + n / 10.0) >= 70 THEN 'high' WHEN least(100, 10 * coalesce(alerts,
+    0) + n / 10.0) >= 40 THEN 'medium' ELSE 'low' END AS level FROM d LEFT JOIN a USING (company_id)""",
+)
 def rsk08(t):
     g = t("records").groupBy("company_id").agg(F.count_if(F.col("amount") > 90000).alias("a"), rows().alias("n"))
     s = F.least(F.lit(100.0), 10 * F.col("a") + F.col("n") / 10.0)
     return g.select("company_id", s.alias("score"), A.tier(s, (70, "high"), (40, "medium"), otherwise="low").alias("level"))
 
 
-@query("rsk19_rsk20_risk_levels", "WITH f AS (SELECT c_nationkey AS dimension, c_custkey AS entity_id, greatest(0, least(1, (c_acctbal + 1000) / 11000)) AS v FROM customer), s AS (SELECT dimension, avg(v) AS s FROM f GROUP BY 1) SELECT dimension, round(s, 6) AS score, CASE WHEN s < 0.3 THEN 'low' WHEN s < 0.48 THEN 'medium' WHEN s < 0.52 THEN 'high' ELSE 'critical' END AS level FROM s")
+@query(
+    "rsk19_rsk20_risk_levels",
+    """WITH f AS (SELECT c_nationkey AS dimension, c_custkey AS entity_id, greatest(0, least(1, (c_acctbal + 1000) / 11000)) AS
+    v FROM customer), s AS (SELECT dimension, avg(v) AS s FROM f GROUP BY 1) SELECT dimension, round(s, 6) AS score, CASE
+    WHEN s < 0.3 THEN 'low' WHEN s < 0.48 THEN 'medium' WHEN s < 0.52 THEN 'high' ELSE 'critical' END AS level FROM s""",
+)
 def rsk19(t):
     g = t("customer").groupBy(F.col("c_nationkey").alias("dimension")).agg(F.avg(S.clamp((F.col("c_acctbal") + 1000) / 11000)).alias("s"))
-    return g.select("dimension", r(F.col("s")).alias("score"), A.tier(F.col("s"), (0.52, "critical"), (0.48, "high"), (0.3, "medium"), otherwise="low").alias("level"))
+    return g.select("dimension", r(F.col("s")).alias("score"), A.tier(F.col("s"), (0.52, "critical"), (0.48, "high"),
+        (0.3, "medium"), otherwise="low").alias("level"))
 
 
-@query("rsk22_factor_importance", "SELECT p_type, round(avg(p_retailprice) / 2000 * 0.4, 6) AS price, round(avg(p_size) / 50 * 0.6, 6) AS size FROM part GROUP BY 1")
+@query(
+    "rsk22_factor_importance",
+    """SELECT p_type, round(avg(p_retailprice) / 2000 * 0.4, 6) AS price, round(avg(p_size) / 50 * 0.6, 6) AS size FROM part GROUP
+    BY 1""",
+)
 def rsk22(t):
     return t("part").groupBy("p_type").agg(r(F.avg("p_retailprice") / 2000 * 0.4).alias("price"), r(F.avg("p_size") / 50 * 0.6).alias("size"))
 
 
-@query("rsk25_before_after", "WITH x AS (SELECT event_type, avg(value) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS a, avg(value) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS b FROM events GROUP BY 1) SELECT event_type, round(b - a, 6) AS change, CASE WHEN abs(b - a) / a > 0.05 THEN 'high' ELSE 'low' END AS severity FROM x")
+@query(
+    "rsk25_before_after",
+    """WITH x AS (SELECT event_type, avg(value) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS a, avg(value) FILTER (WHERE ts >=
+    TIMESTAMP '2024-01-16') AS b FROM events GROUP BY 1) SELECT event_type, round(b - a, 6) AS change, CASE WHEN abs(b -
+    a) / a > 0.05 THEN 'high' ELSE 'low' END AS severity FROM x""",
+)
 def rsk25(t):
     early = F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-16 00:00:00'")
     x = t("events").groupBy("event_type").agg(F.avg(F.when(early, F.col("value"))).alias("a"), F.avg(F.when(~early, F.col("value"))).alias("b"))
-    return x.select("event_type", r(F.col("b") - F.col("a")).alias("change"), F.when(F.abs(F.col("b") - F.col("a")) / F.col("a") > 0.05, "high").otherwise("low").alias("severity"))
+    return x.select("event_type", r(F.col("b") - F.col("a")).alias("change"), F.when(F.abs(F.col("b") - F.col("a")) / F.col("a") > 0.05,
+        "high").otherwise("low").alias("severity"))
 
 
-@query("rsk26_auto_resolution", "SELECT user_id, CASE WHEN max(value) > 400 AND arg_max(value, (ts, event_id)) < 100 THEN 'resolved' ELSE 'active' END AS status FROM events GROUP BY 1")
+@query(
+    "rsk26_auto_resolution",
+    """SELECT user_id, CASE WHEN max(value) > 400 AND arg_max(value, (ts, event_id)) < 100 THEN 'resolved' ELSE 'active' END AS
+    status FROM events GROUP BY 1""",
+)
 def rsk26(t):
-    return t("events").groupBy("user_id").agg(F.when((F.max("value") > 400) & (F.max_by("value", F.struct("ts", "event_id")) < 100), "resolved").otherwise("active").alias("status"))
+    return t("events").groupBy("user_id").agg(F.when((F.max("value") > 400) & (F.max_by("value", F.struct("ts",
+        "event_id")) < 100), "resolved").otherwise("active").alias("status"))
 
 
 # text
@@ -76,7 +111,11 @@ def rsk26(t):
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
-@query("txt01_text_statistics", f"SELECT doc_id, length(text) AS chars, len({_TOK}) AS words, round(len(list_distinct({_TOK})) * 1.0 / nullif(len({_TOK}), 0), 6)::DOUBLE AS diversity FROM documents")
+@query(
+    "txt01_text_statistics",
+    f"""SELECT doc_id, length(text) AS chars, len({_TOK}) AS words, round(len(list_distinct({_TOK})) * 1.0 / nullif(len({_TOK}),
+    0), 6)::DOUBLE AS diversity FROM documents""",
+)
 def txt01(t):
     d = t("documents").select("doc_id", F.length("text").cast("long").alias("chars"), S.tokens(F.col("text")).alias("w"))
     n = F.size("w")
@@ -96,7 +135,12 @@ def token_index(t):
     return t("documents").select("doc_id", F.explode(S.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(rows().alias("n"))
 
 
-@query("txt12_keywords_tfidf", f"WITH {_TFIDF} SELECT doc_id, term, round(n * ln((SELECT count(*) FROM documents) * 1.0 / d), 6)::DOUBLE AS score FROM tf JOIN df USING (term) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(n * ln((SELECT count(*) FROM documents) * 1.0 / d), 6) DESC, term) <= 5")
+@query(
+    "txt12_keywords_tfidf",
+    f"""WITH {_TFIDF} SELECT doc_id, term, round(n * ln((SELECT count(*) FROM documents) * 1.0 / d), 6)::DOUBLE AS score FROM tf
+    JOIN df USING (term) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(n * ln((SELECT count(*) FROM documents)
+    * 1.0 / d), 6) DESC, term) <= 5""",
+)
 def txt12(t):
     tf = token_index(t)
     df = tf.groupBy("term").agg(rows().alias("d"))
@@ -109,13 +153,19 @@ def txt12(t):
 @query("txt20_log_parse", "SELECT event_id, split_part(line, ' - ', 2) AS level, substr(line, 1, 19) AS at FROM logs")
 def txt20(t):
     line = r"^([0-9-]{10} [0-9:]{8}) - ([A-Z]+) - (.*)$"
-    return t("logs").select("event_id", F.coalesce(F.nullif(F.regexp_extract("line", line, 2), F.lit("")), F.lit("UNKNOWN")).alias("level"), F.regexp_extract("line", line, 1).alias("at"))
+    return t("logs").select("event_id", F.coalesce(F.nullif(F.regexp_extract("line", line, 2), F.lit("")), F.lit("UNKNOWN")).alias("level"),
+        F.regexp_extract("line", line, 1).alias("at"))
 
 
-@query("txt21_log_fields", "SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN event_type = 'error' THEN 'TimeoutError' ELSE '' END AS error_type, CAST(event_id % 997 AS BIGINT) AS ms, CASE WHEN event_type = 'error' THEN 504 ELSE 200 END AS status FROM events")
+@query(
+    "txt21_log_fields",
+    """SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN event_type = 'error' THEN 'TimeoutError' ELSE '' END AS error_type,
+    CAST(event_id % 997 AS BIGINT) AS ms, CASE WHEN event_type = 'error' THEN 504 ELSE 200 END AS status FROM events""",
+)
 def txt21(t):
     f = lambda p: F.regexp_extract("line", p, 1)
-    return t("logs").select("event_id", f("user_id=([0-9]+)").alias("user_id"), f("([A-Z][A-Za-z]+Error)").alias("error_type"), f("took ([0-9]+)ms").cast("long").alias("ms"), f("with ([0-9]{3})").cast("int").alias("status"))
+    return t("logs").select("event_id", f("user_id=([0-9]+)").alias("user_id"), f("([A-Z][A-Za-z]+Error)").alias("error_type"),
+        f("took ([0-9]+)ms").cast("long").alias("ms"), f("with ([0-9]{3})").cast("int").alias("status"))
 
 
 # retrieval
@@ -154,28 +204,50 @@ _RANKED = "ranked AS (SELECT d.doc_id, d.source, row_number() OVER (PARTITION BY
 
 def ranked(t):
     j = t("documents").select("doc_id", "source", "n_chars").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
-    return j.select("doc_id", "source", F.coalesce("quality", F.lit(0)).alias("rel"), F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    return j.select("doc_id", "source", F.coalesce("quality", F.lit(0)).alias("rel"),
+        F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
 
 
-@query("ret09_precision_recall", f"WITH {_RANKED} SELECT source, round(sum(rel) FILTER (WHERE rank <= 5) / 5.0, 6)::DOUBLE AS p5, round(sum(rel) FILTER (WHERE rank <= 10) / 10.0, 6)::DOUBLE AS p10, round(sum(rel) FILTER (WHERE rank <= 10) * 1.0 / nullif(sum(rel), 0), 6)::DOUBLE AS r10 FROM ranked GROUP BY 1")
+@query(
+    "ret09_precision_recall",
+    f"""WITH {_RANKED} SELECT source, round(sum(rel) FILTER (WHERE rank <= 5) / 5.0, 6)::DOUBLE AS p5, round(sum(rel) FILTER (WHERE
+    rank <= 10) / 10.0, 6)::DOUBLE AS p10, round(sum(rel) FILTER (WHERE rank <= 10) * 1.0 / nullif(sum(rel), 0), 6)::DOUBLE
+    AS r10 FROM ranked GROUP BY 1""",
+)
 def ret09(t):
     top = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("rel")))
-    return ranked(t).groupBy("source").agg(r(top(5) / 5.0).alias("p5"), r(top(10) / 10.0).alias("p10"), r(top(10) / F.nullif(F.sum("rel"), F.lit(0))).alias("r10"))
-
-
-@query("ret10_mrr_map_ndcg", f"WITH {_RANKED}, c AS (SELECT *, sum(rel) OVER (PARTITION BY source ORDER BY rank) AS hits, row_number() OVER (PARTITION BY source ORDER BY rel DESC, rank) AS ideal FROM ranked) SELECT source, round(max(rel * 1.0 / rank), 6)::DOUBLE AS mrr, round(avg(1.0 / rank) FILTER (WHERE rel = 1), 6)::DOUBLE AS mean_rr_all, round(avg(hits * 1.0 / rank) FILTER (WHERE rel = 1), 6)::DOUBLE AS ap_found, round(sum(rel / log2(rank + 1)) / nullif(sum(rel / log2(ideal + 1)), 0), 6)::DOUBLE AS ndcg FROM c GROUP BY 1")
+    return ranked(t).groupBy("source").agg(r(top(5) / 5.0).alias("p5"), r(top(10) / 10.0).alias("p10"), r(top(10) / F.nullif(F.sum("rel"),
+        F.lit(0))).alias("r10"))
+
+
+@query(
+    "ret10_mrr_map_ndcg",
+    f"""WITH {_RANKED}, c AS (SELECT *, sum(rel) OVER (PARTITION BY source ORDER BY rank) AS hits, row_number() OVER (PARTITION BY
+    source ORDER BY rel DESC, rank) AS ideal FROM ranked) SELECT source, round(max(rel * 1.0 / rank), 6)::DOUBLE AS mrr,
+    round(avg(1.0 / rank) FILTER (WHERE rel = 1), 6)::DOUBLE AS mean_rr_all, round(avg(hits * 1.0 / rank) FILTER (WHERE rel
+    = 1), 6)::DOUBLE AS ap_found, round(sum(rel / log2(rank + 1)) / nullif(sum(rel / log2(ideal + 1)), 0), 6)::DOUBLE AS
+    ndcg FROM c GROUP BY 1""",
+)
 def ret10(t):
     w = Window.partitionBy("source")
     c = ranked(t).withColumns({"hits": F.sum("rel").over(w.orderBy("rank")), "ideal": F.row_number().over(w.orderBy(F.desc("rel"), "rank"))})
     hit = lambda x: F.when(F.col("rel") == 1, x)
     gain = lambda p: F.sum(F.col("rel") / F.log2(F.col(p) + 1))
-    return c.groupBy("source").agg(r(F.max(F.col("rel") / F.col("rank"))).alias("mrr"), r(F.avg(hit(1.0 / F.col("rank")))).alias("mean_rr_all"), r(F.avg(hit(F.col("hits") / F.col("rank")))).alias("ap_found"), r(gain("rank") / F.nullif(gain("ideal"), F.lit(0.0))).alias("ndcg"))
+    return c.groupBy("source").agg(r(F.max(F.col("rel") / F.col("rank"))).alias("mrr"),
+        r(F.avg(hit(1.0 / F.col("rank")))).alias("mean_rr_all"), r(F.avg(hit(F.col("hits") / F.col("rank")))).alias("ap_found"),
+        r(gain("rank") / F.nullif(gain("ideal"), F.lit(0.0))).alias("ndcg"))
 
 
 # recommendation
 
 
-@query("rec03_item_similarity", "WITH x AS (SELECT DISTINCT user_id, item_id FROM interactions WHERE rating >= 2), n AS (SELECT item_id, count(*) AS n FROM x GROUP BY 1) SELECT a.item_id AS a, b.item_id AS b, round(count(*) / sqrt(any_value(na.n) * any_value(nb.n)), 6) AS similarity FROM x a JOIN x b ON a.user_id = b.user_id AND a.item_id < b.item_id JOIN n na ON na.item_id = a.item_id JOIN n nb ON nb.item_id = b.item_id GROUP BY 1, 2 HAVING count(*) >= 4")
+@query(
+    "rec03_item_similarity",
+    """WITH x AS (SELECT DISTINCT user_id, item_id FROM interactions WHERE rating >= 2), n AS (SELECT item_id, count(*) AS n FROM
+    x GROUP BY 1) SELECT a.item_id AS a, b.item_id AS b, round(count(*) / sqrt(any_value(na.n) * any_value(nb.n)), 6) AS
+    similarity FROM x a JOIN x b ON a.user_id = b.user_id AND a.item_id < b.item_id JOIN n na ON na.item_id = a.item_id JOIN
+    n nb ON nb.item_id = b.item_id GROUP BY 1, 2 HAVING count(*) >= 4""",
+)
 def rec03(t):
     liked = t("interactions").filter("rating >= 2").select("user_id", "item_id").distinct()
     n = liked.groupBy("item_id").agg(rows().alias("n"))
@@ -189,12 +261,23 @@ def rec06(t):
     return t("interactions").filter("rating >= 3").groupBy("item_id").agg(rows().alias("n")).orderBy(F.desc("n"), "item_id").limit(20)
 
 
-@query("rec08_explanations", "SELECT item_id, CASE WHEN avg(rating) >= 2 THEN 'rated well' WHEN count(*) > 100 THEN 'popular' ELSE 'new' END AS reason FROM interactions GROUP BY 1")
+@query(
+    "rec08_explanations",
+    """SELECT item_id, CASE WHEN avg(rating) >= 2 THEN 'rated well' WHEN count(*) > 100 THEN 'popular' ELSE 'new' END AS reason
+    FROM interactions GROUP BY 1""",
+)
 def rec08(t):
     return t("interactions").groupBy("item_id").agg(F.when(F.avg("rating") >= 2, "rated well").when(rows() > 100, "popular").otherwise("new").alias("reason"))
 
 
-@query("rec10_rec11_feed", "SELECT user_id, event_id FROM (SELECT user_id, event_id, category, 0.3 * rating / 5 + 0.25 * price / 500 + 0.2 * pow(0.95, date_diff('day', CAST(ts AS DATE), DATE '2024-01-31')) AS s FROM interactions QUALIFY row_number() OVER (PARTITION BY user_id, category ORDER BY round(0.3 * rating / 5 + 0.25 * price / 500 + 0.2 * pow(0.95, date_diff('day', CAST(ts AS DATE), DATE '2024-01-31')), 9) DESC, event_id) <= 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(s, 9) DESC, event_id) <= 8")
+@query(
+    "rec10_rec11_feed",
+    """SELECT user_id, event_id FROM (SELECT user_id, event_id, category, 0.3 * rating / 5 + 0.25 * price / 500 + 0.2 * pow(0.95,
+    date_diff('day', CAST(ts AS DATE), DATE '2024-01-31')) AS s FROM interactions QUALIFY row_number() OVER (PARTITION BY
+    user_id, category ORDER BY round(0.3 * rating / 5 + 0.25 * price / 500 + 0.2 * pow(0.95, date_diff('day', CAST(ts AS
+    DATE), DATE '2024-01-31')), 9) DESC, event_id) <= 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(s,
+    9) DESC, event_id) <= 8""",
+)
 def rec10(t):
     age = F.datediff(F.to_date(F.lit("2024-01-31")), F.col("ts").cast("date"))
     s = t("interactions").withColumn("s", F.round(0.3 * F.col("rating") / 5 + 0.25 * F.col("price") / 500 + 0.2 * F.pow(F.lit(0.95), age), 9))

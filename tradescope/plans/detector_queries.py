@@ -32,13 +32,18 @@ def out02(t):
 
 @query(
     "out04_series_detector",
-    """WITH x AS (SELECT item_id, event_id, price, price - lag(price) OVER o AS step, lag(price) OVER o AS p, lead(price) OVER o AS n, avg(price) OVER b AS m, stddev_pop(price) OVER b AS d FROM interactions WINDOW o AS (PARTITION BY item_id ORDER BY ts, event_id), b AS (PARTITION BY item_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
-    s AS (SELECT item_id, stddev_pop(step) AS sd FROM x GROUP BY 1), k AS (SELECT event_id, CASE WHEN price > p AND price > n AND price > m + 1.5 * d THEN 'peak' WHEN price < p AND price < n AND price < m - 0.5 * d THEN 'valley' WHEN abs(step) > 2 * sd THEN 'jump' END AS kind FROM x JOIN s USING (item_id)) SELECT event_id, kind FROM k WHERE kind IS NOT NULL""",
+    """WITH x AS (SELECT item_id, event_id, price, price - lag(price) OVER o AS step, lag(price) OVER o AS p, lead(price)
+    OVER o AS n, avg(price) OVER b AS m, stddev_pop(price) OVER b AS d FROM interactions WINDOW o AS (PARTITION BY item_id
+    ORDER BY ts, event_id), b AS (PARTITION BY item_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
+    s AS (SELECT item_id, stddev_pop(step) AS sd FROM x GROUP BY 1), k AS (SELECT event_id, CASE WHEN price > p AND price
+    > n AND price > m + 1.5 * d THEN 'peak' WHEN price < p AND price < n AND price < m - 0.5 * d THEN 'valley' WHEN abs(step)
+    > 2 * sd THEN 'jump' END AS kind FROM x JOIN s USING (item_id)) SELECT event_id, kind FROM k WHERE kind IS NOT NULL""",
 )
 def out04(t):
     o = Window.partitionBy("item_id").orderBy("ts", "event_id")
     near, price = o.rowsBetween(-10, 10), F.col("price")
-    x = t("interactions").withColumns({"p": F.lag("price").over(o), "n": F.lead("price").over(o), "m": F.avg("price").over(near), "d": F.stddev_pop("price").over(near)}).withColumn("step", price - F.col("p"))
+    x = t("interactions").withColumns({"p": F.lag("price").over(o), "n": F.lead("price").over(o), "m": F.avg("price").over(near),
+        "d": F.stddev_pop("price").over(near)}).withColumn("step", price - F.col("p"))
     j = x.join(x.groupBy("item_id").agg(F.stddev_pop("step").alias("sd")), "item_id")
     peak = (price > F.col("p")) & (price > F.col("n")) & (price > F.col("m") + 1.5 * F.col("d"))
     valley = (price < F.col("p")) & (price < F.col("n")) & (price < F.col("m") - 0.5 * F.col("d"))
@@ -54,9 +59,13 @@ def out06(t):
 
 @query(
     "out09_weighted_ensemble",
-    f"""WITH {_FIG}, u AS (SELECT user_id, avg(value) AS um, stddev_pop(value) AS ud, count(*) AS n FROM events GROUP BY 1), h AS (SELECT hour(ts) AS h, count(*) * 1.0 / sum(count(*)) OVER () AS share FROM events GROUP BY 1),
-    x AS (SELECT event_id, (abs(value - m) > 3 * d)::INT AS z, (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a))::INT AS iqr, CASE WHEN n >= 10 THEN (abs(value - um) > 2 * ud)::INT END AS own, (share < 0.041)::INT AS rare FROM events JOIN u USING (user_id) JOIN h ON h = hour(ts), f)
-    SELECT event_id, round((0.25 * z + 0.20 * iqr + 0.15 * rare + coalesce(0.20 * own, 0)) / (0.60 + CASE WHEN own IS NULL THEN 0 ELSE 0.2 END), 6)::DOUBLE AS score FROM x""",
+    f"""WITH {_FIG}, u AS (SELECT user_id, avg(value) AS um, stddev_pop(value) AS ud, count(*) AS n FROM events GROUP BY
+    1), h AS (SELECT hour(ts) AS h, count(*) * 1.0 / sum(count(*)) OVER () AS share FROM events GROUP BY 1),
+    x AS (SELECT event_id, (abs(value - m) > 3 * d)::INT AS z, (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a))::INT
+    AS iqr, CASE WHEN n >= 10 THEN (abs(value - um) > 2 * ud)::INT END AS own, (share < 0.041)::INT AS rare FROM events JOIN
+    u USING (user_id) JOIN h ON h = hour(ts), f)
+    SELECT event_id, round((0.25 * z + 0.20 * iqr + 0.15 * rare + coalesce(0.20 * own, 0)) / (0.60 + CASE WHEN own IS NULL
+    THEN 0 ELSE 0.2 END), 6)::DOUBLE AS score FROM x""",
 )
 def out09(t):
     x, v = t("events"), F.col("value")
@@ -67,11 +76,18 @@ def out09(t):
     j = x.join(F.broadcast(f)).join(u, "user_id").join(F.broadcast(h), F.hour("ts") == F.col("h"))  # 24 rows
     width = 1.5 * (F.col("q")[1] - F.col("q")[0])
     flag = lambda c: c.cast("int").cast("double")
-    parts = [(flag(F.abs(v - F.col("m")) > 3 * F.col("d")), 0.25), (flag((v < F.col("q")[0] - width) | (v > F.col("q")[1] + width)), 0.20), (flag(F.col("share") < 0.041), 0.15), (F.when(F.col("n") >= 10, flag(F.abs(v - F.col("um")) > 2 * F.col("ud"))), 0.20)]
+    parts = [(flag(F.abs(v - F.col("m")) > 3 * F.col("d")), 0.25), (flag((v < F.col("q")[0] - width) | (v > F.col("q")[1] + width)),
+        0.20), (flag(F.col("share") < 0.041), 0.15), (F.when(F.col("n") >= 10, flag(F.abs(v - F.col("um")) > 2 * F.col("ud"))),
+        0.20)]
     return j.select("event_id", r(rules.weighted(parts)).alias("score"))
 
 
-@query("out10_text_clusters", "WITH x AS (SELECT event_id, regexp_replace(regexp_replace(line, '^.{19} - ', ''), '[0-9]+', '#', 'g') AS shape, regexp_matches(line, '(?i)exception|timeout') AS rule FROM logs), n AS (SELECT shape, count(*) AS n FROM x GROUP BY 1) SELECT event_id, n AS neighbours, rule FROM x JOIN n USING (shape) WHERE n < 5 OR rule")
+@query(
+    "out10_text_clusters",
+    """WITH x AS (SELECT event_id, regexp_replace(regexp_replace(line, '^.{19} - ', ''), '[0-9]+', '#', 'g') AS shape, regexp_matches(line,
+    '(?i)exception|timeout') AS rule FROM logs), n AS (SELECT shape, count(*) AS n FROM x GROUP BY 1) SELECT event_id, n
+    AS neighbours, rule FROM x JOIN n USING (shape) WHERE n < 5 OR rule""",
+)
 def out10(t):
     """Lines whose shape (digits taken out) fewer than five lines share, and lines that a rule names."""
     shape = F.regexp_replace(F.regexp_replace("line", "^.{19} - ", ""), "[0-9]+", "#")
@@ -82,23 +98,31 @@ def out10(t):
 
 @query(
     "out11_feature_builder",
-    """WITH c AS (SELECT company_id, count(*) AS freq, avg(amount) AS mean FROM records GROUP BY 1) SELECT pk, round(ln(1 + amount), 6) AS value_log, round(ln(1 + qty), 6) AS qty_log, month(date) AS month, isodow(date) AS weekday, date_diff('day', registration_date, date) AS age_days, round(amount / mean, 6) AS ratio, freq, r.country_code IN ('NB', 'ND') AS high_risk
+    """WITH c AS (SELECT company_id, count(*) AS freq, avg(amount) AS mean FROM records GROUP BY 1) SELECT pk, round(ln(1
+    + amount), 6) AS value_log, round(ln(1 + qty), 6) AS qty_log, month(date) AS month, isodow(date) AS weekday, date_diff('day',
+    registration_date, date) AS age_days, round(amount / mean, 6) AS ratio, freq, r.country_code IN ('NB', 'ND') AS high_risk
     FROM records r JOIN companies USING (company_id) JOIN c USING (company_id)""",
 )
 def out11(t):
     x = t("records")
-    c = x.groupBy("company_id").agg(rows().alias("freq"), F.avg("amount").alias("mean")).join(t("companies").select("company_id", "registration_date"), "company_id")
+    c = x.groupBy("company_id").agg(rows().alias("freq"), F.avg("amount").alias("mean")).join(t("companies").select("company_id",
+        "registration_date"), "company_id")
     j = x.join(c, "company_id")
     return j.select(
-        "pk", r(F.log1p("amount")).alias("value_log"), r(F.log1p("qty")).alias("qty_log"), F.month("date").alias("month"), (F.weekday("date") + 1).alias("weekday"), F.datediff("date", "registration_date").alias("age_days"),
+        "pk", r(F.log1p("amount")).alias("value_log"), r(F.log1p("qty")).alias("qty_log"), F.month("date").alias("month"),
+            (F.weekday("date") + 1).alias("weekday"), F.datediff("date", "registration_date").alias("age_days"),
         r(F.col("amount") / F.col("mean")).alias("ratio"), "freq", F.col("country_code").isin("NB", "ND").alias("high_risk"),
     )
 
 
 #: Dimensions of quality with least scores (fixed values).
 LEAST = {"completeness": 0.99, "uniqueness": 0.99, "validity": 0.9, "consistency": 0.95, "accuracy": 0.9, "timeliness": 0.5}
-_DIMS = """x AS (SELECT l.*, o_orderdate, o_orderkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS same FROM lineitem l LEFT JOIN orders ON o_orderkey = l_orderkey), g AS (SELECT avg((l_partkey IS NOT NULL AND l_suppkey IS NOT NULL AND l_shipdate IS NOT NULL)::INT) AS completeness, avg((same = 1)::INT) AS uniqueness,
-    avg((l_quantity BETWEEN 1 AND 45)::INT) AS validity, avg((o_orderkey IS NOT NULL)::INT) AS consistency, avg((l_extendedprice / l_quantity BETWEEN 850 AND 2500)::INT) AS accuracy, avg((l_shipdate >= TIMESTAMP '1998-01-01')::INT) AS timeliness FROM x)"""
+_DIMS = """x AS (SELECT l.*, o_orderdate, o_orderkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS same FROM
+    lineitem l LEFT JOIN orders ON o_orderkey = l_orderkey), g AS (SELECT avg((l_partkey IS NOT NULL AND l_suppkey IS NOT
+    NULL AND l_shipdate IS NOT NULL)::INT) AS completeness, avg((same = 1)::INT) AS uniqueness,
+    avg((l_quantity BETWEEN 1 AND 45)::INT) AS validity, avg((o_orderkey IS NOT NULL)::INT) AS consistency, avg((l_extendedprice
+    / l_quantity BETWEEN 850 AND 2500)::INT) AS accuracy, avg((l_shipdate >= TIMESTAMP '1998-01-01')::INT) AS timeliness
+    FROM x)"""
 
 
 @query(
@@ -112,12 +136,16 @@ def dq15(t):
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
     given = F.col("l_partkey").isNotNull() & F.col("l_suppkey").isNotNull() & F.col("l_shipdate").isNotNull()
     g = x.agg(
-        share(given).alias("completeness"), share(F.col("l_quantity").between(1, 45)).alias("validity"), share(F.col("o_orderkey").isNotNull()).alias("consistency"), share((F.col("l_extendedprice") / F.col("l_quantity")).between(850, 2500)).alias("accuracy"),
+        share(given).alias("completeness"), share(F.col("l_quantity").between(1, 45)).alias("validity"),
+            share(F.col("o_orderkey").isNotNull()).alias("consistency"), share((F.col("l_extendedprice") / F.col("l_quantity")).between(850,
+            2500)).alias("accuracy"),
         share(F.col("l_shipdate") >= F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")).alias("timeliness"),
     )
     one = g.join(F.broadcast(same))
-    d = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(k).alias("score"), F.lit(v).alias("least")) for k, v in LEAST.items()])).alias("d"), (sum((F.col(k) for k in LEAST), F.lit(0.0)) / len(LEAST)).alias("o"))
-    return d.select("d.dimension", r(F.col("d.score")).alias("score"), r(F.col("o")).alias("overall"), F.when(F.col("d.score") < F.col("d.least"), F.concat(F.lit("improve "), "d.dimension")).otherwise("keep").alias("recommendation"))
+    d = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(k).alias("score"), F.lit(v).alias("least")) for k,
+        v in LEAST.items()])).alias("d"), (sum((F.col(k) for k in LEAST), F.lit(0.0)) / len(LEAST)).alias("o"))
+    return d.select("d.dimension", r(F.col("d.score")).alias("score"), r(F.col("o")).alias("overall"),
+        F.when(F.col("d.score") < F.col("d.least"), F.concat(F.lit("improve "), "d.dimension")).otherwise("keep").alias("recommendation"))
 
 
 #: What injected requests hold, and the names of scanners (fixed values).
@@ -130,16 +158,25 @@ def requests(t):
     """Requests for pages, some of them tampered with, with their user agents."""
     i = F.col("page_id")
     tail = F.when(i % 17 == 0, "&id=1 OR 1=1").when(i % 19 == 0, "&x=<script>a</script>").when(i % 23 == 0, "; DROP TABLE t").otherwise("")
-    return t("pages").select("page_id", F.concat("url", tail).alias("request"), F.when(i % 13 == 0, "sqlmap/1.7").when(i % 29 == 0, "Nikto").otherwise("browser").alias("agent"))
+    return t("pages").select("page_id", F.concat("url", tail).alias("request"), F.when(i % 13 == 0, "sqlmap/1.7").when(i % 29 == 0,
+        "Nikto").otherwise("browser").alias("agent"))
 
 
-@query("sec01_injection_patterns", f"WITH {_REQUESTS} SELECT page_id, CASE WHEN regexp_matches(request, '(?i){INJECTIONS['sql']}') THEN 'sql' ELSE 'script' END AS kind FROM q WHERE regexp_matches(request, '(?i){INJECTIONS['sql']}|{INJECTIONS['script']}')")
+@query(
+    "sec01_injection_patterns",
+    f"""WITH {_REQUESTS} SELECT page_id, CASE WHEN regexp_matches(request, '(?i){INJECTIONS['sql']}') THEN 'sql' ELSE 'script' END
+    AS kind FROM q WHERE regexp_matches(request, '(?i){INJECTIONS['sql']}|{INJECTIONS['script']}')""",
+)
 def sec01(t):
     kind = F.when(F.col("request").rlike(f"(?i){INJECTIONS['sql']}"), "sql").when(F.col("request").rlike(f"(?i){INJECTIONS['script']}"), "script")
     return requests(t).select("page_id", kind.alias("kind")).filter("kind IS NOT NULL")
 
 
-@query("sec05_scanner_signatures", f"WITH {_REQUESTS} SELECT page_id, regexp_matches(agent, '(?i){SCANNERS}') AS scanner, regexp_matches(request, '(?i)select|drop|insert|1=1') AS sql_words FROM q WHERE regexp_matches(agent, '(?i){SCANNERS}') OR regexp_matches(request, '(?i)select|drop|insert|1=1')")
+@query(
+    "sec05_scanner_signatures",
+    f"""WITH {_REQUESTS} SELECT page_id, regexp_matches(agent, '(?i){SCANNERS}') AS scanner, regexp_matches(request, '(?i)select|drop|insert|1=1')
+    AS sql_words FROM q WHERE regexp_matches(agent, '(?i){SCANNERS}') OR regexp_matches(request, '(?i)select|drop|insert|1=1')""",
+)
 def sec05(t):
     x = requests(t).select("page_id", F.col("agent").rlike(f"(?i){SCANNERS}").alias("scanner"), F.col("request").rlike("(?i)select|drop|insert|1=1").alias("sql_words"))
     return x.filter("scanner OR sql_words")
@@ -162,26 +199,38 @@ def fcs06(t):
 
 @query(
     "fcs03_ensemble_forecast",
-    """WITH m AS (SELECT company_id, CAST(date_trunc('month', date) AS DATE) AS month, round(sum(amount), 4) AS amount FROM records GROUP BY 1, 2), f AS (SELECT *, lag(amount, 12) OVER o AS yearly, avg(amount) OVER (PARTITION BY company_id ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent, stddev_pop(amount) OVER (PARTITION BY company_id ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS d FROM m WINDOW o AS (PARTITION BY company_id ORDER BY month))
-    SELECT company_id, month, round(0.6 * yearly + 0.4 * recent, 4) AS forecast, round(least(yearly, recent) - 1.96 * d, 3) AS low, round(greatest(yearly, recent) + 1.96 * d, 3) AS high FROM f WHERE yearly IS NOT NULL""",
+    """WITH m AS (SELECT company_id, CAST(date_trunc('month', date) AS DATE) AS month, round(sum(amount), 4) AS amount FROM
+    records GROUP BY 1, 2), f AS (SELECT *, lag(amount, 12) OVER o AS yearly, avg(amount) OVER (PARTITION BY company_id ORDER
+    BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent, stddev_pop(amount) OVER (PARTITION BY company_id ORDER
+    BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS d FROM m WINDOW o AS (PARTITION BY company_id ORDER BY month))
+    SELECT company_id, month, round(0.6 * yearly + 0.4 * recent, 4) AS forecast, round(least(yearly, recent) - 1.96 * d,
+    3) AS low, round(greatest(yearly, recent) + 1.96 * d, 3) AS high FROM f WHERE yearly IS NOT NULL""",
 )
 def fcs03(t):
     """A seasonal forecast (a year ago) and a recent mean (three months), blended."""
     w = Window.partitionBy("company_id").orderBy("month")
-    f = monthly(t).withColumns({"yearly": F.lag("amount", 12).over(w), "recent": F.avg("amount").over(w.rowsBetween(-3, -1)), "d": F.stddev_pop("amount").over(w.rowsBetween(-12, -1))}).filter("yearly IS NOT NULL")
+    f = monthly(t).withColumns({"yearly": F.lag("amount", 12).over(w), "recent": F.avg("amount").over(w.rowsBetween(-3,
+        -1)), "d": F.stddev_pop("amount").over(w.rowsBetween(-12, -1))}).filter("yearly IS NOT NULL")
     b = C.blend(F.col("yearly"), F.col("recent"), F.col("d"))
     return f.select("company_id", "month", r(b["forecast"], 4).alias("forecast"), r(b["low"], 3).alias("low"), r(b["high"], 3).alias("high"))
 
 
 @query(
     "fcs09_market_risk_flags",
-    """WITH m AS (SELECT hs_code, CAST(date_trunc('month', date) AS DATE) AS month, sum(amount) AS s, avg(amount / qty) AS price, count(*) AS n FROM records GROUP BY 1, 2), p AS (SELECT *, s / lag(s) OVER w - 1 AS ret, price / lag(price) OVER w - 1 AS up FROM m WINDOW w AS (PARTITION BY hs_code ORDER BY month)),
-    g AS (SELECT hs_code, 100 * stddev_samp(ret) AS vol, 100 * avg(up) AS inflation, 100.0 * count(*) FILTER (WHERE n < 5) / count(*) AS idle, avg((ret > 0)::INT) AS mood FROM p WHERE ret IS NOT NULL GROUP BY 1)
-    SELECT hs_code, CASE WHEN vol > 30 THEN 'high' WHEN vol > 20 THEN 'medium' ELSE 'low' END AS volatility, idle > 5 AS unemployment, inflation > 3 AS inflation, mood < 0.3 AS mood FROM g""",
+    """WITH m AS (SELECT hs_code, CAST(date_trunc('month', date) AS DATE) AS month, sum(amount) AS s, avg(amount / qty) AS
+    price, count(*) AS n FROM records GROUP BY 1, 2), p AS (SELECT *, s / lag(s) OVER w - 1 AS ret, price / lag(price) OVER
+    w - 1 AS up FROM m WINDOW w AS (PARTITION BY hs_code ORDER BY month)),
+    g AS (SELECT hs_code, 100 * stddev_samp(ret) AS vol, 100 * avg(up) AS inflation, 100.0 * count(*) FILTER (WHERE n < 5)
+    / count(*) AS idle, avg((ret > 0)::INT) AS mood FROM p WHERE ret IS NOT NULL GROUP BY 1)
+    SELECT hs_code, CASE WHEN vol > 30 THEN 'high' WHEN vol > 20 THEN 'medium' ELSE 'low' END AS volatility, idle > 5 AS
+    unemployment, inflation > 3 AS inflation, mood < 0.3 AS mood FROM g""",
 )
 def fcs09(t):
     w = Window.partitionBy("hs_code").orderBy("month")
-    m = t("records").groupBy("hs_code", F.trunc("date", "month").alias("month")).agg(F.sum("amount").alias("s"), F.avg(F.col("amount") / F.col("qty")).alias("price"), rows().alias("n"))
+    m = t("records").groupBy("hs_code", F.trunc("date", "month").alias("month")).agg(F.sum("amount").alias("s"),
+        F.avg(F.col("amount") / F.col("qty")).alias("price"), rows().alias("n"))
     p = m.withColumns({"ret": F.col("s") / F.lag("s").over(w) - 1, "up": F.col("price") / F.lag("price").over(w) - 1}).filter("ret IS NOT NULL")
-    g = p.groupBy("hs_code").agg((100 * F.stddev_samp("ret")).alias("vol"), (100 * F.avg("up")).alias("i"), (100.0 * F.count_if(F.col("n") < 5) / rows()).alias("idle"), F.avg((F.col("ret") > 0).cast("int")).alias("m"))
-    return g.select("hs_code", F.when(F.col("vol") > 30, "high").when(F.col("vol") > 20, "medium").otherwise("low").alias("volatility"), (F.col("idle") > 5).alias("unemployment"), (F.col("i") > 3).alias("inflation"), (F.col("m") < 0.3).alias("mood"))
+    g = p.groupBy("hs_code").agg((100 * F.stddev_samp("ret")).alias("vol"), (100 * F.avg("up")).alias("i"),
+        (100.0 * F.count_if(F.col("n") < 5) / rows()).alias("idle"), F.avg((F.col("ret") > 0).cast("int")).alias("m"))
+    return g.select("hs_code", F.when(F.col("vol") > 30, "high").when(F.col("vol") > 20, "medium").otherwise("low").alias("volatility"),
+        (F.col("idle") > 5).alias("unemployment"), (F.col("i") > 3).alias("inflation"), (F.col("m") < 0.3).alias("mood"))

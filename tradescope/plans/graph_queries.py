@@ -33,7 +33,13 @@ def grf02(t):
     return G.degrees(t("edges")).withColumn("centrality", r(F.col("centrality")))
 
 
-@query("grf04_clustering", f"WITH {_DEG}, tri AS (SELECT a.node, count(*) / 2 AS n FROM both_ways a JOIN both_ways b ON a.node = b.node AND a.other <> b.other JOIN both_ways c ON c.node = a.other AND c.other = b.other GROUP BY 1) SELECT node, round(CASE WHEN degree > 1 THEN coalesce(n, 0) / (degree * (degree - 1) / 2.0) ELSE 0 END, 6)::DOUBLE AS clustering FROM deg LEFT JOIN tri USING (node)")
+@query(
+    "grf04_clustering",
+    f"""WITH {_DEG}, tri AS (SELECT a.node, count(*) / 2 AS n FROM both_ways a JOIN both_ways b ON a.node = b.node AND a.other <>
+    b.other JOIN both_ways c ON c.node = a.other AND c.other = b.other GROUP BY 1) SELECT node, round(CASE WHEN degree >
+    1 THEN coalesce(n, 0) / (degree * (degree - 1) / 2.0) ELSE 0 END, 6)::DOUBLE AS clustering FROM deg LEFT JOIN tri USING
+    (node)""",
+)
 def grf04(t):
     return G.clustering(t("edges")).withColumn("clustering", r(F.col("clustering")))
 
@@ -56,7 +62,8 @@ _BFS = f"WITH RECURSIVE {_BOTH}, bfs(node, d) AS (SELECT DISTINCT src, 0 FROM ed
 
 @query("grf14_ego_network", f"WITH {_BOTH} SELECT node, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS neighbours FROM both_ways GROUP BY 1")
 def grf14(t):
-    return joins.undirected(t("edges")).groupBy("node").agg(F.array_join(F.transform(F.sort_array(F.collect_list("other")), lambda x: x.cast("string")), ",").alias("neighbours"))
+    return joins.undirected(t("edges")).groupBy("node").agg(F.array_join(F.transform(F.sort_array(F.collect_list("other")),
+        lambda x: x.cast("string")), ",").alias("neighbours"))
 
 
 @query("grf15_label_propagation")
@@ -64,41 +71,67 @@ def grf15(t):
     return G.communities(t("edges"))
 
 
-@query("grf18_graph_metrics", f"{_REACH}, c AS (SELECT node, min(far) AS component FROM reach GROUP BY 1) SELECT (SELECT count(*) FROM c) AS nodes, (SELECT count(*) FROM edges) AS edges, round(2.0 * (SELECT count(*) FROM edges) / ((SELECT count(*) FROM c) * ((SELECT count(*) FROM c) - 1)), 6)::DOUBLE AS density, (SELECT count(DISTINCT component) FROM c) AS components")
+@query(
+    "grf18_graph_metrics",
+    f"""{_REACH}, c AS (SELECT node, min(far) AS component FROM reach GROUP BY 1) SELECT (SELECT count(*) FROM c) AS nodes, (SELECT
+    count(*) FROM edges) AS edges, round(2.0 * (SELECT count(*) FROM edges) / ((SELECT count(*) FROM c) * ((SELECT count(*)
+    FROM c) - 1)), 6)::DOUBLE AS density, (SELECT count(DISTINCT component) FROM c) AS components""",
+)
 def grf18(t):
     c = G.components(t("edges")).agg(rows().alias("nodes"), F.count_distinct("component").alias("components"))
     e = t("edges").agg(rows().alias("edges"))
-    return c.join(F.broadcast(e)).select("nodes", "edges", r(2.0 * F.col("edges") / F.nullif(F.col("nodes") * (F.col("nodes") - 1), F.lit(0))).alias("density"), "components")
+    return c.join(F.broadcast(e)).select("nodes", "edges", r(2.0 * F.col("edges") / F.nullif(F.col("nodes") * (F.col("nodes") - 1),
+        F.lit(0))).alias("density"), "components")
 
 
-@query("grf20_closure_candidates", "SELECT DISTINCT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = a.src AND e.dst = b.dst)")
+@query(
+    "grf20_closure_candidates",
+    """SELECT DISTINCT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM
+    edges e WHERE e.src = a.src AND e.dst = b.dst)""",
+)
 def grf20(t):
     return G.closure_candidates(t("edges"))
 
 
-@query("grf22_triple_patterns", "SELECT DISTINCT n_name AS place, r_name AS area FROM nation JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal < 0")
+@query(
+    "grf22_triple_patterns",
+    """SELECT DISTINCT n_name AS place, r_name AS area FROM nation JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey
+    = n_nationkey WHERE s_acctbal < 0""",
+)
 def grf22(t):
-    n, s = t("nation").join(joins.checked_broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")), t("supplier").join(joins.checked_broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    triples = n.select(F.col("n_name").alias("s"), F.lit("in").alias("p"), F.col("r_name").alias("o")).union(s.select("s_name", F.lit("at"), "n_name")).union(s.filter("s_acctbal < 0").select("s_name", F.lit("is"), F.lit("indebted")))
+    n, s = t("nation").join(joins.checked_broadcast(t("region")),
+        F.col("n_regionkey") == F.col("r_regionkey")), t("supplier").join(joins.checked_broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    triples = n.select(F.col("n_name").alias("s"), F.lit("in").alias("p"), F.col("r_name").alias("o")).union(s.select("s_name",
+        F.lit("at"), "n_name")).union(s.filter("s_acctbal < 0").select("s_name", F.lit("is"), F.lit("indebted")))
     return G.match_triples(triples, [("?firm", "is", "indebted"), ("?firm", "at", "?place"), ("?place", "in", "?area")]).select("place", "area").distinct()
 
 
-@query("grf23_isolated_nodes", "WITH h AS (SELECT * FROM edges WHERE weight >= 7) SELECT company_id FROM companies WHERE company_id NOT IN (SELECT src FROM h UNION SELECT dst FROM h)")
+@query(
+    "grf23_isolated_nodes",
+    """WITH h AS (SELECT * FROM edges WHERE weight >= 7) SELECT company_id FROM companies WHERE company_id NOT IN (SELECT src FROM
+    h UNION SELECT dst FROM h)""",
+)
 def grf23(t):
     """Companies without a heavy link."""
     return joins.in_list(t("companies").select("company_id"), "company_id", joins.undirected(t("edges").filter("weight >= 7")).select("node"), negate=True)
 
 
-@query("grf25_transaction_graph", "SELECT user_id, merchant, arg_max(amount, (ts, transaction_id)) AS last_amount, count(*) AS n FROM transactions GROUP BY 1, 2")
+@query(
+    "grf25_transaction_graph",
+    """SELECT user_id, merchant, arg_max(amount, (ts, transaction_id)) AS last_amount, count(*) AS n FROM transactions GROUP BY
+    1, 2""",
+)
 def grf25(t):
     return t("transactions").groupBy("user_id", "merchant").agg(F.max_by("amount", F.struct("ts", "transaction_id")).alias("last_amount"), rows().alias("n"))
 
 
 #: Walks of so many steps are counted in the SQL of distances; the test graphs are no deeper.
 _DEPTH = 6
-_WALKS = ", ".join(f"w{k} AS (SELECT w.s, b.other AS t, sum(w.n)::DOUBLE AS n FROM w{k - 1} w JOIN both_ways b ON b.node = w.t GROUP BY 1, 2)" for k in range(2, _DEPTH + 1))
+_WALKS = ", ".join(f"w{k} AS (SELECT w.s, b.other AS t, sum(w.n)::DOUBLE AS n FROM w{k - 1} w JOIN both_ways b ON b.node = w.t GROUP BY 1, 2)" for k in range(2,
+    _DEPTH + 1))
 _ALL = " UNION ALL ".join(f"SELECT s, t, n, {k} AS d FROM w{k}" for k in range(1, _DEPTH + 1))
-_DIST = f"""{_BOTH}, w1 AS (SELECT node AS s, other AS t, 1.0::DOUBLE AS n FROM both_ways), {_WALKS}, walks AS ({_ALL} UNION ALL SELECT DISTINCT node, node, 1.0, 0 FROM both_ways),
+_DIST = f"""{_BOTH}, w1 AS (SELECT node AS s, other AS t, 1.0::DOUBLE AS n FROM both_ways), {_WALKS}, walks AS ({_ALL} UNION
+    ALL SELECT DISTINCT node, node, 1.0, 0 FROM both_ways),
     dist AS (SELECT s, t, min(d)::INTEGER AS d, arg_min(n, d) AS n FROM walks GROUP BY 1, 2)"""
 
 
@@ -107,7 +140,13 @@ def asked(t):
     return t("companies").filter("company_id % 100 = 0").select("company_id")
 
 
-@query("grf03_betweenness", f"WITH {_DIST}, c AS (SELECT count(DISTINCT s) AS n FROM dist), b AS (SELECT v.t AS node, sum(v.n * x.n / st.n) AS s FROM dist v JOIN dist x ON x.s = v.t AND v.d > 0 AND x.d > 0 JOIN dist st ON st.s = v.s AND st.t = x.t AND st.d = v.d + x.d GROUP BY 1) SELECT z.s AS node, round(coalesce(max(b.s), 0) / max((c.n - 1) * (c.n - 2)), 6)::DOUBLE AS betweenness FROM (SELECT DISTINCT s FROM dist) z LEFT JOIN b ON b.node = z.s, c GROUP BY z.s")
+@query(
+    "grf03_betweenness",
+    f"""WITH {_DIST}, c AS (SELECT count(DISTINCT s) AS n FROM dist), b AS (SELECT v.t AS node, sum(v.n * x.n / st.n) AS s FROM dist
+    v JOIN dist x ON x.s = v.t AND v.d > 0 AND x.d > 0 JOIN dist st ON st.s = v.s AND st.t = x.t AND st.d = v.d + x.d GROUP
+    BY 1) SELECT z.s AS node, round(coalesce(max(b.s), 0) / max((c.n - 1) * (c.n - 2)), 6)::DOUBLE AS betweenness FROM (SELECT
+    DISTINCT s FROM dist) z LEFT JOIN b ON b.node = z.s, c GROUP BY z.s""",
+)
 def grf03(t):
     return N.betweenness(t("edges")).withColumn("betweenness", r(F.col("betweenness")))
 
@@ -118,10 +157,16 @@ _DIRECTED = "dir AS (SELECT CASE WHEN weight % 2 = 1 THEN src ELSE dst END AS a,
 def directed(t):
     """Edges with a direction: from the smaller to the larger id where the weight is odd, else back."""
     odd = F.col("weight") % 2 == 1
-    return t("edges").select(F.when(odd, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(odd, F.col("dst")).otherwise(F.col("src")).alias("dst"), "weight")
+    return t("edges").select(F.when(odd, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(odd,
+        F.col("dst")).otherwise(F.col("src")).alias("dst"), "weight")
 
 
-@query("grf06_strong_components", f"WITH RECURSIVE {_DIRECTED}, reach(a, b) AS (SELECT a, a FROM dir UNION SELECT b, b FROM dir UNION SELECT reach.a, dir.b FROM reach JOIN dir ON dir.a = reach.b) SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY 1")
+@query(
+    "grf06_strong_components",
+    f"""WITH RECURSIVE {_DIRECTED}, reach(a, b) AS (SELECT a, a FROM dir UNION SELECT b, b FROM dir UNION SELECT reach.a, dir.b FROM
+    reach JOIN dir ON dir.a = reach.b) SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND
+    y.b = x.a GROUP BY 1""",
+)
 def grf06(t):
     return N.strong_components(directed(t))
 
@@ -156,7 +201,9 @@ _TRI = "tri AS (SELECT a.node, count(*) / 2 AS n FROM both_ways a JOIN both_ways
 @query(
     "grf11_network_risk",
     f"""WITH {_DEG}, {_TRI}, rich AS (SELECT node, avg((balance > 5000)::INT) AS share FROM both_ways JOIN companies ON company_id = other GROUP BY 1)
-    SELECT node, round(0.4 * degree / ((SELECT count(*) FROM deg) - 1) + 0.3 * share + 0.3 * CASE WHEN degree > 1 THEN coalesce(n, 0) / (degree * (degree - 1) / 2.0) ELSE 0 END, 6)::DOUBLE AS risk FROM deg JOIN rich USING (node) LEFT JOIN tri USING (node)""",
+    SELECT node, round(0.4 * degree / ((SELECT count(*) FROM deg) - 1) + 0.3 * share + 0.3 * CASE WHEN degree > 1 THEN coalesce(n,
+    0) / (degree * (degree - 1) / 2.0) ELSE 0 END, 6)::DOUBLE AS risk FROM deg JOIN rich USING (node) LEFT JOIN tri USING
+    (node)""",
 )
 def grf11(t):
     e = t("edges")
@@ -167,22 +214,35 @@ def grf11(t):
 
 @query(
     "grf12_sector_influence",
-    """WITH s AS (SELECT nation_id AS sector, src, dst, weight FROM edges JOIN companies ON company_id = src), o AS (SELECT sector, src, count(*) AS n FROM s GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY n DESC, src) AS k, sum(n) OVER (PARTITION BY sector) AS total, count(*) OVER (PARTITION BY sector) AS size FROM o)
-    SELECT sector, string_agg(src, ',' ORDER BY k) FILTER (WHERE k <= 10) AS leaders, round(max(total) * 1.0 / nullif(max(size * (size - 1)), 0), 6)::DOUBLE AS density, round(sum((n * 1.0 / total) * (n * 1.0 / total)), 6)::DOUBLE AS concentration FROM k GROUP BY 1""",
+    """WITH s AS (SELECT nation_id AS sector, src, dst, weight FROM edges JOIN companies ON company_id = src), o AS (SELECT
+    sector, src, count(*) AS n FROM s GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY n DESC,
+    src) AS k, sum(n) OVER (PARTITION BY sector) AS total, count(*) OVER (PARTITION BY sector) AS size FROM o)
+    SELECT sector, string_agg(src, ',' ORDER BY k) FILTER (WHERE k <= 10) AS leaders, round(max(total) * 1.0 / nullif(max(size
+    * (size - 1)), 0), 6)::DOUBLE AS density, round(sum((n * 1.0 / total) * (n * 1.0 / total)), 6)::DOUBLE AS concentration
+    FROM k GROUP BY 1""",
 )
 def grf12(t):
-    o = t("edges").join(t("companies").select(F.col("company_id").alias("src"), F.col("nation_id").alias("sector")), "src").groupBy("sector", "src").agg(rows().alias("n"))
+    o = t("edges").join(t("companies").select(F.col("company_id").alias("src"), F.col("nation_id").alias("sector")),
+        "src").groupBy("sector", "src").agg(rows().alias("n"))
     g = o.groupBy("sector").agg(F.sum("n").alias("total"), rows().alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     top = o.withColumn("k", F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("n"), "src"))).filter("k <= 10")
-    leaders = top.groupBy("sector").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "src"))), lambda x: x["src"].cast("string")), ",").alias("leaders"))
-    return g.join(leaders, "sector").select("sector", "leaders", r(F.col("total") / F.nullif(F.col("size") * (F.col("size") - 1), F.lit(0))).alias("density"), r(F.col("squares") / (F.col("total") * F.col("total"))).alias("concentration"))
+    leaders = top.groupBy("sector").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "src"))),
+        lambda x: x["src"].cast("string")), ",").alias("leaders"))
+    return g.join(leaders, "sector").select("sector", "leaders", r(F.col("total") / F.nullif(F.col("size") * (F.col("size") - 1),
+        F.lit(0))).alias("density"), r(F.col("squares") / (F.col("total") * F.col("total"))).alias("concentration"))
 
 
-@query("grf13_pair_relationship", f"WITH {_BOTH} SELECT e.src AS a, e.dst AS b, any_value(e.weight) AS weight, count(y.other) AS shared FROM edges e LEFT JOIN both_ways x ON x.node = e.src LEFT JOIN both_ways y ON y.node = e.dst AND y.other = x.other WHERE e.src % 10 = 0 OR e.weight >= 6 GROUP BY 1, 2")
+@query(
+    "grf13_pair_relationship",
+    f"""WITH {_BOTH} SELECT e.src AS a, e.dst AS b, any_value(e.weight) AS weight, count(y.other) AS shared FROM edges e LEFT JOIN
+    both_ways x ON x.node = e.src LEFT JOIN both_ways y ON y.node = e.dst AND y.other = x.other WHERE e.src % 10 = 0 OR e.weight
+    >= 6 GROUP BY 1, 2""",
+)
 def grf13(t):
     pairs = t("edges").filter("src % 10 = 0 OR weight >= 6").select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
     both = joins.undirected(t("edges"))
-    shared = pairs.join(both.select(F.col("node").alias("a"), F.col("other").alias("c")), "a").join(both.select(F.col("node").alias("b"), F.col("other").alias("c")), ["b", "c"]).groupBy("a", "b").agg(rows().alias("shared"))
+    shared = pairs.join(both.select(F.col("node").alias("a"), F.col("other").alias("c")), "a").join(both.select(F.col("node").alias("b"),
+        F.col("other").alias("c")), ["b", "c"]).groupBy("a", "b").agg(rows().alias("shared"))
     return pairs.join(shared, ["a", "b"], "left").select("a", "b", "weight", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
@@ -192,7 +252,12 @@ def grf16(t):
     return N.modularity(e, G.communities(e)).withColumn("modularity", r(F.col("modularity")))
 
 
-@query("grf17_closeness", f"WITH {_DIST}, g AS (SELECT s AS node, count(*) AS k, sum(d) AS far FROM dist WHERE d > 0 GROUP BY 1) SELECT node, round(k * 1.0 / far * k / nullif((SELECT count(DISTINCT t) FROM dist) - 1, 0), 6)::DOUBLE AS closeness FROM g ORDER BY 2 DESC, 1 LIMIT 10")
+@query(
+    "grf17_closeness",
+    f"""WITH {_DIST}, g AS (SELECT s AS node, count(*) AS k, sum(d) AS far FROM dist WHERE d > 0 GROUP BY 1) SELECT node, round(k
+    * 1.0 / far * k / nullif((SELECT count(DISTINCT t) FROM dist) - 1, 0), 6)::DOUBLE AS closeness FROM g ORDER BY 2 DESC,
+    1 LIMIT 10""",
+)
 def grf17(t):
     c = N.closeness(N.all_distances(t("edges")))
     return c.withColumn("closeness", r(F.col("closeness"))).orderBy(F.desc("closeness"), "node").limit(10)
@@ -203,7 +268,11 @@ def grf17b(t):
     return N.eigenvector(t("edges")).withColumn("score", r(F.col("score"), 5)).orderBy(F.desc("score"), "node").limit(10)
 
 
-@query("grf19_path_lengths", f"WITH {_DIST}, x AS (SELECT d AS distance, count(*) AS pairs FROM dist WHERE d > 0 GROUP BY 1) SELECT distance, pairs, max(distance) OVER () AS diameter FROM x")
+@query(
+    "grf19_path_lengths",
+    f"""WITH {_DIST}, x AS (SELECT d AS distance, count(*) AS pairs FROM dist WHERE d > 0 GROUP BY 1) SELECT distance, pairs, max(distance)
+    OVER () AS diameter FROM x""",
+)
 def grf19(t):
     x = N.all_distances(t("edges")).filter("distance > 0").groupBy("distance").agg(rows().alias("pairs"))
     return A.with_figures(x, F.max("distance").alias("diameter"))
@@ -212,26 +281,42 @@ def grf19(t):
 _CLASSES = "SELECT DISTINCT p_brand AS s, p_type AS o FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL UNION SELECT DISTINCT p_type, 'goods' FROM part UNION SELECT 'goods', 'thing' UNION SELECT DISTINCT p_name, p_brand FROM part"
 
 
-@query("grf21_subclass_closure", f"WITH RECURSIVE e AS ({_CLASSES}), c(s, o) AS (SELECT s, o FROM e UNION SELECT c.s, e.o FROM c JOIN e ON e.s = c.o) SELECT s, o FROM c")
+@query(
+    "grf21_subclass_closure",
+    f"""WITH RECURSIVE e AS ({_CLASSES}), c(s, o) AS (SELECT s, o FROM e UNION SELECT c.s, e.o FROM c JOIN e ON e.s = c.o) SELECT
+    s, o FROM c""",
+)
 def grf21(t):
     p = t("part")
     pair = lambda s, o: p.select(s.alias("s"), F.lit("subClassOf").alias("p"), o.alias("o"))
-    triples = pair(F.col("p_brand"), F.col("p_type")).union(pair(F.col("p_type"), F.lit("goods"))).union(pair(F.col("p_name"), F.col("p_brand"))).union(pair(F.lit("goods"), F.lit("thing")))
+    triples = pair(F.col("p_brand"), F.col("p_type")).union(pair(F.col("p_type"), F.lit("goods"))).union(pair(F.col("p_name"),
+        F.col("p_brand"))).union(pair(F.lit("goods"), F.lit("thing")))
     return N.subclass_closure(triples)
 
 
-@query("grf24_entities_relations", "WITH s AS (SELECT s_suppkey, s_name, n_name, r_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey), x AS (SELECT 'company' AS kind, s_name AS name FROM s UNION ALL SELECT 'place', n_name FROM s UNION ALL SELECT 'place', r_name FROM s) SELECT 'entity' AS part, kind AS type, name, count(*) AS n FROM x GROUP BY 2, 3 UNION ALL SELECT 'relation', 'located in', n_name, count(*) FROM s GROUP BY 3 UNION ALL SELECT 'relation', 'active in', r_name, count(*) FROM s GROUP BY 3 UNION ALL SELECT 'relation', 'is', s_name, count(*) FROM s GROUP BY 3")
+@query(
+    "grf24_entities_relations",
+    """WITH s AS (SELECT s_suppkey, s_name, n_name, r_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON
+    r_regionkey = n_regionkey), x AS (SELECT 'company' AS kind, s_name AS name FROM s UNION ALL SELECT 'place', n_name FROM
+    s UNION ALL SELECT 'place', r_name FROM s) SELECT 'entity' AS part, kind AS type, name, count(*) AS n FROM x GROUP BY
+    2, 3 UNION ALL SELECT 'relation', 'located in', n_name, count(*) FROM s GROUP BY 3 UNION ALL SELECT 'relation', 'active in',
+    r_name, count(*) FROM s GROUP BY 3 UNION ALL SELECT 'relation', 'is', s_name, count(*) FROM s GROUP BY 3""",
+)
 def grf24(t):
     s = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    entities, relations = N.entities_and_relations(s, "s_suppkey", [("s_name", "company", "is"), ("n_name", "place", "located in"), ("r_name", "place", "active in")])
+    entities, relations = N.entities_and_relations(s, "s_suppkey", [("s_name", "company", "is"), ("n_name", "place",
+        "located in"), ("r_name", "place", "active in")])
     links = relations.groupBy("type", F.col("dst").alias("name")).agg(rows().alias("n")).select(F.lit("relation").alias("part"), "type", "name", "n")
     return entities.select(F.lit("entity").alias("part"), "type", "name", "n").union(links)
 
 
 @query(
     "grf26_lobbying_report",
-    """WITH h AS (SELECT hs_code, count(DISTINCT company_id) AS firms, sum(amount) AS s FROM records GROUP BY 1 HAVING count(DISTINCT company_id) > 5), c AS (SELECT hs_code, company_id, sum(amount) AS v FROM records GROUP BY 1, 2), k AS (SELECT hs_code, sum((v / t) * (v / t)) AS herfindahl FROM (SELECT *, sum(v) OVER (PARTITION BY hs_code) AS t FROM c) GROUP BY 1)
-    SELECT 'cluster' AS pattern, hs_code AS key, round(firms, 4)::DOUBLE AS value FROM h UNION ALL SELECT 'concentration', hs_code, round(herfindahl, 6) FROM k WHERE herfindahl > 0.01""",
+    """WITH h AS (SELECT hs_code, count(DISTINCT company_id) AS firms, sum(amount) AS s FROM records GROUP BY 1 HAVING count(DISTINCT
+    company_id) > 5), c AS (SELECT hs_code, company_id, sum(amount) AS v FROM records GROUP BY 1, 2), k AS (SELECT hs_code,
+    sum((v / t) * (v / t)) AS herfindahl FROM (SELECT *, sum(v) OVER (PARTITION BY hs_code) AS t FROM c) GROUP BY 1)
+    SELECT 'cluster' AS pattern, hs_code AS key, round(firms, 4)::DOUBLE AS value FROM h UNION ALL SELECT 'concentration',
+    hs_code, round(herfindahl, 6) FROM k WHERE herfindahl > 0.01""",
 )
 def grf26(t):
     c = t("records").groupBy("hs_code", "company_id").agg(F.sum("amount").alias("v"))

@@ -23,7 +23,8 @@ def rows():
 
 
 def features(t):
-    return t("transactions").select("transaction_id", "amount", F.col("location").cast("double").alias("location"), F.hour("ts").cast("double").alias("hour"), (F.col("merchant") == "error").cast("int").alias("label"))
+    return t("transactions").select("transaction_id", "amount", F.col("location").cast("double").alias("location"),
+        F.hour("ts").cast("double").alias("hour"), (F.col("merchant") == "error").cast("int").alias("label"))
 
 
 @query("out05_isolation_forest")
@@ -67,7 +68,14 @@ def fcs05(t):
 _SENT = r"[x FOR x IN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) IF trim(x) <> '']"
 
 
-@query("txt17_span_merge", "WITH s AS (SELECT user_id, epoch_ms(date_trunc('second', ts)) // 1000 AS a, epoch_ms(date_trunc('second', ts)) // 1000 + 3600 AS b, event_id FROM events), m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s), g AS (SELECT *, sum(CASE WHEN before >= a THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY a, event_id) AS g FROM m) SELECT user_id, min(a) AS start, max(b) AS stop, count(*) AS parts FROM g GROUP BY user_id, g")
+@query(
+    "txt17_span_merge",
+    """WITH s AS (SELECT user_id, epoch_ms(date_trunc('second', ts)) // 1000 AS a, epoch_ms(date_trunc('second', ts)) // 1000 +
+    3600 AS b, event_id FROM events), m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, event_id ROWS BETWEEN
+    UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s), g AS (SELECT *, sum(CASE WHEN before >= a THEN 0 ELSE 1 END)
+    OVER (PARTITION BY user_id ORDER BY a, event_id) AS g FROM m) SELECT user_id, min(a) AS start, max(b) AS stop, count(*)
+    AS parts FROM g GROUP BY user_id, g""",
+)
 def txt17(t):
     a = F.unix_timestamp(F.col("ts").cast("timestamp"))
     s = t("events").select("user_id", a.alias("a"), (a + 3600).alias("b"), "event_id")
@@ -77,7 +85,13 @@ def txt17(t):
     return g.groupBy("user_id", "g").agg(F.min("a").alias("start"), F.max("b").alias("stop"), rows().alias("parts")).drop("g")
 
 
-@query("sec03_login_level", "WITH x AS (SELECT *, event_type IN ('error', 'click') AS hit FROM events), y AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM x), z AS (SELECT *, sum(hit::INT) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS run FROM y) SELECT event_id, CASE WHEN run >= 5 THEN 'high' WHEN run >= 3 THEN 'medium' ELSE 'low' END AS level FROM z WHERE hit")
+@query(
+    "sec03_login_level",
+    """WITH x AS (SELECT *, event_type IN ('error', 'click') AS hit FROM events), y AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE
+    1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM x), z AS (SELECT *, sum(hit::INT) OVER (PARTITION
+    BY user_id, island ORDER BY ts, event_id) AS run FROM y) SELECT event_id, CASE WHEN run >= 5 THEN 'high' WHEN run >=
+    3 THEN 'medium' ELSE 'low' END AS level FROM z WHERE hit""",
+)
 def sec03(t):
     hit = F.col("event_type").isin("error", "click")
     runs = W.runs_of(t("events"), ["user_id"], ["ts", "event_id"], hit)
@@ -86,19 +100,33 @@ def sec03(t):
 
 @query("sec08_audit_query", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-24' AND event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100")
 def sec08(t):
-    return t("events").filter("ts > TIMESTAMP_NTZ '2024-01-24 00:00:00' AND event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id")
+    return t("events").filter("ts > TIMESTAMP_NTZ '2024-01-24 00:00:00' AND event_type = 'error'").orderBy(F.desc("ts"),
+        F.desc("event_id")).limit(100).select("event_id")
 
 
-@query("rec09_personalisation", "WITH own AS (SELECT user_id, item_id, max(rating) AS rating FROM interactions GROUP BY 1, 2), liked AS (SELECT DISTINCT user_id, item_id % 8 AS category FROM own WHERE rating >= 4) SELECT o.user_id, o.item_id, CASE WHEN o.rating >= 3 THEN o.rating / 5.0 WHEN l.user_id IS NOT NULL THEN 0.7 ELSE 0.5 END::DOUBLE AS score FROM own o LEFT JOIN liked l ON l.user_id = o.user_id AND l.category = o.item_id % 8")
+@query(
+    "rec09_personalisation",
+    """WITH own AS (SELECT user_id, item_id, max(rating) AS rating FROM interactions GROUP BY 1, 2), liked AS (SELECT DISTINCT user_id,
+    item_id % 8 AS category FROM own WHERE rating >= 4) SELECT o.user_id, o.item_id, CASE WHEN o.rating >= 3 THEN o.rating
+    / 5.0 WHEN l.user_id IS NOT NULL THEN 0.7 ELSE 0.5 END::DOUBLE AS score FROM own o LEFT JOIN liked l ON l.user_id = o.user_id
+    AND l.category = o.item_id % 8""",
+)
 def rec09(t):
     own = t("interactions").groupBy("user_id", "item_id").agg(F.max("rating").alias("rating")).withColumn("category", F.col("item_id") % 8)
     liked = own.filter("rating >= 4").select("user_id", "category", F.lit(True).alias("liked")).distinct()
-    return own.join(liked, ["user_id", "category"], "left").select("user_id", "item_id", F.when(F.col("rating") >= 3, F.col("rating") / 5.0).when(F.col("liked"), 0.7).otherwise(0.5).alias("score"))
+    return own.join(liked, ["user_id", "category"], "left").select("user_id", "item_id", F.when(F.col("rating") >= 3,
+        F.col("rating") / 5.0).when(F.col("liked"), 0.7).otherwise(0.5).alias("score"))
 
 
-@query("mon04_degradation_level", "WITH m AS (SELECT event_type AS model, avg(value) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS a, avg(value) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS b FROM events GROUP BY 1) SELECT model, round(greatest(0, (a - b) / a), 6) AS degradation, greatest(0, (a - b) / a) > 0.015 AS trigger FROM m")
+@query(
+    "mon04_degradation_level",
+    """WITH m AS (SELECT event_type AS model, avg(value) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS a, avg(value) FILTER (WHERE
+    ts >= TIMESTAMP '2024-01-16') AS b FROM events GROUP BY 1) SELECT model, round(greatest(0, (a - b) / a), 6) AS degradation,
+    greatest(0, (a - b) / a) > 0.015 AS trigger FROM m""",
+)
 def mon04(t):
     early = F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-16 00:00:00'")
-    m = t("events").groupBy(F.col("event_type").alias("model")).agg(F.avg(F.when(early, F.col("value"))).alias("a"), F.avg(F.when(~early, F.col("value"))).alias("b"))
+    m = t("events").groupBy(F.col("event_type").alias("model")).agg(F.avg(F.when(early, F.col("value"))).alias("a"),
+        F.avg(F.when(~early, F.col("value"))).alias("b"))
     d = F.greatest(F.lit(0.0), (F.col("a") - F.col("b")) / F.col("a"))
     return m.select("model", r(d).alias("degradation"), (d > 0.015).alias("trigger"))

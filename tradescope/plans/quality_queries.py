@@ -36,7 +36,11 @@ def dq01(t):
     return Q.validation(t("lineitem"), "l_orderkey", rules())
 
 
-@query("dq02_format_check", "SELECT count(*) FILTER (WHERE NOT regexp_matches(c_name, '^Customer#[0-9]{9}$')) AS bad_names, count(*) FILTER (WHERE NOT regexp_matches(c_mktsegment, '^[A-Z]+$')) AS bad_segments FROM customer")
+@query(
+    "dq02_format_check",
+    """SELECT count(*) FILTER (WHERE NOT regexp_matches(c_name, '^Customer#[0-9]{9}$')) AS bad_names, count(*) FILTER (WHERE NOT
+    regexp_matches(c_mktsegment, '^[A-Z]+$')) AS bad_segments FROM customer""",
+)
 def dq02(t):
     return t("customer").agg(F.count_if(~F.col("c_name").rlike("^Customer#[0-9]{9}$")).alias("bad_names"), F.count_if(~F.col("c_mktsegment").rlike("^[A-Z]+$")).alias("bad_segments"))
 
@@ -46,39 +50,67 @@ def dq04(t):
     return t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(rows().alias("n")).filter("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicates"))
 
 
-@query("dq05_dq10_completeness", "SELECT round(avg(CASE WHEN l_quantity > 45 THEN 0 ELSE 1 END), 6) AS quantity, 1.0::DOUBLE AS price, avg(CASE WHEN l_quantity > 45 THEN 0 ELSE 1 END) < 0.95 AS failed, round((avg(CASE WHEN l_quantity > 45 THEN 0 ELSE 1 END) + 1) / 2, 6) AS dimension FROM lineitem")
+@query(
+    "dq05_dq10_completeness",
+    """SELECT round(avg(CASE WHEN l_quantity > 45 THEN 0 ELSE 1 END), 6) AS quantity, 1.0::DOUBLE AS price, avg(CASE WHEN l_quantity
+    > 45 THEN 0 ELSE 1 END) < 0.95 AS failed, round((avg(CASE WHEN l_quantity > 45 THEN 0 ELSE 1 END) + 1) / 2, 6) AS dimension
+    FROM lineitem""",
+)
 def dq05(t):
     d = t("lineitem").select(F.when(F.col("l_quantity") <= 45, F.col("l_quantity")).alias("q"), "l_extendedprice")
     known = lambda c: F.avg(F.col(c).isNotNull().cast("int"))
-    return d.agg(r(known("q")).alias("quantity"), known("l_extendedprice").alias("price"), (known("q") < 0.95).alias("failed"), r((known("q") + known("l_extendedprice")) / 2).alias("dimension"))
+    return d.agg(r(known("q")).alias("quantity"), known("l_extendedprice").alias("price"), (known("q") < 0.95).alias("failed"),
+        r((known("q") + known("l_extendedprice")) / 2).alias("dimension"))
 
 
 @query("dq07_referential_integrity", "SELECT count(*) AS orphans FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
 def dq07(t):
-    return t("orders").join(t("customer").filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti").agg(rows().alias("orphans"))
+    return t("orders").join(t("customer").filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("o_custkey")),
+        "o_custkey", "left_anti").agg(rows().alias("orphans"))
 
 
-@query("dq08_validation_score", f"SELECT round(greatest(0, 1 - avg(CASE WHEN e > 0 THEN 1.0 ELSE 0.0 END) - avg(e)), 4)::DOUBLE AS score FROM (SELECT {' + '.join(f'CASE WHEN {v} THEN 1 ELSE 0 END' for v in _BAD.values())} AS e FROM lineitem WHERE l_quantity < 46)")
+@query(
+    "dq08_validation_score",
+    f"""SELECT round(greatest(0, 1 - avg(CASE WHEN e > 0 THEN 1.0 ELSE 0.0 END) - avg(e)), 4)::DOUBLE AS score FROM (SELECT
+    {' + '.join(f'CASE WHEN {v} THEN 1 ELSE 0 END' for v in _BAD.values())}
+    AS e FROM lineitem WHERE l_quantity < 46)""",
+)
 def dq08(t):
     return Q.validation_score(t("lineitem").filter("l_quantity < 46"), rules())
 
 
-@query("dq09_accuracy", "WITH q AS (SELECT quantile_cont(s_acctbal, 0.25) AS a, quantile_cont(s_acctbal, 0.75) AS b FROM supplier) SELECT round(1 - (count(*) FILTER (WHERE s_acctbal < 0) + count(*) FILTER (WHERE s_acctbal < a - 1.5 * (b - a) OR s_acctbal > b + 1.5 * (b - a)) + count(*) FILTER (WHERE lower(s_name) IN ('n/a', 'unknown', 'test'))) / (3.0 * count(*)), 6)::DOUBLE AS accuracy FROM supplier, q")
+@query(
+    "dq09_accuracy",
+    """WITH q AS (SELECT quantile_cont(s_acctbal, 0.25) AS a, quantile_cont(s_acctbal, 0.75) AS b FROM supplier) SELECT round(1
+    - (count(*) FILTER (WHERE s_acctbal < 0) + count(*) FILTER (WHERE s_acctbal < a - 1.5 * (b - a) OR s_acctbal > b + 1.5
+    * (b - a)) + count(*) FILTER (WHERE lower(s_name) IN ('n/a', 'unknown', 'test'))) / (3.0 * count(*)), 6)::DOUBLE AS accuracy
+    FROM supplier, q""",
+)
 def dq09(t):
     s = A.with_figures(t("supplier"), F.percentile("s_acctbal", 0.25).alias("a"), F.percentile("s_acctbal", 0.75).alias("b"))
-    issues = F.count_if(F.col("s_acctbal") < 0) + F.count_if(F.expr("s_acctbal < a - 1.5 * (b - a) OR s_acctbal > b + 1.5 * (b - a)")) + F.count_if(F.lower("s_name").isin("n/a", "unknown", "test"))
+    issues = F.count_if(F.col("s_acctbal") < 0) + F.count_if(F.expr("s_acctbal < a - 1.5 * (b - a) OR s_acctbal > b + 1.5 * (b - a)")) + F.count_if(F.lower("s_name").isin("n/a",
+        "unknown", "test"))
     return s.agg(r(1 - issues / (3.0 * rows())).alias("accuracy"))
 
 
-@query("dq11_consistency", "SELECT round(((stddev_samp(l_quantity) <= 10 * avg(l_quantity))::INT + (stddev_samp(l_discount) <= 10 * avg(l_discount))::INT) / 2.0, 6)::DOUBLE AS consistency FROM lineitem")
+@query(
+    "dq11_consistency",
+    """SELECT round(((stddev_samp(l_quantity) <= 10 * avg(l_quantity))::INT + (stddev_samp(l_discount) <= 10 * avg(l_discount))::INT)
+    / 2.0, 6)::DOUBLE AS consistency FROM lineitem""",
+)
 def dq11(t):
     ok = lambda c: (F.stddev_samp(c) <= 10 * F.avg(c)).cast("int")
     return t("lineitem").agg(r((ok("l_quantity") + ok("l_discount")) / 2.0).alias("consistency"))
 
 
-@query("dq12_timeliness", "SELECT CASE WHEN max(o_orderdate) < TIMESTAMP '2002-01-01' - INTERVAL 30 DAYS THEN 0.8 ELSE 1.0 END::DOUBLE AS timeliness FROM orders")
+@query(
+    "dq12_timeliness",
+    """SELECT CASE WHEN max(o_orderdate) < TIMESTAMP '2002-01-01' - INTERVAL 30 DAYS THEN 0.8 ELSE 1.0 END::DOUBLE AS timeliness
+    FROM orders""",
+)
 def dq12(t):
-    return t("orders").agg(F.when(F.max("o_orderdate") < F.expr("TIMESTAMP_NTZ '2002-01-01 00:00:00' - INTERVAL 30 DAYS"), 0.8).otherwise(1.0).alias("timeliness"))
+    return t("orders").agg(F.when(F.max("o_orderdate") < F.expr("TIMESTAMP_NTZ '2002-01-01 00:00:00' - INTERVAL 30 DAYS"),
+        0.8).otherwise(1.0).alias("timeliness"))
 
 
 @query("dq13_validity", "SELECT round(avg(CASE WHEN l_quantity > 48 OR l_quantity < 2 THEN 0.0 ELSE 1.0 END), 6)::DOUBLE AS validity FROM lineitem")
@@ -87,7 +119,11 @@ def dq13(t):
     return t("lineitem").select(x.alias("x")).agg(r(F.avg(F.when(F.isnan("x") | (F.abs("x") == float("inf")), 0.0).otherwise(1.0))).alias("validity"))
 
 
-@query("dq14_uniqueness_dimension", "SELECT round((count(DISTINCT p_brand) + count(DISTINCT p_name) + count(DISTINCT p_size)) / (3.0 * count(*)), 6)::DOUBLE AS uniqueness FROM part")
+@query(
+    "dq14_uniqueness_dimension",
+    """SELECT round((count(DISTINCT p_brand) + count(DISTINCT p_name) + count(DISTINCT p_size)) / (3.0 * count(*)), 6)::DOUBLE AS
+    uniqueness FROM part""",
+)
 def dq14(t):
     return t("part").agg(r((F.count_distinct("p_brand") + F.count_distinct("p_name") + F.count_distinct("p_size")) / (3.0 * rows())).alias("uniqueness"))
 
@@ -101,10 +137,16 @@ def dq16(t):
     return Q.numeric_profile(t("lineitem"), COLUMNS)
 
 
-@query("dq17_text_profile", "WITH l AS (SELECT round(avg(length(c_mktsegment)), 6) AS mean, min(length(c_mktsegment)) AS low, max(length(c_mktsegment)) AS high FROM customer) SELECT c_mktsegment AS value, count(*) AS n, any_value(mean) AS mean, any_value(low) AS low, any_value(high) AS high FROM customer, l GROUP BY 1 ORDER BY n DESC, value LIMIT 5")
+@query(
+    "dq17_text_profile",
+    """WITH l AS (SELECT round(avg(length(c_mktsegment)), 6) AS mean, min(length(c_mktsegment)) AS low, max(length(c_mktsegment))
+    AS high FROM customer) SELECT c_mktsegment AS value, count(*) AS n, any_value(mean) AS mean, any_value(low) AS low, any_value(high)
+    AS high FROM customer, l GROUP BY 1 ORDER BY n DESC, value LIMIT 5""",
+)
 def dq17(t):
     c = t("customer")
-    figures = c.agg(r(F.avg(F.length("c_mktsegment"))).alias("mean"), F.min(F.length("c_mktsegment")).cast("long").alias("low"), F.max(F.length("c_mktsegment")).cast("long").alias("high"))
+    figures = c.agg(r(F.avg(F.length("c_mktsegment"))).alias("mean"), F.min(F.length("c_mktsegment")).cast("long").alias("low"),
+        F.max(F.length("c_mktsegment")).cast("long").alias("high"))
     top = c.groupBy(F.col("c_mktsegment").alias("value")).agg(rows().alias("n")).orderBy(F.desc("n"), "value").limit(5)
     return top.join(F.broadcast(figures))
 
@@ -117,10 +159,12 @@ def dq18(t):
     one = t("orders").agg(rows().alias("total"), *[F.struct(F.count(c).alias("known"), F.count_distinct(c).alias("distinct_values")).alias(c) for c in _ORDER_COLUMNS])
     parts = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)["known"].alias("known"), F.col(c)["distinct_values"].alias("distinct_values")) for c in _ORDER_COLUMNS])
     x = one.select("total", F.explode(parts).alias("p"))
-    return x.select("p.column", "total", (F.col("total") - F.col("p.known")).alias("nulls"), "p.distinct_values", F.round(F.col("p.known") / F.col("total"), 6).alias("completeness"))
+    return x.select("p.column", "total", (F.col("total") - F.col("p.known")).alias("nulls"), "p.distinct_values",
+        F.round(F.col("p.known") / F.col("total"), 6).alias("completeness"))
 
 
-@query("dq19_correlations", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(COLUMNS) for b in COLUMNS[i + 1 :]))
+@query("dq19_correlations", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i,
+    a in enumerate(COLUMNS) for b in COLUMNS[i + 1 :]))
 def dq19(t):
     return Q.correlations(t("lineitem"), COLUMNS)
 
@@ -130,22 +174,35 @@ def dq20(t):
     return t("events").agg(r(S.adjusted_skew(F.col("value"))).alias("skew"), r(S.adjusted_kurtosis(F.col("value"))).alias("kurtosis"))
 
 
-@query("dq21_insights", "SELECT 'p_type' AS \"column\", 'few distinct values' AS insight FROM part HAVING count(DISTINCT p_type) < 20 AND count(DISTINCT p_type) < 0.05 * count(*)")
+@query(
+    "dq21_insights",
+    """SELECT 'p_type' AS \"column\", 'few distinct values' AS insight FROM part HAVING count(DISTINCT p_type) < 20 AND count(DISTINCT
+    p_type) < 0.05 * count(*)""",
+)
 def dq21(t):
     names = ("p_name", "p_type", "p_retailprice")
     one = t("part").agg(rows().alias("n"), *[F.count_distinct(c).alias(c) for c in names])
-    return one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("d")) for c in names])).alias("x")).filter("x.d < 20 AND x.d < 0.05 * n").select("x.column", F.lit("few distinct values").alias("insight"))
+    return one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
+        F.col(c).alias("d")) for c in names])).alias("x")).filter("x.d < 20 AND x.d < 0.05 * n").select("x.column", F.lit("few distinct values").alias("insight"))
 
 
 @query("dq22_rule_batch", f"SELECT count(*) FILTER (WHERE failed = 0) AS passed, count(*) FILTER (WHERE failed > 0) AS failed FROM ({_VALIDATION})")
 def dq22(t):
-    return Q.validation(t("lineitem"), "l_orderkey", rules()).agg(F.count_if(F.col("failed") == 0).alias("passed"), F.count_if(F.col("failed") > 0).alias("failed"))
+    return Q.validation(t("lineitem"), "l_orderkey", rules()).agg(F.count_if(F.col("failed") == 0).alias("passed"),
+        F.count_if(F.col("failed") > 0).alias("failed"))
 
 
-@query("dq23_quality_report", "WITH m AS (SELECT event_type AS source, CAST(ts AS DATE) AS day, avg(CASE WHEN value < 300 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score FROM events GROUP BY 1, 2) SELECT source, round(arg_max(score, day), 6) AS latest, round(min(score), 6) AS low, round(max(score), 6) AS high, round(avg(score), 6) AS mean FROM m GROUP BY 1")
+@query(
+    "dq23_quality_report",
+    """WITH m AS (SELECT event_type AS source, CAST(ts AS DATE) AS day, avg(CASE WHEN value < 300 THEN 1.0 ELSE 0.0 END)::DOUBLE
+    AS score FROM events GROUP BY 1, 2) SELECT source, round(arg_max(score, day), 6) AS latest, round(min(score), 6) AS low,
+    round(max(score), 6) AS high, round(avg(score), 6) AS mean FROM m GROUP BY 1""",
+)
 def dq23(t):
-    m = t("events").groupBy(F.col("event_type").alias("source"), F.col("ts").cast("date").alias("day")).agg(F.avg(F.when(F.col("value") < 300, 1.0).otherwise(0.0)).alias("score"))
-    return m.groupBy("source").agg(r(F.max_by("score", "day")).alias("latest"), r(F.min("score")).alias("low"), r(F.max("score")).alias("high"), r(F.avg("score")).alias("mean"))
+    m = t("events").groupBy(F.col("event_type").alias("source"),
+        F.col("ts").cast("date").alias("day")).agg(F.avg(F.when(F.col("value") < 300, 1.0).otherwise(0.0)).alias("score"))
+    return m.groupBy("source").agg(r(F.max_by("score", "day")).alias("latest"), r(F.min("score")).alias("low"),
+        r(F.max("score")).alias("high"), r(F.avg("score")).alias("mean"))
 
 
 @query("dq24_validation_run", f"SELECT count(*) FILTER (WHERE {' OR '.join(f'({v})' for v in _BAD.values())}) AS invalid, count(*) AS total FROM lineitem")
@@ -153,49 +210,88 @@ def dq24(t):
     return t("lineitem").select(F.size(Q.row_errors(rules())).alias("e")).agg(F.count_if(F.col("e") > 0).alias("invalid"), rows().alias("total"))
 
 
-@query("out01_global_z", "WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS d FROM events WHERE value > 0) SELECT event_id, round((value - m) / d, 6) AS z FROM events, s WHERE abs((value - m) / d) > 3")
+@query(
+    "out01_global_z",
+    """WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS d FROM events WHERE value > 0) SELECT event_id, round((value - m)
+    / d, 6) AS z FROM events, s WHERE abs((value - m) / d) > 3""",
+)
 def out01(t):
-    e = A.with_figures(t("events").filter("value > 0"), F.avg("value").alias("m"), F.stddev_pop("value").alias("d")).withColumn("z", (F.col("value") - F.col("m")) / F.col("d"))
+    e = A.with_figures(t("events").filter("value > 0"), F.avg("value").alias("m"), F.stddev_pop("value").alias("d")).withColumn("z",
+        (F.col("value") - F.col("m")) / F.col("d"))
     return e.filter("abs(z) > 3").select("event_id", r(F.col("z")).alias("z"))
 
 
-_ODD = " OR ".join(f"abs({c} - (SELECT avg({c}) FROM lineitem)) > 3 * (SELECT stddev_samp({c}) FROM lineitem) OR {c} > (SELECT quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM lineitem) OR {c} < (SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM lineitem)" for c in ("l_extendedprice", "l_quantity"))
+_ODD = " OR ".join(f"abs({c} - (SELECT avg({c}) FROM lineitem)) > 3 * (SELECT stddev_samp({c}) FROM lineitem) OR {c} > (SELECT quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM lineitem) OR {c} < (SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM lineitem)" for c in ("l_extendedprice",
+    "l_quantity"))
 
 
-@query("out03_per_stream_z", "SELECT event_id FROM events QUALIFY abs(value - avg(value) OVER (PARTITION BY event_type)) > 3 * stddev_pop(value) OVER (PARTITION BY event_type)")
+@query(
+    "out03_per_stream_z",
+    """SELECT event_id FROM events QUALIFY abs(value - avg(value) OVER (PARTITION BY event_type)) > 3 * stddev_pop(value) OVER (PARTITION
+    BY event_type)""",
+)
 def out03(t):
     x = joins.map_back(t("events"), "event_type", F.avg("value").alias("m"), F.stddev_pop("value").alias("d"))
     return x.filter(F.abs(F.col("value") - F.col("m")) > 3 * F.col("d")).select("event_id")
 
 
-@query("out12_standard_scaling", "SELECT event_id, round((value - (SELECT avg(value) FROM events)) / (SELECT stddev_samp(value) FROM events), 6) AS scaled FROM events")
+@query(
+    "out12_standard_scaling",
+    """SELECT event_id, round((value - (SELECT avg(value) FROM events)) / (SELECT stddev_samp(value) FROM events), 6) AS scaled
+    FROM events""",
+)
 def out12(t):
     e = A.with_figures(t("events"), F.avg("value").alias("m"), F.stddev_samp("value").alias("d"))
     return e.select("event_id", r((F.col("value") - F.col("m")) / F.col("d")).alias("scaled"))
 
 
-@query("out13_run_summary", "SELECT event_type AS method, count(*) FILTER (WHERE value > 200) AS flagged, count(*) AS total, round(count(*) FILTER (WHERE value > 200) * 1.0 / count(*), 6)::DOUBLE AS ratio FROM events GROUP BY 1")
+@query(
+    "out13_run_summary",
+    """SELECT event_type AS method, count(*) FILTER (WHERE value > 200) AS flagged, count(*) AS total, round(count(*) FILTER (WHERE
+    value > 200) * 1.0 / count(*), 6)::DOUBLE AS ratio FROM events GROUP BY 1""",
+)
 def out13(t):
     hit = F.count_if(F.col("value") > 200)
     return t("events").groupBy(F.col("event_type").alias("method")).agg(hit.alias("flagged"), rows().alias("total"), r(hit / rows()).alias("ratio"))
 
 
-@query("mon01_classification_metrics", "WITH c AS (SELECT quality AS y, CASE WHEN n_chars > 800 THEN 1 ELSE 0 END AS p FROM labels JOIN documents USING (doc_id)), k AS (SELECT v, count(*) FILTER (WHERE y = v) AS support, count(*) FILTER (WHERE p = v) AS predicted, count(*) FILTER (WHERE y = v AND p = v) AS hit FROM c, (VALUES (0), (1)) x(v) GROUP BY 1) SELECT round((SELECT avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END) FROM c), 6)::DOUBLE AS accuracy, round(sum(support * coalesce(hit * 1.0 / nullif(predicted, 0), 0)) / sum(support), 6)::DOUBLE AS precision_w, round(sum(support * coalesce(hit * 1.0 / nullif(support, 0), 0)) / sum(support), 6)::DOUBLE AS recall_w FROM k")
+@query(
+    "mon01_classification_metrics",
+    """WITH c AS (SELECT quality AS y, CASE WHEN n_chars > 800 THEN 1 ELSE 0 END AS p FROM labels JOIN documents USING (doc_id)),
+    k AS (SELECT v, count(*) FILTER (WHERE y = v) AS support, count(*) FILTER (WHERE p = v) AS predicted, count(*) FILTER
+    (WHERE y = v AND p = v) AS hit FROM c, (VALUES (0), (1)) x(v) GROUP BY 1) SELECT round((SELECT avg(CASE WHEN y = p THEN
+    1.0 ELSE 0.0 END) FROM c), 6)::DOUBLE AS accuracy, round(sum(support * coalesce(hit * 1.0 / nullif(predicted, 0), 0))
+    / sum(support), 6)::DOUBLE AS precision_w, round(sum(support * coalesce(hit * 1.0 / nullif(support, 0), 0)) / sum(support),
+    6)::DOUBLE AS recall_w FROM k""",
+)
 def mon01(t):
-    c = t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").alias("y"), (F.col("n_chars") > 800).cast("int").alias("p"))
-    k = c.select("y", "p", F.explode(F.array(F.lit(0), F.lit(1))).alias("v")).groupBy("v").agg(F.count_if(F.col("y") == F.col("v")).alias("s"), F.count_if(F.col("p") == F.col("v")).alias("q"), F.count_if((F.col("y") == F.col("v")) & (F.col("p") == F.col("v"))).alias("h"))
+    c = t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").alias("y"),
+        (F.col("n_chars") > 800).cast("int").alias("p"))
+    k = c.select("y", "p", F.explode(F.array(F.lit(0),
+        F.lit(1))).alias("v")).groupBy("v").agg(F.count_if(F.col("y") == F.col("v")).alias("s"), F.count_if(F.col("p") == F.col("v")).alias("q"),
+        F.count_if((F.col("y") == F.col("v")) & (F.col("p") == F.col("v"))).alias("h"))
     ratio = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
-    return k.agg(r(F.sum("h") / F.sum("s")).alias("accuracy"), r(F.sum(F.col("s") * ratio("h", "q")) / F.sum("s")).alias("precision_w"), r(F.sum(F.col("s") * ratio("h", "s")) / F.sum("s")).alias("recall_w"))
+    return k.agg(r(F.sum("h") / F.sum("s")).alias("accuracy"), r(F.sum(F.col("s") * ratio("h", "q")) / F.sum("s")).alias("precision_w"),
+        r(F.sum(F.col("s") * ratio("h", "s")) / F.sum("s")).alias("recall_w"))
 
 
-@query("mon03_two_sample_ks", "WITH x AS (SELECT value, event_type = 'error' AS a FROM events WHERE event_type IN ('error', 'view')), c AS (SELECT value, sum(a::INT) OVER (ORDER BY value) * 1.0 / sum(a::INT) OVER () AS f, sum(1 - a::INT) OVER (ORDER BY value) * 1.0 / sum(1 - a::INT) OVER () AS g FROM x) SELECT round(max(abs(f - g)), 6)::DOUBLE AS d FROM c")
+@query(
+    "mon03_two_sample_ks",
+    """WITH x AS (SELECT value, event_type = 'error' AS a FROM events WHERE event_type IN ('error', 'view')), c AS (SELECT value,
+    sum(a::INT) OVER (ORDER BY value) * 1.0 / sum(a::INT) OVER () AS f, sum(1 - a::INT) OVER (ORDER BY value) * 1.0 / sum(1
+    - a::INT) OVER () AS g FROM x) SELECT round(max(abs(f - g)), 6)::DOUBLE AS d FROM c""",
+)
 def mon03(t):
-    x = t("events").filter("event_type IN ('error', 'view')").groupBy("value").agg(F.count_if(F.col("event_type") == "error").alias("a"), F.count_if(F.col("event_type") == "view").alias("b"))
+    x = t("events").filter("event_type IN ('error', 'view')").groupBy("value").agg(F.count_if(F.col("event_type") == "error").alias("a"),
+        F.count_if(F.col("event_type") == "view").alias("b"))
     buckets = x.withColumn("k", F.floor(F.col("value") / 10))  # two levels of sums, so that no single task sorts all values
     before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.groupBy("k").agg(F.sum("a").alias("ka"), F.sum("b").alias("kb")).withColumns({"sa": F.coalesce(F.sum("ka").over(before), F.lit(0)), "sb": F.coalesce(F.sum("kb").over(before), F.lit(0))})
+    starts = buckets.groupBy("k").agg(F.sum("a").alias("ka"),
+        F.sum("b").alias("kb")).withColumns({"sa": F.coalesce(F.sum("ka").over(before), F.lit(0)), "sb": F.coalesce(F.sum("kb").over(before),
+        F.lit(0))})
     inner = Window.partitionBy("k").orderBy("value")
-    j = buckets.join(joins.checked_broadcast(starts), "k").select((F.col("sa") + F.sum("a").over(inner)).alias("ca"), (F.col("sb") + F.sum("b").over(inner)).alias("cb"))
+    j = buckets.join(joins.checked_broadcast(starts), "k").select((F.col("sa") + F.sum("a").over(inner)).alias("ca"),
+        (F.col("sb") + F.sum("b").over(inner)).alias("cb"))
     return A.with_figures(j, F.max("ca").alias("na"), F.max("cb").alias("nb")).agg(r(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb")))).alias("d"))
 
 
@@ -203,21 +299,33 @@ _SCORES = "scores AS (SELECT event_type AS model, CAST(ts AS DATE) AS day, avg(C
 
 
 def scores(t):
-    return t("events").groupBy(F.col("event_type").alias("model"), F.col("ts").cast("date").alias("day")).agg(F.avg(F.when(F.col("value") < 250, 1.0).otherwise(0.0)).alias("accuracy"))
+    return t("events").groupBy(F.col("event_type").alias("model"),
+        F.col("ts").cast("date").alias("day")).agg(F.avg(F.when(F.col("value") < 250, 1.0).otherwise(0.0)).alias("accuracy"))
 
 
-@query("mon02_relative_drift", f"WITH {_SCORES}, k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY day) AS i FROM scores) SELECT model, round(arg_max(accuracy, day) / (sum(accuracy * i) / sum(i)) - 1, 6) AS change, abs(arg_max(accuracy, day) / (sum(accuracy * i) / sum(i)) - 1) > 0.1 AS drift FROM k GROUP BY 1")
+@query(
+    "mon02_relative_drift",
+    f"""WITH {_SCORES}, k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY day) AS i FROM scores) SELECT model, round(arg_max(accuracy,
+    day) / (sum(accuracy * i) / sum(i)) - 1, 6) AS change, abs(arg_max(accuracy, day) / (sum(accuracy * i) / sum(i)) - 1)
+    > 0.1 AS drift FROM k GROUP BY 1""",
+)
 def mon02(t):
     k = scores(t).withColumn("i", F.row_number().over(W.ordered(["model"], ["day"])))
     change = F.max_by("accuracy", "day") / (F.sum(F.col("accuracy") * F.col("i")) / F.sum("i")) - 1
     return k.groupBy("model").agg(r(change).alias("change"), (F.abs(change) > 0.1).alias("drift"))
 
 
-@query("mon05_metric_trends", f"WITH {_SCORES}, k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY day) AS i FROM scores) SELECT model, round(regr_slope(accuracy, i), 6) AS slope, round(stddev_samp(accuracy) / avg(accuracy), 6) AS cv, CASE WHEN regr_slope(accuracy, i) > 0.001 THEN 'improving' WHEN regr_slope(accuracy, i) < -0.001 THEN 'declining' ELSE 'stable' END AS trend FROM k GROUP BY 1")
+@query(
+    "mon05_metric_trends",
+    f"""WITH {_SCORES}, k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY day) AS i FROM scores) SELECT model, round(regr_slope(accuracy,
+    i), 6) AS slope, round(stddev_samp(accuracy) / avg(accuracy), 6) AS cv, CASE WHEN regr_slope(accuracy, i) > 0.001 THEN
+    'improving' WHEN regr_slope(accuracy, i) < -0.001 THEN 'declining' ELSE 'stable' END AS trend FROM k GROUP BY 1""",
+)
 def mon05(t):
     k = scores(t).withColumn("i", F.row_number().over(W.ordered(["model"], ["day"])))
     s = F.regr_slope("accuracy", "i")
-    return k.groupBy("model").agg(r(s).alias("slope"), r(F.stddev_samp("accuracy") / F.avg("accuracy")).alias("cv"), F.when(s > 0.001, "improving").when(s < -0.001, "declining").otherwise("stable").alias("trend"))
+    return k.groupBy("model").agg(r(s).alias("slope"), r(F.stddev_samp("accuracy") / F.avg("accuracy")).alias("cv"),
+        F.when(s > 0.001, "improving").when(s < -0.001, "declining").otherwise("stable").alias("trend"))
 
 
 @query("mon06_label_encoding", "SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS label FROM customer")
@@ -226,7 +334,12 @@ def mon06(t):
     return t("customer").join(joins.checked_broadcast(codes), "c_mktsegment").select("c_custkey", "label")
 
 
-@query("mon07_model_summary", f"WITH {_SCORES} SELECT model, round(arg_max(accuracy, day), 6) AS latest, string_agg(CAST(day AS VARCHAR), ',' ORDER BY day DESC) FILTER (WHERE k <= 5) AS last_days FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY day DESC) AS k FROM scores) GROUP BY 1")
+@query(
+    "mon07_model_summary",
+    f"""WITH {_SCORES} SELECT model, round(arg_max(accuracy, day), 6) AS latest, string_agg(CAST(day AS VARCHAR), ',' ORDER BY day
+    DESC) FILTER (WHERE k <= 5) AS last_days FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY day DESC) AS
+    k FROM scores) GROUP BY 1""",
+)
 def mon07(t):
     days = F.slice(F.sort_array(F.collect_list(F.col("day").cast("string")), asc=False), 1, 5)
     return scores(t).groupBy("model").agg(r(F.max_by("accuracy", "day")).alias("latest"), F.array_join(days, ",").alias("last_days"))
@@ -235,12 +348,21 @@ def mon07(t):
 _SQLI = r"(union +select|or +1 *= *1|drop +table|--|<script|javascript:)"
 
 
-@query("sec02_event_level", "SELECT event_id, CASE WHEN event_type = 'purchase' AND event_id % 5 = 4 THEN 'high' WHEN value > 300 THEN 'medium' ELSE 'low' END AS level FROM events")
+@query(
+    "sec02_event_level",
+    """SELECT event_id, CASE WHEN event_type = 'purchase' AND event_id % 5 = 4 THEN 'high' WHEN value > 300 THEN 'medium' ELSE 'low'
+    END AS level FROM events""",
+)
 def sec02(t):
-    return t("events").select("event_id", F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 5 == 4), "high").when(F.col("value") > 300, "medium").otherwise("low").alias("level"))
+    return t("events").select("event_id", F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 5 == 4),
+        "high").when(F.col("value") > 300, "medium").otherwise("low").alias("level"))
 
 
-@query("sec04_signatures", "WITH m AS (SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, max(n) AS burst, CASE WHEN max(n) >= 3 THEN 'suspicious' ELSE 'normal' END AS verdict FROM m GROUP BY 1")
+@query(
+    "sec04_signatures",
+    """WITH m AS (SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, max(n)
+    AS burst, CASE WHEN max(n) >= 3 THEN 'suspicious' ELSE 'normal' END AS verdict FROM m GROUP BY 1""",
+)
 def sec04(t):
     m = t("events").groupBy("user_id", F.date_trunc("minute", "ts").alias("minute")).agg(rows().alias("n"))
     return m.groupBy("user_id").agg(F.max("n").alias("burst"), F.when(F.max("n") >= 3, "suspicious").otherwise("normal").alias("verdict"))
@@ -254,8 +376,10 @@ def sec06(t):
 
 @query("sec07_access_matrix", "SELECT event_id, event_type IN ('view', 'click') OR user_id % 3 = 0 AS allowed FROM events")
 def sec07(t):
-    granted = t("region").filter("r_regionkey < 2").select(F.element_at(F.array(F.lit("view"), F.lit("click")), F.col("r_regionkey") + 1).alias("event_type"), F.lit(True).alias("open"))
-    return t("events").join(joins.checked_broadcast(granted), "event_type", "left").select("event_id", (F.coalesce("open", F.lit(False)) | (F.col("user_id") % 3 == 0)).alias("allowed"))
+    granted = t("region").filter("r_regionkey < 2").select(F.element_at(F.array(F.lit("view"), F.lit("click")),
+        F.col("r_regionkey") + 1).alias("event_type"), F.lit(True).alias("open"))
+    return t("events").join(joins.checked_broadcast(granted), "event_type", "left").select("event_id", (F.coalesce("open",
+        F.lit(False)) | (F.col("user_id") % 3 == 0)).alias("allowed"))
 
 
 @query("sec09_recommendations", "SELECT event_type, CASE WHEN count(*) > 2500 THEN 'limit rates' ELSE 'watch' END AS advice FROM events GROUP BY 1")
@@ -263,11 +387,17 @@ def sec09(t):
     return t("events").groupBy("event_type").agg(F.when(rows() > 2500, "limit rates").otherwise("watch").alias("advice"))
 
 
-@query("gov01_pii_masking", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN lpad(CAST(s_suppkey AS VARCHAR), 8, '0') ELSE substr(lpad(CAST(s_suppkey AS VARCHAR), 8, '0'), 1, 2) || '******' END AS edrpou, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE split_part(s_name, '#', 1) || ' *** ' || split_part(s_name, '#', 2) END AS name FROM supplier")
+@query(
+    "gov01_pii_masking",
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN lpad(CAST(s_suppkey AS VARCHAR), 8, '0') ELSE substr(lpad(CAST(s_suppkey
+    AS VARCHAR), 8, '0'), 1, 2) || '******' END AS edrpou, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE split_part(s_name,
+    '#', 1) || ' *** ' || split_part(s_name, '#', 2) END AS name FROM supplier""",
+)
 def gov01(t):
     code, pro = F.lpad(F.col("s_suppkey").cast("string"), 8, "0"), F.col("s_suppkey") % 3 == 0
     name = F.concat(F.split_part("s_name", F.lit("#"), F.lit(1)), F.lit(" *** "), F.split_part("s_name", F.lit("#"), F.lit(2)))
-    return t("supplier").select("s_suppkey", F.when(pro, code).otherwise(F.concat(F.substring(code, 1, 2), F.lit("******"))).alias("edrpou"), F.when(pro, F.col("s_name")).otherwise(name).alias("name"))
+    return t("supplier").select("s_suppkey", F.when(pro, code).otherwise(F.concat(F.substring(code, 1, 2),
+        F.lit("******"))).alias("edrpou"), F.when(pro, F.col("s_name")).otherwise(name).alias("name"))
 
 
 @query("gov02_access_gate", "SELECT count(*) AS visible FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
@@ -275,7 +405,11 @@ def gov02(t):
     return t("customer").filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).agg(rows().alias("visible"))
 
 
-@query("gov03_tiering", "SELECT CASE WHEN d < 14 THEN 'hot' WHEN d < 90 THEN 'warm' WHEN d < 2920 THEN 'cold' ELSE 'delete' END AS tier, count(*) AS n FROM (SELECT date_diff('day', date, DATE '2001-11-05') AS d FROM records) GROUP BY 1")
+@query(
+    "gov03_tiering",
+    """SELECT CASE WHEN d < 14 THEN 'hot' WHEN d < 90 THEN 'warm' WHEN d < 2920 THEN 'cold' ELSE 'delete' END AS tier, count(*)
+    AS n FROM (SELECT date_diff('day', date, DATE '2001-11-05') AS d FROM records) GROUP BY 1""",
+)
 def gov03(t):
     d = F.datediff(F.to_date(F.lit("2001-11-05")), F.col("date"))
     return t("records").groupBy(F.when(d < 14, "hot").when(d < 90, "warm").when(d < 2920, "cold").otherwise("delete").alias("tier")).agg(rows().alias("n"))

@@ -27,10 +27,13 @@ def title(text):
     return F.split(text, "\n")[0]
 
 
-_BM25 = f"""p AS (SELECT doc_id, unnest(list_concat({_TOK.format(x="coalesce(text, '')")}, {_TOK.format(x="split_part(coalesce(text, ''), chr(10), 1)")})) AS term FROM documents),
-    tf AS (SELECT doc_id, term, count(*) AS n FROM p GROUP BY 1, 2), l AS (SELECT doc_id, sum(n) AS l FROM tf GROUP BY 1), a AS (SELECT avg(l) AS a, count(*) AS c FROM l), df AS (SELECT term, count(*) AS d FROM tf GROUP BY 1),
+_BM25 = f"""p AS (SELECT doc_id, unnest(list_concat({_TOK.format(x="coalesce(text, '')")}, {_TOK.format(x="split_part(coalesce(text, ''), chr(10), 1)")}))
+    AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS n FROM p GROUP BY 1, 2), l AS (SELECT doc_id, sum(n) AS l FROM tf GROUP BY 1),
+    a AS (SELECT avg(l) AS a, count(*) AS c FROM l), df AS (SELECT term, count(*) AS d FROM tf GROUP BY 1),
     q AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
-    s AS (SELECT item_id, doc_id, sum(ln(1 + (c - d + 0.5) / (d + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN l USING (doc_id), a GROUP BY 1, 2)"""
+    s AS (SELECT item_id, doc_id, sum(ln(1 + (c - d + 0.5) / (d + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * l / a))) AS
+    score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN l USING (doc_id), a GROUP BY 1, 2)"""
 
 
 def asked_terms(t):
@@ -42,18 +45,31 @@ def text_scores(t):
     return R.bm25(postings, "doc_id", asked_terms(t), "item_id")
 
 
-@query("ret03_srt05_bm25_top_documents", f"WITH {_BM25} SELECT item_id, doc_id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 5) DESC, doc_id) <= 10")
+@query(
+    "ret03_srt05_bm25_top_documents",
+    f"""WITH {_BM25} SELECT item_id, doc_id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER
+    BY round(score, 5) DESC, doc_id) <= 10""",
+)
 def ret03(t):
     return R.best(text_scores(t), "item_id", "doc_id", 10)
 
 
-@query("ret04_vector_top_k", f"SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id AND q.label = v.label WHERE q.vec_id % 100 = 0) WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5")
+@query(
+    "ret04_vector_top_k",
+    f"""SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS score FROM embeddings
+    q JOIN embeddings v ON q.vec_id <> v.vec_id AND q.label = v.label WHERE q.vec_id % 100 = 0) WHERE score >= 0.1 QUALIFY
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+)
 def ret04(t):
     e = t("embeddings")
     return R.vector_search(e.filter("vec_id % 100 = 0"), e, least=0.1, k=5, kind=F.col("label")).withColumn("score", r(F.col("score")))
 
 
-@query("jn16_vector_threshold", f"SELECT q.vec_id AS query_id, v.vec_id, round({_COS}, 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0 AND {_COS} >= 0.3")
+@query(
+    "jn16_vector_threshold",
+    f"""SELECT q.vec_id AS query_id, v.vec_id, round({_COS}, 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id
+    WHERE q.vec_id % 100 = 0 AND {_COS} >= 0.3""",
+)
 def jn16(t):
     e = t("embeddings")
     return R.vector_search(e.filter("vec_id % 100 = 0"), e, least=0.3).withColumn("score", r(F.col("score")))
@@ -62,9 +78,11 @@ def jn16(t):
 @query(
     "ret05_hybrid_merge",
     f"""WITH {_BM25}, e AS (SELECT doc_id AS pk, 1.0 AS score FROM documents WHERE source = (SELECT min(source) FROM documents) AND n_chars > 5000),
-    v AS (SELECT v.vec_id AS pk, 1.2 * max({_COS}) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0 AND {_COS} >= 0.3 GROUP BY 1),
+    v AS (SELECT v.vec_id AS pk, 1.2 * max({_COS}) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE
+    q.vec_id % 100 = 0 AND {_COS} >= 0.3 GROUP BY 1),
     x AS (SELECT doc_id AS pk, least(max(score) / 10.0, 1.0) * 0.8 AS score FROM s WHERE item_id % 10 = 0 GROUP BY 1)
-    SELECT pk, round(max(score), 6) AS score FROM (SELECT * FROM e UNION ALL SELECT * FROM v UNION ALL SELECT * FROM x) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100""",
+    SELECT pk, round(max(score), 6) AS score FROM (SELECT * FROM e UNION ALL SELECT * FROM v UNION ALL SELECT * FROM x) GROUP
+    BY 1 ORDER BY 2 DESC, 1 LIMIT 100""",
 )
 def ret05(t):
     d, e = t("documents"), t("embeddings")
@@ -84,13 +102,22 @@ def word_sets(t):
     return R.checked_broadcast(q, 1000), t("documents").select("doc_id", F.array_distinct(S.tokens(F.col("text"))).alias("w"))
 
 
-@query("ret06_lexical_overlap", f"WITH {_SETS} SELECT item_id, doc_id, round(len(list_intersect(w, q)) * 1.0 / nullif(len(w) + len(q) - len(list_intersect(w, q)), 0), 6)::DOUBLE AS overlap FROM d, q WHERE list_has_any(w, q)")
+@query(
+    "ret06_lexical_overlap",
+    f"""WITH {_SETS} SELECT item_id, doc_id, round(len(list_intersect(w, q)) * 1.0 / nullif(len(w) + len(q) - len(list_intersect(w,
+    q)), 0), 6)::DOUBLE AS overlap FROM d, q WHERE list_has_any(w, q)""",
+)
 def ret06(t):
     q, d = word_sets(t)
     return d.join(q, F.arrays_overlap("w", "q")).select("item_id", "doc_id", r(S.jaccard(F.col("w"), F.col("q"))).alias("overlap"))
 
 
-@query("scl21_token_jaccard", f"WITH x AS (SELECT item_id, list_distinct({_WORDS}) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) * 1.0 / nullif(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)), 0), 9)::DOUBLE AS similarity FROM x a JOIN x b ON a.item_id <> b.item_id WHERE a.item_id % 10 = 0")
+@query(
+    "scl21_token_jaccard",
+    f"""WITH x AS (SELECT item_id, list_distinct({_WORDS}) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w,
+    b.w)) * 1.0 / nullif(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)), 0), 9)::DOUBLE AS similarity FROM x a JOIN
+    x b ON a.item_id <> b.item_id WHERE a.item_id % 10 = 0""",
+)
 def scl21(t):
     x = t("benchmark").select("item_id", F.array_distinct(S.tokens(F.col("text"))).alias("w"))
     a = R.checked_broadcast(x.filter("item_id % 10 = 0").select(F.col("item_id").alias("a"), F.col("w").alias("aw")), 1000)
@@ -99,7 +126,8 @@ def scl21(t):
 
 _PART = "epoch_ms(date_trunc('day', TIMESTAMP '2024-01-01')) // 1000"
 _CONTEXT = f"""{_SETS.replace("SELECT item_id, list_distinct", "SELECT item_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS qn, list_distinct").replace("SELECT doc_id, list_distinct", "SELECT doc_id, n_chars, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS n, doc_id % 40 AS days, list_distinct")},
-    f AS (SELECT item_id, doc_id, n_chars, len(list_intersect(q, w)) * 1.0 / nullif(len(q), 0) AS k, len(list_intersect(qn, n)) * 1.0 / nullif(len(qn), 0) AS e, CASE WHEN days < 35 THEN greatest(0, 1 - days / 30.0) END AS c,
+    f AS (SELECT item_id, doc_id, n_chars, len(list_intersect(q, w)) * 1.0 / nullif(len(q), 0) AS k, len(list_intersect(qn,
+    n)) * 1.0 / nullif(len(qn), 0) AS e, CASE WHEN days < 35 THEN greatest(0, 1 - days / 30.0) END AS c,
     len(list_intersect(w, q)) * 1.0 / nullif(len(w) + len(q) - len(list_intersect(w, q)), 0) AS lex FROM d, q WHERE list_has_any(w, q)),
     x AS (SELECT *, list_avg(list_filter([k, e, c], lambda v: v IS NOT NULL)) AS context FROM f)"""
 
@@ -107,9 +135,11 @@ _CONTEXT = f"""{_SETS.replace("SELECT item_id, list_distinct", "SELECT item_id,
 def context_table(t):
     names = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Z][a-z]{3,}"), F.lit(0)))
     q = t("benchmark").filter("item_id % 10 = 0").select("item_id", names(F.col("text")).alias("qn"), F.array_distinct(S.tokens(F.col("text"))).alias("q"))
-    d = t("documents").select("doc_id", "n_chars", names(F.col("text")).alias("n"), F.array_distinct(S.tokens(F.col("text"))).alias("w"), F.expr("CASE WHEN doc_id % 40 < 35 THEN doc_id % 40 END").alias("days"))
+    d = t("documents").select("doc_id", "n_chars", names(F.col("text")).alias("n"), F.array_distinct(S.tokens(F.col("text"))).alias("w"),
+        F.expr("CASE WHEN doc_id % 40 < 35 THEN doc_id % 40 END").alias("days"))
     j = d.join(R.checked_broadcast(q, 1000), F.arrays_overlap("w", "q"))
-    return j.withColumns({"context": R.context_relevance(F.col("q"), F.col("w"), F.col("qn"), F.col("n"), F.col("days")), "lex": S.jaccard(F.col("w"), F.col("q")), "k": R.overlap_share(F.col("q"), F.col("w"))})
+    return j.withColumns({"context": R.context_relevance(F.col("q"), F.col("w"), F.col("qn"), F.col("n"), F.col("days")),
+        "lex": S.jaccard(F.col("w"), F.col("q")), "k": R.overlap_share(F.col("q"), F.col("w"))})
 
 
 @query("ret07_context_relevance", f"WITH {_CONTEXT} SELECT item_id, doc_id, round(context, 6)::DOUBLE AS context FROM x")
@@ -125,13 +155,21 @@ def relevance_table(t):
     return context_table(t).withColumns({"score": score, "confidence": R.agreement(F.col("k"), F.col("lex"), F.col("context"))})
 
 
-@query("ret08_relevance_score", f"WITH {_REL} SELECT item_id, doc_id, round(score, 6)::DOUBLE AS score, CASE WHEN round(score, 6) >= 0.8 THEN 'high' WHEN round(score, 6) >= 0.6 THEN 'medium' ELSE 'low' END AS level, round(confidence, 5)::DOUBLE AS confidence FROM y")
+@query(
+    "ret08_relevance_score",
+    f"""WITH {_REL} SELECT item_id, doc_id, round(score, 6)::DOUBLE AS score, CASE WHEN round(score, 6) >= 0.8 THEN 'high' WHEN round(score,
+    6) >= 0.6 THEN 'medium' ELSE 'low' END AS level, round(confidence, 5)::DOUBLE AS confidence FROM y""",
+)
 def ret08(t):
     s = r(F.col("score"))
     return relevance_table(t).select("item_id", "doc_id", s.alias("score"), R.relevance_level(s).alias("level"), r(F.col("confidence"), 5).alias("confidence"))
 
 
-@query("flt15_relevance_threshold", f"WITH {_REL} SELECT item_id, count(*) AS n, max(round(score, 6))::DOUBLE AS best FROM y WHERE round(score, 6) >= 0.35 GROUP BY 1")
+@query(
+    "flt15_relevance_threshold",
+    f"""WITH {_REL} SELECT item_id, count(*) AS n, max(round(score, 6))::DOUBLE AS best FROM y WHERE round(score, 6) >= 0.35 GROUP
+    BY 1""",
+)
 def flt15(t):
     kept = relevance_table(t).withColumn("score", r(F.col("score"))).filter("score >= 0.35")
     return kept.groupBy("item_id").agg(rows().alias("n"), F.max("score").alias("best"))
@@ -141,12 +179,15 @@ def flt15(t):
     "ret11_knowledge_search",
     f"""WITH q AS (SELECT item_id, list_distinct({_WORDS}) AS q, lower(split_part(text, ' ', 1)) AS head FROM benchmark WHERE item_id % 10 = 0),
     d AS (SELECT doc_id, lower(text) AS body, lower(split_part(text, chr(10), 1)) AS title, list_distinct({_WORDS}) AS w FROM documents),
-    s AS (SELECT item_id, doc_id, len(list_intersect(w, q)) + 2 * contains(title, head)::INT + contains(body, head)::INT AS score FROM d, q WHERE list_has_any(w, q))
+    s AS (SELECT item_id, doc_id, len(list_intersect(w, q)) + 2 * contains(title, head)::INT + contains(body, head)::INT
+    AS score FROM d, q WHERE list_has_any(w, q))
     SELECT item_id, doc_id, score::BIGINT AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5""",
 )
 def ret11(t):
-    q = t("benchmark").filter("item_id % 10 = 0").select("item_id", F.array_distinct(S.tokens(F.col("text"))).alias("q"), F.lower(F.split("text", " ")[0]).alias("head"))
-    d = t("documents").select("doc_id", F.lower("text").alias("body"), F.lower(title(F.col("text"))).alias("title"), F.array_distinct(S.tokens(F.col("text"))).alias("w"))
+    q = t("benchmark").filter("item_id % 10 = 0").select("item_id", F.array_distinct(S.tokens(F.col("text"))).alias("q"),
+        F.lower(F.split("text", " ")[0]).alias("head"))
+    d = t("documents").select("doc_id", F.lower("text").alias("body"), F.lower(title(F.col("text"))).alias("title"),
+        F.array_distinct(S.tokens(F.col("text"))).alias("w"))
     j = d.join(R.checked_broadcast(q, 1000), F.arrays_overlap("w", "q"))
     hit = lambda field: F.contains(F.col(field), F.col("head")).cast("int")
     score = (F.size(F.array_intersect("w", "q")) + 2 * hit("title") + hit("body")).cast("long")
@@ -167,10 +208,12 @@ def ret12(t):
 @query(
     "ret13_sentence_answer",
     f"""WITH q AS (SELECT item_id, list_distinct({_WORDS}) AS q FROM benchmark WHERE item_id % 10 = 0),
-    z AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')) AS s FROM documents),
+    z AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1),
+    'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')) AS s FROM documents),
     w AS (SELECT doc_id, s, list_distinct({_TOK.format(x="s")}) AS w FROM z),
     h AS (SELECT item_id, doc_id, s, len(list_intersect(w, q)) AS hits, len(q) AS n FROM w, q WHERE list_has_any(w, q))
-    SELECT item_id, hits::BIGINT AS hits, doc_id, s AS answer, round(hits * 1.0 / n, 6)::DOUBLE AS confidence FROM h QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id DESC, s DESC) = 1""",
+    SELECT item_id, hits::BIGINT AS hits, doc_id, s AS answer, round(hits * 1.0 / n, 6)::DOUBLE AS confidence FROM h QUALIFY
+    row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id DESC, s DESC) = 1""",
 )
 def ret13(t):
     q = t("benchmark").filter("item_id % 10 = 0").select("item_id", F.array_distinct(S.tokens(F.col("text"))).alias("q"))
@@ -182,22 +225,30 @@ def ret13(t):
 
 @query(
     "ret14_late_fusion",
-    """WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT label, i, avg(v) AS v FROM x GROUP BY 1, 2)
-    SELECT a.label AS a, b.label AS b, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 5) AS similarity, round(sqrt(sum(((a.v + b.v) / 2) * ((a.v + b.v) / 2))), 5) AS fused_length FROM m a JOIN m b ON a.label < b.label AND a.i = b.i GROUP BY 1, 2""",
+    """WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+    m AS (SELECT label, i, avg(v) AS v FROM x GROUP BY 1, 2)
+    SELECT a.label AS a, b.label AS b, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 5) AS similarity, round(sqrt(sum(((a.v
+    + b.v) / 2) * ((a.v + b.v) / 2))), 5) AS fused_length FROM m a JOIN m b ON a.label < b.label AND a.i = b.i GROUP BY 1,
+    2""",
 )
 def ret14(t):
     m = t("embeddings").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
     a, b = m.select(F.col("label").alias("a"), "i", F.col("v").alias("x")), m.select(F.col("label").alias("b"), "i", F.col("v").alias("y"))
     j, dot = a.join(b, "i").filter("a < b"), lambda u, v: F.sum(u * v)
     x, y = F.col("x"), F.col("y")
-    return j.groupBy("a", "b").agg(r(dot(x, y) / F.sqrt(dot(x, x) * dot(y, y)), 5).alias("similarity"), r(F.sqrt(dot((x + y) / 2, (x + y) / 2)), 5).alias("fused_length"))
+    return j.groupBy("a", "b").agg(r(dot(x, y) / F.sqrt(dot(x, x) * dot(y, y)), 5).alias("similarity"), r(F.sqrt(dot((x + y) / 2,
+        (x + y) / 2)), 5).alias("fused_length"))
 
 
 @query(
     "txt25_tfidf_similarity",
-    f"""WITH w AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY 1, 2), df AS (SELECT term, count(*) AS d FROM tf GROUP BY 1),
-    v AS (SELECT doc_id, term, n * ln((SELECT count(*) FROM documents) * 1.0 / d) AS x FROM tf JOIN df USING (term)), l AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM v GROUP BY 1),
-    s AS (SELECT a.doc_id AS query_id, b.doc_id, sum(a.x * b.x) / any_value(la.l) / any_value(lb.l) AS similarity FROM v a JOIN v b ON a.term = b.term AND a.doc_id <> b.doc_id JOIN l la ON la.doc_id = a.doc_id JOIN l lb ON lb.doc_id = b.doc_id WHERE a.doc_id % 100 = 0 AND a.x > 0 AND b.x > 0 GROUP BY 1, 2)
+    f"""WITH w AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS n FROM
+    w GROUP BY 1, 2), df AS (SELECT term, count(*) AS d FROM tf GROUP BY 1),
+    v AS (SELECT doc_id, term, n * ln((SELECT count(*) FROM documents) * 1.0 / d) AS x FROM tf JOIN df USING (term)), l AS
+    (SELECT doc_id, sqrt(sum(x * x)) AS l FROM v GROUP BY 1),
+    s AS (SELECT a.doc_id AS query_id, b.doc_id, sum(a.x * b.x) / any_value(la.l) / any_value(lb.l) AS similarity FROM v
+    a JOIN v b ON a.term = b.term AND a.doc_id <> b.doc_id JOIN l la ON la.doc_id = a.doc_id JOIN l lb ON lb.doc_id = b.doc_id
+    WHERE a.doc_id % 100 = 0 AND a.x > 0 AND b.x > 0 GROUP BY 1, 2)
     SELECT query_id, doc_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.2""",
 )
 def txt25(t):

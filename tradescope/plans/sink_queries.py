@@ -47,7 +47,8 @@ def snk03(t):
 @query(
     "snk04_graph_projection",
     """SELECT 'Company' AS type, edrpou AS id, arg_max(company_name, (date, pk)) AS name, count(*) AS relations FROM records GROUP BY 2
-    UNION ALL SELECT 'Product', hs_code, NULL, count(DISTINCT country_code) FROM records GROUP BY 2 UNION ALL SELECT 'Country', country_code, NULL, 0 FROM records GROUP BY 2""",
+    UNION ALL SELECT 'Product', hs_code, NULL, count(DISTINCT country_code) FROM records GROUP BY 2 UNION ALL SELECT 'Country',
+    country_code, NULL, 0 FROM records GROUP BY 2""",
 )
 def snk04(t):
     nodes, relations = K.graph_tables(t("records"))
@@ -59,7 +60,12 @@ def snk04(t):
     return n.join(degree, ["type", "id"], "left").select("type", "id", "name", F.coalesce("relations", F.lit(0)).alias("relations"))
 
 
-@query("snk05_counters", "SELECT 'count:hs:' || hs_code AS key, count(*)::DOUBLE AS value FROM records GROUP BY 1 UNION ALL SELECT 'count:country:' || country_code, count(*)::DOUBLE FROM records GROUP BY 1 UNION ALL SELECT 'amount:company:' || edrpou, round(sum(amount), 3) FROM records GROUP BY 1")
+@query(
+    "snk05_counters",
+    """SELECT 'count:hs:' || hs_code AS key, count(*)::DOUBLE AS value FROM records GROUP BY 1 UNION ALL SELECT 'count:country:'
+    || country_code, count(*)::DOUBLE FROM records GROUP BY 1 UNION ALL SELECT 'amount:company:' || edrpou, round(sum(amount),
+    3) FROM records GROUP BY 1""",
+)
 def snk05(t):
     path = t.scratch()
     kept = K.replace(K.counters(t("records")).withColumn("value", F.round("value", 3)), path)
@@ -73,7 +79,12 @@ def snk06(t):
     return K.append_new(found, path, "pk")
 
 
-@query("snk07_dead_letters", "SELECT CAST(o_orderkey AS VARCHAR) AS record_id, 'vector' AS target_db, 'insert' AS operation, CASE WHEN o_totalprice < 2000 THEN 'bad total' ELSE 'open priority' END AS error_message, 0 AS retry_count FROM orders WHERE o_totalprice < 2000 OR o_orderpriority LIKE '4%'")
+@query(
+    "snk07_dead_letters",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS record_id, 'vector' AS target_db, 'insert' AS operation, CASE WHEN o_totalprice < 2000
+    THEN 'bad total' ELSE 'open priority' END AS error_message, 0 AS retry_count FROM orders WHERE o_totalprice < 2000 OR
+    o_orderpriority LIKE '4%'""",
+)
 def snk07(t):
     error = F.when(F.col("o_totalprice") < 2000, "bad total").when(F.col("o_orderpriority").startswith("4"), "open priority")
     failed = K.dead_letters(t("orders"), "o_orderkey", error, "vector")
@@ -87,15 +98,25 @@ def snk08(t):
     return t.spark.read.parquet(path).groupBy("log_date").agg(rows().alias("n"), F.min("line").alias("first"))
 
 
-@query("snk09_rebuild", "SELECT 'counters' AS target, count(DISTINCT hs_code) + count(DISTINCT country_code) + count(DISTINCT edrpou) AS n FROM records UNION ALL SELECT 'search', count(*) FROM records")
+@query(
+    "snk09_rebuild",
+    """SELECT 'counters' AS target, count(DISTINCT hs_code) + count(DISTINCT country_code) + count(DISTINCT edrpou) AS n FROM records
+    UNION ALL SELECT 'search', count(*) FROM records""",
+)
 def snk09(t):
-    path, targets = t.scratch(), {"counters": K.counters, "search": lambda d: d.select("pk", F.concat_ws(" ", "company_name", "customs_office").alias("full_text"))}
+    path, targets = t.scratch(), {"counters": K.counters, "search": lambda d: d.select("pk", F.concat_ws(" ", "company_name",
+        "customs_office").alias("full_text"))}
     K.rebuild(t("records").filter("qty > 25"), targets, path)
     made = K.rebuild(t("records"), targets, path)
-    return made["counters"].agg(rows().alias("n")).select(F.lit("counters").alias("target"), "n").union(made["search"].agg(rows().alias("n")).select(F.lit("search"), "n"))
+    return made["counters"].agg(rows().alias("n")).select(F.lit("counters").alias("target"),
+        "n").union(made["search"].agg(rows().alias("n")).select(F.lit("search"), "n"))
 
 
-@query("snk10_upsert", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS order_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY 1")
+@query(
+    "snk10_upsert",
+    """SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS order_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey))
+    AS status FROM orders GROUP BY 1""",
+)
 def snk10(t):
     x = t("orders").select("o_custkey", F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("status"))
     path = t.scratch()
@@ -104,7 +125,10 @@ def snk10(t):
     return kept.select("o_custkey", "order_id", "status")
 
 
-@query("snk11_dataset_registry", "SELECT 'orders' AS name, 'parquet' AS type, count(*) AS row_count, 6::BIGINT AS columns, true AS same_in_any_order FROM orders")
+@query(
+    "snk11_dataset_registry",
+    """SELECT 'orders' AS name, 'parquet' AS type, count(*) AS row_count, 6::BIGINT AS columns, true AS same_in_any_order FROM orders""",
+)
 def snk11(t):
     x = t("orders")
     row, again = K.registry_row(x, "orders", "parquet"), K.registry_row(x.repartition(7, "o_custkey"), "orders", "parquet")

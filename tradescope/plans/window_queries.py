@@ -33,29 +33,51 @@ def series(t):
     return t("records").groupBy((F.ascii(F.substring("country_code", 2, 1)) - 65).alias("id"), "date").agg(F.round(F.sum("amount"), 4).alias("amount"))
 
 
-@query("win01_value_spikes", f"WITH {_MONTHS} SELECT company_id, month, round(amount / lag(amount) OVER w - 1, 6) AS change FROM months WINDOW w AS (PARTITION BY company_id ORDER BY month) QUALIFY amount / lag(amount) OVER w - 1 > 1")
+@query(
+    "win01_value_spikes",
+    f"""WITH {_MONTHS} SELECT company_id, month, round(amount / lag(amount) OVER w - 1, 6) AS change FROM months WINDOW w AS (PARTITION
+    BY company_id ORDER BY month) QUALIFY amount / lag(amount) OVER w - 1 > 1""",
+)
 def win01(t):
     m = months(t).withColumn("change", W.change("amount", W.ordered(["company_id"], ["month"])))
     return m.filter("change > 1").select("company_id", "month", r(F.col("change")).alias("change"))
 
 
-@query("win02_lags", f"WITH {_SERIES} SELECT id, date, lag(amount, 1) OVER w AS l1, lag(amount, 7) OVER w AS l7, lag(amount, 30) OVER w AS l30 FROM series WINDOW w AS (PARTITION BY id ORDER BY date)")
+@query(
+    "win02_lags",
+    f"""WITH {_SERIES} SELECT id, date, lag(amount, 1) OVER w AS l1, lag(amount, 7) OVER w AS l7, lag(amount, 30) OVER w AS l30 FROM
+    series WINDOW w AS (PARTITION BY id ORDER BY date)""",
+)
 def win02(t):
     w = W.ordered(["id"], ["date"])
     return series(t).select("id", "date", *[F.lag("amount", n).over(w).alias(f"l{n}") for n in (1, 7, 30)])
 
 
-@query("win03_rolling_7", f"WITH {_SERIES} SELECT id, date, CASE WHEN count(*) OVER w = 7 THEN round(avg(amount) OVER w, 4) END AS mean7, CASE WHEN count(*) OVER w = 7 THEN round(stddev_samp(amount) OVER w, 3) END AS std7 FROM series WINDOW w AS (PARTITION BY id ORDER BY date ROWS 6 PRECEDING)")
+@query(
+    "win03_rolling_7",
+    f"""WITH {_SERIES} SELECT id, date, CASE WHEN count(*) OVER w = 7 THEN round(avg(amount) OVER w, 4) END AS mean7, CASE WHEN count(*)
+    OVER w = 7 THEN round(stddev_samp(amount) OVER w, 3) END AS std7 FROM series WINDOW w AS (PARTITION BY id ORDER BY date
+    ROWS 6 PRECEDING)""",
+)
 def win03(t):
     w = W.last_n(["id"], ["date"], 7)
-    return series(t).select("id", "date", W.full(r(F.avg("amount").over(w), 4), w, 7).alias("mean7"), W.full(r(F.stddev_samp("amount").over(w), 3), w, 7).alias("std7"))
+    return series(t).select("id", "date", W.full(r(F.avg("amount").over(w), 4), w, 7).alias("mean7"),
+        W.full(r(F.stddev_samp("amount").over(w), 3), w, 7).alias("std7"))
 
 
-@query("win04_sma_bollinger", "SELECT symbol, ts::DATE AS day, hour(ts) AS hour, CASE WHEN count(*) OVER a = 20 THEN round(avg(close) OVER a, 6) END AS sma20, CASE WHEN count(*) OVER b = 50 THEN round(avg(close) OVER b, 6) END AS sma50, CASE WHEN count(*) OVER a = 20 THEN round(avg(close) OVER a + 2 * stddev_samp(close) OVER a, 6) END AS upper FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), b AS (PARTITION BY symbol ORDER BY ts ROWS 49 PRECEDING)")
+@query(
+    "win04_sma_bollinger",
+    """SELECT symbol, ts::DATE AS day, hour(ts) AS hour, CASE WHEN count(*) OVER a = 20 THEN round(avg(close) OVER a, 6) END AS
+    sma20, CASE WHEN count(*) OVER b = 50 THEN round(avg(close) OVER b, 6) END AS sma50, CASE WHEN count(*) OVER a = 20 THEN
+    round(avg(close) OVER a + 2 * stddev_samp(close) OVER a, 6) END AS upper FROM bars WINDOW a AS (PARTITION BY symbol ORDER
+    BY ts ROWS 19 PRECEDING), b AS (PARTITION BY symbol ORDER BY ts ROWS 49 PRECEDING)""",
+)
 def win04(t):
     a, b = W.last_n(["symbol"], ["ts"], 20), W.last_n(["symbol"], ["ts"], 50)
     c = F.col("close")
-    return t("bars").select("symbol", F.col("ts").cast("date").alias("day"), F.hour("ts").alias("hour"), W.full(r(F.avg(c).over(a)), a, 20).alias("sma20"), W.full(r(F.avg(c).over(b)), b, 50).alias("sma50"), W.full(r(F.avg(c).over(a) + 2 * F.stddev_samp(c).over(a)), a, 20).alias("upper"))
+    return t("bars").select("symbol", F.col("ts").cast("date").alias("day"), F.hour("ts").alias("hour"), W.full(r(F.avg(c).over(a)),
+        a, 20).alias("sma20"), W.full(r(F.avg(c).over(b)), b, 50).alias("sma50"), W.full(r(F.avg(c).over(a) + 2 * F.stddev_samp(c).over(a)),
+        a, 20).alias("upper"))
 
 
 _RSI = "d AS (SELECT symbol, ts, close - lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS d FROM bars), rsi AS (SELECT symbol, ts, CASE WHEN count(d) OVER w = 14 THEN 100 - 100 / (1 + avg(greatest(d, 0)) OVER w / nullif(avg(greatest(-d, 0)) OVER w, 0)) END AS rsi FROM d WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING))"
@@ -74,7 +96,13 @@ def win05(t):
     return with_rsi(t).select("symbol", F.unix_timestamp("ts").alias("at"), r(F.col("rsi"), 4).alias("rsi"))
 
 
-@query("win06_macd", "WITH b AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM bars) SELECT a.symbol, epoch_ms(a.ts) // 1000 AS at, round(sum(b.close * pow(11.0 / 13, a.i - b.i)) / sum(pow(11.0 / 13, a.i - b.i)) - sum(b.close * pow(25.0 / 27, a.i - b.i)) / sum(pow(25.0 / 27, a.i - b.i)), 6) AS macd FROM b a JOIN b ON a.symbol = b.symbol AND b.i <= a.i GROUP BY 1, 2")
+@query(
+    "win06_macd",
+    """WITH b AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM bars) SELECT a.symbol,
+    epoch_ms(a.ts) // 1000 AS at, round(sum(b.close * pow(11.0 / 13, a.i - b.i)) / sum(pow(11.0 / 13, a.i - b.i)) - sum(b.close
+    * pow(25.0 / 27, a.i - b.i)) / sum(pow(25.0 / 27, a.i - b.i)), 6) AS macd FROM b a JOIN b ON a.symbol = b.symbol AND
+    b.i <= a.i GROUP BY 1, 2""",
+)
 def win06(t):
     w = W.ordered(["symbol"], ["ts"])
     return t("bars").select("symbol", F.unix_timestamp("ts").alias("at"), r(W.ewm_mean("close", 12, w) - W.ewm_mean("close", 26, w)).alias("macd"))
@@ -85,39 +113,73 @@ def win07(t):
     return t("bars").select("symbol", F.unix_timestamp("ts").alias("at"), F.lead("close", 3).over(W.ordered(["symbol"], ["ts"])).alias("target"))
 
 
-@query("win08_fill", "WITH b AS (SELECT symbol, ts, CASE WHEN volume > 2 THEN close END AS c FROM bars) SELECT symbol, epoch_ms(ts) // 1000 AS at, coalesce(first_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS filled FROM b")
+@query(
+    "win08_fill",
+    """WITH b AS (SELECT symbol, ts, CASE WHEN volume > 2 THEN close END AS c FROM bars) SELECT symbol, epoch_ms(ts) // 1000 AS
+    at, coalesce(first_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED
+    FOLLOWING), last_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS filled FROM
+    b""",
+)
 def win08(t):
     b = t("bars").withColumn("c", F.when(F.col("volume") > 2, F.col("close")))
     return b.select("symbol", F.unix_timestamp("ts").alias("at"), W.fill("c", W.ordered(["symbol"], ["ts"])).alias("filled"))
 
 
-@query("win09_trend_slope", f"WITH {_MONTHS}, k AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY month DESC) AS k FROM months) SELECT company_id, round(regr_slope(amount, 10 - k), 4) AS slope, CASE WHEN regr_slope(amount, 10 - k) > 1000 THEN 'rising' WHEN regr_slope(amount, 10 - k) < -1000 THEN 'falling' ELSE 'stable' END AS trend, round(stddev_samp(amount), 3) AS volatility FROM k WHERE k <= 10 GROUP BY 1")
+@query(
+    "win09_trend_slope",
+    f"""WITH {_MONTHS}, k AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY month DESC) AS k FROM months) SELECT
+    company_id, round(regr_slope(amount, 10 - k), 4) AS slope, CASE WHEN regr_slope(amount, 10 - k) > 1000 THEN 'rising'
+    WHEN regr_slope(amount, 10 - k) < -1000 THEN 'falling' ELSE 'stable' END AS trend, round(stddev_samp(amount), 3) AS volatility
+    FROM k WHERE k <= 10 GROUP BY 1""",
+)
 def win09(t):
-    g = W.recent(months(t), ["company_id"], ["month"], 10).groupBy("company_id").agg(F.regr_slope("amount", 10 - F.col("k")).alias("s"), r(F.stddev_samp("amount"), 3).alias("volatility"))
-    return g.select("company_id", r(F.col("s"), 4).alias("slope"), F.when(F.col("s") > 1000, "rising").when(F.col("s") < -1000, "falling").otherwise("stable").alias("trend"), "volatility")
-
-
-@query("win10_recent_against_previous", f"WITH {_MONTHS}, k AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY month DESC) AS k FROM months) SELECT company_id, round(avg(amount) FILTER (WHERE k <= 10) / avg(amount) FILTER (WHERE k BETWEEN 11 AND 20) - 1, 6) AS change FROM k WHERE k <= 20 GROUP BY 1")
+    g = W.recent(months(t), ["company_id"], ["month"], 10).groupBy("company_id").agg(F.regr_slope("amount", 10 - F.col("k")).alias("s"),
+        r(F.stddev_samp("amount"), 3).alias("volatility"))
+    return g.select("company_id", r(F.col("s"), 4).alias("slope"), F.when(F.col("s") > 1000, "rising").when(F.col("s") < -1000,
+        "falling").otherwise("stable").alias("trend"), "volatility")
+
+
+@query(
+    "win10_recent_against_previous",
+    f"""WITH {_MONTHS}, k AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY month DESC) AS k FROM months) SELECT
+    company_id, round(avg(amount) FILTER (WHERE k <= 10) / avg(amount) FILTER (WHERE k BETWEEN 11 AND 20) - 1, 6) AS change
+    FROM k WHERE k <= 20 GROUP BY 1""",
+)
 def win10(t):
     k = F.col("k")
     g = W.recent(months(t), ["company_id"], ["month"], 20).groupBy("company_id")
     return g.agg(r(F.avg(F.when(k <= 10, F.col("amount"))) / F.avg(F.when(k > 10, F.col("amount"))) - 1).alias("change"))
 
 
-@query("win11_count_last_hour", "SELECT transaction_id, n FROM (SELECT transaction_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM transactions) WHERE n > 1")
+@query(
+    "win11_count_last_hour",
+    """SELECT transaction_id, n FROM (SELECT transaction_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL
+    1 HOUR PRECEDING AND CURRENT ROW) AS n FROM transactions) WHERE n > 1""",
+)
 def win11(t):
     w = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-3_600_000_000, 0)
     return t("transactions").select("transaction_id", rows().over(w).alias("n")).filter("n > 1")
 
 
-@query("win12_last_3_against_earlier", f"WITH {_MONTHS}, k AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY month DESC) AS k FROM months) SELECT company_id, round(avg(amount) FILTER (WHERE k <= 3) / avg(amount) FILTER (WHERE k > 3) - 1, 6) AS change FROM k GROUP BY 1 HAVING abs(avg(amount) FILTER (WHERE k <= 3) / avg(amount) FILTER (WHERE k > 3) - 1) > 0.2")
+@query(
+    "win12_last_3_against_earlier",
+    f"""WITH {_MONTHS}, k AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY month DESC) AS k FROM months) SELECT
+    company_id, round(avg(amount) FILTER (WHERE k <= 3) / avg(amount) FILTER (WHERE k > 3) - 1, 6) AS change FROM k GROUP
+    BY 1 HAVING abs(avg(amount) FILTER (WHERE k <= 3) / avg(amount) FILTER (WHERE k > 3) - 1) > 0.2""",
+)
 def win12(t):
     k = F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("month")))
-    g = months(t).withColumn("k", k).groupBy("company_id").agg((F.avg(F.when(F.col("k") <= 3, F.col("amount"))) / F.avg(F.when(F.col("k") > 3, F.col("amount"))) - 1).alias("c"))
+    g = months(t).withColumn("k", k).groupBy("company_id").agg((F.avg(F.when(F.col("k") <= 3,
+        F.col("amount"))) / F.avg(F.when(F.col("k") > 3, F.col("amount"))) - 1).alias("c"))
     return g.filter("abs(c) > 0.2").select("company_id", r(F.col("c")).alias("change"))
 
 
-@query("win13_first_difference_outliers", "WITH d AS (SELECT symbol, ts, abs(close - lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS d FROM bars), s AS (SELECT symbol, avg(d) + 2 * stddev_pop(d) AS cut FROM d GROUP BY 1) SELECT symbol, epoch_ms(ts) // 1000 AS at, round(d, 6) AS jump FROM d JOIN s USING (symbol) WHERE d > cut")
+@query(
+    "win13_first_difference_outliers",
+    """WITH d AS (SELECT symbol, ts, abs(close - lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS d FROM bars), s AS (SELECT
+    symbol, avg(d) + 2 * stddev_pop(d) AS cut FROM d GROUP BY 1) SELECT symbol, epoch_ms(ts) // 1000 AS at, round(d, 6) AS
+    jump FROM d JOIN s USING (symbol) WHERE d > cut""",
+)
 def win13(t):
     d = t("bars").withColumn("d", F.abs(F.col("close") - F.lag("close").over(W.ordered(["symbol"], ["ts"]))))
     d = joins.map_back(d, "symbol", (F.avg("d") + 2 * F.stddev_pop("d")).alias("cut"))
@@ -130,44 +192,79 @@ def win14(t):
     return b.groupBy("symbol").applyInPandas(W.peaks("at", "close"), "symbol string, at long, close double")
 
 
-@query("win15_category_cap", "SELECT user_id, event_id, category FROM (SELECT * FROM interactions QUALIFY row_number() OVER (PARTITION BY user_id, category ORDER BY price DESC, event_id) <= 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY price DESC, event_id) <= 10")
+@query(
+    "win15_category_cap",
+    """SELECT user_id, event_id, category FROM (SELECT * FROM interactions QUALIFY row_number() OVER (PARTITION BY user_id, category
+    ORDER BY price DESC, event_id) <= 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY price DESC, event_id) <=
+    10""",
+)
 def win15(t):
     return W.capped(t("interactions"), ["user_id"], "category", [F.desc("price"), F.col("event_id")], 2, 10).select("user_id", "event_id", "category")
 
 
-@query("win16_linear_weighted_baseline", f"WITH {_MONTHS} SELECT company_id, round(sum(amount * i) / sum(i), 4) AS baseline FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY month) AS i FROM months) GROUP BY 1")
+@query(
+    "win16_linear_weighted_baseline",
+    f"""WITH {_MONTHS} SELECT company_id, round(sum(amount * i) / sum(i), 4) AS baseline FROM (SELECT *, row_number() OVER (PARTITION
+    BY company_id ORDER BY month) AS i FROM months) GROUP BY 1""",
+)
 def win16(t):
     i = F.row_number().over(W.ordered(["company_id"], ["month"]))
     return months(t).withColumn("i", i).groupBy("company_id").agg(r(F.sum(F.col("amount") * F.col("i")) / F.sum("i"), 4).alias("baseline"))
 
 
-@query("win17_mean_gap", "SELECT user_id, count(*) AS hits, round(avg(gap), 3) AS mean_gap FROM (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events) GROUP BY 1 HAVING count(*) > 10 AND avg(gap) < 40000")
+@query(
+    "win17_mean_gap",
+    """SELECT user_id, count(*) AS hits, round(avg(gap), 3) AS mean_gap FROM (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts))
+    OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events) GROUP BY 1 HAVING count(*) > 10 AND avg(gap)
+    < 40000""",
+)
 def win17(t):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     e = t("events").withColumn("us", us).withColumn("gap", (F.col("us") - F.lag("us").over(W.ordered(["user_id"], ["us", "event_id"]))) / 1e6)
-    return e.groupBy("user_id").agg(rows().alias("hits"), F.avg("gap").alias("g")).filter("hits > 10 AND g < 40000").select("user_id", "hits", r(F.col("g"), 3).alias("mean_gap"))
+    return e.groupBy("user_id").agg(rows().alias("hits"), F.avg("gap").alias("g")).filter("hits > 10 AND g < 40000").select("user_id",
+        "hits", r(F.col("g"), 3).alias("mean_gap"))
 
 
-@query("win18_ratio_to_group", "SELECT pk, round(amount / avg(amount) OVER (PARTITION BY hs_code), 6) AS ratio, round((amount - avg(amount) OVER (PARTITION BY hs_code)) / stddev_samp(amount) OVER (PARTITION BY hs_code), 6) AS z FROM records")
+@query(
+    "win18_ratio_to_group",
+    """SELECT pk, round(amount / avg(amount) OVER (PARTITION BY hs_code), 6) AS ratio, round((amount - avg(amount) OVER (PARTITION
+    BY hs_code)) / stddev_samp(amount) OVER (PARTITION BY hs_code), 6) AS z FROM records""",
+)
 def win18(t):
     x = joins.map_back(t("records"), "hs_code", F.avg("amount").alias("m"), F.stddev_samp("amount").alias("d"))
     return x.select("pk", r(F.col("amount") / F.col("m")).alias("ratio"), r((F.col("amount") - F.col("m")) / F.col("d")).alias("z"))
 
 
-@query("win19_comparable_rows", "SELECT pk, round(sum(amount) OVER w, 4) AS total, count(*) OVER w AS n, CASE WHEN stddev_pop(amount) OVER w > 0 AND count(*) OVER w > 2 THEN abs(amount - avg(amount) OVER w) > 2 * stddev_pop(amount) OVER w END AS deviates FROM records WINDOW w AS (PARTITION BY hs_code, company_id ORDER BY date, pk ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
+@query(
+    "win19_comparable_rows",
+    """SELECT pk, round(sum(amount) OVER w, 4) AS total, count(*) OVER w AS n, CASE WHEN stddev_pop(amount) OVER w > 0 AND count(*)
+    OVER w > 2 THEN abs(amount - avg(amount) OVER w) > 2 * stddev_pop(amount) OVER w END AS deviates FROM records WINDOW
+    w AS (PARTITION BY hs_code, company_id ORDER BY date, pk ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""",
+)
 def win19(t):
     w = W.last_n(["hs_code", "company_id"], ["date", "pk"], 20, current=False)
     m, s, n = F.avg("amount").over(w), F.stddev_pop("amount").over(w), rows().over(w)
-    return t("records").select("pk", r(F.sum("amount").over(w), 4).alias("total"), n.alias("n"), F.when((s > 0) & (n > 2), F.abs(F.col("amount") - m) > 2 * s).alias("deviates"))
+    return t("records").select("pk", r(F.sum("amount").over(w), 4).alias("total"), n.alias("n"), F.when((s > 0) & (n > 2),
+        F.abs(F.col("amount") - m) > 2 * s).alias("deviates"))
 
 
-@query("win20_returns_volatility", "WITH p AS (SELECT symbol, ts, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars) SELECT symbol, round(stddev_samp(ret) * sqrt(252), 6) AS volatility, round(arg_max(close, ts) / arg_min(close, ts) - 1, 6) AS total_return FROM p GROUP BY 1")
+@query(
+    "win20_returns_volatility",
+    """WITH p AS (SELECT symbol, ts, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars) SELECT
+    symbol, round(stddev_samp(ret) * sqrt(252), 6) AS volatility, round(arg_max(close, ts) / arg_min(close, ts) - 1, 6) AS
+    total_return FROM p GROUP BY 1""",
+)
 def win20(t):
     p = t("bars").withColumn("ret", W.change("close", W.ordered(["symbol"], ["ts"])))
-    return p.groupBy("symbol").agg(r(F.stddev_samp("ret") * F.sqrt(F.lit(252.0))).alias("volatility"), r(F.max_by("close", "ts") / F.min_by("close", "ts") - 1).alias("total_return"))
+    return p.groupBy("symbol").agg(r(F.stddev_samp("ret") * F.sqrt(F.lit(252.0))).alias("volatility"), r(F.max_by("close",
+        "ts") / F.min_by("close", "ts") - 1).alias("total_return"))
 
 
-@query("win21_sector_tier", "SELECT symbol, CASE WHEN arg_max(close, ts) / arg_min(close, ts) - 1 > 0.05 THEN 'growing' WHEN arg_max(close, ts) / arg_min(close, ts) - 1 < -0.05 THEN 'shrinking' ELSE 'stable' END AS tier FROM bars GROUP BY 1")
+@query(
+    "win21_sector_tier",
+    """SELECT symbol, CASE WHEN arg_max(close, ts) / arg_min(close, ts) - 1 > 0.05 THEN 'growing' WHEN arg_max(close, ts) / arg_min(close,
+    ts) - 1 < -0.05 THEN 'shrinking' ELSE 'stable' END AS tier FROM bars GROUP BY 1""",
+)
 def win21(t):
     g = t("bars").groupBy("symbol").agg((F.max_by("close", "ts") / F.min_by("close", "ts") - 1).alias("x"))
     return g.select("symbol", F.when(F.col("x") > 0.05, "growing").when(F.col("x") < -0.05, "shrinking").otherwise("stable").alias("tier"))
@@ -178,7 +275,11 @@ def win22(t):
     return W.recent(t("events"), ["user_id"], ["ts", "event_id"], 50).select("user_id", "event_id")
 
 
-@query("win23_ordered_split", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= floor(0.8 * count(*) OVER (PARTITION BY user_id)) AS train FROM events")
+@query(
+    "win23_ordered_split",
+    """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= floor(0.8 * count(*) OVER (PARTITION
+    BY user_id)) AS train FROM events""",
+)
 def win23(t):
     n = rows().over(Window.partitionBy("user_id"))
     return t("events").select("user_id", "event_id", (F.row_number().over(W.ordered(["user_id"], ["ts", "event_id"])) <= F.floor(0.8 * n)).alias("train"))
@@ -191,51 +292,96 @@ def failure_runs(t):
     return W.runs_of(t("events"), ["user_id"], ["ts", "event_id"], F.col("event_type").isin("error", "click"))
 
 
-@query("win24_failure_runs", f"WITH {_RUNS} SELECT event_id, CAST(run AS BIGINT) AS run, CASE WHEN run >= 5 THEN 'high' ELSE 'medium' END AS level FROM runs WHERE run >= 3")
+@query(
+    "win24_failure_runs",
+    f"""WITH {_RUNS} SELECT event_id, CAST(run AS BIGINT) AS run, CASE WHEN run >= 5 THEN 'high' ELSE 'medium' END AS level FROM
+    runs WHERE run >= 3""",
+)
 def win24(t):
     return failure_runs(t).filter("run >= 3").select("event_id", "run", F.when(F.col("run") >= 5, "high").otherwise("medium").alias("level"))
 
 
-@query("win25_moving_anomaly", "SELECT symbol, epoch_ms(ts) // 1000 AS at FROM (SELECT symbol, ts, close, avg(close) OVER w AS m, stddev_samp(close) OVER w AS s, count(*) OVER w AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n > 10 AND abs(close - m) > 2 * s")
+@query(
+    "win25_moving_anomaly",
+    """SELECT symbol, epoch_ms(ts) // 1000 AS at FROM (SELECT symbol, ts, close, avg(close) OVER w AS m, stddev_samp(close) OVER
+    w AS s, count(*) OVER w AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING
+    AND 1 PRECEDING)) WHERE n > 10 AND abs(close - m) > 2 * s""",
+)
 def win25(t):
     w = W.ordered(["symbol"], ["ts"]).rowsBetween(Window.unboundedPreceding, -1)
     b = t("bars").withColumns({"m": F.avg("close").over(w), "s": F.stddev_samp("close").over(w), "n": rows().over(w)})
     return b.filter("n > 10 AND abs(close - m) > 2 * s").select("symbol", F.unix_timestamp("ts").alias("at"))
 
 
-@query("win26_trailing_mean", "SELECT symbol, epoch_ms(ts) // 1000 AS at, round(avg(volume) OVER (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING), 6) AS usage FROM bars")
+@query(
+    "win26_trailing_mean",
+    """SELECT symbol, epoch_ms(ts) // 1000 AS at, round(avg(volume) OVER (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING), 6)
+    AS usage FROM bars""",
+)
 def win26(t):
     return t("bars").select("symbol", F.unix_timestamp("ts").alias("at"), r(F.avg("volume").over(W.last_n(["symbol"], ["ts"], 10))).alias("usage"))
 
 
-@query("win27_last_50_pattern", "WITH k AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50) SELECT user_id, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, arg_max(value, (ts, event_id)) > arg_min(value, (ts, event_id)) AS improving FROM k GROUP BY 1")
+@query(
+    "win27_last_50_pattern",
+    """WITH k AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50) SELECT
+    user_id, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, arg_max(value, (ts, event_id)) > arg_min(value,
+    (ts, event_id)) AS improving FROM k GROUP BY 1""",
+)
 def win27(t):
     at = F.struct("ts", "event_id")
-    return W.recent(t("events"), ["user_id"], ["ts", "event_id"], 50).groupBy("user_id").agg(r(F.avg("value")).alias("mean"), r(F.stddev_pop("value")).alias("deviation"), (F.max_by("value", at) > F.min_by("value", at)).alias("improving"))
+    return W.recent(t("events"), ["user_id"], ["ts", "event_id"], 50).groupBy("user_id").agg(r(F.avg("value")).alias("mean"),
+        r(F.stddev_pop("value")).alias("deviation"), (F.max_by("value", at) > F.min_by("value", at)).alias("improving"))
 
 
-@query("fcs04_accuracy", f"WITH {_SERIES}, p AS (SELECT id, amount, lag(amount, 7) OVER (PARTITION BY id ORDER BY date) AS f FROM series) SELECT id, round(avg(abs(amount - f)), 4) AS mae, round(sqrt(avg((amount - f) * (amount - f))), 4) AS rmse, round(100 * avg(abs(amount - f) / amount), 6) AS mape, round(avg(f - amount), 4) AS bias, round(greatest(0, 100 - 100 * avg(abs(amount - f) / amount)), 6) AS accuracy FROM p WHERE f IS NOT NULL GROUP BY 1")
+@query(
+    "fcs04_accuracy",
+    f"""WITH {_SERIES}, p AS (SELECT id, amount, lag(amount, 7) OVER (PARTITION BY id ORDER BY date) AS f FROM series) SELECT id,
+    round(avg(abs(amount - f)), 4) AS mae, round(sqrt(avg((amount - f) * (amount - f))), 4) AS rmse, round(100 * avg(abs(amount
+    - f) / amount), 6) AS mape, round(avg(f - amount), 4) AS bias, round(greatest(0, 100 - 100 * avg(abs(amount - f) / amount)),
+    6) AS accuracy FROM p WHERE f IS NOT NULL GROUP BY 1""",
+)
 def fcs04(t):
     p = series(t).withColumn("f", F.lag("amount", 7).over(W.ordered(["id"], ["date"]))).filter("f IS NOT NULL")
     e = F.col("amount") - F.col("f")
     mape = 100 * F.avg(F.abs(e) / F.col("amount"))
-    return p.groupBy("id").agg(r(F.avg(F.abs(e)), 4).alias("mae"), r(F.sqrt(F.avg(e * e)), 4).alias("rmse"), r(mape).alias("mape"), r(F.avg(-e), 4).alias("bias"), r(F.greatest(F.lit(0.0), 100 - mape)).alias("accuracy"))
+    return p.groupBy("id").agg(r(F.avg(F.abs(e)), 4).alias("mae"), r(F.sqrt(F.avg(e * e)), 4).alias("rmse"), r(mape).alias("mape"),
+        r(F.avg(-e), 4).alias("bias"), r(F.greatest(F.lit(0.0), 100 - mape)).alias("accuracy"))
 
 
-@query("fcs07_technical_signal", f"WITH {_RSI}, s AS (SELECT b.symbol, b.ts, b.close, rsi, avg(close) OVER (PARTITION BY b.symbol ORDER BY b.ts ROWS 19 PRECEDING) AS sma FROM bars b JOIN rsi ON rsi.symbol = b.symbol AND rsi.ts = b.ts) SELECT symbol, epoch_ms(ts) // 1000 AS at, coalesce(nullif(concat_ws(', ', CASE WHEN rsi < 30 THEN 'oversold' WHEN rsi > 70 THEN 'overbought' END, CASE WHEN close > sma * 1.5 THEN 'above average' END), ''), 'neutral') AS signal FROM s")
+@query(
+    "fcs07_technical_signal",
+    f"""WITH {_RSI}, s AS (SELECT b.symbol, b.ts, b.close, rsi, avg(close) OVER (PARTITION BY b.symbol ORDER BY b.ts ROWS 19 PRECEDING)
+    AS sma FROM bars b JOIN rsi ON rsi.symbol = b.symbol AND rsi.ts = b.ts) SELECT symbol, epoch_ms(ts) // 1000 AS at, coalesce(nullif(concat_ws(', ',
+    CASE WHEN rsi < 30 THEN 'oversold' WHEN rsi > 70 THEN 'overbought' END, CASE WHEN close > sma * 1.5 THEN 'above average'
+    END), ''), 'neutral') AS signal FROM s""",
+)
 def fcs07(t):
     s = with_rsi(t).withColumn("sma", F.avg("close").over(W.last_n(["symbol"], ["ts"], 20)))
-    text = F.concat_ws(", ", F.when(F.col("rsi") < 30, "oversold").when(F.col("rsi") > 70, "overbought"), F.when(F.col("close") > F.col("sma") * 1.5, "above average"))
+    text = F.concat_ws(", ", F.when(F.col("rsi") < 30, "oversold").when(F.col("rsi") > 70, "overbought"),
+        F.when(F.col("close") > F.col("sma") * 1.5, "above average"))
     return s.select("symbol", F.unix_timestamp("ts").alias("at"), F.coalesce(F.nullif(text, F.lit("")), F.lit("neutral")).alias("signal"))
 
 
-@query("fcs08_overall_rating", "WITH s AS (SELECT symbol, avg(close) AS m, stddev_samp(close) AS d, arg_max(close, ts) AS last, sum(volume) AS v FROM bars GROUP BY 1) SELECT symbol, CASE WHEN last > m THEN 5 ELSE 0 END + CASE WHEN d < m THEN 5 ELSE 0 END + CASE WHEN v > 1500 THEN 10 ELSE 5 END AS points FROM s")
+@query(
+    "fcs08_overall_rating",
+    """WITH s AS (SELECT symbol, avg(close) AS m, stddev_samp(close) AS d, arg_max(close, ts) AS last, sum(volume) AS v FROM bars
+    GROUP BY 1) SELECT symbol, CASE WHEN last > m THEN 5 ELSE 0 END + CASE WHEN d < m THEN 5 ELSE 0 END + CASE WHEN v > 1500
+    THEN 10 ELSE 5 END AS points FROM s""",
+)
 def fcs08(t):
-    g = t("bars").groupBy("symbol").agg(F.avg("close").alias("m"), F.stddev_samp("close").alias("d"), F.max_by("close", "ts").alias("last"), F.sum("volume").alias("v"))
-    return g.select("symbol", (F.when(F.col("last") > F.col("m"), 5).otherwise(0) + F.when(F.col("d") < F.col("m"), 5).otherwise(0) + F.when(F.col("v") > 1500, 10).otherwise(5)).alias("points"))
-
-
-@query("fcs10_opportunities", "WITH m AS (SELECT hs_code, avg(amount) FILTER (WHERE year(date) = 2000) AS a, avg(amount) FILTER (WHERE year(date) = 1999) AS b FROM records GROUP BY 1) SELECT hs_code, round(100 * (a / b - 1), 6) AS expected FROM m WHERE 100 * (a / b - 1) > 2")
+    g = t("bars").groupBy("symbol").agg(F.avg("close").alias("m"), F.stddev_samp("close").alias("d"), F.max_by("close",
+        "ts").alias("last"), F.sum("volume").alias("v"))
+    return g.select("symbol", (F.when(F.col("last") > F.col("m"), 5).otherwise(0) + F.when(F.col("d") < F.col("m"),
+        5).otherwise(0) + F.when(F.col("v") > 1500, 10).otherwise(5)).alias("points"))
+
+
+@query(
+    "fcs10_opportunities",
+    """WITH m AS (SELECT hs_code, avg(amount) FILTER (WHERE year(date) = 2000) AS a, avg(amount) FILTER (WHERE year(date) = 1999)
+    AS b FROM records GROUP BY 1) SELECT hs_code, round(100 * (a / b - 1), 6) AS expected FROM m WHERE 100 * (a / b - 1)
+    > 2""",
+)
 def fcs10(t):
     y = F.year("date")
     g = t("records").groupBy("hs_code").agg((100 * (F.avg(F.when(y == 2000, F.col("amount"))) / F.avg(F.when(y == 1999, F.col("amount"))) - 1)).alias("e"))

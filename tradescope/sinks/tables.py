@@ -78,7 +78,8 @@ def write_days(rows: DataFrame, path: str, day: Column, column: str = "log_date"
 def dead_letters(rows: DataFrame, record: str, error: Column, target: str, operation: str = "insert") -> DataFrame:
     """Rows that fail, with why: record_id, target_db, operation, error_message, retry_count."""
     failed = rows.withColumn("error_message", error).filter(F.col("error_message").isNotNull())
-    return failed.select(F.col(record).cast("string").alias("record_id"), F.lit(target).alias("target_db"), F.lit(operation).alias("operation"), "error_message", F.lit(0).alias("retry_count"))
+    return failed.select(F.col(record).cast("string").alias("record_id"), F.lit(target).alias("target_db"),
+        F.lit(operation).alias("operation"), "error_message", F.lit(0).alias("retry_count"))
 
 
 def rebuild(records: DataFrame, targets: Mapping[str, Callable[[DataFrame], DataFrame]], path: str) -> dict[str, DataFrame]:
@@ -90,16 +91,20 @@ def registry_row(table: DataFrame, name: str, kind: str) -> DataFrame:
     """One row about a dataset: name, type, row_count, schema as JSON and a checksum that no order changes."""
     digest = F.xxhash64(*table.columns).cast("decimal(38,0)")
     found = table.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("sum"))
-    return found.select(F.lit(name).alias("name"), F.lit(kind).alias("type"), "row_count", F.lit(table.schema.json()).alias("schema"), F.sha2("sum", 256).alias("checksum"))
+    return found.select(F.lit(name).alias("name"), F.lit(kind).alias("type"), "row_count", F.lit(table.schema.json()).alias("schema"),
+        F.sha2("sum", 256).alias("checksum"))
 
 
 def graph_tables(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (type, id, name) and relations (type, src, dst, record_id) of declarations; the last name of a company wins."""
-    firms = records.groupBy(F.col("edrpou").alias("id")).agg(F.max_by("company_name", F.struct("date", "pk")).alias("name")).select(F.lit("Company").alias("type"), "id", "name")
-    others = records.select(F.explode(F.array(F.struct(F.lit("Product").alias("type"), F.col("hs_code").alias("id")), F.struct(F.lit("Country").alias("type"), F.col("country_code").alias("id")))).alias("n"))
+    firms = records.groupBy(F.col("edrpou").alias("id")).agg(F.max_by("company_name", F.struct("date",
+        "pk")).alias("name")).select(F.lit("Company").alias("type"), "id", "name")
+    others = records.select(F.explode(F.array(F.struct(F.lit("Product").alias("type"), F.col("hs_code").alias("id")),
+        F.struct(F.lit("Country").alias("type"), F.col("country_code").alias("id")))).alias("n"))
     nodes = firms.unionByName(others.select("n.*").distinct().withColumn("name", F.lit(None).cast("string")))
     imports = records.select(F.lit("IMPORTS").alias("type"), F.col("edrpou").alias("src"), F.col("hs_code").alias("dst"), F.col("pk").alias("record_id"))
-    origins = records.select(F.lit("FROM_COUNTRY").alias("type"), F.col("hs_code").alias("src"), F.col("country_code").alias("dst"), F.lit(None).cast("string").alias("record_id")).distinct()
+    origins = records.select(F.lit("FROM_COUNTRY").alias("type"), F.col("hs_code").alias("src"), F.col("country_code").alias("dst"),
+        F.lit(None).cast("string").alias("record_id")).distinct()
     return nodes, imports.unionByName(origins)
 
 

@@ -26,7 +26,8 @@ def scan_counts(rows: DataFrame, key: Sequence[str], valid: Column) -> DataFrame
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     by_key = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), n(F.col(BAD).isNotNull()).alias("bad"), n(good).alias("good"))
     return by_key.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum(F.col("n") - F.col("bad") - F.col("good")), F.lit(0)).alias("invalid"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
+            F.coalesce(F.sum(F.col("n") - F.col("bad") - F.col("good")), F.lit(0)).alias("invalid"),
         F.coalesce(F.sum(F.greatest(F.col("good") - 1, F.lit(0))), F.lit(0)).alias("repeats"), n(F.col("good") > 0).alias("valid"),
     )
 
@@ -65,11 +66,13 @@ def unwrap_changes(messages: DataFrame, schema: str, tables: Sequence[str], excl
     as deletes of unknown fields. It reads streams and tables alike.
     """
     shape = StructType.fromDDL(f"op string, ts_ms long, before struct<{schema}>, after struct<{schema}>")
-    rows = messages.select(F.regexp_replace("topic", r"^[^.]+\.", "").alias("table"), "key", F.from_json("value", shape).alias("m"), F.col("value").isNull().alias("tombstone"))
+    rows = messages.select(F.regexp_replace("topic", r"^[^.]+\.", "").alias("table"), "key", F.from_json("value",
+        shape).alias("m"), F.col("value").isNull().alias("tombstone"))
     rows = rows.filter(F.col("table").isin(*tables))
     deleted = F.col("tombstone") | (F.col("m.op") == "d")
     fields = F.when(F.col("m.op") == "d", F.col("m.before")).otherwise(F.col("m.after"))
-    rows = rows.select("table", "key", F.coalesce("m.op", F.lit("tombstone")).alias("op"), F.coalesce(deleted, F.lit(False)).alias("deleted"), F.col("m.ts_ms").alias("ts_ms"), fields.alias("f"))
+    rows = rows.select("table", "key", F.coalesce("m.op", F.lit("tombstone")).alias("op"), F.coalesce(deleted,
+        F.lit(False)).alias("deleted"), F.col("m.ts_ms").alias("ts_ms"), fields.alias("f"))
     return rows.select("table", "key", "op", "deleted", "ts_ms", "f.*").drop(*excluded)
 
 
@@ -82,4 +85,5 @@ def normalise_messages(exported: DataFrame) -> DataFrame:
     m = exported.select("channel", F.from_json("payload", MESSAGE).alias("m")).select("channel", "m.*")
     counts = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("views", "forwards", "replies")}
     text = F.coalesce("text", F.lit(""))
-    return m.withColumns({**counts, "text": text, "date": F.to_timestamp("date"), "has_media": F.col("media").isNotNull(), "text_length": F.length(text).cast("long")}).drop("media")
+    return m.withColumns({**counts, "text": text, "date": F.to_timestamp("date"), "has_media": F.col("media").isNotNull(),
+        "text_length": F.length(text).cast("long")}).drop("media")

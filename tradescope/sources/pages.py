@@ -23,7 +23,8 @@ def absolute(base: Column, href: Column) -> Column:
     scheme, root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_replace(F.regexp_extract(base, r"^[^?#]*", 0), r"(://[^/]*|/)[^/]*$", "$1")
     folder = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
-    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(F.startswith(href, F.lit("//")), F.concat(scheme, href)).when(F.startswith(href, F.lit("/")), F.concat(root, href)).otherwise(F.concat(folder, href))
+    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(F.startswith(href, F.lit("//")), F.concat(scheme,
+        href)).when(F.startswith(href, F.lit("/")), F.concat(root, href)).otherwise(F.concat(folder, href))
 
 
 def strip_tags(html: Column) -> Column:
@@ -52,7 +53,8 @@ def page_texts(pages: DataFrame) -> DataFrame:
     paragraphs = F.regexp_extract_all(F.regexp_replace("html", r"(?s)<script.*?</script>", ""), F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|$)"), F.lit(1))
     texts = F.filter(F.transform(paragraphs, strip_tags), lambda p: p != "")
     title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
-    return pages.select("page_id", "url", title.alias("title"), F.array_join(texts, " ").alias("text"), F.size(texts).cast("long").alias("paragraphs"), F.octet_length("html").cast("long").alias("bytes"))
+    return pages.select("page_id", "url", title.alias("title"), F.array_join(texts, " ").alias("text"),
+        F.size(texts).cast("long").alias("paragraphs"), F.octet_length("html").cast("long").alias("bytes"))
 
 
 class _Tables(HTMLParser):
@@ -109,7 +111,8 @@ def tables(pages: DataFrame) -> DataFrame:
 
 
 #: Standard columns by the words that name them in a header (fixed values).
-HEADERS = {"hs_code": ("hs", "code"), "company_name": ("company", "firm", "supplier"), "amount": ("amount", "value", "sum"), "qty": ("qty", "quantity"), "country_code": ("country",)}
+HEADERS = {"hs_code": ("hs", "code"), "company_name": ("company", "firm", "supplier"), "amount": ("amount", "value",
+    "sum"), "qty": ("qty", "quantity"), "country_code": ("country",)}
 
 
 def table_records(found: DataFrame, kind: str = "web") -> DataFrame:
@@ -120,6 +123,7 @@ def table_records(found: DataFrame, kind: str = "web") -> DataFrame:
     place = lambda words: F.array_position(F.transform("header", lambda h: F.lower(h).rlike("|".join(words))), F.lit(True))
     rows = found.select("page_id", "table_index", F.posexplode("rows").alias("row", "cells"), *[place(w).alias(f"at_{c}") for c, w in HEADERS.items()])
     cell = lambda c: F.when(F.col(f"at_{c}") > 0, F.get("cells", (F.col(f"at_{c}") - 1).cast("int")))
-    rows = rows.select(F.concat_ws("_", F.lit(kind), "page_id", "table_index", "row").alias("pk"), *[F.nullif(F.trim(cell(c)), F.lit("")).alias(c) for c in HEADERS])
+    rows = rows.select(F.concat_ws("_", F.lit(kind), "page_id", "table_index", "row").alias("pk"), *[F.nullif(F.trim(cell(c)),
+        F.lit("")).alias(c) for c in HEADERS])
     hashed = rows.withColumn("op_hash", F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in HEADERS]), 256))
     return hashed.groupBy("op_hash").agg(F.min(F.struct("pk", *HEADERS)).alias("r")).select("r.*", "op_hash")

@@ -42,7 +42,8 @@ def ring_scores(points: DataFrame, key: str, value: str, ring: int = RING, least
         state.update((kept,))
         yield pd.DataFrame(out, columns=[key, "seq", "z", "score"])
 
-    return points.groupBy(key).applyInPandasWithState(step, f"{key} long, seq long, z double, score double", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    return points.groupBy(key).applyInPandasWithState(step, f"{key} long, seq long, z double, score double", "kept array<double>",
+        "append", GroupStateTimeout.NoTimeout)
 
 
 def quick_checks(points: DataFrame, key: str, order: tuple[str, ...], value: str) -> DataFrame:
@@ -78,4 +79,5 @@ def failed_logins(attempts: DataFrame, user: str, limit: int = 3) -> DataFrame:
         state.update((n,))
         yield pd.DataFrame(out, columns=[user, "seq", "failures", "locked"])
 
-    return attempts.groupBy(user).applyInPandasWithState(step, f"{user} long, seq long, failures long, locked boolean", "n long", "append", GroupStateTimeout.NoTimeout)
+    return attempts.groupBy(user).applyInPandasWithState(step, f"{user} long, seq long, failures long, locked boolean",
+        "n long", "append", GroupStateTimeout.NoTimeout)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def process_outbox(spark: SparkSession, inbox: str, schema, handlers: Mapping[str, Callable[[DataFrame], DataFrame]], target: str, column: str = "aggregate_type", files_per_batch: int = 2, seconds: int = 600) -> None:
+def process_outbox(spark: SparkSession, inbox: str, schema, handlers: Mapping[str, Callable[[DataFrame], DataFrame]],
+    target: str, column: str = "aggregate_type", files_per_batch: int = 2, seconds: int = 600) -> None:
     """Work off the files of ``inbox`` and stop: each handler gets the events of its type and gives rows to keep.
 
     What a batch gives is written to ``target``/type/batch=N in place of what an earlier try of
@@ -33,4 +34,5 @@ def lag_gauge(log: DataFrame, created: Column, pending: Column, as_of: Column, s
     """One row: pending events, their mean and greatest age in seconds, and those older than ``stuck_after``."""
     age = F.unix_timestamp(as_of) - F.unix_timestamp(created)
     mine = log.filter(pending).select(age.alias("age"))
-    return mine.agg(F.count(F.lit(1)).alias("pending"), F.avg("age").alias("mean_age"), F.max("age").alias("max_age"), F.count_if(F.col("age") > stuck_after).alias("stuck"))
+    return mine.agg(F.count(F.lit(1)).alias("pending"), F.avg("age").alias("mean_age"), F.max("age").alias("max_age"),
+        F.count_if(F.col("age") > stuck_after).alias("stuck"))
