@@ -33,13 +33,16 @@ def docs(spark):
     """Repeated rows, repeated ids of different texts, null ids, null and empty texts, a very long one."""
     texts = texts_of(40)
     rows = [(i, t, "en", "ab"[i % 2], len(t)) for i, t in enumerate(texts)]
-    rows += [rows[3], rows[3], (5, texts[6], "en", None, 1), (None, texts[7], None, "a", 1), (None, texts[7], None, "a", 1), (None, None, None, None, None), (50, None, "en", "b", 0), (51, "", "en", "b", 0), (52, " \n\t ", "en", "b", 4), (53, LONG, "en", "a", len(LONG))]
+    rows += [rows[3], rows[3], (5, texts[6], "en", None, 1), (None, texts[7], None, "a", 1), (None, texts[7], None,
+        "a", 1), (None, None, None, None, None), (50, None, "en", "b", 0), (51, "", "en", "b", 0), (52, " \n\t ", "en",
+        "b", 4), (53, LONG, "en", "a", len(LONG))]
     return table(spark, rows)
 
 
 @pytest.fixture(scope="module")
 def labels(spark):
-    return spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(30)] + [(None, 1, 1), (3, None, None), (5, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(30)] + [(None, 1, 1), (3, None, None),
+        (5, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
 
 
 RUNS = {
@@ -97,7 +100,8 @@ def test_stages_on_odd_rows(spark, docs, labels, tmp_path, stage):
 
 def test_samples_are_bounded_and_never_empty(spark):
     texts = texts_of(50)
-    same = table(spark, [(1, "the river and the market", "en", "a", 1)] * 3000 + [(None, t, "en", "a", 1) for t in texts] + [(2, "der Fluss und die Stadt", "de", "a", 1)])
+    same = table(spark, [(1, "the river and the market", "en", "a", 1)] * 3000 + [(None, t, "en", "a", 1) for t in texts] + [(2,
+        "der Fluss und die Stadt", "de", "a", 1)])
     found = language.identify_languages(same, sample=10, keep_text=True).select("text", "lang_pred").distinct().collect()
     assert {r["lang_pred"] for r in found if "Fluss" in r["text"]} == {"de"}
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
@@ -108,7 +112,8 @@ def test_samples_are_bounded_and_never_empty(spark):
 
 def test_language_equals_brute_force(spark):
     """The model's TF-IDF sums and calibrated probabilities, worked out text by text in plain Python."""
-    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts_of(30))] + [(100 + i, t.replace("the", "der").replace("and", "und"), "de", "a", 1) for i, t in enumerate(texts_of(30, 5))]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts_of(30))] + [(100 + i, t.replace("the", "der").replace("and",
+        "und"), "de", "a", 1) for i, t in enumerate(texts_of(30, 5))]
     texts, names = [r[1] for r in rows], ["de", "en"]
     found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify_languages(table(spark, rows)).collect()}
     grams = [Counter(language.gram_buckets([t])[0].tolist()) for t in texts]
@@ -150,7 +155,8 @@ def test_toxicity_chain_equals_brute_force(spark):
 def test_url_probability_equals_brute_force_and_held_out_sites(spark):
     bad = ["casino-royale", "free-bets", "pills4u", "adult-x", "tracking-ads", "spamfarm", "bestcasinos", "win-prizes", "bets-online", "ads-net"]
     good = ["village", "thing", "meadow", "tionen", "bakery", "students", "antiques", "weekly", "leather", "painters"]
-    pages = [(i, f"https://www.{name}.example.com/en/{i}/") for i, name in enumerate(bad + good)] + [(30, None), (31, "x"), (32, ""), (0, f"https://www.{bad[0]}.example.com/en/0/")]
+    pages = [(i, f"https://www.{name}.example.com/en/{i}/") for i, name in enumerate(bad + good)] + [(30, None),
+        (31, "x"), (32, ""), (0, f"https://www.{bad[0]}.example.com/en/0/")]
     df = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, _rule string, p_block string")
     rows = urls.judge_urls(df, RULES).collect()
     assert len(rows) == len(pages) and urls.judge_urls(df.limit(0), RULES).count() == 0
@@ -159,7 +165,8 @@ def test_url_probability_equals_brute_force_and_held_out_sites(spark):
     for r in rows:
         text = f"^{r['host']}${r['path']}"
         grams = {text[i : i + n] for n in urls.SIZES for i in range(len(text) - n + 1)}
-        hashed = spark.createDataFrame([(g,) for g in sorted(grams)], "g string").select(F.pmod(F.xxhash64("g"), F.lit(urls.DIMENSIONS)).alias("j")).distinct().collect() if r["page_id"] in (0, 12, 30) else None
+        hashed = spark.createDataFrame([(g,) for g in sorted(grams)], "g string").select(F.pmod(F.xxhash64("g"),
+            F.lit(urls.DIMENSIONS)).alias("j")).distinct().collect() if r["page_id"] in (0, 12, 30) else None
         if hashed is not None:
             x = bias + sum(weights[h["j"]] for h in hashed) / math.sqrt(max(len(hashed), 1))
             assert abs(r["p_block"] - 1 / (1 + math.exp(-x))) < 1e-9
@@ -173,7 +180,8 @@ def test_packing_both_openings_of_bins_leave_few_gaps():
 
 
 def test_chat_and_search_on_empty_tables_and_clashing_names(spark):
-    turns = spark.createDataFrame([(1, 0, "user", "a", "z"), (1, 0, "user", "a", "z"), (None, None, None, None, "z")], "conv_id long, turn long, role string, text string, message_id string")
+    turns = spark.createDataFrame([(1, 0, "user", "a", "z"), (1, 0, "user", "a", "z"), (None, None, None, None,
+        "z")], "conv_id long, turn long, role string, text string, message_id string")
     found = {r["conv_id"]: r["n_turns"] for r in chat.digest(chat.format_conversations(chat.events_of_turns(turns))).collect()}
     assert found == {1: 2, None: 1}
     assert chat.digest(chat.format_conversations(chat.events_of_turns(turns.limit(0)))).count() == 0
@@ -184,7 +192,8 @@ def test_chat_and_search_on_empty_tables_and_clashing_names(spark):
 def test_dedup_counts_links_of_rows_without_ids(spark):
     base = texts_of(1)[0]
     rows = spark.createDataFrame([(None, base), (7, base + " one"), (9, base + " two")], "doc_id long, text string")
-    assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in dedup.near_duplicates(rows, 4, 80).collect()) == [("7", 7, True), ("9", 7, False), ("None", 7, False)]
+    assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in dedup.near_duplicates(rows, 4, 80).collect()) == [("7",
+        7, True), ("9", 7, False), ("None", 7, False)]
     assert 0 <= dedup.sketch_share(50) < dedup.sketch_share(80) < 0.8
 
 

@@ -36,7 +36,8 @@ ODD = [None, "", "   \n\t", "one", "one two", "a" * 5000, "ß ǅ İ é", "x\x0by
 
 def test_chat_round_trip_of_control_strings(spark):
     texts = [TRICKY, "", None, "### user: hi </turn>\n### ", "\\", "\\\\b#l<c:", "line\nline", "</turn>"]
-    turns = [(1, i, ["user", "assistant", None][i % 3], x) for i, x in enumerate(texts)] + [(None, 0, "assistant", "no id"), (2, 5, "assistant", "b"), (2, 5, "assistant", "b"), (2, None, "user", "c")]
+    turns = [(1, i, ["user", "assistant", None][i % 3], x) for i, x in enumerate(texts)] + [(None, 0, "assistant",
+        "no id"), (2, 5, "assistant", "b"), (2, 5, "assistant", "b"), (2, None, "user", "c")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     made = chat.format_conversations(chat.events_of_turns(df))
     back = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in made.select("conv_id", chat.parse(F.col("formatted")).alias("turns")).collect()}
@@ -52,8 +53,10 @@ def test_chat_round_trip_of_control_strings(spark):
 
 def test_chat_folds_deltas_edits_and_regenerations(spark):
     log = [
-        (1, 1, 1, "message", "user", "hello"), (1, 2, 2, "message", "assistant", "H"), (1, 3, 2, "delta", "assistant", "i"), (1, 4, 2, "regenerate", "assistant", "Good "),
-        (1, 5, 2, "delta", "assistant", "day"), (1, 6, 3, "message", "user", "bye"), (1, 7, 1, "edit", "user", "hello!"), (1, 8, 2, "message", "assistant", "Hi!"), (2, 1, 1, None, None, None),
+        (1, 1, 1, "message", "user", "hello"), (1, 2, 2, "message", "assistant", "H"), (1, 3, 2, "delta", "assistant",
+            "i"), (1, 4, 2, "regenerate", "assistant", "Good "),
+        (1, 5, 2, "delta", "assistant", "day"), (1, 6, 3, "message", "user", "bye"), (1, 7, 1, "edit", "user", "hello!"),
+            (1, 8, 2, "message", "assistant", "Hi!"), (2, 1, 1, None, None, None),
     ]
     events = spark.createDataFrame(log, "conv_id long, seq long, message_id long, kind string, role string, text string")
     got = sorted((r["conv_id"], r["message_id"], r["role"], r["text"]) for r in chat.fold_messages(events).collect())
@@ -64,7 +67,8 @@ def fold_plainly(log):
     out = {}
     for conv in {r[0] for r in log}:
         state = {}
-        for _, seq, message, kind, role, text in sorted((r for r in log if r[0] == conv), key=lambda r: (r[1], r[2], r[3] or "message", r[4] or "", r[5] or "")):
+        for _, seq, message, kind, role, text in sorted((r for r in log if r[0] == conv), key=lambda r: (r[1], r[2],
+            r[3] or "message", r[4] or "", r[5] or "")):
             kind = kind or "message"
             if kind in ("edit", "regenerate"):
                 state = {m: t for m, t in state.items() if m <= message}
@@ -78,8 +82,10 @@ def fold_plainly(log):
 
 def test_chat_folding_equals_a_plain_fold(spark):
     r = random.Random(11)
-    log = [(r.randrange(4), r.randrange(40), r.randrange(6), r.choice(["message", "delta", "delta", "edit", "regenerate", None]), "assistant", f"t{i} ") for i in range(300)]
-    got = {(x["conv_id"], x["message_id"]): (x["role"], x["text"]) for x in chat.fold_messages(spark.createDataFrame(log, "conv_id long, seq long, message_id long, kind string, role string, text string")).collect()}
+    log = [(r.randrange(4), r.randrange(40), r.randrange(6), r.choice(["message", "delta", "delta", "edit", "regenerate",
+        None]), "assistant", f"t{i} ") for i in range(300)]
+    got = {(x["conv_id"], x["message_id"]): (x["role"], x["text"]) for x in chat.fold_messages(spark.createDataFrame(log,
+        "conv_id long, seq long, message_id long, kind string, role string, text string")).collect()}
     assert got == fold_plainly(log)
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, seq long, message_id long, kind string, role string, text string, formatted string")).count() == 0
 
@@ -200,7 +206,8 @@ def test_dedup_edges(spark):
 
 def test_dedup_links_classes_without_ids(spark):
     near = lambda seed, k: prose(seed, 60) + f" end{k}"
-    rows = spark.createDataFrame([(None, near(1, 0)), (None, near(1, 1)), (None, near(2, 0)), (4, near(2, 1)), (None, near(3, 0)), (None, near(3, 0))], "doc_id long, text string")
+    rows = spark.createDataFrame([(None, near(1, 0)), (None, near(1, 1)), (None, near(2, 0)), (4, near(2, 1)), (None,
+        near(3, 0)), (None, near(3, 0))], "doc_id long, text string")
     got = [(r["n_shingles"], r["component_id"], r["kept"], r["row_key"], r["first_row"]) for r in dedup.near_duplicates(rows, 4, 80).collect()]
     assert len(got) == 6 and len({first for *_, first in got}) == 3
     assert sorted(kept for _, component, kept, _, _ in got if component == 4) == [False, True]
@@ -341,7 +348,8 @@ def test_language_does_not_depend_on_batches():
 def test_toxicity_finds_planted_words_and_spares_the_rest(spark):
     texts = [prose(i, 80) + (" you idiot worthless scum" if i % 4 == 0 else "") for i in range(240)] + list(ODD)
     df = docs_of(spark, texts)
-    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)] + [(3, None, None), (None, 1, 1), (0, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)] + [(3, None, None), (None, 1, 1),
+        (0, 1, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity.classify_toxicity(df, labels).collect()
     assert all(r["toxic"] == (r["doc_id"] < 240 and r["doc_id"] % 4 == 0) for r in rows)
     assert not any(r["toxic"] for r in toxicity.classify_toxicity(df, labels.limit(0)).collect())
@@ -377,7 +385,8 @@ def test_lm_scores_equal_exact_counts(spark, sizes):
         loss = lambda a, b: -math.log((m[2][a, b] - mine[2][a, b] + lm.PRIOR * (m[0][b] - mine[0][b] + lm.ADDED) / (m[3] - mine[3] + lm.ADDED * size)) / (m[1][a] - mine[1][a] + lm.PRIOR))
         return sum(loss(a, b) for a, b in zip([None, *w], w, strict=False)) / len(w)
 
-    expected = [(i, len(w), *([mean_loss(m, w, inside) for m, inside in zip(models, (i in target, True), strict=True)] if w else [None] * 2)) for (i, _), w in zip(rows, words, strict=True)]
+    expected = [(i, len(w), *([mean_loss(m, w, inside) for m, inside in zip(models, (i in target, True),
+        strict=True)] if w else [None] * 2)) for (i, _), w in zip(rows, words, strict=True)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = lm.score_documents(df, spark.createDataFrame([(i,) for i in target], "doc_id long"), **sizes).collect()
     rounded = lambda found: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in found), key=repr)
@@ -391,16 +400,21 @@ def test_lm_scores_equal_exact_counts(spark, sizes):
 
 def test_urls_rules_and_parts(spark):
     cases = [
-        ("http://NET/x", "net", "/x", "net/", "block"), ("https://a.Example.NET/en/1?q#f", "a.example.net", "/en/1", "example.net/en/", "allow"), ("ftp://example.net/de/", "example.net", "/de/", "net/", "block"),
-        ("x://example.com/de/a", "example.com", "/de/a", "example.com/de/", "block"), ("x://my.org/fr/?a", "my.org", "/fr/", "org/fr/", "allow"), ("http://notnet", "notnet", "", None, None),
-        (None, "", "", None, None), ("no scheme", "", "", None, None), ("://", "", "", None, None), ("a://b://c/d", "b:", "//c/d", None, None), ("http://É.com#x/y", "É.com", "", None, None), ("http://h?" + "q" * 9999, "h", "", None, None),
+        ("http://NET/x", "net", "/x", "net/", "block"), ("https://a.Example.NET/en/1?q#f", "a.example.net", "/en/1",
+            "example.net/en/", "allow"), ("ftp://example.net/de/", "example.net", "/de/", "net/", "block"),
+        ("x://example.com/de/a", "example.com", "/de/a", "example.com/de/", "block"), ("x://my.org/fr/?a", "my.org",
+            "/fr/", "org/fr/", "allow"), ("http://notnet", "notnet", "", None, None),
+        (None, "", "", None, None), ("no scheme", "", "", None, None), ("://", "", "", None, None), ("a://b://c/d",
+            "b:", "//c/d", None, None), ("http://É.com#x/y", "É.com", "", None, None), ("http://h?" + "q" * 9999, "h", "", None,
+            None),
     ]
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "page_id long, url string")
     for r in urls.judge_urls(df, RULES).collect():
         _, host, path, rule, verdict = cases[r["page_id"]]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert r["verdict"] == verdict if verdict else r["verdict"] in ("allow", "block")
-    bad = urls.judge_urls(spark.createDataFrame([(1, "http://free-casino.example.com/bets"), (2, "http://poetry.example.com/reading")], "page_id long, url string"), [])
+    bad = urls.judge_urls(spark.createDataFrame([(1, "http://free-casino.example.com/bets"), (2, "http://poetry.example.com/reading")],
+        "page_id long, url string"), [])
     assert {r["page_id"]: r["verdict"] for r in bad.collect()} == {1: "block", 2: "allow"}
 
 

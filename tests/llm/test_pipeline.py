@@ -9,7 +9,8 @@ def test_stages_keep_the_columns_and_drop_what_they_should(spark):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     copy = docs.filter("doc_id = 4").withColumn("doc_id", F.lit(900_001).cast("long"))
     silent = docs.filter("doc_id = 6").withColumns({"doc_id": F.lit(900_002).cast("long"), "text": F.lit("12 34 !!"), "lang": F.lit(None).cast("string")})
-    rude = docs.filter("doc_id = 7").withColumns({"doc_id": F.lit(900_003).cast("long"), "text": F.concat("text", F.lit(" idiot moron scum trash worthless clown"))})
+    rude = docs.filter("doc_id = 7").withColumns({"doc_id": F.lit(900_003).cast("long"), "text": F.concat("text",
+        F.lit(" idiot moron scum trash worthless clown"))})
     docs = docs.unionByName(copy).unionByName(silent).unionByName(rude)
     before = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -32,7 +33,8 @@ def test_stages_keep_the_columns_and_drop_what_they_should(spark):
 
 def test_near_dedup_judges_rows_by_their_texts(spark):
     texts = {x: " ".join(f"{x}{i}" for i in range(60)) for x in "ABCD"}
-    rows = [(5, "A"), (9, "A"), (3, "B"), (5, "B"), (None, "C"), (None, "C+"), (None, "D"), (8, "D+"), (8, "D"), (7, "C-"), (7, "C-"), (None, None), (1, None), (1, None)]
+    rows = [(5, "A"), (9, "A"), (3, "B"), (5, "B"), (None, "C"), (None, "C+"), (None, "D"), (8, "D+"), (8, "D"),
+        (7, "C-"), (7, "C-"), (None, None), (1, None), (1, None)]
     near = {"C+": texts["C"] + " more", "D+": texts["D"] + " more", "C-": "alone " * 3 + "text", None: ""}
     docs = spark.createDataFrame([(i, {**texts, **near}[x], "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()

@@ -46,7 +46,8 @@ def fold_messages(events: DataFrame) -> DataFrame:
     often as they occur. Empty tables give no rows; further columns are ignored.
     """
     kind = F.coalesce(F.col("kind"), F.lit("message"))
-    rows = events.select("conv_id", "message_id", F.struct("seq", "message_id", kind.alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("e"))
+    rows = events.select("conv_id", "message_id", F.struct("seq", "message_id", kind.alias("kind"), F.coalesce("role",
+        F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("e"))
     messages = rows.groupBy("conv_id", "message_id").agg(
         F.sort_array(F.collect_list("e")).alias("parts"),
         F.max(F.when(F.col("e.kind") != "delta", F.col("e"))).alias("start"),
@@ -67,14 +68,16 @@ def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
     message_id, ties by role and text.
     """
     turn = F.struct(escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
-    turns = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("message_id"), F.col("role").alias("plain"), F.col("text").alias("body"), turn.alias("turn")))).alias("turns"))
+    turns = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("message_id"), F.col("role").alias("plain"),
+        F.col("text").alias("body"), turn.alias("turn")))).alias("turns"))
     frame = len(HEAD) + len(MIDDLE) + len(TAIL)
     start = {"at": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<start:bigint,length:bigint>>")}
 
     def step(state: Column, item: Column) -> Column:
         role, text = F.length(item["turn"]["role"]), F.length(item["turn"]["text"])
         span = F.struct((state["at"] + len(HEAD) + len(MIDDLE) + role).cast("long").alias("start"), text.cast("long").alias("length"))
-        return F.struct((state["at"] + frame + role + text).cast("long").alias("at"), F.when(item["plain"] == learn, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+        return F.struct((state["at"] + frame + role + text).cast("long").alias("at"), F.when(item["plain"] == learn,
+            F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
     text = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(HEAD), t["turn"]["role"], F.lit(MIDDLE), t["turn"]["text"], F.lit(TAIL))), "")
     spans = F.aggregate("turns", F.struct(start["at"].alias("at"), start["spans"].alias("spans")), step)["spans"]
@@ -100,7 +103,8 @@ def _inner(piece: Column) -> Column:
 def digest(conversations: DataFrame) -> DataFrame:
     """Digests of rendered conversations, all read from ``formatted`` and ``loss_spans``."""
     turns = F.array_join(F.transform(parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    learned = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"),
+        s["length"].cast("int")))), "")
     return conversations.select(
         "conv_id",
         F.size(parse(F.col("formatted"))).cast("long").alias("n_turns"),

@@ -21,7 +21,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         ends = labels.select(F.col("node").alias("other"), F.col("label").alias("seen"))
         least = both.join(ends, "other").groupBy("node").agg(F.min("seen").alias("seen"))
         met = labels.join(least, "node").select("node", "label", F.least("label", "seen").alias("met"))
-        jumped = met.join(labels.select(F.col("node").alias("met"), F.col("label").alias("far")), "met").select("node", "label", F.least("met", "far").alias("next")).checkpoint()
+        jumped = met.join(labels.select(F.col("node").alias("met"), F.col("label").alias("far")), "met").select("node",
+            "label", F.least("met", "far").alias("next")).checkpoint()
         moved = jumped.filter(F.col("next") != F.col("label")).limit(1).count()
         labels = jumped.select("node", F.col("next").alias("label"))
         if not moved:

@@ -97,7 +97,8 @@ def sketch(n: int):
                         values[i] = least if part[0] == s[0] else np.minimum(values[i], least)
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             slots = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SLOTS, pa.array((values >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), slots], names=["doc_id", "row_key", "n_shingles", "class", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array([len(s) for s in sets],
+                pa.int64()), pa.array(prints, pa.binary()), slots], names=["doc_id", "row_key", "n_shingles", "class", "slots"])
         release()
 
     return run
@@ -131,13 +132,15 @@ class Corpus:
         self.docs, self.n, self.percent = docs.select("doc_id", "text", row_key(docs).alias("row_key")), n, percent
         ensure_checkpoint_dir(docs.sparkSession)
         self.rows = self.docs.mapInArrow(sketch(n), "doc_id long, row_key string, n_shingles long, class binary, slots array<int>").checkpoint()
-        self.classes = self.rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("choice"), F.first("n_shingles").alias("size"), F.first("slots").alias("slots")).checkpoint()
+        self.classes = self.rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"),
+            "doc_id", "row_key")).alias("choice"), F.first("n_shingles").alias("size"), F.first("slots").alias("slots")).checkpoint()
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(class, shingles) of the classes in ``wanted`` (class), from one document of each."""
         keys = self.classes.join(wanted.distinct(), "class", "left_semi").select("choice.row_key").checkpoint()
         few = keys.count() <= BROADCAST_IDS
-        found = self.docs.join(F.broadcast(keys) if few else keys, "row_key", "left_semi").select("text").mapInArrow(full_sets(self.n), "class binary, shingles array<bigint>")
+        found = self.docs.join(F.broadcast(keys) if few else keys, "row_key", "left_semi").select("text").mapInArrow(full_sets(self.n),
+            "class binary, shingles array<bigint>")
         return found.filter(F.col("class").isNotNull()).dropDuplicates(["class"])
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -148,7 +151,8 @@ class Corpus:
         near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent) & (agree >= sketch_share(self.percent) * SLOTS)
         likely = likely.filter(near).select("a", "b").checkpoint()
         sets = self.sets(likely.select(F.col("a").alias("class")).union(likely.select("b"))).checkpoint()
-        full = likely.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
+        full = likely.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")),
+            "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
         full = full.withColumn("both", F.size(F.array_intersect("x", "y")))
         return full.filter(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * self.percent).select("a", "b").checkpoint()
 
@@ -220,7 +224,8 @@ def children(large: DataFrame, classes: DataFrame, level: int, trees: int) -> Da
     return inside.select("class", "label", F.explode(F.array_distinct(reached)).alias("node")).select("node.tree", "node.path", "class", "label")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, trees: int = TREES, levels: int = LEVELS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, trees: int = TREES, levels: int = LEVELS,
+    small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """Group documents (doc_id, text) whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
     Returns doc_id, n_shingles, class (the fingerprint of the set), component_id (the smallest
@@ -235,7 +240,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     as the rule on ids says. Empty tables give no rows; further columns only enter the key.
     """
     corpus = Corpus(docs, shingle_words, percent)
-    members = corpus.classes.select("class", F.posexplode(F.slice("slots", 1, trees)).alias("tree", "token")).select("class", "tree", F.col("token").cast("long").alias("path"))
+    members = corpus.classes.select("class", F.posexplode(F.slice("slots", 1, trees)).alias("tree", "token")).select("class",
+        "tree", F.col("token").cast("long").alias("path"))
     found = members.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("first")).filter("members > 1")
     shared = members.join(found.select("tree", "path", "first"), ["tree", "path"]).checkpoint()
     links = corpus.links(shared.filter(F.col("class") != F.col("first")).select(F.col("first").alias("a"), F.col("class").alias("b")).distinct())
@@ -266,7 +272,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 def small_pairs(nodes: DataFrame, small: int) -> DataFrame:
     """All pairs of different components inside nodes of at most ``small`` members."""
     gathered = nodes.filter(F.col("members") <= small).groupBy("tree", "path").agg(F.sort_array(F.collect_list(F.struct("class", "label"))).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: y["label"] != x["label"]), lambda y: F.struct(x["class"].alias("a"), y["class"].alias("b")))))
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice(F.col("m"), i + 2, F.size("m")),
+        lambda y: y["label"] != x["label"]), lambda y: F.struct(x["class"].alias("a"), y["class"].alias("b")))))
     return gathered.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
@@ -278,11 +285,15 @@ def large_links(corpus: Corpus, large: DataFrame, block: int) -> DataFrame:
     node = ["tree", "path"]
     sizes = large.groupBy(*node, "label").agg(F.count(F.lit(1)).alias("n"))
     majors = sizes.groupBy(*node).agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("members"))
-    majors = majors.select(*node, F.col("m.label").alias("major"), F.ceil(F.col("m.n") / block).alias("inner"), F.ceil((F.col("members") - F.col("m.n")) / block).alias("outer"))
+    majors = majors.select(*node, F.col("m.label").alias("major"), F.ceil(F.col("m.n") / block).alias("inner"),
+        F.ceil((F.col("members") - F.col("m.n")) / block).alias("outer"))
     dealt = large.select(*node, "class", "label").join(majors, node).withColumn("within", F.col("label") == F.col("major"))
-    dealt = dealt.withColumn("own", F.when(F.col("within"), F.col("outer") + F.pmod(F.xxhash64("class"), "inner")).otherwise(F.pmod(F.xxhash64("class"), "outer")))
-    met = F.when(F.col("within"), F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("outer") + F.col("inner") - 1))
+    dealt = dealt.withColumn("own", F.when(F.col("within"), F.col("outer") + F.pmod(F.xxhash64("class"),
+        "inner")).otherwise(F.pmod(F.xxhash64("class"), "outer")))
+    met = F.when(F.col("within"), F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)).otherwise(F.sequence(F.lit(0).cast("long"),
+        F.col("outer") + F.col("inner") - 1))
     dealt = dealt.withColumn("other", F.explode(met))
-    dealt = dealt.select(*node, "class", "label", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).cast("int").alias("half"))
+    dealt = dealt.select(*node, "class", "label", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
+        (F.col("own") > F.col("other")).cast("int").alias("half"))
     sets = corpus.sets(large.select("class"))
     return dealt.join(sets, "class").groupBy(*node, "left", "right").applyInPandas(block_links(corpus.percent), "a binary, b binary").distinct().checkpoint()

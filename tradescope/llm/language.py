@@ -147,7 +147,8 @@ def predict(idf, weights, heat: float, languages: list[str], keep: list[str]):
             p = softmax(scores / heat)
             best = p.argmax(axis=1)
             known = has_letter & (classes > 0)
-            result = {"lang_pred": pa.array([languages[k] if ok else UNDETERMINED for k, ok in zip(best, known, strict=True)], pa.string()), "score": pa.array(np.where(known, p[np.arange(len(texts)), best], 0.0), pa.float64())}
+            result = {"lang_pred": pa.array([languages[k] if ok else UNDETERMINED for k, ok in zip(best, known,
+                strict=True)], pa.string()), "score": pa.array(np.where(known, p[np.arange(len(texts)), best], 0.0), pa.float64())}
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *result.values()], names=[*keep, *result])
         release()
 

@@ -74,7 +74,8 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made(words: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(words), 200_000):
             some = words[at : at + 200_000].view(np.int64)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(some), "n": pa.array(np.zeros(len(some), np.int64)), "n_target": pa.array(np.zeros(len(some), np.int64))})
+            yield pa.RecordBatch.from_pydict({"word": pa.array(some), "n": pa.array(np.zeros(len(some), np.int64)),
+                "n_target": pa.array(np.zeros(len(some), np.int64))})
 
     for batch in slices(batches, "text", 4_000_000):
         found: set[bytes] = set()
@@ -138,12 +139,14 @@ def chunk_blocks(parts: tuple[int, int], chunk_bytes: int):
             by_word = np.stack([np.bincount(of, weights=n, minlength=len(names)).astype(np.int64) for of in (word_of, context_of) for n in by_pair])
             number = np.empty(len(names), dtype=np.int64)
             number[by_count(by_word[0])] = np.arange(len(names))
-            yield batch_of([(chunk, -1 - chunk, batch.column("doc_id").to_pylist(), pack(sizes), pack(flags), pack(number[word_of[pair_of]]), None, pack(by_word[0]))])
+            yield batch_of([(chunk, -1 - chunk, batch.column("doc_id").to_pylist(), pack(sizes), pack(flags),
+                pack(number[word_of[pair_of]]), None, pack(by_word[0]))])
             del target, hashes, words
             rows = []
             for start, bound, keys, counts in ((0, bounds[0], names, by_word), (parts[0], bounds[1], pairs, by_pair)):
                 cuts = [0, *np.searchsorted(keys, bound).tolist(), len(keys)]
-                rows += [(chunk, start + i, None, None, None, None, pack_keys(keys[a:b]), pack(counts[:, a:b].ravel())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+                rows += [(chunk, start + i, None, None, None, None, pack_keys(keys[a:b]), pack(counts[:, a:b].ravel())) for i,
+                    (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
             if rows:
                 yield batch_of(rows)
         release()
@@ -152,7 +155,8 @@ def chunk_blocks(parts: tuple[int, int], chunk_bytes: int):
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"chunk": pa.int64(), "part": pa.int64(), "doc_ids": pa.list_(pa.int64())} | dict.fromkeys(("sizes", "targets", "tokens", "keys", "counts"), pa.binary())
+    kinds = {"chunk": pa.int64(), "part": pa.int64(), "doc_ids": pa.list_(pa.int64())} | dict.fromkeys(("sizes",
+        "targets", "tokens", "keys", "counts"), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
@@ -170,7 +174,8 @@ def add_up(word_parts: int):
         for total, n in zip(sums, counts, strict=True):
             np.add.at(total, which, n)
         own = np.split(which, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.Table.from_batches([batch_of([(row["chunk"], row["part"], None, None, None, None, row["keys"] if row["part"] < word_parts else None, pack(sums[:, of].ravel())) for row, of in zip(rows, own, strict=True)])])
+        return pa.Table.from_batches([batch_of([(row["chunk"], row["part"], None, None, None, None,
+            row["keys"] if row["part"] < word_parts else None, pack(sums[:, of].ravel())) for row, of in zip(rows, own, strict=True)])])
 
     return run
 
@@ -213,11 +218,13 @@ def score_chunks(word_parts: int, words: int, total: int, total_target: int):
                 mine = [own_counts(owner, of) for of in (pair, word, context)]
                 for k, (i, n) in enumerate(((1, total_target), (0, total))):
                     off = flags[k][first:last][owner]
-                    loss = losses(by_pair[i][pair] - off * mine[0], by_word[i][word] - off * mine[1], by_word[2 + i][context] - off * mine[2], n - off * sizes[first:last][owner], words)
+                    loss = losses(by_pair[i][pair] - off * mine[0], by_word[i][word] - off * mine[1],
+                        by_word[2 + i][context] - off * mine[2], n - off * sizes[first:last][owner], words)
                     sums[k, first:last] = np.bincount(owner, weights=loss, minlength=last - first) / np.maximum(sizes[first:last], 1)
                 first = last
         empty = sizes == 0
-        return pa.Table.from_arrays([pa.array(own["doc_ids"], pa.int64()), pa.array(sizes), *(pa.array(v, mask=empty) for v in (*sums, sums[0] - sums[1]))], names=["doc_id", "n_tokens", "ce_target", "ce_background", "score"])
+        return pa.Table.from_arrays([pa.array(own["doc_ids"], pa.int64()), pa.array(sizes), *(pa.array(v, mask=empty) for v in (*sums,
+            sums[0] - sums[1]))], names=["doc_id", "n_tokens", "ce_target", "ce_background", "score"])
 
     return run
 
@@ -240,7 +247,8 @@ def score_documents(docs: DataFrame, targets: DataFrame, chunk_bytes: int = CHUN
     small = ids.count() <= BROADCAST_IDS
     marked = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("_id"), "left")
     marked = marked.select(F.col("doc_id").cast("long"), "text", F.coalesce("_target", F.lit(False)).alias("target"))
-    known = marked.select("text", "target").mapInArrow(count_words, "word long, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    known = marked.select("text", "target").mapInArrow(count_words,
+        "word long, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
     words, total, total_target = known.agg(F.count("word"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
     parts = part_counts(total, part_rows)
     blocks = marked.mapInArrow(chunk_blocks(parts, chunk_bytes), BLOCKS)

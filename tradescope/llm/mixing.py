@@ -35,7 +35,8 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), share:
     sum(min(weight * L, ceiling)) = share * all words. The table has a row per source.
     """
     every = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), (F.pmod(F.row_number().over(every) - 1, F.lit(len(cycle))) + 1).cast("int")).cast("double"))
+    ranked = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), (F.pmod(F.row_number().over(every) - 1,
+        F.lit(len(cycle))) + 1).cast("int")).cast("double"))
     ranked = ranked.withColumn("ceiling", F.col("source_size") * F.lit(most))
     filling = Window.orderBy(F.col("ceiling") / F.col("weight"), F.col("source").asc_nulls_last())
     before, rest = filling.rowsBetween(Window.unboundedPreceding, -1), filling.rowsBetween(Window.unboundedPreceding, 0)
@@ -46,7 +47,8 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), share:
     return levels.select("source", "source_size", F.coalesce(F.least(F.col("final") * F.col("weight"), F.col("ceiling")), F.col("ceiling")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weight: Column | None = None, seed: str = "mix", cycle: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix_sources(docs: DataFrame, weight: Column | None = None, seed: str = "mix", cycle: tuple[int, ...] = (5, 2,
+    1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Decide how many words the mix takes of each document (doc_id, text, source).
 
     Returns every column of ``docs`` with size, source_size, target and taken; taken
@@ -79,9 +81,11 @@ def mix_sources(docs: DataFrame, weight: Column | None = None, seed: str = "mix"
     small = plan.count() <= BROADCAST_SOURCES
     marked = rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("s")))
     chosen, at_end = F.col("slot") < F.col("last_slot"), F.col("slot") == F.col("last_slot")
-    order = Window.partitionBy("source", "slot").orderBy(F.col("key").desc(), "row.doc_id", "size", F.xxhash64("row.text")).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source", "slot").orderBy(F.col("key").desc(), "row.doc_id", "size",
+        F.xxhash64("row.text")).rowsBetween(Window.unboundedPreceding, 0)
     through = F.col("before") + F.sum("size").over(order)
     ended = marked.filter(at_end).withColumn("extra", (through - F.col("size") / 2.0 <= F.col("budget")).cast("long"))
     others = marked.filter(~at_end).withColumn("extra", chosen.cast("long"))
     times = F.col("epochs") + F.col("extra")
-    return others.unionByName(ended).select("row.*", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("int").alias("times"))
+    return others.unionByName(ended).select("row.*", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"),
+        times.cast("int").alias("times"))

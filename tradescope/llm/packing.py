@@ -71,7 +71,8 @@ class TokenIds:
             ids = np.array(self.model.encode_batch_fast([written], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = (4 * (np.flatnonzero(self.word_end[ids]) + 1)).tolist()
             data = ids.tobytes()
-            self.words.update(zip(some, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)] if len(cuts) == len(some) else map(self.encode, some), strict=True))
+            self.words.update(zip(some, [data[a:b] for a, b in zip([0, *cuts], cuts,
+                strict=False)] if len(cuts) == len(some) else map(self.encode, some), strict=True))
 
     def chunks(self, chunks: pa.StringArray) -> list[bytes]:
         """Ids of distinct chunks."""
@@ -194,7 +195,8 @@ def pack_pieces(capacity: int):
         rest = pa.Table.from_batches(short).combine_chunks() if short else None
         if rest is not None and rest.num_rows:
             bins, offsets = sum_of_squares(np.asarray(rest.column("length")), capacity)
-            for batch in rest.append_column("sequence_id", pa.array(first + used + bins)).append_column("offset", pa.array(offsets)).to_batches(max_chunksize=10_000):
+            for batch in rest.append_column("sequence_id", pa.array(first + used + bins)).append_column("offset",
+                pa.array(offsets)).to_batches(max_chunksize=10_000):
                 yield batch
 
     return run

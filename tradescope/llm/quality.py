@@ -50,7 +50,8 @@ def repeat_words(words: Column) -> Column:
         index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
         return F.sort_array(F.transform(index, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))))
 
-    covered = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
+    covered = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x,
+        F.lit(3)))), F.lit(0), lambda a, b: a + b)
     return bind(bind(windows(words), places), covered).cast("long")
 
 
@@ -65,14 +66,16 @@ def counts_of(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda line: F.translate(line, BLANKS, "") != "")
     length = F.length(text)
     counts = docs.select("doc_id", "lang", F.struct(
-        bind(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeat"), common_words(w).alias("common"))).alias("w"),
+        bind(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeat"),
+            common_words(w).alias("common"))).alias("w"),
         F.array(*[(length - F.length(F.regexp_replace(text, c, ""))).cast("double") for c in CLASSES]).alias("classes"),
         length.alias("length"),
         (length - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         bind(lines, lambda v: F.size(v) - F.size(F.array_distinct(v))).cast("long").alias("n_dup_lines"),
     ).alias("c"))
     return counts.select(
-        "doc_id", "lang", F.col("c.w.n").alias("n_words"), (F.col("c.length") - F.col("c.classes")[3]).cast("long").alias("word_chars"), F.col("c.n_symbols").alias("n_symbols"), F.col("c.n_dup_lines").alias("n_dup_lines"), F.col("c.w.repeat").alias("n_repeat_words"),
+        "doc_id", "lang", F.col("c.w.n").alias("n_words"), (F.col("c.length") - F.col("c.classes")[3]).cast("long").alias("word_chars"),
+            F.col("c.n_symbols").alias("n_symbols"), F.col("c.n_dup_lines").alias("n_dup_lines"), F.col("c.w.repeat").alias("n_repeat_words"),
         F.concat("c.classes", F.array(F.col("c.length") - total(F.col("c.classes")))).alias("chars"), F.col("c.w.common").alias("common"),
     )
 
@@ -84,7 +87,8 @@ def equals(value: str) -> Callable[[Column], Column]:
 
 def common_words(words: Column) -> Column:
     """How often each common word stands by itself in small letters, and the number of other words."""
-    counted = bind(F.filter(words, lambda w: w.isin(*COMMON)), lambda h: F.concat(F.array(*[F.size(F.filter(h, equals(c))).cast("double") for c in COMMON]), F.array(-F.size(h).cast("double"))))
+    counted = bind(F.filter(words, lambda w: w.isin(*COMMON)), lambda h: F.concat(F.array(*[F.size(F.filter(h,
+        equals(c))).cast("double") for c in COMMON]), F.array(-F.size(h).cast("double"))))
     return F.transform(counted, lambda v, i: F.when(i < len(COMMON), v).otherwise(F.size(words) + v))
 
 
@@ -99,7 +103,8 @@ def js_distance(counts: Column, reference: Column) -> Column:
         both = F.zip_with(s["p"], s["q"], lambda a, b: F.struct((a / s["np"]).alias("a"), (b / s["nq"]).alias("b")))
         return F.when((s["np"] > 0) & (s["nq"] > 0), F.sqrt(F.greatest(total(F.transform(both, part)), F.lit(0.0))))
 
-    return bind(F.struct(counts.alias("p"), reference.alias("q"), F.nullif(total(counts), F.lit(0.0)).alias("np"), F.nullif(total(reference), F.lit(0.0)).alias("nq")), distance)
+    return bind(F.struct(counts.alias("p"), reference.alias("q"), F.nullif(total(counts), F.lit(0.0)).alias("np"),
+        F.nullif(total(reference), F.lit(0.0)).alias("nq")), distance)
 
 
 def judge_quality(docs: DataFrame, most_chars: float = 0.25, most_words: float = 0.22, least_chars: int = 300, least_words: int = 200) -> DataFrame:
@@ -120,11 +125,14 @@ def judge_quality(docs: DataFrame, most_chars: float = 0.25, most_words: float =
     ensure_checkpoint_dir(docs.sparkSession)
     rows = counts_of(docs.select("doc_id", "text", "lang")).checkpoint()
     sums = lambda name, n: F.array(*[F.sum(F.col(name)[i]) for i in range(n)])
-    references = rows.groupBy("lang").agg(sums("chars", len(CLASSES) + 1).alias("ref_chars"), sums("common", len(COMMON) + 1).alias("ref_words")).withColumnRenamed("lang", "ref_lang")
+    references = rows.groupBy("lang").agg(sums("chars", len(CLASSES) + 1).alias("ref_chars"), sums("common",
+        len(COMMON) + 1).alias("ref_words")).withColumnRenamed("lang", "ref_lang")
     small = references.count() <= BROADCAST_LANGUAGES
     rows = rows.join(F.broadcast(references) if small else references, F.col("lang").eqNullSafe(F.col("ref_lang")))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    rows = rows.withColumn("char_distance", js_distance(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", js_distance(F.col("common"), F.col("ref_words")))
+    rows = rows.withColumn("char_distance", js_distance(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance",
+        js_distance(F.col("common"), F.col("ref_words")))
     far_chars = (total(F.col("chars")) >= least_chars) & (F.coalesce("char_distance", F.lit(0.0)) > most_chars)
     far_words = (F.col("n_words") >= least_words) & (F.coalesce("word_distance", F.lit(0.0)) > most_words)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", (~(F.col("base_failed") | far_chars | far_words)).alias("kept"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "char_distance", "word_distance", (~(F.col("base_failed") | far_chars | far_words)).alias("kept"))

@@ -103,5 +103,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_chat_formatting, op3_top_k_search, op4_language_id, op5_url_filter, op6_minhash_dedup, op7_quality_rules, op8_packing, op9_toxicity, op10_mixing)
+    f.__name__: f for f in (op1_lm_scoring, op2_chat_formatting, op3_top_k_search, op4_language_id, op5_url_filter,
+        op6_minhash_dedup, op7_quality_rules, op8_packing, op9_toxicity, op10_mixing)
 }

@@ -81,7 +81,8 @@ class CoverTree:
                 owner[other < near] = centres
                 near, centres = np.minimum(near, other), centres + 1
             if near.max() <= within:
-                self.children = [CoverTree(points, np.concatenate((own[near[owner == c] == 0][:1], np.delete(own, np.flatnonzero(near[owner == c] == 0)[:1]))), leaf) for c in range(centres) if len(own := self.rows[owner == c])]
+                self.children = [CoverTree(points, np.concatenate((own[near[owner == c] == 0][:1], np.delete(own,
+                    np.flatnonzero(near[owner == c] == 0)[:1]))), leaf) for c in range(centres) if len(own := self.rows[owner == c])]
 
     def _from(self, point: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.points[self.rows] - point) ** 2).sum(axis=1))
@@ -176,7 +177,8 @@ def nearest(pivots: np.ndarray, names: list[str]):
             apart = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ pivots.T + squares, 0.0)
             node = apart.argmin(axis=1) if len(x) else np.zeros(0, dtype=np.int64)
             distance = np.sqrt(((x - pivots[node]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(node, pa.int32()), pa.array(distance, pa.float64())], names=[*names, "node", "distance"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(node, pa.int32()), pa.array(distance,
+                pa.float64())], names=[*names, "node", "distance"])
 
     return run
 
@@ -268,7 +270,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS,
 
     at_home = partial(asked.filter(F.col("node").isin([*radius]))).checkpoint()
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    floors = at_home.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    floors = at_home.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"),
+        F.col("score").alias("floor"))
     asked = asked.drop("floor").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(int(MISSING)))).checkpoint()
     groups = asked.groupBy("node").agg(F.max("distance").alias("radius"), F.min("floor").alias("worst")).collect()  # a row per pivot
     pairs = {g["node"]: [n for n in radius if n != g["node"] and reach(centres, g["node"], g["radius"], n, radius[n]) >= g["worst"]] for g in groups}

@@ -65,11 +65,13 @@ def fit(categories: list[str]):
         for batch in batches:
             for u, text, *ys in zip(*(batch.column(c).to_pylist() for c in ("_u", "text", *categories)), strict=True):
                 words = word_set(text)
-                sample.append((u, len(words), [np.nan if v is None else float(v) for v in ys], np.fromiter((codes.setdefault(w, len(codes)) for w in words), dtype=np.int32, count=len(words))))
+                sample.append((u, len(words), [np.nan if v is None else float(v) for v in ys], np.fromiter((codes.setdefault(w,
+                    len(codes)) for w in words), dtype=np.int32, count=len(words))))
         sample.sort(key=lambda r: r[:3])
         rows, truth, names = [r[3] for r in sample], np.array([r[2] for r in sample]), list(codes)
         del sample, codes
-        chosen = sorted({w for k in range(len(categories)) for w in dividing_words(rows, truth[:, k] == 1, names, WORDS // len(categories))}, key=lambda w: names[w])
+        chosen = sorted({w for k in range(len(categories)) for w in dividing_words(rows, truth[:, k] == 1, names,
+            WORDS // len(categories))}, key=lambda w: names[w])
         width = len(chosen) + len(categories)
         place = np.full(len(names), -1, dtype=np.int64)
         place[chosen] = np.arange(len(chosen))
@@ -126,7 +128,8 @@ def score(model, categories: list[str], keep: list[str]):
                 for w in words.keys() & word_set(text):
                     sums[i] += words[w]
             p = chain_probabilities(sums, links, bias)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(p[:, k]) for k in range(len(categories)))], names=[*keep, *(f"p_{c}" for c in categories)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(p[:, k]) for k in range(len(categories)))],
+                names=[*keep, *(f"p_{c}" for c in categories)])
         release()
 
     return run
@@ -135,7 +138,8 @@ def score(model, categories: list[str], keep: list[str]):
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int) -> DataFrame:
     """At most ``sample`` documents of the last category and twice as many others: _u, text and the categories."""
     last = categories[-1]
-    votes = labels.filter(F.col("doc_id").isNotNull() & F.col(last).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(*[F.max((F.col(c) > 0).cast("int")).alias(f"_y{k}") for k, c in enumerate(categories)])
+    votes = labels.filter(F.col("doc_id").isNotNull() & F.col(last).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(*[F.max((F.col(c) > 0).cast("int")).alias(f"_y{k}") for k,
+        c in enumerate(categories)])
     y = F.col(f"_y{len(categories) - 1}") > 0
     counts = {r["y"]: r["n"] for r in votes.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     share = F.when(y, min(1.0, 2 * sample / max(counts.get(True, 0), 1))).otherwise(min(1.0, 4 * sample / max(counts.get(False, 0), 1)))
@@ -146,7 +150,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], s
     return picked.select("_u", "text", *[F.col(f"_y{k}").alias(c) for k, c in enumerate(categories)])
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = (LAST,), sample: int = SAMPLE, threshold: float = 0.4, keep_text: bool = False) -> DataFrame:
+def classify_toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = (LAST,), sample: int = SAMPLE,
+    threshold: float = 0.4, keep_text: bool = False) -> DataFrame:
     """Add p_<category> for each of ``categories`` and the verdict ``toxic`` to every document.
 
     ``labels`` has doc_id and a column of 0 and 1 for each category; the chain takes them in the

@@ -17,8 +17,10 @@ ALLOWED_SITES = """library garden weather recipes history science museum travel
 redstone hearth intention healing ordinary whether erring bleat tidings thornbury thistle bathhouse thirteenth thermal thunder smithery thousand nationals mentions editions shoreline shedding handed
 handling landed wooden heaters theories southern otherwise enthusiast rather weather-at-sea onward hatters whistle estates tenants antlers entertain shelter""".split()
 #: How their hosts begin and end, and their paths, dealt alike to both kinds.
-STARTS, ENDS, PATHS = ("", "www.", "m.", "blog."), (".example.com", ".example.net", ".example.org"), ("/en/12", "/de/345", "/fr/6789/", "/es/21", "/en/4070/", "/fr/983", "/de/5116")
-LABELLED = tuple((f"http://{STARTS[i % 4]}{name}{ENDS[i % 3]}{PATHS[i % 7]}", blocked) for blocked, names in ((1, BLOCKED_SITES), (0, ALLOWED_SITES)) for i, name in enumerate(names))
+STARTS, ENDS, PATHS = ("", "www.", "m.", "blog."), (".example.com", ".example.net", ".example.org"), ("/en/12",
+    "/de/345", "/fr/6789/", "/es/21", "/en/4070/", "/fr/983", "/de/5116")
+LABELLED = tuple((f"http://{STARTS[i % 4]}{name}{ENDS[i % 3]}{PATHS[i % 7]}", blocked) for blocked, names in ((1,
+    BLOCKED_SITES), (0, ALLOWED_SITES)) for i, name in enumerate(names))
 #: Buckets, lengths of n-grams, and the rounds, step and L2 penalty of training.
 DIMENSIONS, SIZES, ROUNDS, RATE, PENALTY = 4096, (3, 4), 300, 4.0, 1e-4
 
@@ -38,7 +40,8 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     A rule fits its host and all subdomains where the path starts with the rule's. Of two rules
     of one length the later by code point is taken.
     """
-    fits = [F.when(((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p)), F.struct(F.lit(len(h + p)).alias("size"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for v, h, p in rules]
+    fits = [F.when(((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p)),
+        F.struct(F.lit(len(h + p)).alias("size"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for v, h, p in rules]
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
@@ -58,7 +61,8 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, rounds: int = ROUND
     rows, bias and weights are 0.
     """
     host, path = host_and_path(F.col("url"))
-    rows = labelled.filter(F.col("url").isNotNull() & F.col("blocked").isNotNull()).select(F.col("blocked").cast("double").alias("y"), features(host, path, dimensions).alias("x")).filter(F.size("x") > 0)
+    rows = labelled.filter(F.col("url").isNotNull() & F.col("blocked").isNotNull()).select(F.col("blocked").cast("double").alias("y"),
+        features(host, path, dimensions).alias("x")).filter(F.size("x") > 0)
     rows = rows.agg(F.sort_array(F.collect_list(F.struct("y", "x"))).alias("rows")).filter(F.size("rows") > 0)
     near = F.transform("rows", lambda a: F.transform("rows", lambda b: F.size(F.array_intersect(a["x"], b["x"])) / F.sqrt(F.size(a["x"]) * F.size(b["x"]))))
     n = F.size("rows")
@@ -71,7 +75,8 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, rounds: int = ROUND
 
         def step(m: Column, _: Column) -> Column:
             errors = F.transform(kernel, lambda k, i: 1.0 / (1.0 + F.exp(-(m["bias"] + dot(k, m["alpha"])))) - F.get(F.col("rows"), i)["y"])
-            return F.transform(F.array(errors), lambda e: F.struct((m["bias"] - rate * F.aggregate(e, F.lit(0.0), lambda t, v: t + v) / n).alias("bias"), F.zip_with(m["alpha"], e, lambda a, v: a * (1 - rate * penalty) - rate * v / n).alias("alpha")))[0]
+            return F.transform(F.array(errors), lambda e: F.struct((m["bias"] - rate * F.aggregate(e, F.lit(0.0),
+                lambda t, v: t + v) / n).alias("bias"), F.zip_with(m["alpha"], e, lambda a, v: a * (1 - rate * penalty) - rate * v / n).alias("alpha")))[0]
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
 
@@ -111,6 +116,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: Da
     bias, weights = train(labelled if labelled is not None else labelled_urls(pages.sparkSession))
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("p_block", block_probability(F.col("host"), F.col("path"), bias, weights))
+    rows = rows.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("p_block",
+        block_probability(F.col("host"), F.col("path"), bias, weights))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("p_block") >= threshold, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "p_block")
