@@ -53,14 +53,14 @@ _READ = f"x AS (SELECT doc_id, {_TOK} AS w, len({_SENT}) AS s FROM documents), y
 
 @query(
     "txt03_readability",
-    f"""WITH {_READ} SELECT doc_id, round(ease, 6) AS flesch, round(0.39 * n / s + 11.8 * y / n - 15.59, 3)::DOUBLE AS grade, CASE
+    f"""WITH {_READ} SELECT doc_id, round(ease, 6) AS flesch, round(0.39 * n / s + 11.8 * y / n - 15.59 + 1e-9, 3)::DOUBLE AS grade, CASE
     WHEN ease > 60 THEN 'easy' WHEN ease > 30 THEN 'standard' ELSE 'difficult' END AS level FROM f WHERE n > 0""",
 )
 def txt03(t):
     x = t("documents").select("doc_id", F.size(S.tokens(F.col("text"))).alias("n"), F.size(S.sentences(F.col("text"))).alias("s"),
         T.text_syllables(F.col("text")).alias("y")).filter("n > 0")
     f = T.readability(F.col("n"), F.col("s"), F.col("y"))
-    return x.select("doc_id", r(f["flesch"]).alias("flesch"), r(f["grade"], 3).alias("grade"), f["level"].alias("level"))
+    return x.select("doc_id", r(f["flesch"]).alias("flesch"), r(f["grade"] + 1e-9, 3).alias("grade"), f["level"].alias("level"))
 
 
 @query("txt04_syllables", f"WITH x AS (SELECT doc_id, {_TOK} AS w FROM documents) SELECT doc_id, coalesce({_SYL}, 0)::BIGINT AS syllables FROM x")
