@@ -99,4 +99,40 @@ o AS (
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, CAST((epochs + CASE WHEN through - size / 2.0 <= budget THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM o"""
 
-ORACLE_SQL = {"op2_chat_formatting": OP2, "op3_top_k_search": OP3, "op6_minhash_dedup": OP6, "op7_quality_rules": OP7, "op10_mixing": OP10}
+_FIELD = "coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ord(x) AS BIGINT), 256, 256, 256, 256, 256, 256, 256, 256]
+    FOR x IN string_split(CAST({c} AS VARCHAR), '')])), lambda c, x: CASE WHEN x < 256 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"""
+_HEAD = " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('1' || lang, '0') AS tree, sha256({_HEAD} || {_FIELD.format(c="text")}) AS leaf,
+         sha256({_HEAD} || {_FIELD.format(c="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS changed
+  FROM documents),
+k AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n,
+         CASE WHEN coalesce({_CRC32.format(c="doc_id")} % 3 = 0, false) THEN changed ELSE leaf END AS own FROM d),
+t(tree, level, pos, n, h) AS (
+  SELECT tree, 0, pos, n, leaf FROM k
+  UNION ALL SELECT tree, level + 1, pos // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY tree, level, pos // 8),
+tops AS (SELECT tree, h, level AS top, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS trees FROM t WHERE n = 1),
+u(level, pos, n, h) AS (
+  SELECT 0, place, trees, h FROM tops
+  UNION ALL SELECT level + 1, pos // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 8),
+root AS (SELECT h FROM u WHERE n = 1),
+runs AS (
+  SELECT tree, level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM t WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT tree, top + l.level, 0, l.hs FROM tops JOIN (SELECT level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM u WHERE n > 1 GROUP BY ALL) l
+    ON l.run = place // CAST(pow(8, l.level + 1) AS BIGINT)),
+c(rid, tree, level, pos, folded, proof) AS (
+  SELECT rid, tree, 0, pos, own, '' FROM k
+  UNION ALL
+  SELECT rid, c.tree, c.level + 1, pos // 8,
+         sha256(array_to_string(hs[1:i], '') || folded || array_to_string(hs[i + 2:], '')), proof || array_to_string(hs[1:i], '') || array_to_string(hs[i + 2:], '')
+  FROM (SELECT c.*, hs, CASE WHEN c.level >= top THEN (place // CAST(pow(8, c.level - top) AS BIGINT)) % 8 ELSE c.pos % 8 END AS i
+        FROM c JOIN tops USING (tree) JOIN runs ON runs.tree = c.tree AND runs.level = c.level AND runs.run = c.pos // 8) c),
+e AS (SELECT rid, folded, proof FROM c QUALIFY row_number() OVER (PARTITION BY rid ORDER BY level DESC) = 1)
+SELECT doc_id, leaf, tops.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.h AS verified
+FROM k JOIN e USING (rid) JOIN tops USING (tree) CROSS JOIN root"""
+
+ORACLE_SQL = {"op2_chat_formatting": OP2, "op3_top_k_search": OP3, "op6_minhash_dedup": OP6, "op7_quality_rules": OP7, "op10_mixing": OP10, "op13_merkle_manifest": OP13}
