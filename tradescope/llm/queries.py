@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, language, lm, merkle, mixing, packing, quality, search, toxicity, urls
+from . import align, chat, dedup, language, lm, merkle, mixing, packing, quality, search, toxicity, urls
 from .common import read
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -102,6 +102,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two public vocabularies, aligned, with the counts of linked ids over the corpus."""
+    return align.align_tokenizers(read(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, with proofs; where 3 divides crc32 of the id, the text is tampered with."""
     return merkle.manifest(read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
@@ -109,5 +114,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_chat_formatting, op3_top_k_search, op4_language_id, op5_url_filter,
-        op6_minhash_dedup, op7_quality_rules, op8_packing, op9_toxicity, op10_mixing, op13_merkle_manifest)
+        op6_minhash_dedup, op7_quality_rules, op8_packing, op9_toxicity, op10_mixing, op11_tokenizer_alignment, op13_merkle_manifest)
 }
