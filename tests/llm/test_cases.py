@@ -10,11 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tradescope.llm import chat, dedup, language, lm, mixing, packing, quality, search, toxicity, urls
+from tradescope.llm import align, chat, common, dedup, language, lm, merkle, mil, mixing, packing, quality, search, toxicity, urls
 from tradescope.llm.queries import RULES
 
 #: Names that the operators use inside or return.
-CLASHING = "row row_key first_row class slots choice label node members path _u _id _y0 key slot size source_size target taken times budget epochs extra before s weight quality quality_weight lang_pred score toxic p_toxic p_poor copy piece start length offset kept sequence_id column_0_set_aside".split()
+CLASHING = "tree pos run leaf own hash n kids chunk pair planes attention score predicted row row_key first_row class slots choice label node members path _u _id _y0 key slot size source_size target taken times budget epochs extra before s weight quality quality_weight lang_pred toxic p_toxic p_poor copy piece start length offset kept sequence_id column_0_set_aside".split()
 LONG = " ".join(f"word{i % 977} passage{i % 31}" for i in range(60_000))
 
 
@@ -52,6 +52,9 @@ RUNS = {
     "mixing": lambda d, labels: mixing.mix_sources(d).select("doc_id", "size", "source_size", "target", "taken"),
     "packing": lambda d, labels: packing.pack_documents(d).select("doc_id", "piece", "start", "length", "ids_crc32"),
     "quality": lambda d, labels: quality.judge_quality(d).select("doc_id", "n_words", "n_dup_lines", "base_failed", "kept"),
+    "alignment": lambda d, labels: align.align_tokenizers(d).select("doc_id", "n_a", "n_b", "n_best", "count_sum", "groups_sha256"),
+    "mil": lambda d, labels: mil.score_quality(d, labels).select("doc_id", "score", "predicted"),
+    "merkle": lambda d, labels: merkle.manifest(d, F.col("doc_id") % 3 == 0),
     "lm": lambda d, labels: lm.score_documents(d, labels.filter("quality = 1")),
 }
 
@@ -105,9 +108,25 @@ def test_samples_are_bounded_and_never_empty(spark):
     found = language.identify_languages(same, sample=10, keep_text=True).select("text", "lang_pred").distinct().collect()
     assert {r["lang_pred"] for r in found if "Fluss" in r["text"]} == {"de"}
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
-    assert toxicity.labelled_sample(same, labels, ["toxic"], 10).count() == 2
+    most = {True: 10, False: 10}
+    assert common.labelled_sample(same, labels, ["toxic"], most).count() == 2
     many = table(spark, [(1, t, "en", "a", 1) for t in texts] + [(2, "x", "en", "a", 1)])
-    assert toxicity.labelled_sample(many, labels, ["toxic"], 10).count() == 11
+    assert common.labelled_sample(many, labels, ["toxic"], most).count() == 11
+
+
+def test_labels_of_absent_documents_leave_the_sample_whole(spark):
+    texts = [t + (" vile brute" if i % 4 == 0 else "") for i, t in enumerate(texts_of(200))]
+    docs = table(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    own = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    absent = spark.range(1000, 501_000).select(F.col("id").alias("doc_id"), (F.col("id") % 9 == 0).cast("int").alias("toxic"))
+    most = {True: 4000, False: 8000}
+    assert common.labelled_sample(docs, own.unionByName(absent), ["toxic"], most).count() == 200
+    rows = toxicity.classify_toxicity(docs, own.unionByName(absent)).collect()
+    assert {r["doc_id"] for r in rows if r["toxic"]} == set(range(0, 200, 4))
+    assert common.labelled_sample(docs, absent, ["toxic"], most) is None
+    for labels in (absent, own.filter("toxic = 0").unionByName(absent), own.filter("toxic = 1").unionByName(absent)):
+        rows = toxicity.classify_toxicity(docs, labels).collect()
+        assert len(rows) == 200 and not any(r["toxic"] or r["p_toxic"] for r in rows)
 
 
 def test_language_equals_brute_force(spark):
@@ -138,7 +157,7 @@ def test_toxicity_chain_equals_brute_force(spark):
     texts = [t + (" vile brute" if i % 4 == 0 else " dull text" if i % 4 == 1 else "") for i, t in enumerate(texts_of(80))]
     docs = table(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
     labels = spark.createDataFrame([(i, int(i % 4 < 2), int(i % 4 == 0)) for i in range(60)], "doc_id long, poor int, toxic int")
-    sample = toxicity.labelled_sample(docs, labels, ["poor", "toxic"], 4000)
+    sample = common.labelled_sample(docs, labels, ["poor", "toxic"], {True: 4000, False: 8000})
     import pickle
 
     words, links, bias = pickle.loads(sample.repartition(1).mapInArrow(toxicity.fit(["poor", "toxic"]), "model binary").first()["model"])

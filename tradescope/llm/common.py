@@ -97,3 +97,29 @@ def parts_for(rows: int, rows_per_part: int) -> int:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the given folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], most: dict[bool, int]) -> DataFrame | None:
+    """Documents to learn from: _u, text and the categories, or None where not both kinds are found.
+
+    Of documents for which the last category is 1 (True) and others (False), at most ``most`` of
+    each kind, different ones, by hashes of id and text. Labels of documents that are not in
+    ``docs`` are left out before anything is counted or drawn, so they don't thin the sample; for
+    this only ids are compared. A category of a document is 1 if one of its labels says so.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    last = F.col(categories[-1])
+    votes = labels.filter(F.col("doc_id").isNotNull() & last.isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(
+        *[F.max((F.col(c) > 0).cast("int")).alias(f"_y{k}") for k, c in enumerate(categories)])
+    ids = docs.select(F.col("doc_id").alias("_id")).distinct()
+    found = votes.join(ids, "_id", "left_semi").checkpoint()
+    y = F.col(f"_y{len(categories) - 1}") > 0
+    counts = {r["y"]: r["n"] for r in found.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    if len(counts) < 2:
+        return None
+    share = F.when(y, min(1.0, 2 * most[True] / counts[True])).otherwise(min(1.0, 2 * most[False] / counts[False]))
+    drawn = found.filter(uniform("_id") <= share)  # about twice as many ids as are wanted
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))
+    texts = texts.withColumn("_u", uniform("doc_id", "text")).dropDuplicates(["_u"])
+    picked = texts.filter(y).orderBy("_u").limit(most[True]).unionByName(texts.filter(~y).orderBy("_u").limit(most[False]))
+    return picked.select("_u", "text", *[F.col(f"_y{k}").alias(c) for k, c in enumerate(categories)])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, dedup, language, lm, merkle, mixing, packing, quality, search, toxicity, urls
+from . import align, chat, dedup, language, lm, merkle, mil, mixing, packing, quality, search, toxicity, urls
 from .common import read
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -107,6 +107,14 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_tokenizers(read(spark, sf_dir, "documents"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by attention over passages, learned where crc32 of the id modulo 5 is not 0."""
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(part == 0, F.lit(False)).alias("held_out"))
+    found = mil.score_quality(docs, read(spark, sf_dir, "labels"), F.col("doc_id").isNotNull() & ~F.col("held_out"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, with proofs; where 3 divides crc32 of the id, the text is tampered with."""
     return merkle.manifest(read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
@@ -114,5 +122,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_chat_formatting, op3_top_k_search, op4_language_id, op5_url_filter,
-        op6_minhash_dedup, op7_quality_rules, op8_packing, op9_toxicity, op10_mixing, op11_tokenizer_alignment, op13_merkle_manifest)
+        op6_minhash_dedup, op7_quality_rules, op8_packing, op9_toxicity, op10_mixing, op11_tokenizer_alignment, op12_quality_classifier, op13_merkle_manifest)
 }

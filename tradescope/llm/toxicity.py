@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import release, slices, uniform
+from .common import labelled_sample, release, slices
 from .ftrl import Ftrl, dense
 
 #: Labelled documents of each kind in the sample, folds, and documents a word must occur in.
@@ -135,21 +135,6 @@ def score(model, categories: list[str], keep: list[str]):
     return run
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int) -> DataFrame:
-    """At most ``sample`` documents of the last category and twice as many others: _u, text and the categories."""
-    last = categories[-1]
-    votes = labels.filter(F.col("doc_id").isNotNull() & F.col(last).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(*[F.max((F.col(c) > 0).cast("int")).alias(f"_y{k}") for k,
-        c in enumerate(categories)])
-    y = F.col(f"_y{len(categories) - 1}") > 0
-    counts = {r["y"]: r["n"] for r in votes.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    share = F.when(y, min(1.0, 2 * sample / max(counts.get(True, 0), 1))).otherwise(min(1.0, 4 * sample / max(counts.get(False, 0), 1)))
-    drawn = votes.filter(uniform("_id") <= share)  # about 6 * sample ids
-    found = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))
-    found = found.withColumn("_u", uniform("doc_id", "text")).dropDuplicates(["_u"])
-    picked = found.filter(y).orderBy("_u").limit(sample).unionByName(found.filter(~y).orderBy("_u").limit(2 * sample))
-    return picked.select("_u", "text", *[F.col(f"_y{k}").alias(c) for k, c in enumerate(categories)])
-
-
 def classify_toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = (LAST,), sample: int = SAMPLE,
     threshold: float = 0.4, keep_text: bool = False) -> DataFrame:
     """Add p_<category> for each of ``categories`` and the verdict ``toxic`` to every document.
@@ -161,8 +146,9 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str,
     category. Every document is judged on all its words.
 
     Nulls: labels with a null id or a null last category are left out, another null category only
-    for that category; a null or empty text has no words and is judged by the bias alone. Without
-    labels of both kinds nothing can be learned, and no document is toxic (probabilities 0).
+    for that category; a null or empty text has no words and is judged by the bias alone. Labels of
+    documents that are not given play no part. Without given documents of both kinds nothing can
+    be learned, and no document is toxic (probabilities 0).
     Repeated labels of a document count once, as 1 if one says so; repeated documents get equal
     results and are learned from once. Empty tables give no rows. Columns named like the results
     are replaced; text is dropped unless ``keep_text``.
@@ -171,10 +157,9 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str,
     last, results = categories[-1], [f"p_{c}" for c in categories]
     rows = docs.drop(*results, LAST)
     keep = [c for c in rows.columns if keep_text or c != "text"]
-    model = None
-    if labels.filter(F.col(last).isNotNull() & F.col("doc_id").isNotNull()).select((F.col(last) > 0).alias("y")).distinct().count() == 2:
-        found = labelled_sample(rows, labels, categories, sample).repartition(1).mapInArrow(fit(categories), "model binary").first()
-        model = pickle.loads(found["model"]) if found else None
+    chosen = labelled_sample(rows, labels, categories, {True: sample, False: 2 * sample})
+    found = chosen.repartition(1).mapInArrow(fit(categories), "model binary").first() if chosen is not None else None
+    model = pickle.loads(found["model"]) if found else None
     if model is None:
         return rows.select(*keep, *[F.lit(0.0).alias(c) for c in results], F.lit(False).alias(LAST))
     schema = StructType([*rows.select(*keep).schema.fields, *(StructField(c, DoubleType()) for c in results)])
