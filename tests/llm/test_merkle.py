@@ -30,7 +30,7 @@ def levels_of(nodes):
     return out
 
 
-def expected(rows, tampered):
+def expected(rows, changed):
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every row."""
     groups = {}
     for row in rows:
@@ -44,7 +44,7 @@ def expected(rows, tampered):
     found = []
     for at, g in enumerate(order):
         for place, row in enumerate(groups[g]):
-            own, proof = leaf_of(row, tampered(row)), []
+            own, proof = leaf_of(row, changed(row)), []
             for levels, i in ((trees[g], place), (top, at)):
                 for level in levels[:-1]:
                     start = i // 8 * 8
@@ -59,7 +59,8 @@ def tampered_in_python(row):
     return row[0] is not None and zlib.crc32(str(row[0]).encode()) % 3 == 0
 
 
-TAMPERED = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+def tampered():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
 
 
 def random_rows(n, langs, seed=1):
@@ -71,7 +72,7 @@ def random_rows(n, langs, seed=1):
 def test_equals_plain_trees(spark, n, langs):
     rows = random_rows(n, langs)
     df = spark.createDataFrame(rows, SHAPE).repartition(5)
-    assert sorted(map(tuple, merkle.manifest(df, TAMPERED).collect()), key=repr) == expected(rows, tampered_in_python)
+    assert sorted(map(tuple, merkle.manifest(df, tampered()).collect()), key=repr) == expected(rows, tampered_in_python)
 
 
 def test_repeated_rows_null_ids_and_a_crowded_run(spark, monkeypatch):
@@ -79,14 +80,14 @@ def test_repeated_rows_null_ids_and_a_crowded_run(spark, monkeypatch):
     monkeypatch.setattr(merkle, "BROADCAST_ROWS", 0)
     rows = random_rows(200, ["en", "de"]) + [(None, "a", "en", 1, "X")] * 3 + [(7, "a", "en", 1, "Y")] * 150 + [(7, "a", "en", 1, "Z")]
     df = spark.createDataFrame(rows, SHAPE)
-    assert sorted(map(tuple, merkle.manifest(df, TAMPERED).collect()), key=repr) == expected(rows, tampered_in_python)
+    assert sorted(map(tuple, merkle.manifest(df, tampered()).collect()), key=repr) == expected(rows, tampered_in_python)
     none = merkle.manifest(df, F.lit(None).cast("boolean")).collect()
     assert all(r["verified"] for r in none)
-    assert merkle.manifest(df.limit(0), TAMPERED).columns == merkle.manifest(df, TAMPERED).columns
+    assert merkle.manifest(df.limit(0), tampered()).columns == merkle.manifest(df, tampered()).columns
 
 
 def test_row_limit_of_recursion_is_put_back(spark):
     limit = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit)
-    merkle.manifest(spark.createDataFrame(random_rows(20, ["en"]), SHAPE), TAMPERED).count()
+    merkle.manifest(spark.createDataFrame(random_rows(20, ["en"]), SHAPE), tampered()).count()
     assert spark.conf.get(limit) == before

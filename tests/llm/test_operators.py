@@ -115,7 +115,7 @@ def test_search_prunes_clustered_vectors():
     points = np.floor(g.normal(size=(40, 16))[g.integers(0, 40, 4000)] * 400 + g.normal(size=(4000, 16)) * 8).astype(np.int64)
     asked = np.arange(0, 4000, 50)
     found = search.TopK(points[asked], asked, points, np.arange(4000), 5, np.full(80, search.MISSING), False)
-    search.dual_search(search.CoverTree(points[asked].astype(float), leaf=search.LEAF_QUERIES), search.CoverTree(points.astype(float)), found)
+    search.dual_search(search.CoverTree(points[asked].astype(float)), search.CoverTree(points.astype(float)), found)
     assert found.compared < 0.2 * 80 * 4000
     expected = brute_top_k(list(enumerate(points)), [(i, points[i]) for i in asked], 5)
     assert sorted((int(asked[i]), n + 1, int(found.best[i, n]), int(found.score[i, n])) for i in range(80) for n in range(5)) == expected
@@ -128,14 +128,30 @@ def nodes_below(tree):
 def test_cover_tree_keeps_its_invariants():
     g = np.random.default_rng(2)
     points = np.concatenate((g.normal(size=(20, 3))[g.integers(0, 20, 900)] * 100 + g.normal(size=(900, 3)), np.ones((200, 3))))
-    for node in nodes_below(search.CoverTree(points, leaf=4)):
+    for node in nodes_below(search.CoverTree(points)):
         apart = np.sqrt(((points[node.rows] - node.centre) ** 2).sum(axis=1))
         assert apart.max() <= node.radius and sorted(np.concatenate([c.rows for c in node.children] or [node.rows])) == sorted(node.rows)
         if node.children:
-            reach, centres = 2.0 ** (node.level - 1), np.array([c.centre for c in node.children])
+            centres = np.array([c.centre for c in node.children])
+            reach = np.sqrt(((points[node.rows][:, None] - centres[None]) ** 2).sum(axis=2)).min(axis=1).max()
             assert any((c == node.centre).all() for c in centres) and all(c.radius <= reach * 1.001 for c in node.children)
+            assert len(node.children) == search.FAN or reach <= node.radius / 2
             gaps = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))
-            assert gaps[~np.eye(len(centres), dtype=bool)].min(initial=np.inf) > reach
+            assert gaps[~np.eye(len(centres), dtype=bool)].min(initial=np.inf) >= reach
+
+
+@pytest.mark.parametrize("clusters", [20, 200, 1000])
+def test_cover_trees_prune_whatever_the_number_of_clusters(clusters):
+    g = np.random.default_rng(clusters)
+    centres = g.normal(size=(clusters, 16)) * 2000
+    points = np.rint(centres[np.arange(4000) % clusters] + g.normal(size=(4000, 16)) * 10).astype(np.int64)
+    ids, floor = np.arange(4000), np.full(4000, search.MISSING)
+    found = search.TopK(points, ids, points, ids, 3, floor, False)
+    search.dual_search(search.CoverTree(points.astype(float)), search.CoverTree(points.astype(float)), found)
+    assert found.compared + found.bounded < 0.2 * 4000 * 4000
+    for i in range(50):
+        own = sorted((-int(points[i] @ points[j]), j) for j in range(4000) if j != i)[:3]
+        assert [(-int(a), int(b)) for a, b in zip(found.score[i], found.best[i], strict=True)] == own
 
 
 def test_search_is_exact_beyond_floats_and_refuses_overflow(spark):

@@ -25,8 +25,8 @@ from .common import ensure_checkpoint_dir, parts_for
 
 #: Pivots, the sample that they are picked from, and rows and queries in one task's block.
 PIVOTS, SAMPLE, BLOCK_ROWS, BLOCK_QUERIES = 64, 2048, 4096, 4096
-#: Points of a node of rows and of queries that is not split, and children of a node at most.
-LEAF, LEAF_QUERIES, FAN = 64, 8, 32
+#: Points of a node that is not split, children of a node for each step of scale, and points that make a tight node.
+LEAF, FAN, TIGHT = 4, 32, 3
 MISSING = np.iinfo(np.int64).min
 #: Up to so many (pivot, block of queries) pairs are broadcast.
 BROADCAST_VISITS = 200_000
@@ -56,36 +56,42 @@ def matrix(vectors, width: int) -> np.ndarray:
 class CoverTree:
     """A cover tree over points, built a level at a time.
 
-    A node of level l covers points within 2^l of its centre. Its children's centres are points
-    of the node that lie further than 2^(l - 1) from each other, the node's own centre among
-    them (nesting, separation), and every point is within 2^(l - 1) of its child's centre
-    (covering). Levels with a single child are left out. A node of at most ``leaf`` points is a leaf,
-    as is one that FAN centres do not cover: at that scale its points have no structure to use.
+    A node covers its points within ``radius`` of its centre. Its children's centres are points of
+    the node, its own centre among them (nesting), each the farthest from those before, until all
+    points are within half of the radius (covering); they lie further than that from each other
+    (separation). Where FAN centres do not reach half of the radius, the distance that they do
+    reach is an intermediate scale, and the children are split further. A node of at most LEAF
+    points is a leaf, as is one whose points are in no tight nodes at any scale below (TIGHT
+    points or more within half of its radius, for half of its points): there is no structure to use.
     """
 
-    def __init__(self, points: np.ndarray, rows: np.ndarray | None = None, leaf: int = LEAF):
+    def __init__(self, points: np.ndarray, rows: np.ndarray | None = None):
         self.rows = np.arange(len(points)) if rows is None else rows
         self.points = points
-        self.centre = points[self.rows[0]]
-        near = self._from(self.centre)
+        own = points[self.rows]
+        self.centre = own[0]
+        distance = lambda i: np.sqrt(((own - own[i]) ** 2).sum(axis=1))
+        near = distance(0)
         self.radius = float(near.max()) * (1 + 1e-9)
         self.norm = float(np.sqrt((self.centre**2).sum()))
-        self.longest = float(np.sqrt((points[self.rows] ** 2).sum(axis=1).max())) * (1 + 1e-9)
-        self.level = math.ceil(math.log2(near.max())) if self.radius > 0 else None
+        self.longest = float(np.sqrt((own**2).sum(axis=1).max())) * (1 + 1e-9)
         self.children: list[CoverTree] = []
-        if len(self.rows) > leaf and self.radius > 0:
-            within = 2.0 ** (self.level - 1)
-            owner, centres = np.zeros(len(self.rows), dtype=np.int64), 1
-            while centres < FAN and near.max() > within:
-                other = self._from(points[self.rows[int(near.argmax())]])
-                owner[other < near] = centres
-                near, centres = np.minimum(near, other), centres + 1
-            if near.max() <= within:
-                self.children = [CoverTree(points, np.concatenate((own[near[owner == c] == 0][:1], np.delete(own,
-                    np.flatnonzero(near[owner == c] == 0)[:1]))), leaf) for c in range(centres) if len(own := self.rows[owner == c])]
-
-    def _from(self, point: np.ndarray) -> np.ndarray:
-        return np.sqrt(((self.points[self.rows] - point) ** 2).sum(axis=1))
+        self.leaves = [(self.radius, len(own))]
+        if len(own) > LEAF and self.radius > 0:
+            owner, centres = np.zeros(len(own), dtype=np.int64), [0]
+            while len(centres) < FAN and near.max() > self.radius / 2:
+                centres.append(int(near.argmax()))
+                other = distance(centres[-1])
+                owner[other < near] = len(centres) - 1
+                near = np.minimum(near, other)
+            order = np.argsort(owner, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(owner[order])) + 1)
+            children = [CoverTree(points, self.rows[np.append(c, part[part != c])]) for c, part in zip(centres, parts, strict=True)]
+            leaves = [leaf for child in children for leaf in child.leaves]
+            if sum(n for r, n in leaves if n >= TIGHT and r <= self.radius / 2) * 2 >= len(own):
+                self.children, self.leaves = children, leaves
+                self.centres = np.array([c.centre for c in children])
+                self.radii, self.norms, self.lengths = (np.array([getattr(c, k) for c in children]) for k in ("radius", "norm", "longest"))
 
 
 class TopK:
@@ -97,7 +103,7 @@ class TopK:
         self.score = np.full((len(queries), k), MISSING, dtype=np.int64)
         self.best = np.full((len(queries), k), MISSING, dtype=np.int64)
         self.floor = floor
-        self.compared = 0
+        self.compared = self.bounded = 0  # pairs of points, and of a node with another's child
 
     def worst(self, rows: np.ndarray) -> float:
         """The least k-th score of a group: a node that stays below it holds nothing for the group."""
@@ -137,15 +143,16 @@ class TopK:
         self.score[q[touched]], self.best[q[touched]] = scores[keep].reshape(-1, self.k), ids[keep].reshape(-1, self.k)
 
 
-def bound(q: CoverTree, x: CoverTree) -> float:
-    """The largest inner product that a point of q and a point of x can have."""
-    value = min(float(q.centre @ x.centre) + q.norm * x.radius + x.norm * q.radius + q.radius * x.radius, q.longest * x.longest)
-    return value + abs(value) * 1e-9 + 1e-6
+def bounds(node: CoverTree, children: CoverTree) -> np.ndarray:
+    """For each child of a node: the largest inner product that a point of it and a point of ``node`` can have."""
+    value = children.centres @ node.centre + node.norm * children.radii + children.norms * node.radius + node.radius * children.radii
+    value = np.minimum(value, node.longest * children.lengths)
+    return value + np.abs(value) * 1e-9 + 1e-6
 
 
 def dual_search(q: CoverTree, x: CoverTree, found: TopK) -> None:
     """Visit pairs of nodes, the most promising first, and skip those that cannot matter."""
-    stack = [(bound(q, x), q, x)]
+    stack = [(math.inf, q, x)]
     while stack:
         most, a, b = stack.pop()
         if most < found.worst(a.rows):
@@ -153,8 +160,11 @@ def dual_search(q: CoverTree, x: CoverTree, found: TopK) -> None:
         if not a.children and not b.children:
             found.compare(a.rows[found.hopeful(a, b)], b.rows)
             continue
-        pairs = [(c, b) for c in a.children] if a.children and (not b.children or a.radius > b.radius) else [(a, c) for c in b.children]
-        stack += sorted(((bound(*p), *p) for p in pairs), key=lambda t: t[0])
+        split = a if a.children and (not b.children or a.radius > b.radius) else b
+        most = bounds(b if split is a else a, split)
+        found.bounded += len(most)
+        for i in np.argsort(most, kind="stable"):
+            stack.append((float(most[i]), split.children[i], b) if split is a else (float(most[i]), a, split.children[i]))
 
 
 def net(points: np.ndarray, most: int) -> np.ndarray:
@@ -192,7 +202,7 @@ def search_block(k: int, width: int, exact: bool):
             x, q = matrix(rows["v"], width), matrix(queries["v"], width)
             qid = queries["vec_id"].to_numpy(np.int64)
             found = TopK(q, qid, x, rows["vec_id"].to_numpy(np.int64), k, queries["floor"].to_numpy(np.int64), exact)
-            dual_search(CoverTree(q.astype(float), leaf=LEAF_QUERIES), CoverTree(x.astype(float)), found)
+            dual_search(CoverTree(q.astype(float)), CoverTree(x.astype(float)), found)
             keep = found.score > MISSING
             out = {"query_id": np.repeat(qid, keep.sum(axis=1)), "vec_id": found.best[keep], "score": found.score[keep]}
         return pd.DataFrame(out)
