@@ -434,6 +434,22 @@ def test_urls_rules_and_parts(spark):
     assert {r["page_id"]: r["verdict"] for r in bad.collect()} == {1: "block", 2: "allow"}
 
 
+def test_urls_of_sites_that_no_table_names(spark):
+    """Hosts that are neither in the labelled table nor made as the test pages are."""
+    plain = """wikipedia.org github.io mozilla.com bbc.co.uk nature.com python.com guardian.com stackoverflow.com archive.org nytimes.com mit.edu nasa.gov amazon.com apple.com zeit.de
+        cnn.com ebay.co.uk spotify.com imdb.com weather.gov wordpress.org reddit.com lonelyplanet.com who.int oxfordjournals.org cashmere-shop.com pilates-studio.com clickhouse.com
+        betterworld.org adobe.com loansome-dove.org alberta.ca trackandfield.org winchester.co.uk adelaide.edu.au pillowtalk.com elizabeth.org freecycle.org""".split()
+    bad = """gambling.com porn-tube.com phishing-login.com onlinecasino.net sexvideos.org buy-viagra.com freebets.co.uk adtracker.io xxxmovies.com casino-royale.com cheap-pills-rx.net
+        poker-online.com spam-network.org malware-site.com lottery-jackpot.com""".split()
+    assert not {h.split(".")[0] for h in plain + bad} & {*urls.ALLOWED_SITES, *urls.BLOCKED_SITES}
+    df = spark.createDataFrame([(i, f"https://{h}/") for i, h in enumerate(plain + bad)], "page_id long, url string")
+    verdict = {r["host"]: r["verdict"] for r in urls.judge_urls(df, []).collect()}
+    assert {verdict[h] for h in plain[:25]} == {"allow"}
+    assert sum(verdict[h] == "allow" for h in plain) >= 0.9 * len(plain) and sum(verdict[h] == "block" for h in bad) >= 0.9 * len(bad)
+    odd = spark.createDataFrame([(1, None), (2, "x"), (3, "http://")], "page_id long, url string")
+    assert {r["verdict"] for r in urls.judge_urls(odd, []).collect()} == {"allow"}
+
+
 def test_urls_training_equals_numpy(spark):
     bias, weights = urls.train(urls.labelled_urls(spark), dimensions=256, rounds=40)
     host, path = urls.host_and_path(F.col("url"))
@@ -441,10 +457,11 @@ def test_urls_training_equals_numpy(spark):
     x = np.zeros((len(rows), 256))
     for i, r in enumerate(rows):
         x[i, r["x"]] = 1 / math.sqrt(len(r["x"]))
-    y, w, b = np.array([r["blocked"] for r in rows], dtype=float), np.zeros(256), 0.0
+    y, w, b, v, turn = np.array([r["blocked"] for r in rows], dtype=float), np.zeros(256), 0.0, np.zeros(256), 0.0
     for _ in range(40):
         e = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w, b = w * (1 - urls.RATE * urls.PENALTY) - urls.RATE * x.T @ e / len(y), b - urls.RATE * e.mean()
+        v, turn = urls.MOMENTUM * v - urls.RATE * (x.T @ e / len(y) + urls.PENALTY * w), urls.MOMENTUM * turn - urls.RATE * e.mean()
+        w, b = w + v, b + turn
     assert abs(b - bias) < 1e-9 and np.abs(w - weights).max() < 1e-9
 
 

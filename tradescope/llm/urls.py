@@ -9,20 +9,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Site names of labelled URLs to train from where a caller brings none, to block and to allow.
-BLOCKED_SITES = """royalcasino casino777 mega-casinos grand-casino livecasino casinos-online vipcasino sportbets bets24 topbets bets-daily bigbets livebets pills4less discount-pills dietpills pillshop
-easy-pills pills-direct adultcams adults-only adulthub adult-chat myadult adult-videos adsserver bannerads clicktrack trackernet popads adtracks ads-click tracks-pixel spamlinks linkfarm seo-spam
-content-farms spammers farm-links spam-mail cashprizes winbig free-prizes wins-now win-cash poker-win viagra-shop cheap-meds cheapdrugs xxx-clips""".split()
-ALLOWED_SITES = """library garden weather recipes history science museum travel theatre music mountain harbour kitchen painting cathedral northern station orchard lanterns sisters weaving engines tinnery anthems
-redstone hearth intention healing ordinary whether erring bleat tidings thornbury thistle bathhouse thirteenth thermal thunder smithery thousand nationals mentions editions shoreline shedding handed
-handling landed wooden heaters theories southern otherwise enthusiast rather weather-at-sea onward hatters whistle estates tenants antlers entertain shelter""".split()
+#: Site names of labelled URLs to train from where a caller brings none: sites that are commonly
+#: blocked (gambling, adult, pills, advertising, spam, fraud) and ordinary ones, some of which share letters with those.
+BLOCKED_SITES = """casino-city casinogames casino-club mycasino casino4you win-now bigwins winners-club adult-shop adults-only adult-films royalcasino casino777 mega-casinos livecasino casino-bonus bestcasinos slots-casino onlinegambling gamblers-den gamble4free poker-stars24 pokerroom
+holdem-poker jackpot-city jackpots-now roulette-live sportbets bets24 bet-now topbets betting-tips livebets freeslots slot-machines megalotto lottery-
+winner winbig-cash win-a-prize free-prizes prize-claim cash-giveaway easycash pornhouse free-porn pornvideos porn-stars xxx-clips xxxtube adultcams
+adult-dating adultvideos sexchat sex-cams hotsex nude-girls nudes-live escort-girls milf-cams erotic-tube pills4less dietpills pill-store pills-online
+cheapmeds cheap-viagra viagra-shop cialis-direct discount-pharmacy nopharma-rx steroids-shop cheap-replica replica-watches gamblers gambling-sites
+gamble-now freebet-offers bets-free free-spins xxx-films xxx-pics xxxlive viagra-now viagra4men pills-cheap cheap-tablets poker-online-now online-
+poker malware-download malwarez infected-site fake-watches fakebags cheapdrugs adserver bannerads clickads ad-tracker popup-ads popads adclick pixel-
+tracking tracking-pixel clicktrack trackers-net adsnetwork ads-cdn spamlinks linkspam spam-mailer spammers bulkmail-spam linkfarm seo-spam content-
+farm phishing-kit phish-bank account-verify-login secure-login-verify login-update verify-paypal malware-host malware-drop virus-alert keygen-crack
+crackz warez-zone torrent-warez hacked-accounts payday-loans fastloans loan-shark bitcoin-doubler crypto-doubler getrich-quick make-money-fast free-
+iphone free-giftcards""".split()
+ALLOWED_SITES = """library gardening weather-report recipes history-museum science travelguide theatre music-school mountainrescue harbour kitchen painting cathedral
+northern-rail station orchard lanterns sisterhood weaving engineers encyclopedia dictionary wiki openstreetmap webarchive developer-docs opensource
+codehub git-tools rustlang javadocs scala debian linuxkernel database softwareguide blogspot newspaper dailynews herald tribune timesonline observer
+chronicle telegraph journal reuters broadcast television radiofrance spiegel lemonde elpais gazette magazine university college highschool faculty
+students research lab-notes physics chemistry biology nature-reserve geology astronomy mathematics statistics medicine hospital clinic health dentist
+nursing government parliament council police embassy cityhall ministry taxoffice courts elections citizens charity redcross foundation unesco europe
+bakery restaurant coffeehouse vineyard cheese-shop bookstore bookshop shoes clothing cashmere wool-store furniture carpenter plumber electrician
+hardware toolshop bicycle carparts auto-repair railways airline airport hotels hostel campsite football cricket tennis athletics swimming cycling
+marathon chessclub olympics stadium music-hall musicals museumshop warehouse greenhouse spotlight spotless cashews cashier wholesale rowing hiking
+climbing skiing sailing winters betty-crocker alphabet tibet-tours better-homes photography camera cinema film-festival gallery sculpture architecture
+poetry novels literature comics orchestra jazz opera dance folk-songs choir bank-holiday insurance accountants lawyers notary consulting marketing
+recruiting careers jobsearch realestate housing rentals moving family parents children kindergarten toys puzzles birthdays wedding pets dogs cattle
+horses farming tractor seeds flowers forest rivers ocean islands birds whales shopping market storefront fashion jewelry watchmaker clockwork hats
+gloves leather textile paper printing stationery thursday anthem thinking thread other mother weathering northeast together there where theory nation
+mention ratio edition tradition eaten heater shed handle sandals stand adventures addresses roadside headlines leads heads shadows threads pad-thai
+traditional canadian academy tracking-hikes racetrack trackfield soundtrack spillway caterpillar pillars pillow sextant essex middlesex sussex
+cocktails scunthorpe analysis assassin-history grapes therapist therapists pension discounts freedom freedoms freestyle freeman cheapside windows
+winery wings winston clicker-training clickable bannermen popular popcorn linkages loans-museum""".split()
 #: How their hosts begin and end, and their paths, dealt alike to both kinds.
-STARTS, ENDS, PATHS = ("", "www.", "m.", "blog."), (".example.com", ".example.net", ".example.org"), ("/en/12",
-    "/de/345", "/fr/6789/", "/es/21", "/en/4070/", "/fr/983", "/de/5116")
-LABELLED = tuple((f"http://{STARTS[i % 4]}{name}{ENDS[i % 3]}{PATHS[i % 7]}", blocked) for blocked, names in ((1,
-    BLOCKED_SITES), (0, ALLOWED_SITES)) for i, name in enumerate(names))
-#: Buckets, lengths of n-grams, and the rounds, step and L2 penalty of training.
-DIMENSIONS, SIZES, ROUNDS, RATE, PENALTY = 4096, (3, 4), 300, 4.0, 1e-4
+STARTS = ("", "www.", "m.", "blog.", "shop.")
+ENDS = (".com", ".net", ".org", ".example.com", ".co.uk", ".example.net", ".info", ".example.org", ".de", ".io")
+PATHS = ("/", "", "/en/12", "/index.html", "/de/345", "/news/2024/a-story", "/fr/6789/", "/es/21", "/shop/item", "/en/4070/", "/fr/983", "/about", "/de/5116")
+LABELLED = tuple((f"http://{STARTS[i % 5]}{name}{ENDS[i % 10]}{PATHS[i % 13]}", blocked) for blocked,
+    names in ((1, BLOCKED_SITES), (0, ALLOWED_SITES)) for i, name in enumerate(names))
+#: Buckets, lengths of n-grams, and the rounds, step, momentum and L2 penalty of training.
+DIMENSIONS, SIZES, ROUNDS, RATE, MOMENTUM, PENALTY = 8192, (3, 4), 200, 4.0, 0.95, 3e-5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -53,7 +78,7 @@ def features(host: Column, path: Column, dimensions: int = DIMENSIONS) -> Column
 
 
 def train(labelled: DataFrame, dimensions: int = DIMENSIONS, rounds: int = ROUNDS, rate: float = RATE, penalty: float = PENALTY) -> tuple[float, list[float]]:
-    """Bias and weights of a logistic regression, by gradient descent on the whole table.
+    """Bias and weights of a logistic regression, by gradient descent with momentum on the whole table.
 
     ``labelled`` has url and blocked (0 or 1; rows with nulls are left out, repeats count) and is
     small: it becomes one row. A feature counts 1 / sqrt(number of features of its URL). Weights
@@ -71,12 +96,15 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, rounds: int = ROUND
         return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda t, v: t + v)
 
     def descend(kernel: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("bias"), F.transform("rows", lambda _: F.lit(0.0)).alias("alpha"))
+        none = F.transform("rows", lambda _: F.lit(0.0))
+        start = F.struct(F.lit(0.0).alias("bias"), none.alias("alpha"), F.lit(0.0).alias("turn"), none.alias("moves"))
 
         def step(m: Column, _: Column) -> Column:
             errors = F.transform(kernel, lambda k, i: 1.0 / (1.0 + F.exp(-(m["bias"] + dot(k, m["alpha"])))) - F.get(F.col("rows"), i)["y"])
-            return F.transform(F.array(errors), lambda e: F.struct((m["bias"] - rate * F.aggregate(e, F.lit(0.0),
-                lambda t, v: t + v) / n).alias("bias"), F.zip_with(m["alpha"], e, lambda a, v: a * (1 - rate * penalty) - rate * v / n).alias("alpha")))[0]
+            found = F.transform(F.array(errors), lambda e: F.struct((MOMENTUM * m["turn"] - rate * F.aggregate(e, F.lit(0.0), lambda t, v: t + v) / n).alias("turn"),
+                F.zip_with(F.zip_with(m["moves"], e, lambda v, x: MOMENTUM * v - rate * x / n), m["alpha"], lambda v, a: v - rate * penalty * a).alias("moves")))
+            return F.transform(found, lambda g: F.struct((m["bias"] + g["turn"]).alias("bias"), F.zip_with(m["alpha"], g["moves"],
+                lambda a, v: a + v).alias("alpha"), g["turn"].alias("turn"), g["moves"].alias("moves")))[0]
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
 
@@ -102,10 +130,11 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LABELLED), "url string, blocked int")
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame | None = None, threshold: float = 0.6) -> DataFrame:
     """Judge every row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, p_block.
 
-    The longest fitting rule decides; without one the model blocks at ``threshold`` or above.
+    The longest fitting rule decides; without one the model blocks at ``threshold`` or above, so that a
+    host of which the n-grams say little is allowed.
     ``rules`` are (verdict, host, path) and, as the labelled table, are small by contract.
 
     Nulls: a null url, or one without ``://``, has an empty host and path, which no rule fits,
