@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradescope.operators.joins import undirected
-from tradescope.registry import shared_dir
+from tradescope.registry import Steps, shared_dir
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
@@ -58,38 +58,49 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """node, rank of a directed graph; the rank of nodes without an edge out is shared by all."""
-    shared_checkpoints(edges.sparkSession)
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """node, rank of a directed graph; the rank of nodes without an edge out is shared by all.
+
+    It ends when the ranks of a round differ from the last by ``tolerance`` in sum; each round
+    brings that down to ``damping`` of it at least.
+    """
+    spark = edges.sparkSession
+    shared_checkpoints(spark)
+    steps = Steps(spark)
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    links = edges.select("src", "dst").join(out, "src").checkpoint()
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().checkpoint()
+    links = steps.store(edges.select("src", "dst").join(out, "src"))
+    nodes = steps.store(links.select(F.col("src").alias("node"), F.lit(False).alias("loose")).union(links.select("dst", F.lit(True))).groupBy("node").agg(F.min("loose").alias("loose")))
     n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(rounds):
+    ranks = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
+    while n:
         given = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
-        loose = ranks.join(out.select(F.col("src").alias("node")), "node", "left_anti").agg((F.coalesce(F.sum("rank"), F.lit(0.0)) / n).alias("loose"))
-        ranks = nodes.join(given, "node", "left").join(F.broadcast(loose)).select("node",
-            (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose"))).alias("rank"))
-        if i % 5 == 4:
-            ranks = ranks.checkpoint()
-    return ranks
-
-
-def distances(edges: DataFrame, source: int) -> DataFrame:
-    """node, distance, path from one node, breadth first to the end; of equal paths the least is kept."""
-    shared_checkpoints(edges.sparkSession)
-    both = undirected(edges).select("node", "other").checkpoint()
-    found = both.filter(F.col("node") == source).select("node").distinct().select("node", F.lit(0).alias("distance"),
-        F.array("node").alias("path")).checkpoint()
-    edge_of, step = found, 0
+        loose = nodes.filter("loose").join(ranks, "node").agg(F.sum("rank")).first()[0] or 0.0
+        after = nodes.join(ranks, "node").join(given, "node", "left").select("node", "rank",
+            ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("next"))
+        after = steps.store(after)
+        ranks = after.select("node", F.col("next").alias("rank"))
+        if after.agg(F.sum(F.abs(F.col("next") - F.col("rank")))).first()[0] <= tolerance:
+            break
+    result = ranks.checkpoint()
+    steps.clear()
+    return result
+
+
+def distances(edges: DataFrame, sources: int | DataFrame) -> DataFrame:
+    """source, node, distance, path from each source (one, or a column of them), breadth first to the end; of equal paths the least is kept."""
+    spark = edges.sparkSession
+    shared_checkpoints(spark)
+    both = undirected(edges).select("node", F.col("other").alias("next")).distinct().checkpoint()
+    start = both.filter(F.col("node") == sources) if isinstance(sources, int) else both.join(sources.select(F.col(sources.columns[0]).alias("node")), "node", "left_semi")
+    found = start.select("node").distinct().select(F.col("node").alias("source"), "node", F.lit(0).alias("distance"), F.array("node").alias("path")).checkpoint()
+    frontier, step = found, 0
     while True:
         step += 1
-        near = edge_of.join(both, "node").select(F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path")).groupBy("node").agg(F.min("path").alias("path"))
-        edge_of = near.join(found.select("node"), "node", "left_anti").select("node", F.lit(step).alias("distance"), "path").checkpoint()
-        if edge_of.limit(1).count() == 0:
+        near = frontier.join(both, "node").groupBy("source", F.col("next").alias("node")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
+        frontier = near.join(found.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(step).alias("distance"), "path").checkpoint()
+        if frontier.isEmpty():
             return found
-        found = found.union(edge_of).checkpoint()
+        found = found.union(frontier).checkpoint()
 
 
 def simple_paths(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
@@ -105,28 +116,6 @@ def simple_paths(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     return found
 
 
-def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """node, community by label propagation: the heaviest label around, ties to the least.
-
-    In each round about half of the nodes, by a hash of node and round, take their new labels, as
-    neighbours would else swap labels for ever. It ends when no node would move, or after
-    ``rounds``.
-    """
-    shared_checkpoints(edges.sparkSession)
-    both = undirected(edges).checkpoint()
-    labels = both.select("node").distinct().withColumn("community", F.col("node")).checkpoint()
-    for i in range(rounds):
-        votes = both.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("weight").alias("v"))
-        best = votes.groupBy("node").agg(F.max_by("community", F.struct("v", -F.col("community"))).alias("best"))
-        turn = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0
-        after = labels.join(best, "node").select("node", F.when(turn, F.col("best")).otherwise(F.col("community")).alias("community"),
-            (F.col("best") != F.col("community")).alias("unrest")).checkpoint()
-        labels = after.select("node", "community")
-        if after.filter("unrest").limit(1).count() == 0:
-            break
-    return labels
-
-
 def closure_candidates(edges: DataFrame) -> DataFrame:
     """Directed pairs two steps apart that are no edge yet: src, dst."""
     two = edges.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"),

@@ -33,11 +33,34 @@ class Tables:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; of this machine only where that is unset and the master is local."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return shared or os.path.join(tempfile.gettempdir(), "tradescope")
 
 
+class Steps:
+    """Tables that the rounds of a loop write to the shared folder and read again.
+
+    Unlike a checkpoint, a table that is read again has the sizes of its files: estimates of
+    sizes don't multiply from round to round.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.written = spark, f"{shared_dir(spark)}/tradescope-{uuid.uuid4().hex}", 0
+
+    def store(self, rows: DataFrame) -> DataFrame:
+        """``rows`` as a table that is read again."""
+        self.written += 1
+        path = f"{self.folder}/{self.written}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Remove the tables."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
