@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradescope.operators.ordered import running_sums
+
 
 def with_figures(df: DataFrame, *figures: Column) -> DataFrame:
     """Add figures over all rows to each row: a one-row aggregate, broadcast."""
@@ -22,12 +24,10 @@ def analytics(df: DataFrame, group_by: Sequence[str], metrics: Sequence[Column],
 def concentration(df: DataFrame, entity: str, value: str) -> DataFrame:
     """One row: share of the largest, Herfindahl index, Gini index, and share of the top tenth.
 
-    Entities are summed first; ranks need one ordering of the entities, which are far fewer than
-    the rows.
+    Entities are summed first; their ranks are places in a range-partitioned order.
     """
     sums = df.groupBy(entity).agg(F.sum(value).alias("v"))
-    up = Window.orderBy(F.col("v"), F.col(entity))
-    ranked = sums.withColumn("i", F.row_number().over(up))
+    ranked = running_sums(sums, ["v", entity], []).withColumnRenamed("place", "i")
     total = sums.agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("n"))
     j = ranked.join(F.broadcast(total))
     share = F.col("v") / F.col("total")

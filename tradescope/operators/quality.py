@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradescope.operators.ordered import exact_quantiles
+
 
 def row_errors(rules: Mapping[str, Column]) -> Column:
     """Names of the rules whose condition a row does not meet (null counts as not)."""
@@ -38,9 +40,10 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     v = F.col("value")
     p = unpivot(df, columns).groupBy("column").agg(
         F.count_if(v.isNull()).alias("nulls"), F.count_distinct(v).alias("distinct_values"), F.min(v).alias("low"),
-            F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.75).alias("q3"), F.max(v).alias("high"),
-            F.avg(v).alias("mean"), F.stddev_samp(v).alias("deviation"),
+            F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("deviation"),
     )
+    q = exact_quantiles(unpivot(df, columns), "value", (0.25, 0.5, 0.75), by=("column",))  # a row per column
+    p = p.join(F.broadcast(q), "column", "left").withColumns({n: F.col("q")[i] for i, n in enumerate(("q1", "median", "q3"))})
     return p.select("column", "nulls", "distinct_values", *[F.round(c, 4).alias(c) for c in ("low", "q1", "median", "q3", "high", "mean", "deviation")])
 
 
@@ -54,9 +57,10 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def outliers(df: DataFrame, columns: Sequence[str], z: float = 3.0, width: float = 1.5) -> DataFrame:
     """Rows with a column further than ``z`` deviations, or than ``width`` ranges beyond the quartiles."""
-    figures = [f for c in columns for f in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"d_{c}"), F.percentile(c,
-        F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}"))]
-    joined = df.join(F.broadcast(df.agg(*figures)))
+    figures = [f for c in columns for f in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"d_{c}"))]
+    quartiles = exact_quantiles(unpivot(df, columns), "value", (0.25, 0.75), by=("column",))  # a row per column
+    wide = quartiles.agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(f"q_{c}") for c in columns])
+    joined = df.join(F.broadcast(df.agg(*figures).join(F.broadcast(wide))))
 
     def odd(c: str) -> Column:
         q, x = F.col(f"q_{c}"), F.col(c)

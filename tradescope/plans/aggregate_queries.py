@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradescope.operators import aggregates as A
+from tradescope.operators import ordered as O
 from tradescope.registry import query
 
 def rows():
@@ -23,8 +24,9 @@ def r(c, digits=4):
     4) AS median FROM records WHERE amount > 0""",
 )
 def agg01(t):
-    return t("records").filter("amount > 0").agg(F.count("amount").alias("n"), r(F.sum("amount")).alias("total"),
-        r(F.avg("amount")).alias("mean"), r(F.percentile("amount", 0.5)).alias("median"))
+    x = t("records").filter("amount > 0").select("amount")
+    figures = x.agg(F.count("amount").alias("n"), r(F.sum("amount")).alias("total"), r(F.avg("amount")).alias("mean"))
+    return figures.join(F.broadcast(O.quantile_figures(x, "amount", median=0.5))).select("n", "total", "mean", r(F.col("median")).alias("median"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradescope.functions import scalars as S
+from tradescope.operators import ordered as O
 from tradescope.operators import aggregates as A
 from tradescope.operators import joins, rules
 from tradescope.operators import windows as W
@@ -34,7 +35,7 @@ def rsk01(t):
     q WHERE date_diff('day', registration_date, date) < 365 AND amount > q""",
 )
 def rsk04(t):
-    x = A.with_figures(t("records"), F.percentile("amount", 0.9).alias("q")).filter("amount > q")
+    x = t("records").join(F.broadcast(O.quantile_figures(t("records"), "amount", q=0.9))).filter("amount > q")
     return x.join(t("companies").select("company_id", "registration_date"), "company_id").filter(F.datediff("date", "registration_date") < 365).select("pk")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tradescope.operators import ordered as O
 from tradescope.operators import aggregates as A
 from tradescope.operators import forecasts as C
 from tradescope.operators import models as M
@@ -69,7 +70,7 @@ def out06(t):
 )
 def out09(t):
     x, v = t("events"), F.col("value")
-    f = x.agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("d"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    f = x.agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("d")).join(F.broadcast(O.exact_quantiles(x, "value", (0.25, 0.75))))
     u = x.groupBy("user_id").agg(F.avg("value").alias("um"), F.stddev_pop("value").alias("ud"), rows().alias("n"))
     h = x.groupBy(F.hour("ts").alias("h")).agg(rows().alias("c"))
     h = A.with_figures(h, F.sum("c").alias("all")).select("h", (F.col("c") / F.col("all")).alias("share"))

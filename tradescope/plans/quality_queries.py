@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradescope.functions import scalars as S
+from tradescope.operators import ordered as O
 from tradescope.operators import aggregates as A
 from tradescope.operators import quality as Q
 from tradescope.operators import windows as W
@@ -87,7 +88,7 @@ def dq08(t):
     FROM supplier, q""",
 )
 def dq09(t):
-    s = A.with_figures(t("supplier"), F.percentile("s_acctbal", 0.25).alias("a"), F.percentile("s_acctbal", 0.75).alias("b"))
+    s = t("supplier").join(F.broadcast(O.quantile_figures(t("supplier"), "s_acctbal", a=0.25, b=0.75)))
     issues = F.count_if(F.col("s_acctbal") < 0) + F.count_if(F.expr("s_acctbal < a - 1.5 * (b - a) OR s_acctbal > b + 1.5 * (b - a)")) + F.count_if(F.lower("s_name").isin("n/a",
         "unknown", "test"))
     return s.agg(r(1 - issues / (3.0 * rows())).alias("accuracy"))
@@ -279,20 +280,15 @@ def mon01(t):
     "mon03_two_sample_ks",
     """WITH x AS (SELECT value, event_type = 'error' AS a FROM events WHERE event_type IN ('error', 'view')), c AS (SELECT value,
     sum(a::INT) OVER (ORDER BY value) * 1.0 / sum(a::INT) OVER () AS f, sum(1 - a::INT) OVER (ORDER BY value) * 1.0 / sum(1
-    - a::INT) OVER () AS g FROM x) SELECT round(max(abs(f - g)), 6)::DOUBLE AS d FROM c""",
+    - a::INT) OVER () AS g FROM x), d AS (SELECT max(abs(f - g)) AS d FROM c), n AS (SELECT sum(a::INT)::DOUBLE AS na, sum(1 - a::INT)::DOUBLE AS nb FROM x),
+    z AS (SELECT d, d * sqrt(na * nb / (na + nb)) AS z FROM d, n)
+    SELECT round(d, 6)::DOUBLE AS d, round(CASE WHEN z < 0.1 THEN 1 ELSE greatest(least((SELECT sum(CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * k * k * z * z))
+    FROM range(1, 101) t(k)), 1), 0) END, 6)::DOUBLE AS p FROM z""",
 )
 def mon03(t):
-    x = t("events").filter("event_type IN ('error', 'view')").groupBy("value").agg(F.count_if(F.col("event_type") == "error").alias("a"),
-        F.count_if(F.col("event_type") == "view").alias("b"))
-    buckets = x.withColumn("k", F.floor(F.col("value") / 10))  # two levels of sums, so that no single task sorts all values
-    before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.groupBy("k").agg(F.sum("a").alias("ka"),
-        F.sum("b").alias("kb")).withColumns({"sa": F.coalesce(F.sum("ka").over(before), F.lit(0)), "sb": F.coalesce(F.sum("kb").over(before),
-        F.lit(0))})
-    inner = Window.partitionBy("k").orderBy("value")
-    j = buckets.join(joins.checked_broadcast(starts), "k").select((F.col("sa") + F.sum("a").over(inner)).alias("ca"),
-        (F.col("sb") + F.sum("b").over(inner)).alias("cb"))
-    return A.with_figures(j, F.max("ca").alias("na"), F.max("cb").alias("nb")).agg(r(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb")))).alias("d"))
+    """Values of errors against those of views."""
+    found = O.two_sample_ks(t("events"), "value", F.col("event_type") == "error", F.col("event_type") == "view")
+    return found.select(r(F.col("d")).alias("d"), r(F.col("p")).alias("p"))
 
 
 _SCORES = "scores AS (SELECT event_type AS model, CAST(ts AS DATE) AS day, avg(CASE WHEN value < 250 THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy FROM events GROUP BY 1, 2)"

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradescope.functions import scalars as S
+from tradescope.operators import ordered as O
 from tradescope.operators import filters, joins
 from tradescope.registry import query
 
@@ -433,7 +434,7 @@ def set04(t):
 )
 def set05(t):
     e = t("events")
-    s = e.agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("d"), F.percentile("value", 0.25).alias("a"), F.percentile("value", 0.75).alias("b"))
+    s = e.agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("d")).join(F.broadcast(O.quantile_figures(e, "value", a=0.25, b=0.75)))
     return e.join(F.broadcast(s)).filter("abs(value - m) > 3 * d OR value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)").select("event_id")
 
 

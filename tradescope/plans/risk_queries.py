@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradescope.functions import scalars as S
+from tradescope.operators import ordered as O
 from tradescope.operators import aggregates as A
 from tradescope.operators import risk as K
 from tradescope.operators import rules
@@ -123,7 +124,7 @@ def rsk10(t):
 )
 def rsk11(t):
     x, price = t("records").withColumn("y", F.year("date")), F.col("amount") / F.col("qty")
-    m = x.groupBy("hs_code").agg(F.percentile(price, 0.5).alias("med"))
+    m = O.exact_quantiles(x, price, (0.5,), by=("hs_code",)).select("hs_code", F.col("q")[0].alias("med"))
     c = x.groupBy("company_id", "y").agg(rows().alias("n")).join(t("companies").select("company_id", "registration_date"), "company_id")
     h = rules.hits([
         ("dumping", price < 0.65 * F.col("med"), 0.9), ("young firm", F.datediff("date", "registration_date") < 30,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tradescope.operators import ordered as O
 from tradescope.operators import aggregates as A
 from tradescope.operators import joins
 from tradescope.operators import windows as W
@@ -104,8 +105,8 @@ def win05(t):
     b.i <= a.i GROUP BY 1, 2""",
 )
 def win06(t):
-    w = W.ordered(["symbol"], ["ts"])
-    return t("bars").select("symbol", F.unix_timestamp("ts").alias("at"), r(W.ewm_mean("close", 12, w) - W.ewm_mean("close", 26, w)).alias("macd"))
+    x = O.ewm_means(t("bars").select("symbol", "ts", "close"), ["symbol"], ["ts"], "close", (12, 26))
+    return x.select("symbol", F.unix_timestamp("ts").alias("at"), r(F.col("ewm_12") - F.col("ewm_26")).alias("macd"))
 
 
 @query("win07_lead_target", "SELECT symbol, epoch_ms(ts) // 1000 AS at, lead(close, 3) OVER (PARTITION BY symbol ORDER BY ts) AS target FROM bars")
