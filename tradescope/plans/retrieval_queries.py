@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradescope.functions import scalars as S
+from tradescope.operators import graph as G
+from tradescope.operators import overlaps as V
 from tradescope.operators import retrieval as R
 from tradescope.registry import query
 
@@ -98,30 +100,42 @@ _SETS = f"q AS (SELECT item_id, list_distinct({_WORDS}) AS q FROM benchmark WHER
 
 def word_sets(t):
     """Every tenth text of the benchmark, and all documents, as sets of words."""
-    q = t("benchmark").filter("item_id % 10 = 0").select("item_id", F.array_distinct(S.tokens(F.col("text"))).alias("q"))
-    return R.checked_broadcast(q, 1000), t("documents").select("doc_id", F.array_distinct(S.tokens(F.col("text"))).alias("w"))
+    q = t("benchmark").filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.array_distinct(S.tokens(F.col("text"))).alias("q"))
+    return q, t("documents").select(F.col("doc_id").alias("id"), F.array_distinct(S.tokens(F.col("text"))).alias("w"))
+
+
+#: The least overlap and share of a query's words that count (fixed values).
+LEAST_OVERLAP, LEAST_SHARE = 0.1, 0.3
+
+
+def at_least(share):
+    """So many of a query's words are that share of them."""
+    return F.ceil(F.lit(share) * F.size(F.array_distinct("q")) - 1e-9)
 
 
 @query(
     "ret06_lexical_overlap",
-    f"""WITH {_SETS} SELECT item_id, doc_id, round(len(list_intersect(w, q)) * 1.0 / nullif(len(w) + len(q) - len(list_intersect(w,
-    q)), 0), 6)::DOUBLE AS overlap FROM d, q WHERE list_has_any(w, q)""",
+    f"""WITH {_SETS}, x AS (SELECT item_id, doc_id, len(list_intersect(w, q)) * 1.0 / nullif(len(w) + len(q) - len(list_intersect(w,
+    q)), 0) AS overlap FROM d, q WHERE list_has_any(w, q)) SELECT item_id, doc_id, round(overlap, 6)::DOUBLE AS overlap FROM x WHERE overlap >= {LEAST_OVERLAP}""",
 )
 def ret06(t):
+    """An overlap is at most the shared part of the query's own words, so so many of those must be shared."""
     q, d = word_sets(t)
-    return d.join(q, F.arrays_overlap("w", "q")).select("item_id", "doc_id", r(S.jaccard(F.col("w"), F.col("q"))).alias("overlap"))
+    found = V.sharing(V.rare_first(q, d), d, at_least(LEAST_OVERLAP)).withColumn("overlap", S.jaccard(F.col("w"), F.col("q")))
+    return found.filter(F.col("overlap") >= LEAST_OVERLAP).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), r(F.col("overlap")).alias("overlap"))
 
 
 @query(
     "scl21_token_jaccard",
-    f"""WITH x AS (SELECT item_id, list_distinct({_WORDS}) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w,
-    b.w)) * 1.0 / nullif(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)), 0), 9)::DOUBLE AS similarity FROM x a JOIN
-    x b ON a.item_id <> b.item_id WHERE a.item_id % 10 = 0""",
+    f"""WITH x AS (SELECT item_id, list_distinct({_WORDS}) AS w FROM benchmark), y AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w,
+    b.w)) * 1.0 / nullif(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)), 0) AS similarity FROM x a JOIN
+    x b ON a.item_id <> b.item_id WHERE a.item_id % 10 = 0) SELECT a, b, round(similarity, 9)::DOUBLE AS similarity FROM y WHERE similarity >= {LEAST_OVERLAP}""",
 )
 def scl21(t):
     x = t("benchmark").select("item_id", F.array_distinct(S.tokens(F.col("text"))).alias("w"))
-    a = R.checked_broadcast(x.filter("item_id % 10 = 0").select(F.col("item_id").alias("a"), F.col("w").alias("aw")), 1000)
-    return x.join(a, F.col("item_id") != F.col("a")).select("a", F.col("item_id").alias("b"), r(S.jaccard(F.col("aw"), F.col("w")), 9).alias("similarity"))
+    q, d = x.filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("w").alias("q")), x.select(F.col("item_id").alias("id"), "w")
+    found = V.sharing(V.rare_first(q, d), d, at_least(LEAST_OVERLAP)).filter("query_id <> id").withColumn("similarity", S.jaccard(F.col("q"), F.col("w")))
+    return found.filter(F.col("similarity") >= LEAST_OVERLAP).select(F.col("query_id").alias("a"), F.col("id").alias("b"), r(F.col("similarity"), 9).alias("similarity"))
 
 
 _PART = "epoch_ms(date_trunc('day', TIMESTAMP '2024-01-01')) // 1000"
@@ -132,37 +146,38 @@ _CONTEXT = f"""{_SETS.replace("SELECT item_id, list_distinct", "SELECT item_id,
     x AS (SELECT *, list_avg(list_filter([k, e, c], lambda v: v IS NOT NULL)) AS context FROM f)"""
 
 
-def context_table(t):
+def context_table(t, share):
+    """Documents with at least that share of a query's words."""
     names = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Z][a-z]{3,}"), F.lit(0)))
-    q = t("benchmark").filter("item_id % 10 = 0").select("item_id", names(F.col("text")).alias("qn"), F.array_distinct(S.tokens(F.col("text"))).alias("q"))
-    d = t("documents").select("doc_id", "n_chars", names(F.col("text")).alias("n"), F.array_distinct(S.tokens(F.col("text"))).alias("w"),
+    q = t("benchmark").filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), names(F.col("text")).alias("qn"), F.array_distinct(S.tokens(F.col("text"))).alias("q"))
+    d = t("documents").select(F.col("doc_id").alias("id"), "n_chars", names(F.col("text")).alias("n"), F.array_distinct(S.tokens(F.col("text"))).alias("w"),
         F.expr("CASE WHEN doc_id % 40 < 35 THEN doc_id % 40 END").alias("days"))
-    j = d.join(R.checked_broadcast(q, 1000), F.arrays_overlap("w", "q"))
+    j = V.sharing(V.rare_first(q, d), d, at_least(share)).withColumnsRenamed({"query_id": "item_id", "id": "doc_id"})
     return j.withColumns({"context": R.context_relevance(F.col("q"), F.col("w"), F.col("qn"), F.col("n"), F.col("days")),
         "lex": S.jaccard(F.col("w"), F.col("q")), "k": R.overlap_share(F.col("q"), F.col("w"))})
 
 
-@query("ret07_context_relevance", f"WITH {_CONTEXT} SELECT item_id, doc_id, round(context, 6)::DOUBLE AS context FROM x")
+@query("ret07_context_relevance", f"WITH {_CONTEXT} SELECT item_id, doc_id, round(context, 6)::DOUBLE AS context FROM x WHERE k >= {LEAST_SHARE} - 1e-9")
 def ret07(t):
-    return context_table(t).select("item_id", "doc_id", r(F.col("context")).alias("context"))
+    return context_table(t, LEAST_SHARE).select("item_id", "doc_id", r(F.col("context")).alias("context"))
 
 
 _REL = f"{_CONTEXT}, y AS (SELECT *, 0.4 * coalesce(k, 0) + 0.3 * coalesce(lex, 0) + 0.2 * coalesce(context, 0) + 0.1 * least(n_chars / 2000.0, 1) AS score, 1 - list_stddev_pop(list_filter([k, lex, context], lambda v: v IS NOT NULL)) AS confidence FROM x)"
 
 
-def relevance_table(t):
+def relevance_table(t, share):
     score = R.relevance(F.col("lex"), F.col("k"), F.col("context"), F.least(F.col("n_chars") / 2000.0, F.lit(1.0)))
-    return context_table(t).withColumns({"score": score, "confidence": R.agreement(F.col("k"), F.col("lex"), F.col("context"))})
+    return context_table(t, share).withColumns({"score": score, "confidence": R.agreement(F.col("k"), F.col("lex"), F.col("context"))})
 
 
 @query(
     "ret08_relevance_score",
     f"""WITH {_REL} SELECT item_id, doc_id, round(score, 6)::DOUBLE AS score, CASE WHEN round(score, 6) >= 0.8 THEN 'high' WHEN round(score,
-    6) >= 0.6 THEN 'medium' ELSE 'low' END AS level, round(confidence, 5)::DOUBLE AS confidence FROM y""",
+    6) >= 0.6 THEN 'medium' ELSE 'low' END AS level, round(confidence, 5)::DOUBLE AS confidence FROM y WHERE k >= {LEAST_SHARE} - 1e-9""",
 )
 def ret08(t):
     s = r(F.col("score"))
-    return relevance_table(t).select("item_id", "doc_id", s.alias("score"), R.relevance_level(s).alias("level"), r(F.col("confidence"), 5).alias("confidence"))
+    return relevance_table(t, LEAST_SHARE).select("item_id", "doc_id", s.alias("score"), R.relevance_level(s).alias("level"), r(F.col("confidence"), 5).alias("confidence"))
 
 
 @query(
@@ -171,7 +186,8 @@ def ret08(t):
     BY 1""",
 )
 def flt15(t):
-    kept = relevance_table(t).withColumn("score", r(F.col("score"))).filter("score >= 0.35")
+    # a score is at most 0.7 times the share of words and 0.3 for the rest
+    kept = relevance_table(t, (0.35 - 5e-7 - 0.3) / 0.7).withColumn("score", r(F.col("score"))).filter("score >= 0.35")
     return kept.groupBy("item_id").agg(rows().alias("n"), F.max("score").alias("best"))
 
 
@@ -184,14 +200,13 @@ def flt15(t):
     SELECT item_id, doc_id, score::BIGINT AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5""",
 )
 def ret11(t):
-    q = t("benchmark").filter("item_id % 10 = 0").select("item_id", F.array_distinct(S.tokens(F.col("text"))).alias("q"),
+    q = t("benchmark").filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.array_distinct(S.tokens(F.col("text"))).alias("q"),
         F.lower(F.split("text", " ")[0]).alias("head"))
-    d = t("documents").select("doc_id", F.lower("text").alias("body"), F.lower(title(F.col("text"))).alias("title"),
+    d = t("documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("body"), F.lower(title(F.col("text"))).alias("title"),
         F.array_distinct(S.tokens(F.col("text"))).alias("w"))
-    j = d.join(R.checked_broadcast(q, 1000), F.arrays_overlap("w", "q"))
     hit = lambda field: F.contains(F.col(field), F.col("head")).cast("int")
-    score = (F.size(F.array_intersect("w", "q")) + 2 * hit("title") + hit("body")).cast("long")
-    return R.best(j.select("item_id", "doc_id", score.alias("score")), "item_id", "doc_id", 5, 0)
+    found = V.best_sharing(q, d, 5, lambda shared: (shared + 2 * hit("title") + hit("body")).cast("long"), bonus=3)
+    return R.best(found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score"), "item_id", "doc_id", 5, 0)
 
 
 @query(
@@ -216,11 +231,12 @@ def ret12(t):
     row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id DESC, s DESC) = 1""",
 )
 def ret13(t):
-    q = t("benchmark").filter("item_id % 10 = 0").select("item_id", F.array_distinct(S.tokens(F.col("text"))).alias("q"))
-    s = t("documents").select("doc_id", F.explode(S.sentences(F.col("text"))).alias("s")).withColumn("w", F.array_distinct(S.tokens(F.col("s"))))
-    j = s.join(R.checked_broadcast(q, 1000), F.arrays_overlap("w", "q")).withColumn("hits", F.size(F.array_intersect("w", "q")).cast("long"))
-    top = j.groupBy("item_id").agg(F.max(F.struct("hits", "doc_id", "s", F.size("q").alias("n"))).alias("t"))
-    return top.select("item_id", "t.hits", "t.doc_id", F.col("t.s").alias("answer"), r(F.col("t.hits") / F.col("t.n")).alias("confidence"))
+    q, _ = word_sets(t)
+    s = t("documents").select("doc_id", F.posexplode(S.sentences(F.col("text"))).alias("i", "s"))
+    s = s.select(F.struct("doc_id", "i").alias("id"), "doc_id", "s", F.array_distinct(S.tokens(F.col("s"))).alias("w"))
+    found = V.best_sharing(q, s, 1, lambda shared: shared.cast("long"))
+    top = found.groupBy("query_id").agg(F.max(F.struct("score", "doc_id", "s", F.size("q").alias("n"))).alias("t"))
+    return top.select(F.col("query_id").alias("item_id"), F.col("t.score").alias("hits"), "t.doc_id", F.col("t.s").alias("answer"), r(F.col("t.score") / F.col("t.n")).alias("confidence"))
 
 
 @query(
@@ -252,11 +268,8 @@ def ret14(t):
     SELECT query_id, doc_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.2""",
 )
 def txt25(t):
-    tf = R.field_terms(t("documents").select("doc_id", "text"), "doc_id", [(F.col("text"), 1)])
-    df = tf.groupBy("term").agg(rows().alias("d")).join(F.broadcast(t("documents").agg(rows().alias("docs"))))
-    v = tf.join(df, "term").select("doc_id", "term", (F.col("n") * F.log(F.col("docs") / F.col("d"))).alias("x")).filter("x > 0")
-    length = v.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
-    unit = v.join(length, "doc_id").select("doc_id", "term", (F.col("x") / F.col("l")).alias("x"))
-    asked = unit.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "term", F.col("x").alias("y"))
-    dots = unit.join(asked, "term").filter("doc_id <> query_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
-    return dots.filter("similarity >= 0.2").withColumn("similarity", r(F.col("similarity")))
+    tf = R.field_terms(t("documents").select("doc_id", "text"), "doc_id", [(F.col("text"), 1)]).withColumnRenamed("doc_id", "id")
+    G.shared_checkpoints(t.spark)
+    unit = V.unit_vectors(tf, t("documents").count()).checkpoint()
+    found = V.cosine_pairs(unit.filter("id % 100 = 0"), unit, 0.2)
+    return found.select("query_id", F.col("id").alias("doc_id"), r(F.col("similarity")).alias("similarity"))
