@@ -161,41 +161,3 @@ def backtest(key: str, day: str, value: str, last: int = 10, least: int = 60):
         return pd.DataFrame(rows, columns=[key, "date", "actual", "forecast"])
 
     return run
-
-
-def local_density_scores(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 20, reference: int = 2000, seed: int = 11) -> DataFrame:
-    """row_id, score: the local outlier factor of each row against a reference sample.
-
-    The sample is the ``reference`` rows with the smallest hashes of their ids (all rows, if there
-    are fewer); a row that belongs to it is not its own neighbour. Near 1 is as dense as the
-    neighbours; larger is sparser. Nulls count as 0. With fewer than two reference rows all score 1.
-    """
-    rows = df.select(F.col(row_id), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    sample = rows.orderBy(F.xxhash64(row_id, F.lit(seed)), row_id).limit(reference).collect()  # ``reference`` rows
-    shape = f"{row_id} {dict(rows.dtypes)[row_id]}, score double"
-    if len(sample) < 2:
-        return rows.select(row_id, F.lit(1.0).alias("score"))
-    ids, points = [r[row_id] for r in sample], np.array([[r[c] for c in columns] for r in sample])
-    k = min(k, len(points) - 1)
-    apart = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
-    np.fill_diagonal(apart, np.inf)
-    near = np.argsort(apart, axis=1, kind="stable")[:, :k]
-    reach = np.take_along_axis(apart, near, 1)[:, -1]
-    density = 1.0 / np.maximum(np.maximum(np.take_along_axis(apart, near, 1), reach[near]).mean(axis=1), 1e-12)
-    known = df.sparkSession.sparkContext.broadcast((ids, points, reach, density))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, x, far, dense = known.value
-        place = {v: i for i, v in enumerate(names)}
-        for frame in frames:
-            for part in np.array_split(np.arange(len(frame)), max(1, len(frame) // 500)):
-                own = frame.iloc[part]
-                d = np.sqrt(((own[list(columns)].to_numpy(float)[:, None] - x[None]) ** 2).sum(axis=2))
-                for i, v in enumerate(own[row_id]):
-                    if v in place:
-                        d[i, place[v]] = np.inf
-                at = np.argsort(d, axis=1, kind="stable")[:, :k]
-                mine = 1.0 / np.maximum(np.maximum(np.take_along_axis(d, at, 1), far[at]).mean(axis=1), 1e-12)
-                yield pd.DataFrame({row_id: own[row_id].to_numpy(), "score": dense[at].mean(axis=1) / mine})
-
-    return rows.mapInPandas(score, shape)

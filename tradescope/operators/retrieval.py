@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradescope.functions import scalars as S
 from tradescope.operators.joins import checked_broadcast
+from tradescope.operators.neighbours import neighbour_pairs
 
 #: Query terms, and rows and queries in a block of a vector search.
 BROADCAST_TERMS, BLOCK = 1_000_000, 4096
@@ -49,42 +48,26 @@ def best(scores: DataFrame, query: str, key: str, k: int, digits: int = 5) -> Da
     return ranked.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
-def _block(k: int | None, least: float):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        unit = lambda v: (m := np.array(v.tolist(), dtype=float)) / np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)[:, None]
-        score = unit(queries["qv"]) @ unit(rows["v"]).T
-        ids = rows["vec_id"].to_numpy()
-        ok = (score >= least) & (queries["query_id"].to_numpy()[:, None] != ids[None, :]) & (queries["qkind"].to_numpy()[:,
-            None] == rows["kind"].to_numpy()[None, :])
-        score = np.where(ok, score, -np.inf)
-        if k is not None and score.shape[1] > k:
-            score = np.where(score >= np.partition(score, score.shape[1] - k, axis=1)[:, [score.shape[1] - k]], score, -np.inf)
-        q, x = np.nonzero(np.isfinite(score))
-        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[q], "vec_id": ids[x], "score": score[q, x]})
-
-    return run
-
-
 def vector_search(queries: DataFrame, vectors: DataFrame, least: float = -1.0, k: int | None = None, kind: Column | None = None,
     block: int = BLOCK) -> DataFrame:
     """(query_id, vec_id, score): cosines of at least ``least``, the k best of each query if ``k`` is given.
 
-    Both sides have vec_id and embedding; ``kind`` is a column of both that must agree. Every
-    query meets every row, in blocks of ``block`` rows by ``block`` queries that numpy multiplies;
-    a block hands on no more than its own k best a query. Vectors of zeros or nulls find nothing.
+    Both sides have vec_id and embedding; ``kind`` is a column of both that must agree. On unit
+    vectors a cosine is a distance, so rows and queries meet by ``neighbour_pairs``: cells that
+    cannot hold a cosine of ``least``, or better than the k-th found, are not visited. Vectors of
+    zeros or nulls, and shorter ones than the longest, find nothing.
     """
-    made = lambda d: d.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"),
-        (F.lit("") if kind is None else kind.cast("string")).alias("kind")).filter(F.col("v").isNotNull() & F.exists("v",
-        lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull()))
-    rows, asked = made(vectors), made(queries)
-    n_rows, n_queries = (max(1, math.ceil(d.count() / block)) for d in (rows, asked))
-    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    rows = rows.withColumn("rb", place(n_rows)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    asked = asked.withColumn("qb", place(n_queries)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"),
-        F.col("kind").alias("qkind"), "qb").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
-    found = rows.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(_block(k, least), "query_id long, vec_id long, score double")
+    kind = F.coalesce(kind.cast("string"), F.lit("")) if kind is not None else F.lit("")
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
+    made = lambda d: d.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), kind.alias("kind")).filter(
+        F.col("v").isNotNull() & F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).select(
+        "id", F.transform("v", lambda x: x / length).alias("v"), "kind")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    queries, vectors = (d.filter(F.size("embedding") == width) for d in (queries, vectors))
+    radius = math.sqrt(max(0.0, 2.0 - 2.0 * least)) * (1 + 1e-9) + 1e-9
+    found = neighbour_pairs(made(queries), made(vectors).withColumn("n", F.lit(1).cast("long")), k, radius, block=block).filter("query_id >= 0")
+    score = 1.0 - F.col("distance") * F.col("distance") / 2.0
+    found = found.select("query_id", F.col("id").alias("vec_id"), score.alias("score")).filter(F.col("score") >= least - 1e-12)
     if k is None:
         return found
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tradescope.operators import joins
+from tradescope.operators import neighbours as NB
 from tradescope.operators import ordered as O
+from tradescope.operators import overlaps as V
 from tradescope.operators import aggregates as A
 from tradescope.operators import forecasts as C
 from tradescope.operators import models as M
@@ -55,7 +58,7 @@ def out04(t):
 @query("out06_local_density")
 def out06(t):
     x = t("events").select("event_id", "value", F.hour("ts").alias("hour"))
-    return M.local_density_scores(x, "event_id", ["value", "hour"]).withColumn("score", r(F.col("score"), 5))
+    return NB.local_outlier_factors(x, "event_id", ["value", "hour"]).withColumn("score", r(F.col("score"), 5))
 
 
 @query(
@@ -85,16 +88,25 @@ def out09(t):
 
 @query(
     "out10_text_clusters",
-    """WITH x AS (SELECT event_id, regexp_replace(regexp_replace(line, '^.{19} - ', ''), '[0-9]+', '#', 'g') AS shape, regexp_matches(line,
-    '(?i)exception|timeout') AS rule FROM logs), n AS (SELECT shape, count(*) AS n FROM x GROUP BY 1) SELECT event_id, n
-    AS neighbours, rule FROM x JOIN n USING (shape) WHERE n < 5 OR rule""",
+    r"""WITH x AS (SELECT event_id, regexp_replace(regexp_replace(line, '^.{19} - ', ''), '[0-9]+', '#', 'g') AS message, regexp_matches(line,
+    '(?i)exception|timeout') AS rule FROM logs), m AS (SELECT message, count(*) AS copies, bool_or(rule) AS rule, row_number() OVER (ORDER BY message) AS id FROM x GROUP BY 1),
+    w AS (SELECT id, unnest(regexp_extract_all(lower(message), '[a-z]+')) AS term FROM m), tf AS (SELECT id, term, count(*) AS n FROM w GROUP BY 1, 2),
+    df AS (SELECT term, count(*) AS d FROM tf GROUP BY 1), v AS (SELECT id, term, n * ln((SELECT count(*) FROM m) * 1.0 / d) AS x FROM tf JOIN df USING (term)),
+    l AS (SELECT id, sqrt(sum(x * x)) AS l FROM v GROUP BY 1), u AS (SELECT id, term, x / l AS x FROM v JOIN l USING (id) WHERE l > 0),
+    near AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.term = b.term GROUP BY 1, 2 HAVING a.id = b.id OR sum(a.x * b.x) >= 0.5
+    UNION SELECT id, id FROM m),
+    c AS (SELECT a AS id, sum(copies) AS n FROM near JOIN m ON m.id = b GROUP BY 1), core AS (SELECT id FROM c WHERE n >= 5),
+    kind AS (SELECT m.id, m.message, CASE WHEN m.id IN (SELECT id FROM core) THEN 'core' WHEN EXISTS (SELECT 1 FROM near JOIN core ON core.id = near.b WHERE
+    near.a = m.id) THEN 'border' ELSE 'noise' END AS kind FROM m)
+    SELECT event_id, kind, rule FROM x JOIN kind USING (message) WHERE kind = 'noise' OR rule""",
 )
 def out10(t):
-    """Lines whose shape (digits taken out) fewer than five lines share, and lines that a rule names."""
-    shape = F.regexp_replace(F.regexp_replace("line", "^.{19} - ", ""), "[0-9]+", "#")
-    x = t("logs").select("event_id", shape.alias("shape"), F.col("line").rlike("(?i)exception|timeout").alias("rule"))
-    n = x.groupBy("shape").agg(rows().alias("neighbours"))
-    return x.join(n, "shape").filter("neighbours < 5 OR rule").select("event_id", "neighbours", "rule")
+    """Lines whose message is noise among TF-IDF neighbours, and lines that a rule names. Equal messages are one point with a number."""
+    message = F.regexp_replace(F.regexp_replace("line", "^.{19} - ", ""), "[0-9]+", "#")
+    x = t("logs").select("event_id", message.alias("message"), F.col("line").rlike("(?i)exception|timeout").alias("rule"))
+    points = x.groupBy("message").agg(rows().alias("copies")).withColumn("id", F.monotonically_increasing_id())
+    kinds = V.text_clusters(points, "message", least=0.5, neighbours=5).select("message", "kind")
+    return x.join(joins.checked_broadcast(kinds), "message").filter("kind = 'noise' OR rule").select("event_id", "kind", "rule")
 
 
 @query(

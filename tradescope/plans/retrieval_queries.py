@@ -79,19 +79,19 @@ def jn16(t):
 
 @query(
     "ret05_hybrid_merge",
-    f"""WITH {_BM25}, e AS (SELECT doc_id AS pk, 1.0 AS score FROM documents WHERE source = (SELECT min(source) FROM documents) AND n_chars > 5000),
-    v AS (SELECT v.vec_id AS pk, 1.2 * max({_COS}) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE
+    f"""WITH {_BM25}, e AS (SELECT 'document ' || doc_id AS pk, 1.0 AS score FROM documents WHERE source = (SELECT min(source) FROM documents) AND n_chars > 5000),
+    v AS (SELECT 'vector ' || v.vec_id AS pk, 1.2 * max({_COS}) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE
     q.vec_id % 100 = 0 AND {_COS} >= 0.3 GROUP BY 1),
-    x AS (SELECT doc_id AS pk, least(max(score) / 10.0, 1.0) * 0.8 AS score FROM s WHERE item_id % 10 = 0 GROUP BY 1)
+    x AS (SELECT 'document ' || doc_id AS pk, least(max(score) / 10.0, 1.0) * 0.8 AS score FROM s WHERE item_id % 10 = 0 GROUP BY 1)
     SELECT pk, round(max(score), 6) AS score FROM (SELECT * FROM e UNION ALL SELECT * FROM v UNION ALL SELECT * FROM x) GROUP
     BY 1 ORDER BY 2 DESC, 1 LIMIT 100""",
 )
 def ret05(t):
     d, e = t("documents"), t("embeddings")
     least = d.agg(F.min("source").alias("least"))
-    exact = d.join(F.broadcast(least), F.col("source") == F.col("least")).filter("n_chars > 5000").select(F.col("doc_id").alias("pk"))
-    near = R.vector_search(e.filter("vec_id % 100 = 0"), e, least=0.3).groupBy(F.col("vec_id").alias("pk")).agg(F.max("score").alias("score"))
-    text = text_scores(t).filter("item_id % 10 = 0").groupBy(F.col("doc_id").alias("pk")).agg(F.max("score").alias("score"))
+    exact = d.join(F.broadcast(least), F.col("source") == F.col("least")).filter("n_chars > 5000").select(F.concat(F.lit("document "), F.col("doc_id")).alias("pk"))
+    near = R.vector_search(e.filter("vec_id % 100 = 0"), e, least=0.3).groupBy(F.concat(F.lit("vector "), F.col("vec_id")).alias("pk")).agg(F.max("score").alias("score"))
+    text = text_scores(t).filter("item_id % 10 = 0").groupBy(F.concat(F.lit("document "), F.col("doc_id")).alias("pk")).agg(F.max("score").alias("score"))
     return R.hybrid(exact, near, text)
 
 
