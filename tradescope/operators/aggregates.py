@@ -38,6 +38,15 @@ def concentration(df: DataFrame, entity: str, value: str) -> DataFrame:
     )
 
 
+def entity_totals(records: DataFrame, companies: DataFrame, year: int | None = None, hs_code: str | None = None) -> DataFrame:
+    """company_id, total, qty, n, products and last_year of every company, for a year and a product group if given; zeros where it has no records."""
+    kept = records if year is None else records.filter(F.year("date") == year)
+    kept = kept if hs_code is None else kept.filter(F.col("hs_code") == hs_code)
+    sums = kept.groupBy("company_id").agg(F.sum("amount").alias("total"), F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("n"),
+        F.count_distinct("hs_code").alias("products"), F.max(F.year("date")).alias("last_year"))
+    return companies.select("company_id").join(sums, "company_id", "left").fillna({"total": 0.0, "qty": 0.0, "n": 0, "products": 0})
+
+
 def tier(score: Column, *levels: tuple[float, str], otherwise: str) -> Column:
     """The name of the first level that a score reaches; levels from high to low."""
     found = F.when(score >= levels[0][0], levels[0][1])

@@ -48,13 +48,16 @@ def path_lengths(tree, x: np.ndarray, rows: np.ndarray, out: np.ndarray, depth:
 
 
 def isolation_scores(df: DataFrame, row_id: str, columns: Sequence[str], seed: int = 11) -> DataFrame:
-    """row_id, score in (0, 1]: near 1 is isolated. Trees are grown by tree id on hashed samples of 256 rows."""
+    """row_id, score in (0, 1]: near 1 is isolated. Each tree is grown on 256 rows.
+
+    A row is in a tree's draw by a hash of its id and the tree, with a chance that gives the tree
+    a third more rows than it takes, at every size of the table.
+    """
     n = df.count()
     rows = df.select(F.col(row_id), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    share = min(1.0, TREES * TREE_ROWS * 1.3 / max(n, 1))
-    dealt = rows.filter(F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    dealt = dealt.withColumn("tree", F.explode(F.sequence(F.lit(0),
-        F.lit(TREES - 1))) if n < TREES * TREE_ROWS else F.pmod(F.xxhash64(row_id, F.lit(seed + 1)), F.lit(TREES)))
+    share = min(1.0, (TREE_ROWS * 1.3 + 20) / max(n, 1))
+    drawn = lambda t: F.pmod(F.xxhash64(F.col(row_id), t, F.lit(seed)), F.lit(1 << 52)) < F.lit(int(share * (1 << 52)))
+    dealt = rows.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(TREES - 1)), drawn)))
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed + int(key[0]))

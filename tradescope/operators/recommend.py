@@ -16,10 +16,27 @@ def mean_ratings(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating"))
 
 
-def content_based(ratings: DataFrame, similar: DataFrame, liked: float = 4.0) -> DataFrame:
-    """(user_id, item_id, score): the largest similarity of an unrated item to one that the user rates ``liked`` or more."""
+def unrated(ratings: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(user_id, item_id): every item that anyone rates and the user does not.
+
+    The items are one array, broadcast; more than ``most`` of them are an error, as the result
+    has about users times items rows. A user's own items are taken off where their rows meet.
+    """
+    items = ratings.filter(F.col("item_id").isNotNull()).select("item_id").distinct()
+    if items.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} items")
+    every = items.agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    own = ratings.groupBy("user_id").agg(F.collect_set("item_id").alias("own"))  # the items at most
+    return own.join(F.broadcast(every)).select("user_id", F.explode(F.array_except("items", "own")).alias("item_id"))
+
+
+def content_based(ratings: DataFrame, similar: DataFrame, liked: float = 4.0, one_way: bool = False) -> DataFrame:
+    """(user_id, item_id, score): the largest similarity of an unrated item to one that the user rates ``liked`` or more.
+
+    ``similar`` has each pair once unless ``one_way``: then b is like a, not also a like b.
+    """
     mine = mean_ratings(ratings)
-    near = mine.filter(F.col("rating") >= liked).join(both_ways(similar), F.col("item_id") == F.col("a")).groupBy("user_id",
+    near = mine.filter(F.col("rating") >= liked).join(similar if one_way else both_ways(similar), F.col("item_id") == F.col("a")).groupBy("user_id",
         F.col("b").alias("item_id")).agg(F.max("similarity").alias("score"))
     return near.join(mine.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 

@@ -55,14 +55,12 @@ def agg03(t):
 
 @query(
     "agg04_entity_totals",
-    """SELECT c.company_id, coalesce(round(sum(amount), 4), 0) AS total, coalesce(sum(qty), 0) AS qty, count(pk) AS n FROM companies
-    c LEFT JOIN (SELECT * FROM records WHERE year(date) = 1995 AND hs_code = '8001') r ON r.company_id = c.company_id GROUP
-    BY 1""",
+    """SELECT c.company_id, coalesce(round(sum(amount), 4), 0) AS total, coalesce(sum(qty), 0) AS qty, count(pk) AS n, count(DISTINCT hs_code) AS products, max(year(date)) AS last_year
+    FROM companies c LEFT JOIN records r ON r.company_id = c.company_id GROUP BY 1""",
 )
 def agg04(t):
-    sums = t("records").filter("year(date) = 1995 AND hs_code = '8001'").groupBy("company_id").agg(r(F.sum("amount")).alias("total"),
-        F.sum("qty").alias("qty"), rows().alias("n"))
-    return t("companies").select("company_id").join(sums, "company_id", "left").fillna({"total": 0.0, "qty": 0.0, "n": 0})
+    """Totals of every company over all records; those without records have zeros."""
+    return A.entity_totals(t("records"), t("companies")).withColumn("total", r(F.col("total")))
 
 
 @query("agg05_daily_series", "SELECT date, amount, n FROM daily")

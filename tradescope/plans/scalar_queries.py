@@ -13,17 +13,27 @@ def scl01(t):
     return t("documents").select("doc_id", F.md5(S.normalise(F.col("text"))).alias("digest"))
 
 
-@query("scl02_validation_patterns", r"""SELECT count(*) FILTER (WHERE regexp_matches(url, '^https?://[^ /?#]+[^ ]*$')) AS
-    urls, count(*) FILTER (WHERE regexp_matches('10.0.' || page_id % 300 || '.1', '^([0-9]{1,3}\.){3}[0-9]{1,3}$')) AS ips,
- count(*) FILTER (WHERE regexp_matches('u' || page_id || '@example.org', '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$'))
-    AS emails, count(*) FILTER (WHERE regexp_matches(lpad(CAST(page_id AS VARCHAR), 5, '0'), '^[0-9]{5}$')) AS postals FROM
-    pages""")
+@query("scl02_validation_patterns", r"""WITH x AS (SELECT url, '10.0.' || page_id % 300 || CASE WHEN page_id % 7 = 0 THEN '' ELSE '.1' END AS ip, CASE page_id % 3 WHEN 0 THEN 'u' || page_id
+    || '@example.org' WHEN 1 THEN 'u@' || page_id ELSE 'a b@c.de' END AS mail, CASE page_id % 4 WHEN 0 THEN '(0' || page_id || ') 12-3' WHEN 1 THEN '+' || page_id WHEN 2 THEN page_id || 'x' ELSE '+' END AS phone,
+    '4000-1234 5678' || CASE page_id % 3 WHEN 0 THEN '-' ELSE '' END || lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') || CASE WHEN page_id % 5 = 0 THEN '9' ELSE '' END AS card,
+    lpad(CAST(page_id AS VARCHAR), 5, '0') || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '-6789' WHEN 2 THEN ' 6789' ELSE '-67' END AS postal FROM pages)
+    SELECT count(*) FILTER (WHERE (starts_with(url, 'http://') OR starts_with(url, 'https://')) AND length(split_part(url, '://', 2)) > 0 AND NOT regexp_matches(url, '\s')) AS urls,
+    count(*) FILTER (WHERE len(string_split(ip, '.')) = 4 AND TRY_CAST(string_split(ip, '.')[3] AS INTEGER) BETWEEN 0 AND 255) AS ips,
+    count(*) FILTER (WHERE mail LIKE 'u%@example.org') AS emails, count(*) FILTER (WHERE length(translate(ltrim(phone, '+'), '0123456789 ()-', '')) = 0 AND length(ltrim(phone, '+')) > 0) AS phones,
+    count(*) FILTER (WHERE length(regexp_replace(card, '[ -]', '', 'g')) = 16) AS cards, count(*) FILTER (WHERE length(postal) IN (5, 10)) AS postals FROM x""")
 def scl02(t):
-    p = t("pages")
-    ok = lambda name, c: F.count_if(c.rlike(S.PATTERNS[name]))
-    return p.agg(ok("url", F.col("url")).alias("urls"), ok("ip", F.concat(F.lit("10.0."), F.col("page_id") % 300,
-        F.lit(".1"))).alias("ips"), ok("email", F.concat(F.lit("u"), F.col("page_id"), F.lit("@example.org"))).alias("emails"),
-        ok("postal", F.lpad(F.col("page_id").cast("string"), 5, "0")).alias("postals"))
+    """All six kinds, on texts of which some are nearly right."""
+    k, text = F.col("page_id"), F.col("page_id").cast("string")
+    zeros = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    given = {
+        "urls": ("url", F.col("url")), "ips": ("ip", F.concat(F.lit("10.0."), k % 300, F.when(k % 7 == 0, "").otherwise(".1"))),
+        "emails": ("email", F.when(k % 3 == 0, F.concat(F.lit("u"), text, F.lit("@example.org"))).when(k % 3 == 1, F.concat(F.lit("u@"), text)).otherwise("a b@c.de")),
+        "phones": ("phone", F.when(k % 4 == 0, F.concat(F.lit("(0"), text, F.lit(") 12-3"))).when(k % 4 == 1, F.concat(F.lit("+"), text)).when(k % 4 == 2,
+            F.concat(text, F.lit("x"))).otherwise("+")),
+        "cards": ("card", F.concat(F.lit("4000-1234 5678"), F.when(k % 3 == 0, "-").otherwise(""), zeros(k % 10000, 4), F.when(k % 5 == 0, "9").otherwise(""))),
+        "postals": ("postal", F.concat(zeros(k, 5), F.when(k % 4 == 0, "").when(k % 4 == 1, "-6789").when(k % 4 == 2, " 6789").otherwise("-67"))),
+    }
+    return t("pages").agg(*[F.count_if(S.is_valid(kind, c)).alias(name) for name, (kind, c) in given.items()])
 
 
 @query(
