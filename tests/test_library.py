@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tradescope.functions import scalars as S
-from tradescope.operators import filters, graph, windows
+from tradescope.operators import filters, graph, peaks, windows
 from tradescope.streaming import events as E
 
 
@@ -18,9 +18,9 @@ def test_graph_of_two_triangles_and_a_bridge(spark):
     assert paths[6]["distance"] == 3 and paths[6]["path"] == [1, 3, 4, 6] and 8 not in paths
 
 
-def test_peak_of_a_short_series():
-    found = windows.peaks("i", "v")(pd.DataFrame({"i": range(12), "v": [1, 1, 1, 1, 1, 9, 1, 1, 1, 1, 1, 1]}))
-    assert list(found["i"]) == [5]
+def test_peak_of_a_short_series(spark):
+    df = spark.createDataFrame([(0, i, v) for i, v in enumerate([1.0, 1, 1, 1, 1, 9, 1, 1, 1, 1, 1, 1])], "k long, i long, v double")
+    assert [(r["i"], r["prominence"]) for r in peaks.find_peaks(df, ["k"], ["i"], "v").collect()] == [(5, 8.0)]
 
 
 def test_record_errors_name_the_rules(spark):

@@ -67,44 +67,3 @@ def runs_of(df: DataFrame, key: Sequence[str], order: Sequence[str], hit: Column
     marked = df.withColumn("_hit", hit).withColumn("_island", F.sum(F.when(F.col("_hit"), 0).otherwise(1)).over(w))
     own = Window.partitionBy(*key, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("run", F.sum(F.when(F.col("_hit"), 1).otherwise(0)).over(own)).drop("_hit", "_island")
-
-
-def peaks(order: str, value: str, distance: int = 5):
-    """A function for applyInPandas: local maxima of a series with prominence of one deviation.
-
-    A peak is higher than its neighbours (the middle of a plateau), keeps ``distance`` from
-    higher peaks, and rises above the higher of the lowest points between it and higher ground
-    on each side by the series' population deviation.
-    """
-
-    def run(frame):
-        frame = frame.sort_values(order).reset_index(drop=True)
-        x, found, i = frame[value].to_numpy(dtype=float), [], 1
-        while i < len(x) - 1:
-            j = i
-            while j + 1 < len(x) and x[j + 1] == x[i]:
-                j += 1
-            if x[i - 1] < x[i] and j + 1 < len(x) and x[j + 1] < x[i]:
-                found.append((i + j) // 2)
-            i = j + 1
-        kept: list[int] = []
-        for p in sorted(found, key=lambda p: (-x[p], p)):
-            if all(abs(p - q) >= distance for q in kept):
-                kept.append(p)
-        spread = x.std() if len(x) else 0.0
-
-        def prominent(p: int) -> bool:
-            left = right = x[p]
-            for q in range(p - 1, -1, -1):
-                if x[q] > x[p]:
-                    break
-                left = min(left, x[q])
-            for q in range(p + 1, len(x)):
-                if x[q] > x[p]:
-                    break
-                right = min(right, x[q])
-            return x[p] - max(left, right) >= spread
-
-        return frame.iloc[sorted(p for p in kept if prominent(p))]
-
-    return run

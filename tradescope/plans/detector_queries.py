@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tradescope.operators import joins
 from tradescope.operators import neighbours as NB
 from tradescope.operators import ordered as O
+from tradescope.operators import peaks as P
 from tradescope.operators import overlaps as V
 from tradescope.operators import aggregates as A
 from tradescope.operators import forecasts as C
@@ -34,25 +35,17 @@ def out02(t):
     return Q.outliers(t("events").select("event_id", "value"), ["value"]).select("event_id")
 
 
-@query(
-    "out04_series_detector",
-    """WITH x AS (SELECT item_id, event_id, price, price - lag(price) OVER o AS step, lag(price) OVER o AS p, lead(price)
-    OVER o AS n, avg(price) OVER b AS m, stddev_pop(price) OVER b AS d FROM interactions WINDOW o AS (PARTITION BY item_id
-    ORDER BY ts, event_id), b AS (PARTITION BY item_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
-    s AS (SELECT item_id, stddev_pop(step) AS sd FROM x GROUP BY 1), k AS (SELECT event_id, CASE WHEN price > p AND price
-    > n AND price > m + 1.5 * d THEN 'peak' WHEN price < p AND price < n AND price < m - 0.5 * d THEN 'valley' WHEN abs(step)
-    > 2 * sd THEN 'jump' END AS kind FROM x JOIN s USING (item_id)) SELECT event_id, kind FROM k WHERE kind IS NOT NULL""",
-)
+@query("out04_series_detector")
 def out04(t):
-    o = Window.partitionBy("item_id").orderBy("ts", "event_id")
-    near, price = o.rowsBetween(-10, 10), F.col("price")
-    x = t("interactions").withColumns({"p": F.lag("price").over(o), "n": F.lead("price").over(o), "m": F.avg("price").over(near),
-        "d": F.stddev_pop("price").over(near)}).withColumn("step", price - F.col("p"))
-    j = x.join(x.groupBy("item_id").agg(F.stddev_pop("step").alias("sd")), "item_id")
-    peak = (price > F.col("p")) & (price > F.col("n")) & (price > F.col("m") + 1.5 * F.col("d"))
-    valley = (price < F.col("p")) & (price < F.col("n")) & (price < F.col("m") - 0.5 * F.col("d"))
-    kind = F.when(peak, "peak").when(valley, "valley").when(F.abs("step") > 2 * F.col("sd"), "jump")
-    return j.select("event_id", kind.alias("kind")).filter("kind IS NOT NULL")
+    """Peaks, valleys and jumps of each item's prices: by distance 5 and a prominence of one deviation; steps of over two deviations of the steps."""
+    x = t("interactions").select("event_id", "item_id", "ts", "price", (-F.col("price")).alias("down"))
+    order = ["ts", "event_id"]
+    peak, valley = (P.find_peaks(x, ["item_id"], order, c).select("event_id", F.lit(k).alias("kind")) for c, k in (("price", "peak"), ("down", "valley")))
+    o = Window.partitionBy("item_id").orderBy(*order)
+    step = x.withColumn("step", F.abs(F.col("price") - F.lag("price").over(o)))
+    jump = joins.map_back(step, "item_id", (F.avg("step") + 2 * F.stddev_pop("step")).alias("cut")).filter("step > cut").select("event_id", F.lit("jump").alias("kind"))
+    kinds = peak.unionByName(valley).unionByName(jump).groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
+    return kinds
 
 
 @query("out06_local_density")

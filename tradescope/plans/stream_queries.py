@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradescope.registry import query
 from tradescope.streaming import events as E
+from tradescope.streaming import keyed as K
 
 
 def rows():
@@ -127,16 +128,46 @@ def str22(t):
         "degraded").otherwise("healthy").alias("status"))
 
 
-@query("str09_alert_cool_down")
+@query(
+    "str09_alert_cool_down",
+    """WITH RECURSIVE a AS (SELECT CAST(user_id AS VARCHAR) AS stream, epoch_ms(date_trunc('second', ts)) // 1000 AS sec FROM events WHERE event_type = 'error'),
+    r(stream, sec) AS (SELECT stream, min(sec) FROM a GROUP BY 1 UNION ALL SELECT r.stream, min(a.sec) FROM r JOIN a ON a.stream = r.stream AND a.sec >= r.sec + 7200 GROUP BY r.stream, r.sec)
+    SELECT stream, sec AS "at" FROM r""",
+)
 def str09(t):
     a = t("events").filter("event_type = 'error'").select(F.col("user_id").cast("string").alias("stream"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
     return E.cool_down_table(a, "stream", 7200)
 
 
-@query("str18_live_counters", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING max(ts) > TIMESTAMP '2024-01-30 12:00:00'")
+@query(
+    "str16_concurrent_sessions",
+    """WITH x AS (SELECT user_id, event_type AS token, epoch_ms(date_trunc('second', ts)) // 1000 AS seq FROM events),
+    g AS (SELECT *, CASE WHEN seq - lag(seq) OVER (PARTITION BY user_id, token ORDER BY seq) < 172800 THEN 0 ELSE 1 END AS fresh FROM x),
+    r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, token ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g),
+    s AS (SELECT user_id, token, min(seq) AS start, max(seq) + 172800 AS over FROM r GROUP BY user_id, token, run)
+    SELECT a.user_id, a.token, a.start, count(*) AS active, count(*) <= 3 AS allowed FROM s a JOIN s b ON a.user_id = b.user_id AND (b.start < a.start OR b.start = a.start
+    AND b.token <= a.token) AND b.over > a.start GROUP BY a.user_id, a.token, a.start""",
+)
+def str16b(t):
+    """Kinds of events as a user's sessions, open for two days."""
+    x = t("events").select("user_id", F.col("event_type").alias("token"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("seq"))
+    return K.concurrent_sessions_table(x, "user_id", 172_800, 3)
+
+
+@query(
+    "str18_live_counters",
+    """WITH x AS (SELECT user_id, event_id, epoch_ms(date_trunc('second', ts)) // 1000 AS seq FROM events),
+    g AS (SELECT *, CASE WHEN seq - lag(seq) OVER (PARTITION BY user_id ORDER BY seq, event_id) < 43200 THEN 0 ELSE 1 END AS fresh FROM x),
+    r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY seq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g)
+    SELECT user_id, count(*) AS n FROM r GROUP BY user_id, run HAVING max(seq) + 43200 > epoch_ms(TIMESTAMP '2024-01-30 12:00:00') // 1000
+    AND min(seq) <= epoch_ms(TIMESTAMP '2024-01-30 12:00:00') // 1000""",
+)
 def str18(t):
-    return t("events").groupBy("user_id").agg(rows().alias("n"),
-        F.max("ts").alias("last")).filter("last > TIMESTAMP_NTZ '2024-01-30 12:00:00'").select("user_id", "n")
+    """Counters of twelve hours that are live at noon of 30 January, as they stand in the end."""
+    x = t("events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("seq"))
+    now = F.unix_timestamp(F.lit("2024-01-30 12:00:00"))
+    found = K.expiring_counters_table(x, "user_id", ("seq", "event_id"), 43_200)
+    return found.groupBy("user_id", "ends").agg(F.max("n").alias("n"), F.min("seq").alias("start")).filter((F.col("ends") > now) & (F.col("start") <= now)).select("user_id", "n")
 
 
 # sources and sinks

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradescope.operators import ordered as O
+from tradescope.operators import peaks as P
 from tradescope.operators import aggregates as A
 from tradescope.operators import joins
 from tradescope.operators import windows as W
@@ -189,8 +190,13 @@ def win13(t):
 
 @query("win14_peaks")
 def win14(t):
-    b = t("bars").select("symbol", F.unix_timestamp("ts").alias("at"), "close")
-    return b.groupBy("symbol").applyInPandas(W.peaks("at", "close"), "symbol string, at long, close double")
+    """Peaks and valleys of closing prices by symbol, and of all prices in time as one series."""
+    b = t("bars").select("symbol", F.unix_timestamp("ts").alias("at"), "close", (-F.col("close")).alias("down"))
+    every = t("events").select(F.lit("all").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("value").alias("close"), (-F.col("value")).alias("down"))
+    x = b.unionByName(every)
+    found = [P.find_peaks(x, ["symbol"], ["at", "close"], c).select("symbol", "at", "close", F.lit(kind).alias("kind"), r(F.col("prominence")).alias("prominence")) for c,
+        kind in (("close", "peak"), ("down", "valley"))]
+    return found[0].unionByName(found[1])
 
 
 @query(
