@@ -19,7 +19,7 @@ def test_graph_of_two_triangles_and_a_bridge(spark):
 
 
 def test_peak_of_a_short_series(spark):
-    df = spark.createDataFrame([(0, i, v) for i, v in enumerate([1.0, 1, 1, 1, 1, 9, 1, 1, 1, 1, 1, 1])], "k long, i long, v double")
+    df = spark.createDataFrame([(0, i, v) for i, v in enumerate([1.0] * 5 + [9.0] + [1.0] * 6)], "k long, i long, v double")
     assert [(r["i"], r["prominence"]) for r in peaks.find_peaks(df, ["k"], ["i"], "v").collect()] == [(5, 8.0)]
 
 

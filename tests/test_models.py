@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tradescope.operators import balls, communities, forecasts, graph, models, neighbours, networks, retrieval, texts
+from tradescope.operators import balls, boundary, communities, forecasts, graph, models, neighbours, networks, retrieval, texts
 from tradescope.streaming import detectors
 
 
@@ -87,6 +87,35 @@ def test_seasonal_forecast_and_backtest_follow_a_wave(spark):
     assert len(tested) == 10 and np.abs(tested["forecast"] - tested["actual"]).max() < 1.0
 
 
+def test_a_planted_break_of_the_trend_is_found():
+    rng = np.random.default_rng(3)
+    line = lambda i: 50 + 0.3 * i - 0.8 * max(0, i - 300) + 8 * math.sin(2 * math.pi * i / 7)
+    y = np.array([line(i) for i in range(500)]) + rng.normal(size=500)
+    t = np.arange(500.0)
+    seasons = np.stack([np.ones(500), t / 1000, np.sin(2 * np.pi * t / 7), np.cos(2 * np.pi * t / 7)], axis=1)
+    found = models.changepoints(t, y, seasons)
+    assert 1 <= len(found) <= 4 and min(abs(found - 300)) <= 16
+    straight = np.array([50 + 0.3 * i + 8 * math.sin(2 * math.pi * i / 7) for i in range(500)]) + rng.normal(size=500)
+    assert len(models.changepoints(t, straight, seasons)) == 0
+    ahead = models.seasonal_forecast("id", "date", "amount")(pd.DataFrame({"id": 1, "date": days(500), "amount": y}))
+    assert np.abs(ahead["forecast"] - [line(i) for i in range(500, 514)]).max() < 6
+    x = rng.normal(size=(200, 5))
+    w = models.lasso(x, x @ [2.0, 0, 0, -1.0, 0] + 0.01 * rng.normal(size=200), np.full(5, 0.1))
+    assert w[1] == w[2] == w[4] == 0 and abs(w[0] - 1.9) < 0.05 and abs(w[3] + 0.9) < 0.05
+
+
+def test_boundary_of_a_ring_leaves_its_middle_out(spark):
+    rng = np.random.default_rng(1)
+    turn = rng.uniform(0, 2 * np.pi, 600)
+    ring = np.stack([np.cos(turn), np.sin(turn)], axis=1) * (5 + rng.normal(size=(600, 1)) * 0.2)
+    points = np.concatenate((ring, [[0.0, 0.0], [9.0, 9.0]]))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id long, a double, b double").repartition(4)
+    got = {r["id"]: r["score"] for r in boundary.one_class_scores(df, "id", ["a", "b"], outside=0.1, gamma=2.0).collect()}
+    assert got[600] > 0 and got[601] > 0 and 0.02 < np.mean([got[i] > 0 for i in range(600)]) < 0.2
+    assert got[600] > np.quantile([got[i] for i in range(600)], 0.99)
+    assert boundary.one_class_scores(df.limit(0), "id", ["a", "b"]).count() == 0
+
+
 def test_forecasts_by_models_beat_the_mean(spark):
     months = [datetime.date(2015 + i // 12, 1 + i % 12, 1) for i in range(72)]
     rows = [(k, m, 50.0 * k + 20 * math.sin(2 * math.pi * i / 12) + i * 0.1) for k in range(1, 9) for i, m in enumerate(months)]

@@ -129,20 +129,63 @@ def fraud_probabilities(df: DataFrame, row_id: str, columns: Sequence[str], labe
     return model.transform(x).select(row_id, label, vector_to_array("probability")[1].alias("p"))
 
 
+def lasso(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """Least squares with a penalty on the size of each weight (0: none), by accelerated proximal steps on scaled columns."""
+    scale = np.sqrt((x * x).mean(axis=0))
+    scale[scale == 0] = 1.0
+    a = x / scale
+    gram, target = a.T @ a / len(y), a.T @ y / len(y)
+    step = 1.0 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12)
+    w = v = np.linalg.lstsq(a, y, rcond=None)[0]
+    momentum = 1.0
+    for _ in range(rounds):
+        moved = v - step * (gram @ v - target)
+        after = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0.0)
+        faster = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
+        v, w, momentum = after + (momentum - 1) / faster * (after - w), after, faster
+    return w / scale
+
+
+def changepoints(t: np.ndarray, y: np.ndarray, seasons: np.ndarray, most: int = 25, history: float = 0.8, strength: float = 0.05) -> np.ndarray:
+    """The times, among ``most`` evenly spaced ones in the first ``history`` of a series, at which its trend changes.
+
+    Changes of slope are chosen by an L1 penalty of ``strength`` times the series' deviation; the
+    strongest of neighbours that were chosen together stands for them.
+    """
+    places = np.unique(np.quantile(t, np.linspace(0, history, most + 1)[1:])) if len(t) > 2 * most else np.zeros(0)
+    if not len(places):
+        return places
+    hinges = np.maximum(t[:, None] - places, 0.0)
+    x = np.concatenate((seasons, hinges), axis=1)
+    spread = float(np.std(y)) or 1.0
+    penalty = np.append(np.zeros(seasons.shape[1]), np.full(len(places), strength * spread))
+    change = np.abs(lasso(x, y, penalty)[seasons.shape[1] :] * np.sqrt((hinges * hinges).mean(axis=0)))
+    chosen = change > 0.02 * spread
+    best = [i for i in np.flatnonzero(chosen) if change[i] >= change[max(0, i - 1) : i + 2].max()]
+    return places[best]
+
+
 def seasonal_forecast(key: str, day: str, value: str, horizon: int = 14):
-    """A function for applyInPandas: trend, week and year of one series by least squares; 95 % interval."""
+    """A function for applyInPandas: piecewise-linear trend, week and year of one series; 95 % interval.
+
+    The trend's changes are chosen by ``changepoints``, then all weights are fitted by least
+    squares, those of the changes with a slight ridge. A series is one group.
+    """
 
-    def design(t: np.ndarray) -> np.ndarray:
-        waves = [f(2 * np.pi * k * t / p) for p, most in ((7.0, 3), (365.25, 4)) for k in range(1, most + 1) for f in (np.sin, np.cos)]
-        return np.stack([np.ones_like(t), t / 1000.0, *waves], axis=1)
+    def waves(t: np.ndarray) -> np.ndarray:
+        turns = [f(2 * np.pi * k * t / p) for p, most in ((7.0, 3), (365.25, 4)) for k in range(1, most + 1) for f in (np.sin, np.cos)]
+        return np.stack([np.ones_like(t), t / 1000.0, *turns], axis=1)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(day)
         days = pd.to_datetime(frame[day])
         t = (days - days.iloc[0]).dt.days.to_numpy(float)
         y = frame[value].to_numpy(float)
+        at = changepoints(t, y, waves(t))
+        design = lambda t: np.concatenate((waves(t), np.maximum(t[:, None] - at, 0.0) / 1000.0), axis=1)
         x = design(t)
-        weights = np.linalg.lstsq(x, y, rcond=None)[0]
+        ridge = np.diag(np.append(np.zeros(x.shape[1] - len(at)), np.full(len(at), 1e-6)))
+        weights = np.linalg.lstsq(np.concatenate((x, ridge)), np.append(y, np.zeros(len(ridge))), rcond=None)[0]
         spread = 1.96 * float(np.std(y - x @ weights))
         ahead = t[-1] + np.arange(1, horizon + 1)
         mean = design(ahead) @ weights

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradescope.functions import scalars as S
+from tradescope.operators import boundary
 from tradescope.operators import graph, joins, models
 from tradescope.operators import windows as W
 from tradescope.plans.window_queries import series
@@ -37,6 +38,13 @@ def out07(t):
     return models.flagged(models.distance_scores(features(t), "transaction_id", FEATURES), 0.1)
 
 
+@query("out07_one_class_boundary")
+def out07b(t):
+    """Transactions beyond the boundary that leaves a tenth out, by how far."""
+    scores = boundary.one_class_scores(features(t), "transaction_id", FEATURES)
+    return scores.filter("score > 0").withColumn("score", F.round("score", 6))
+
+
 @query("out08_reconstruction")
 def out08(t):
     return models.flagged(models.reconstruction_scores(features(t), "transaction_id", FEATURES), 0.05)

@@ -8,7 +8,7 @@ from tradescope.functions import scalars as S
 from tradescope.operators import graph as G
 from tradescope.operators import overlaps as V
 from tradescope.operators import retrieval as R
-from tradescope.registry import query
+from tradescope.registry import Steps, query
 
 
 def rows():
@@ -268,8 +268,11 @@ def ret14(t):
     SELECT query_id, doc_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.2""",
 )
 def txt25(t):
-    tf = R.field_terms(t("documents").select("doc_id", "text"), "doc_id", [(F.col("text"), 1)]).withColumnRenamed("doc_id", "id")
+    hashed = F.transform(S.tokens(F.col("text")), lambda w: F.xxhash64(w))
+    tf = t("documents").select(F.col("doc_id").alias("id"), F.explode(hashed).alias("term")).groupBy("id", "term").agg(rows().alias("n"))
+    steps = Steps(t.spark)
+    unit = steps.store(V.unit_vectors(tf, t("documents").count()))
     G.shared_checkpoints(t.spark)
-    unit = V.unit_vectors(tf, t("documents").count()).checkpoint()
-    found = V.cosine_pairs(unit.filter("id % 100 = 0"), unit, 0.2)
+    found = V.cosine_pairs(unit.filter("id % 100 = 0"), unit, 0.2).checkpoint()
+    steps.clear()
     return found.select("query_id", F.col("id").alias("doc_id"), r(F.col("similarity")).alias("similarity"))
