@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tradescope.functions import scalars as S
 from tradescope.operators import ordered as O
 from tradescope.operators import aggregates as A
+from tradescope.operators import dimensions as D
 from tradescope.operators import joins, rules
 from tradescope.operators import windows as W
 from tradescope.registry import query
@@ -62,25 +63,58 @@ def rsk08(t):
     return g.select("company_id", s.alias("score"), A.tier(s, (70, "high"), (40, "medium"), otherwise="low").alias("level"))
 
 
-@query(
-    "rsk19_rsk20_risk_levels",
-    """WITH f AS (SELECT c_nationkey AS dimension, c_custkey AS entity_id, greatest(0, least(1, (c_acctbal + 1000) / 11000)) AS
-    v FROM customer), s AS (SELECT dimension, avg(v) AS s FROM f GROUP BY 1) SELECT dimension, round(s, 6) AS score, CASE
-    WHEN s < 0.3 THEN 'low' WHEN s < 0.48 THEN 'medium' WHEN s < 0.52 THEN 'high' ELSE 'critical' END AS level FROM s""",
-)
+_FACTORS = """g AS (SELECT company_id, balance, nation_id, sum(amount) AS total, avg(amount) AS mean, stddev_samp(amount) AS sd, sum(qty) AS qty, count(*) FILTER (WHERE amount > 90000) AS large,
+    count(DISTINCT hs_code) AS products FROM companies JOIN records USING (company_id) GROUP BY 1, 2, 3),
+    f AS (SELECT company_id AS e, 'liquidity_ratio' AS factor, balance / 5000 AS v, NULL AS rating FROM g UNION ALL SELECT company_id, 'debt_to_equity', qty / 50000, NULL FROM g
+    UNION ALL SELECT company_id, 'cash_flow_volatility', sd / mean / 2, NULL FROM g
+    UNION ALL SELECT company_id, 'credit_rating', NULL, ['AAA', 'bb', 'CCC', 'X'][nation_id % 4 + 1] FROM g UNION ALL SELECT company_id, 'audit_findings', large / 3.0, NULL FROM g
+    UNION ALL SELECT company_id, 'regulatory_fines', total / 100, NULL FROM g UNION ALL SELECT company_id, 'customer_satisfaction', nation_id % 5, NULL FROM g
+    UNION ALL SELECT company_id, 'media_mentions', products, NULL FROM g UNION ALL SELECT company_id, 'market_share', least(1, total / 5e7), NULL FROM g
+    UNION ALL SELECT company_id, 'unheard_of', 1, NULL FROM g),
+    i AS (SELECT e, factor, CASE factor WHEN 'liquidity_ratio' THEN greatest(0, least(1, 2 - v)) WHEN 'debt_to_equity' THEN least(1, v / 2) WHEN 'cash_flow_volatility' THEN least(1, v * 2)
+    WHEN 'credit_rating' THEN CASE upper(rating) WHEN 'AAA' THEN 0 WHEN 'BB' THEN 0.6 WHEN 'CCC' THEN 1 ELSE 0.5 END WHEN 'audit_findings' THEN least(1, v / 10) WHEN 'regulatory_fines' THEN least(1, v / 1e6)
+    WHEN 'customer_satisfaction' THEN 1 - v / 5.0 WHEN 'media_mentions' THEN least(1, v / 50.0) WHEN 'market_share' THEN 1 - v END AS risk,
+    CASE factor WHEN 'liquidity_ratio' THEN 0.15 WHEN 'debt_to_equity' THEN 0.2 WHEN 'cash_flow_volatility' THEN 0.1 WHEN 'credit_rating' THEN 0.2 WHEN 'audit_findings' THEN 0.3
+    WHEN 'regulatory_fines' THEN 0.25 WHEN 'customer_satisfaction' THEN 0.25 WHEN 'media_mentions' THEN 0.2 WHEN 'market_share' THEN 0.2 END AS weight FROM f WHERE factor <> 'unheard_of'),
+    w AS (SELECT e, factor, risk, risk * weight AS impact FROM i), p AS (PIVOT w ON factor IN ('liquidity_ratio', 'debt_to_equity', 'cash_flow_volatility', 'credit_rating', 'audit_findings',
+    'regulatory_fines', 'customer_satisfaction', 'media_mentions', 'market_share') USING sum(impact) GROUP BY e),
+    d AS (SELECT e, 'financial' AS dimension, liquidity_ratio + debt_to_equity + 0.15 + cash_flow_volatility + credit_rating AS score FROM p
+    UNION ALL SELECT e, 'operational', 0.25 + 0.2 FROM p UNION ALL SELECT e, 'compliance', audit_findings + regulatory_fines + 0.1 FROM p
+    UNION ALL SELECT e, 'reputational', customer_satisfaction + media_mentions + 0.2 + 0.15 FROM p UNION ALL SELECT e, 'strategic', market_share + 0.2 + 0.15 * 3 FROM p)"""
+
+
+def company_factors(t):
+    """Ten figures of each company as risk factors, one of them without a rule; nine of the 28 that have one."""
+    g = t("companies").join(t("records"), "company_id").groupBy("company_id", "balance", "nation_id").agg(F.sum("amount").alias("total"), F.avg("amount").alias("mean"),
+        F.stddev_samp("amount").alias("sd"), F.sum("qty").alias("qty"), F.count_if(F.col("amount") > 90000).alias("large"), F.count_distinct("hs_code").alias("products"))
+    none = F.lit(None).cast("string")
+    given = {
+        "liquidity_ratio": F.col("balance") / 5000, "debt_to_equity": F.col("qty") / 50000, "cash_flow_volatility": F.col("sd") / F.col("mean") / 2, "credit_rating": F.lit(None),
+        "audit_findings": F.col("large") / 3.0, "regulatory_fines": F.col("total") / 100, "customer_satisfaction": F.col("nation_id") % 5, "media_mentions": F.col("products"),
+        "market_share": F.least(F.lit(1.0), F.col("total") / 5e7), "unheard_of": F.lit(1.0),
+    }
+    rating = F.get(F.array(*[F.lit(x) for x in ("AAA", "bb", "CCC", "X")]), (F.col("nation_id") % 4).cast("int"))
+    rows_ = [F.struct(F.lit(k).alias("factor"), v.cast("double").alias("value"), (rating if k == "credit_rating" else none).alias("rating")) for k, v in given.items()]
+    return g.select(F.col("company_id").alias("entity_id"), F.explode(F.array(*rows_)).alias("f")).select("entity_id", "f.*")
+
+
+@query("rsk19_dimension_risks", f"WITH {_FACTORS} SELECT e AS entity_id, dimension, round(score, 6)::DOUBLE AS score FROM d")
 def rsk19(t):
-    g = t("customer").groupBy(F.col("c_nationkey").alias("dimension")).agg(F.avg(S.clamp((F.col("c_acctbal") + 1000) / 11000)).alias("s"))
-    return g.select("dimension", r(F.col("s")).alias("score"), A.tier(F.col("s"), (0.52, "critical"), (0.48, "high"),
-        (0.3, "medium"), otherwise="low").alias("level"))
+    return D.dimension_risks(company_factors(t)).withColumn("score", r(F.col("score")))
 
 
 @query(
-    "rsk22_factor_importance",
-    """SELECT p_type, round(avg(p_retailprice) / 2000 * 0.4, 6) AS price, round(avg(p_size) / 50 * 0.6, 6) AS size FROM part GROUP
-    BY 1""",
+    "rsk19_rsk20_risk_levels",
+    f"""WITH {_FACTORS}, o AS (SELECT e, sum(score * CASE dimension WHEN 'financial' THEN 0.25 WHEN 'reputational' THEN 0.15 ELSE 0.2 END) AS s FROM d GROUP BY 1)
+    SELECT e AS entity_id, round(s, 6)::DOUBLE AS score, CASE WHEN s < 0 THEN 'critical' WHEN s < 0.3 THEN 'low' WHEN s < 0.6 THEN 'medium' WHEN s < 0.8 THEN 'high' ELSE 'critical' END AS level FROM o""",
 )
+def rsk20(t):
+    return D.overall_risk(D.dimension_risks(company_factors(t))).withColumn("score", r(F.col("score")))
+
+
+@query("rsk22_factor_importance", f"WITH {_FACTORS} SELECT e AS entity_id, factor, round(risk, 6)::DOUBLE AS risk, round(impact, 6)::DOUBLE AS impact FROM w")
 def rsk22(t):
-    return t("part").groupBy("p_type").agg(r(F.avg("p_retailprice") / 2000 * 0.4).alias("price"), r(F.avg("p_size") / 50 * 0.6).alias("size"))
+    return D.factor_importance(company_factors(t)).select("entity_id", "factor", r(F.col("risk")).alias("risk"), r(F.col("impact")).alias("impact"))
 
 
 @query(
