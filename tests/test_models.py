@@ -64,7 +64,10 @@ def test_local_density_equals_plain_lof(cloud):
 def test_fraud_model_prefers_fraud(spark):
     rows = [(i, float(i % 50), float(i % 7), int(i % 50 > 45)) for i in range(600)]
     p = models.fraud_probabilities(spark.createDataFrame(rows, "id long, a double, b double, y int"), "id", ["a", "b"], "y").toPandas()
-    assert p[p["y"] == 1]["p"].min() > p[p["y"] == 0]["p"].max()
+    for name in ("forest", "boosted", "leaf_boosted"):
+        assert p[p["y"] == 1][name].min() > p[p["y"] == 0][name].max()
+    one = models.fraud_probabilities(spark.createDataFrame(rows[:40], "id long, a double, b double, y int"), "id", ["a", "b"], "y").toPandas()
+    assert set(one["boosted"]) == {0.0} and len(one) == 40
 
 
 def test_factorisation_recommends_the_group_s_items(spark):

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
@@ -120,13 +120,29 @@ def recommend(ratings: DataFrame, user: str, item: str, rating: str, k: int = 5)
         F.col(f"r.{item}").alias(item), F.col("r.rating").cast("double").alias("score"))
 
 
-def fraud_probabilities(df: DataFrame, row_id: str, columns: Sequence[str], label: str) -> DataFrame:
-    """row_id, label, p of a random forest whose rows weigh as much as their class is rare."""
-    share = df.agg(F.avg(F.col(label).cast("double")).alias("s")).first()["s"] or 0.5
-    x = VectorAssembler(inputCols=list(columns), outputCol="x", handleInvalid="skip").transform(df.withColumn("w",
-        F.when(F.col(label) == 1, 1 - share).otherwise(share)))
-    model = RandomForestClassifier(featuresCol="x", labelCol=label, weightCol="w", numTrees=20, maxDepth=5, seed=5).fit(x)
-    return model.transform(x).select(row_id, label, vector_to_array("probability")[1].alias("p"))
+def fraud_probabilities(df: DataFrame, row_id: str, columns: Sequence[str], label: str, known: DataFrame | None = None) -> DataFrame:
+    """row_id, label, forest, boosted and leaf_boosted: probabilities by a random forest, boosted trees and boosted deeper trees of slower steps.
+
+    The models learn from ``known`` (the rows themselves, if none is given), whose rows weigh as
+    much as their class is rare. Without both classes in it all probabilities are its share of 1.
+    """
+    seen = df if known is None else known
+    share = seen.agg(F.avg(F.col(label).cast("double")).alias("s")).first()["s"]
+    names = ("forest", "boosted", "leaf_boosted")
+    if share is None or share in (0.0, 1.0):
+        return df.select(row_id, label, *[F.lit(share or 0.0).alias(n) for n in names])
+    wide = VectorAssembler(inputCols=list(columns), outputCol="x", handleInvalid="skip")
+    weigh = lambda d: wide.transform(d.withColumn("w", F.when(F.col(label) == 1, 1 - share).otherwise(share)))
+    settings = {"featuresCol": "x", "labelCol": label, "weightCol": "w", "seed": 5}
+    models = [RandomForestClassifier(numTrees=20, maxDepth=5, **settings), GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.2, **settings),
+        GBTClassifier(maxIter=12, maxDepth=5, stepSize=0.1, minInstancesPerNode=10, **settings)]
+    learned, out = weigh(seen).select("x", "w", label).persist(), weigh(df)
+    try:
+        for name, model in zip(names, models, strict=True):
+            out = model.fit(learned).transform(out).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    finally:
+        learned.unpersist()
+    return out.select(row_id, label, *names)
 
 
 def lasso(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, rounds: int = 400) -> np.ndarray:

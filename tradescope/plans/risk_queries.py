@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradescope.functions import scalars as S
+from tradescope.operators import models as M
 from tradescope.operators import ordered as O
 from tradescope.operators import aggregates as A
 from tradescope.operators import risk as K
@@ -197,26 +198,40 @@ def rsk15(t):
     return K.network_scores(t("transactions")).withColumn("score", r(F.col("score")))
 
 
-@query(
-    "rsk16_fraud_ensemble",
-    f"""WITH {_FRAUD}, {_NETWORK}, s AS (SELECT transaction_id, (0.1 * rule_score + 0.1 * behaviour + 0.1 * network + 0.15
-    * least(abs(amount - m) / nullif(6 * d, 0), 1)) / (0.3 + CASE WHEN least(abs(amount - m) / nullif(6 * d, 0), 1) IS NULL
-    THEN 0 ELSE 0.15 END) AS score,
-    least(abs(amount - m) / nullif(6 * d, 0), 1) IS NULL AS short, 0.1 * rule_score + 0.1 * behaviour + 0.1 * network AS
-    rest FROM g JOIN net USING (user_id, merchant))
-    SELECT transaction_id, round(CASE WHEN short THEN rest / 0.3 ELSE score END, 5)::DOUBLE AS score, CASE WHEN round(CASE
-    WHEN short THEN rest / 0.3 ELSE score END, 5) > 0.6 THEN 'critical' WHEN round(CASE WHEN short THEN rest / 0.3 ELSE score
-    END, 5) > 0.5 THEN 'high' ELSE 'none' END AS alert FROM s""",
-)
-def rsk16(t):
+def own_methods(t):
+    """Recent transactions with the scores that need no model: rules, behaviour and network."""
     _, rule = K.rule_score(K.fraud_rules())
-    far = F.least(F.abs(F.col("amount") - F.col("mean_amount")) / F.nullif(6 * F.col("sd_amount"), F.lit(0.0)), F.lit(1.0))
-    far = F.when(F.nullif(F.col("sd_amount"), F.lit(0.0)).isNotNull(), far)
     x = fraud_table(t).join(K.network_scores(t("transactions")).withColumnRenamed("score", "network"), ["user_id", "merchant"])
-    score = r(K.ensemble({"rules": rule, "behaviour": K.behaviour_score(), "network": F.col("network"), "isolation": far}), 5)
+    return x.select("transaction_id", rule.alias("rules"), K.behaviour_score().alias("behaviour"), "network")
+
+
+def with_alert(x, methods):
+    score = r(K.ensemble({m: F.col(m) for m in methods}), 5)
     return x.select("transaction_id", score.alias("score"), A.tier(score, (0.6000001, "critical"), (0.5000001, "high"), otherwise="none").alias("alert"))
 
 
+@query(
+    "rsk16_rule_ensemble",
+    f"""WITH {_FRAUD}, {_NETWORK}, s AS (SELECT transaction_id, round((rule_score + behaviour + network) / 3, 5) AS score FROM g JOIN net USING (user_id, merchant))
+    SELECT transaction_id, score::DOUBLE AS score, CASE WHEN score > 0.6 THEN 'critical' WHEN score > 0.5 THEN 'high' ELSE 'none' END AS alert FROM s""",
+)
+def rsk16b(t):
+    """The methods that need no model, weighed alike."""
+    return with_alert(own_methods(t), ("rules", "behaviour", "network"))
+
+
+@query("rsk16_fraud_ensemble")
+def rsk16(t):
+    """All seven methods: models learn from the transactions before the cut and judge those after it."""
+    columns = ["amount", "location", "hour"]
+    x = t("transactions").select("transaction_id", "amount", F.col("location").cast("double").alias("location"), F.hour("ts").cast("double").alias("hour"),
+        (F.col("merchant") == "error").cast("int").alias("label"), (F.col("ts") >= F.expr("TIMESTAMP '2024-01-20 00:00:00'")).alias("new"))
+    learned = M.fraud_probabilities(x.filter("new"), "transaction_id", columns, "label", x.filter("NOT new")).drop("label")
+    alone = M.isolation_scores(x, "transaction_id", columns).withColumnRenamed("score", "isolation")
+    joined = own_methods(t).join(learned, "transaction_id").join(alone, "transaction_id")
+    return with_alert(joined, K.FRAUD_WEIGHTS)
+
+
 @query(
     "rsk18_pattern_scan",
     """WITH l AS (SELECT * FROM transactions WHERE ts > (SELECT max(ts) FROM transactions) - INTERVAL 1 DAY), c AS (SELECT count(*) AS n FROM l),
