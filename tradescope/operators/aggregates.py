@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradescope.operators.ordered import running_sums
@@ -47,6 +47,18 @@ def entity_totals(records: DataFrame, companies: DataFrame, year: int | None = N
     return companies.select("company_id").join(sums, "company_id", "left").fillna({"total": 0.0, "qty": 0.0, "n": 0, "products": 0})
 
 
+def latest(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int, parts: int = 64) -> DataFrame:
+    """The last ``n`` rows of each key in ``order``, which must be unique within it.
+
+    Rows are ranked within a key's ``parts``, by a hash, first: a key that holds most rows is that
+    many tasks, and only ``n`` rows of each part are ranked together.
+    """
+    down = [F.col(c).desc() for c in order]
+    some = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    some = some.withColumn("_k", F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*down))).filter(F.col("_k") <= n).drop("_part")
+    return some.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*down))).filter(F.col("_k") <= n).drop("_k")
+
+
 def tier(score: Column, *levels: tuple[float, str], otherwise: str) -> Column:
     """The name of the first level that a score reaches; levels from high to low."""
     found = F.when(score >= levels[0][0], levels[0][1])

@@ -104,6 +104,19 @@ def agg08(t):
         F.col("l_linestatus").alias("status")).agg(rows().alias("n"), F.count_if(F.col("l_linenumber") < 3).alias("retryable"))
 
 
+@query(
+    "agg08_dlq_top_errors",
+    """WITH l AS (SELECT 'E' || event_id % 37 AS error, event_type AS operation, user_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOURS)
+    SELECT error, count(*) AS n, count(*) FILTER (WHERE operation = 'error') AS failed, count(DISTINCT user_id) AS targets FROM l GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
+)
+def agg08b(t):
+    """The ten commonest error types of the last 24 hours."""
+    x = A.with_figures(t("events"), F.max("ts").alias("end")).filter(F.col("ts") > F.col("end") - F.expr("INTERVAL 24 HOURS"))
+    g = x.groupBy(F.concat(F.lit("E"), F.col("event_id") % 37).alias("error")).agg(rows().alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"),
+        F.count_distinct("user_id").alias("targets"))
+    return g.orderBy(F.desc("n"), "error").limit(10)
+
+
 @query(
     "agg09_counts_above_quantile",
     """WITH c AS (SELECT company_id, count(*) AS n FROM records GROUP BY 1) SELECT company_id, n FROM c WHERE n > (SELECT quantile_cont(n,
@@ -136,8 +149,8 @@ def agg11(t):
     "agg12_behaviour_analysis",
     """WITH h AS (SELECT user_id, hour(ts) AS hour, count(*) AS n FROM transactions GROUP BY 1, 2), m AS (SELECT user_id, string_agg(CAST(hour
     AS VARCHAR), ',' ORDER BY hour) AS modes FROM (SELECT * FROM h QUALIFY n = max(n) OVER (PARTITION BY user_id)) GROUP
-    BY 1) SELECT user_id, count(*) AS n, round(stddev_pop(amount) / avg(amount), 6) AS cv, any_value(modes) AS modes FROM
-    transactions JOIN m USING (user_id) GROUP BY 1""",
+    BY 1) SELECT user_id, count(*) AS n, round(avg(amount), 4) AS mean, round(count(*) / 30.0, 6)::DOUBLE AS per_day, count(DISTINCT merchant) AS merchants, count(DISTINCT location) AS places,
+    round(stddev_pop(amount) / avg(amount), 6) AS cv, any_value(modes) AS modes FROM transactions JOIN m USING (user_id) GROUP BY 1""",
 )
 def agg12(t):
     x = t("transactions")
@@ -145,7 +158,9 @@ def agg12(t):
     per = hours.groupBy("user_id").agg(F.max("k").alias("top"), F.sort_array(F.collect_list(F.struct("hour", "k"))).alias("h"))
     modes = per.select("user_id", F.array_join(F.transform(F.filter("h", lambda e: e["k"] == F.col("top")),
         lambda e: e["hour"].cast("string")), ",").alias("modes"))
-    return x.groupBy("user_id").agg(rows().alias("n"), r(F.stddev_pop("amount") / F.avg("amount"), 6).alias("cv")).join(modes, "user_id")
+    figures = [rows().alias("n"), r(F.avg("amount")).alias("mean"), r(rows() / 30.0, 6).alias("per_day"), F.count_distinct("merchant").alias("merchants"),
+        F.count_distinct("location").alias("places"), r(F.stddev_pop("amount") / F.avg("amount"), 6).alias("cv")]
+    return x.groupBy("user_id").agg(*figures).join(modes, "user_id")
 
 
 @query(
@@ -194,15 +209,25 @@ def agg16(t):
         F.count_distinct("user_id").alias("users")).orderBy(F.desc("severe"), "event_type").limit(5)
 
 
+_SEVERITY = "CASE WHEN value > 400 THEN 'critical' WHEN value > 250 THEN 'high' WHEN value > 100 THEN 'medium' ELSE 'low' END"
+
+
 @query(
     "agg17_alert_summary",
-    """SELECT event_type, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id DESC) FILTER (WHERE k <= 10) AS latest, count(*)
-    AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) GROUP BY 1""",
+    f"""WITH a AS (SELECT 'type' AS kind, event_type AS name, event_id, ts FROM events UNION ALL SELECT 'severity', {_SEVERITY}, event_id, ts FROM events
+    UNION ALL SELECT 'all', 'all', event_id, ts FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY kind, name ORDER BY ts DESC, event_id DESC) AS k FROM a)
+    SELECT kind, name, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY k) FILTER (WHERE k <= 10) AS latest FROM k GROUP BY 1, 2""",
 )
 def agg17(t):
-    e = t("events").withColumn("k", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("event_id"))))
-    latest = F.transform(F.sort_array(F.collect_list(F.when(F.col("k") <= 10, F.col("event_id"))), asc=False), lambda x: x.cast("string"))
-    return e.groupBy("event_type").agg(F.array_join(latest, ",").alias("latest"), rows().alias("n"))
+    """Numbers of alerts and the ten latest: by type, by severity and in all."""
+    v = F.col("value")
+    severity = F.when(v > 400, "critical").when(v > 250, "high").when(v > 100, "medium").otherwise("low")
+    names = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("name")) for k, c in (("type", F.col("event_type")), ("severity", severity), ("all", F.lit("all")))])
+    a = t("events").select("event_id", "ts", F.explode(names).alias("x")).select("event_id", "ts", "x.*")
+    top = A.latest(a, ["kind", "name"], ["ts", "event_id"], 10)
+    latest = top.groupBy("kind", "name").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id")), asc=False).alias("l"))  # ten
+    return a.groupBy("kind", "name").agg(rows().alias("n")).join(latest, ["kind", "name"]).select("kind", "name", "n",
+        F.array_join(F.transform("l", lambda x: x["event_id"].cast("string")), ",").alias("latest"))
 
 
 @query(

@@ -12,7 +12,6 @@ from tradescope.operators import peaks as P
 from tradescope.operators import overlaps as V
 from tradescope.operators import aggregates as A
 from tradescope.operators import forecasts as C
-from tradescope.operators import models as M
 from tradescope.operators import quality as Q
 from tradescope.operators import rules
 from tradescope.registry import query

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tradescope.functions import scalars as S
-from tradescope.operators import joins
 from tradescope.registry import query
 from tradescope.streaming import events as E
 
@@ -48,12 +45,6 @@ def str24(t):
         F.when(F.col("event_type") == "view", "disk").otherwise("memory").alias("metric"), F.lit("capacity").alias("prediction"))
 
 
-#: Words of four feelings in an invented-prose corpus (fixed values).
-EMOTIONS = {"joy": ("best", "for", "with"), "anger": ("idiot", "stupid", "trash"), "fear": ("from", "was"), "trust": ("is", "that")}
-_TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-_EMO = ", ".join("len([x FOR x IN w IF x IN (" + ", ".join(f"'{v}'" for v in words) + f")]) AS {name}" for name, words in EMOTIONS.items())
-
-
 @query(
     "rsk24_composite_score",
     """SELECT p_partkey, least(10, round(p_size * 0.1 * CASE WHEN p_retailprice > 1500 THEN 2.0 WHEN p_retailprice > 1200 THEN 1.5

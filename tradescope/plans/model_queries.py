@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tradescope.functions import scalars as S
 from tradescope.operators import boundary
-from tradescope.operators import graph, joins, models
+from tradescope.operators import models
 from tradescope.operators import windows as W
 from tradescope.plans.window_queries import series
 from tradescope.registry import query
@@ -73,9 +72,6 @@ def fcs05(t):
 # text
 
 
-_SENT = r"[x FOR x IN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) IF trim(x) <> '']"
-
-
 @query(
     "txt17_span_merge",
     """WITH s AS (SELECT user_id, epoch_ms(date_trunc('second', ts)) // 1000 AS a, epoch_ms(date_trunc('second', ts)) // 1000 +

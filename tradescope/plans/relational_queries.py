@@ -279,9 +279,6 @@ def jn15(t):
     return joins.consistency(left, right, "o_orderkey", "digest")
 
 
-_COS = "list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
-
-
 @query(
     "jn17_preferred_category",
     """WITH liked AS (SELECT DISTINCT user_id, category FROM interactions WHERE rating >= 4) SELECT event_id, CASE WHEN l.user_id

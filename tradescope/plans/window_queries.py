@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tradescope.operators import ordered as O
 from tradescope.operators import peaks as P
-from tradescope.operators import aggregates as A
 from tradescope.operators import joins
 from tradescope.operators import windows as W
 from tradescope.registry import query
