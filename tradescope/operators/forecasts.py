@@ -73,3 +73,30 @@ def blend(first: Column, second: Column, deviation: Column, weight: float = 0.6)
     """A blend of two forecasts with the envelope of both 95 % intervals."""
     low, high = F.least(first, second) - 1.96 * deviation, F.greatest(first, second) + 1.96 * deviation
     return {"forecast": weight * first + (1 - weight) * second, "low": low, "high": high}
+
+
+def technical_signal(close: Column, rsi: Column, sma20: Column, sma50: Column, upper: Column, lower: Column) -> Column:
+    """Signals of a bar, joined by commas: RSI beyond 30 and 70, averages in order, bands broken; neutral without any. Unknown figures signal nothing."""
+    parts = [
+        F.when(rsi < 30, "oversold").when(rsi > 70, "overbought"),
+        F.when((close > sma20) & (sma20 > sma50), "golden_cross").when((close < sma20) & (sma20 < sma50), "death_cross"),
+        F.when(close > upper, "breakout_upper").when(close < lower, "breakout_lower"),
+    ]
+    return F.coalesce(F.nullif(F.concat_ws(", ", *parts), F.lit("")), F.lit("neutral"))
+
+
+def rating_points(signal: Column, pe_ratio: Column, sentiment: Column, change: Column) -> Column:
+    """Up to 20 points each for the signal, the price to earnings ratio, sentiment and the expected change in percent; unknown ratios give none, other unknowns count 0."""
+    mood, ahead = F.coalesce(sentiment, F.lit(0.0)), F.coalesce(change, F.lit(0.0))
+    parts = [
+        F.when(F.contains(signal, F.lit("golden_cross")), 20).when(F.contains(signal, F.lit("oversold")), 15).otherwise(0),
+        F.when(pe_ratio.between(10, 25), 20).when((pe_ratio != 0) & (pe_ratio < 15), 15).otherwise(0),
+        F.when(mood > 0.1, 20).when(mood > -0.1, 10).otherwise(0),
+        F.when(ahead > 10, 20).when(ahead > 0, 10).otherwise(0),
+    ]
+    return sum(parts[1:], parts[0])
+
+
+def rating(points: Column) -> Column:
+    """strong_buy from 70, buy from 50, hold from 30, else sell."""
+    return F.when(points >= 70, "strong_buy").when(points >= 50, "buy").when(points >= 30, "hold").otherwise("sell")

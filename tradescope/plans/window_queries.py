@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tradescope.operators import forecasts as C
 from tradescope.operators import ordered as O
 from tradescope.operators import peaks as P
 from tradescope.operators import joins
@@ -355,31 +356,45 @@ def fcs04(t):
         r(F.avg(-e), 4).alias("bias"), r(F.greatest(F.lit(0.0), 100 - mape)).alias("accuracy"))
 
 
-@query(
-    "fcs07_technical_signal",
-    f"""WITH {_RSI}, s AS (SELECT b.symbol, b.ts, b.close, rsi, avg(close) OVER (PARTITION BY b.symbol ORDER BY b.ts ROWS 19 PRECEDING)
-    AS sma FROM bars b JOIN rsi ON rsi.symbol = b.symbol AND rsi.ts = b.ts) SELECT symbol, epoch_ms(ts) // 1000 AS at, coalesce(nullif(concat_ws(', ',
-    CASE WHEN rsi < 30 THEN 'oversold' WHEN rsi > 70 THEN 'overbought' END, CASE WHEN close > sma * 1.5 THEN 'above average'
-    END), ''), 'neutral') AS signal FROM s""",
-)
+_SIGNAL = f"""{_RSI}, f AS (SELECT b.symbol, b.ts, b.close, b.volume, rsi, CASE WHEN count(*) OVER a = 20 THEN avg(close) OVER a END AS s20, CASE WHEN count(*) OVER c = 50 THEN avg(close) OVER c END AS s50,
+    CASE WHEN count(*) OVER a = 20 THEN stddev_samp(close) OVER a END AS sd FROM bars b JOIN rsi ON rsi.symbol = b.symbol AND rsi.ts = b.ts
+    WINDOW a AS (PARTITION BY b.symbol ORDER BY b.ts ROWS 19 PRECEDING), c AS (PARTITION BY b.symbol ORDER BY b.ts ROWS 49 PRECEDING)),
+    sig AS (SELECT *, coalesce(nullif(concat_ws(', ', CASE WHEN rsi < 30 THEN 'oversold' WHEN rsi > 70 THEN 'overbought' END,
+    CASE WHEN close > s20 AND s20 > s50 THEN 'golden_cross' WHEN close < s20 AND s20 < s50 THEN 'death_cross' END,
+    CASE WHEN close > s20 + 2 * sd THEN 'breakout_upper' WHEN close < s20 - 2 * sd THEN 'breakout_lower' END), ''), 'neutral') AS signal FROM f)"""
+
+
+def signals(t):
+    """Bars with their indicators and signal."""
+    a, b = W.last_n(["symbol"], ["ts"], 20), W.last_n(["symbol"], ["ts"], 50)
+    c = F.col("close")
+    x = with_rsi(t).withColumns({"s20": W.full(F.avg(c).over(a), a, 20), "s50": W.full(F.avg(c).over(b), b, 50), "sd": W.full(F.stddev_samp(c).over(a), a, 20)})
+    s20, wide = F.col("s20"), 2 * F.col("sd")
+    return x.withColumn("signal", C.technical_signal(c, F.col("rsi"), s20, F.col("s50"), s20 + wide, s20 - wide))
+
+
+@query("fcs07_technical_signal", f"WITH {_SIGNAL} SELECT symbol, epoch_ms(ts) // 1000 AS at, signal FROM sig")
 def fcs07(t):
-    s = with_rsi(t).withColumn("sma", F.avg("close").over(W.last_n(["symbol"], ["ts"], 20)))
-    text = F.concat_ws(", ", F.when(F.col("rsi") < 30, "oversold").when(F.col("rsi") > 70, "overbought"),
-        F.when(F.col("close") > F.col("sma") * 1.5, "above average"))
-    return s.select("symbol", F.unix_timestamp("ts").alias("at"), F.coalesce(F.nullif(text, F.lit("")), F.lit("neutral")).alias("signal"))
+    return signals(t).select("symbol", F.unix_timestamp("ts").alias("at"), "signal")
 
 
 @query(
     "fcs08_overall_rating",
-    """WITH s AS (SELECT symbol, avg(close) AS m, stddev_samp(close) AS d, arg_max(close, ts) AS last, sum(volume) AS v FROM bars
-    GROUP BY 1) SELECT symbol, CASE WHEN last > m THEN 5 ELSE 0 END + CASE WHEN d < m THEN 5 ELSE 0 END + CASE WHEN v > 1500
-    THEN 10 ELSE 5 END AS points FROM s""",
+    f"""WITH {_SIGNAL}, z AS (SELECT symbol, date_trunc('day', ts) AS day, arg_max(signal, ts) AS signal, arg_max(close, ts) / 20 AS pe, avg(close) / 250 - 1 AS mood,
+    100 * (arg_max(s20, ts) / arg_max(s50, ts) - 1) AS change FROM sig GROUP BY 1, 2),
+    p AS (SELECT symbol, day, CASE WHEN contains(signal, 'golden_cross') THEN 20 WHEN contains(signal, 'oversold') THEN 15 ELSE 0 END
+    + CASE WHEN pe >= 10 AND pe <= 25 THEN 20 WHEN pe <> 0 AND pe < 15 THEN 15 ELSE 0 END + CASE WHEN mood > 0.1 THEN 20 WHEN mood > -0.1 THEN 10 ELSE 0 END
+    + CASE WHEN change > 10 THEN 20 WHEN change > 0 THEN 10 ELSE 0 END AS points FROM z)
+    SELECT symbol, strftime(day, '%Y-%m-%d') AS day, points, CASE WHEN points >= 70 THEN 'strong_buy' WHEN points >= 50 THEN 'buy' WHEN points >= 30 THEN 'hold' ELSE 'sell' END AS rating FROM p""",
 )
 def fcs08(t):
-    g = t("bars").groupBy("symbol").agg(F.avg("close").alias("m"), F.stddev_samp("close").alias("d"), F.max_by("close",
-        "ts").alias("last"), F.sum("volume").alias("v"))
-    return g.select("symbol", (F.when(F.col("last") > F.col("m"), 5).otherwise(0) + F.when(F.col("d") < F.col("m"),
-        5).otherwise(0) + F.when(F.col("v") > 1500, 10).otherwise(5)).alias("points"))
+    """A rating for each symbol and day: the last signal, a price ratio, the day's mean against the middle price, and the averages' slope."""
+    last = lambda c: F.max_by(c, "ts")
+    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts")))
+    z = signals(t).groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(last("signal").alias("signal"), (last("close") / 20).alias("pe"),
+        (F.avg("close") / 250 - 1).alias("mood"), (100 * (known("s20") / known("s50") - 1)).alias("change"))
+    points = C.rating_points(F.col("signal"), F.col("pe"), F.col("mood"), F.col("change"))
+    return z.select("symbol", F.date_format("day", "yyyy-MM-dd").alias("day"), points.alias("points"), C.rating(points).alias("rating"))
 
 
 @query(
