@@ -242,16 +242,21 @@ def grf12(t):
 
 @query(
     "grf13_pair_relationship",
-    f"""WITH {_BOTH} SELECT e.src AS a, e.dst AS b, any_value(e.weight) AS weight, count(y.other) AS shared FROM edges e LEFT JOIN
-    both_ways x ON x.node = e.src LEFT JOIN both_ways y ON y.node = e.dst AND y.other = x.other WHERE e.src % 10 = 0 OR e.weight
-    >= 6 GROUP BY 1, 2""",
+    f"""WITH {_BOTH}, b0 AS (SELECT DISTINCT node AS s, node AS t, [node] AS path FROM both_ways WHERE node % 100 = 0), {_STEPS}, b AS ({_STEPS_ALL}),
+    p AS (SELECT s, t, arg_min(path, d) AS path FROM b GROUP BY 1, 2), c AS (SELECT x.node AS s, y.node AS t, count(*) AS common FROM both_ways x JOIN both_ways y ON x.other = y.other
+    WHERE x.node % 100 = 0 GROUP BY 1, 2)
+    SELECT p.s AS a, p.t AS b, w.weight, concat_ws(',', CASE WHEN w.weight IS NOT NULL THEN 'partner' END, CASE WHEN w.weight >= 6 THEN 'close partner' END, CASE WHEN ca.nation_id = cb.nation_id
+    THEN 'same country' END) AS types, coalesce(c.common, 0) AS common, array_to_string(p.path, '>') AS path FROM p LEFT JOIN both_ways w ON w.node = p.s AND w.other = p.t
+    LEFT JOIN c ON c.s = p.s AND c.t = p.t JOIN companies ca ON ca.company_id = p.s JOIN companies cb ON cb.company_id = p.t WHERE p.s <> p.t""",
 )
 def grf13(t):
-    pairs = t("edges").filter("src % 10 = 0 OR weight >= 6").select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
-    both = joins.undirected(t("edges"))
-    shared = pairs.join(both.select(F.col("node").alias("a"), F.col("other").alias("c")), "a").join(both.select(F.col("node").alias("b"),
-        F.col("other").alias("c")), ["b", "c"]).groupBy("a", "b").agg(rows().alias("shared"))
-    return pairs.join(shared, ["a", "b"], "left").select("a", "b", "weight", F.coalesce("shared", F.lit(0)).alias("shared"))
+    """Every company that an asked one reaches: the edge between them, kinds of relation, common partners and the shortest path."""
+    e, nations = t("edges"), t("companies").select("company_id", "nation_id")
+    kinds = [("partner", F.col("weight").isNotNull()), ("close partner", F.col("weight") >= 6), ("same country", F.col("na") == F.col("nb"))]
+    pairs = N.pair_relationships(e, asked(t)).join(nations.select(F.col("company_id").alias("a"), F.col("nation_id").alias("na")), "a")
+    pairs = pairs.join(nations.select(F.col("company_id").alias("b"), F.col("nation_id").alias("nb")), "b")
+    types = F.concat_ws(",", *[F.when(when, name) for name, when in kinds])
+    return pairs.select("a", "b", "weight", types.alias("types"), "common", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query("grf16_modularity")
