@@ -79,3 +79,42 @@ def context_factor(hour: Column, weekday: Column, popularity: Column, recent: Co
         F.when(recent, 1.2).otherwise(1.0),
     ]
     return sum(parts[1:], parts[0]) / 4.0
+
+
+#: Multipliers of priorities and of feed volumes (fixed values); another priority or volume is 1.
+PRIORITIES = {"low": 0.7, "medium": 1.0, "high": 1.3, "urgent": 1.5}
+VOLUMES = {"minimal": 0.5, "normal": 1.0, "extensive": 1.5}
+
+
+def multiplier(table: dict[str, float], name: Column) -> Column:
+    """A name's multiplier; 1 for another."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in table.items() for v in pair]), F.coalesce(name, F.lit(""))), F.lit(1.0))
+
+
+def company_relevance(companies: Column, preferred: Column) -> Column:
+    """1 for an item with a preferred company, 0.4 with others, 0.3 with none; 0.5 if the user prefers none. Arrays."""
+    return F.when(F.size(preferred) < 1, 0.5).when(F.size(companies) < 1, 0.3).when(F.arrays_overlap(companies, preferred), 1.0).otherwise(0.4)
+
+
+def topic_relevance(text: Column, wanted: Column, excluded: Column) -> Column:
+    """0.1 if a text has an excluded topic, else 0.8 and 0.1 more for each further wanted topic, up to 1; 0.5 with none. Arrays of topics."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    met = lambda topics: F.size(F.filter(topics, lambda w: F.contains(low, F.lower(w))))
+    return F.when(met(excluded) > 0, 0.1).when(met(wanted) > 0, F.least(F.lit(1.0), 0.7 + 0.1 * met(wanted))).otherwise(0.5)
+
+
+def feed_score(base: Column, engagement: Column, priority: Column, company: Column, topic: Column, time: Column) -> Column:
+    """Relevance of an item for a user: .3 category weight (0.5 if unknown), .25 engagement (1 if unknown), .2 priority, .15 company, .05 topic, .05 time."""
+    return (0.3 * F.coalesce(base, F.lit(0.5)) + 0.25 * F.coalesce(engagement, F.lit(1.0)) + 0.2 * multiplier(PRIORITIES, priority) + 0.15 * company + 0.05 * topic + 0.05 * time)
+
+
+def feed_selection(scored: DataFrame, user: str, category: str, score: str, item: str, volume: str, most: int = 50) -> DataFrame:
+    """The feed of each user, with ``place``: the best items, at most a fifth of the feed (two at least) of a category.
+
+    A feed has ``most`` items times the multiplier of the user's ``volume``. Ties go to the smaller item.
+    """
+    order = [F.desc(score), F.col(item)]
+    size = F.floor(most * multiplier(VOLUMES, F.col(volume)))
+    each = F.greatest(F.lit(2), F.floor(size / 5))
+    capped = scored.withColumn("_c", F.row_number().over(Window.partitionBy(user, category).orderBy(*order))).filter(F.col("_c") <= each).drop("_c")
+    return capped.withColumn("place", F.row_number().over(Window.partitionBy(user).orderBy(*order))).filter(F.col("place") <= size)

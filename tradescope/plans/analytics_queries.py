@@ -10,6 +10,7 @@ from tradescope.operators import ordered as O
 from tradescope.operators import aggregates as A
 from tradescope.operators import dimensions as D
 from tradescope.operators import joins
+from tradescope.operators import recommend as R
 from tradescope.operators import windows as W
 from tradescope.registry import query
 
@@ -287,13 +288,30 @@ def rec08(t):
 
 @query(
     "rec10_rec11_feed",
-    """SELECT user_id, event_id FROM (SELECT user_id, event_id, category, 0.3 * rating / 5 + 0.25 * price / 500 + 0.2 * pow(0.95,
-    date_diff('day', CAST(ts AS DATE), DATE '2024-01-31')) AS s FROM interactions QUALIFY row_number() OVER (PARTITION BY
-    user_id, category ORDER BY round(0.3 * rating / 5 + 0.25 * price / 500 + 0.2 * pow(0.95, date_diff('day', CAST(ts AS
-    DATE), DATE '2024-01-31')), 9) DESC, event_id) <= 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(s,
-    9) DESC, event_id) <= 8""",
+    """WITH u AS (SELECT user_id, category, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY user_id) AS base, avg(rating) / 3 AS engagement FROM interactions GROUP BY 1, 2),
+    x AS (SELECT i.user_id, event_id, i.category, base, engagement, CASE event_type WHEN 'error' THEN 1.5 WHEN 'purchase' THEN 1.3 WHEN 'view' THEN 0.7 ELSE 1 END AS priority,
+    CASE WHEN i.user_id % 4 = 0 THEN 0.5 WHEN item_id % 9 = 0 THEN 0.3 WHEN item_id % 9 IN (i.user_id % 9, (i.user_id + 1) % 9) THEN 1 ELSE 0.4 END AS company,
+    CASE WHEN i.user_id % 3 = 0 AND contains(event_type, 'err') THEN 0.1 WHEN contains(event_type, 'purchase') THEN 0.9 WHEN contains(event_type, 'sign') THEN 0.8 ELSE 0.5 END AS topic,
+    CASE WHEN hour(ts) BETWEEN 8 AND 20 THEN 0.8 ELSE 0.4 END AS time, CASE i.user_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 1.5 END AS volume
+    FROM interactions i JOIN u ON u.user_id = i.user_id AND u.category = i.category),
+    s AS (SELECT *, round(0.3 * base + 0.25 * engagement + 0.2 * priority + 0.15 * company + 0.05 * topic + 0.05 * time, 9) AS score, floor(20 * volume) AS size FROM x),
+    c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id, category ORDER BY score DESC, event_id) <= greatest(2, floor(size / 5)))
+    SELECT user_id, event_id, round(score, 6)::DOUBLE AS score FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) <= size""",
 )
 def rec10(t):
-    age = F.datediff(F.to_date(F.lit("2024-01-31")), F.col("ts").cast("date"))
-    s = t("interactions").withColumn("s", F.round(0.3 * F.col("rating") / 5 + 0.25 * F.col("price") / 500 + 0.2 * F.pow(F.lit(0.95), age), 9))
-    return W.capped(s, ["user_id"], "category", [F.desc("s"), F.col("event_id")], 2, 8).select("user_id", "event_id")
+    """Feeds of 20 items at normal volume; what the tables lack (companies, topics, volumes) is made from ids."""
+    i = t("interactions")
+    own = i.groupBy("user_id", "category").agg(rows().alias("n"), (F.avg("rating") / 3).alias("engagement"))
+    own = own.join(i.groupBy("user_id").agg(rows().alias("all")), "user_id").withColumn("base", F.col("n") / F.col("all")).drop("n", "all")
+    x, user, item = i.join(own, ["user_id", "category"]), F.col("user_id"), F.col("item_id")
+    no_names, no_topics = F.array().cast("array<bigint>"), F.array().cast("array<string>")
+    priority = F.when(F.col("event_type") == "error", "urgent").when(F.col("event_type") == "purchase", "high").when(F.col("event_type") == "view", "low")
+    company = R.company_relevance(F.when(item % 9 == 0, no_names).otherwise(F.array((item % 9).cast("long"))),
+        F.when(user % 4 == 0, no_names).otherwise(F.array((user % 9).cast("long"), ((user + 1) % 9).cast("long"))))
+    topic = R.topic_relevance(F.col("event_type"), F.array(*map(F.lit, ("Purchase", "chase", "sign"))), F.when(user % 3 == 0, F.array(F.lit("err"))).otherwise(no_topics))
+    time = F.when(F.hour("ts").between(8, 20), 0.8).otherwise(0.4)
+    score = r(R.feed_score(F.col("base"), F.col("engagement"), priority, company, topic, time), 9)
+    volume = F.element_at(F.array(*map(F.lit, ("minimal", "normal", "extensive"))), (user % 3 + 1).cast("int"))
+    feed = R.feed_selection(x.select("user_id", "event_id", "category", score.alias("score"), volume.alias("volume")), "user_id", "category", "score", "event_id", "volume", 20)
+    return feed.select("user_id", "event_id", r(F.col("score")).alias("score"))
+
