@@ -25,3 +25,16 @@ def weighted(parts: Sequence[tuple[Column, float]]) -> Column:
     """Weighted mean of the parts that are known."""
     top = sum((F.coalesce(c, F.lit(0.0)) * w for c, w in parts), F.lit(0.0))
     return top / F.nullif(sum((F.when(c.isNotNull(), w).otherwise(0.0) for c, w in parts), F.lit(0.0)), F.lit(0.0))
+
+
+#: Severities of signatures, and their confidence (fixed values).
+SIGNATURES = {"brute_force": "high", "unusual_traffic": "medium", "suspicious_login": "medium"}
+SIGNATURE_CONFIDENCE = 0.9
+
+
+def signatures(df: DataFrame, keys: Sequence[str], failed: Column, requests: Column, new_place: Column, attempts: int = 5, per_minute: int = 1000) -> DataFrame:
+    """A row per signature that a row meets: more failed attempts or requests a minute than the limits, a login from a new place; unknown figures meet none."""
+    met = {"brute_force": failed > attempts, "unusual_traffic": requests > per_minute, "suspicious_login": new_place}
+    found = alerts(df, keys, [(name, when, SIGNATURE_CONFIDENCE) for name, when in met.items()])
+    names = F.create_map(*[F.lit(v) for pair in SIGNATURES.items() for v in pair])
+    return found.withColumn("severity", F.element_at(names, F.col("rule")))

@@ -28,11 +28,13 @@ def str17(t):
 
 @query(
     "str23_violation_bursts",
-    """SELECT user_id, epoch_ms(date_trunc('day', ts)) // 1000 AS start, count(*) AS n FROM events WHERE event_type = 'error' GROUP
-    BY 1, 2 HAVING count(*) > 2""",
+    """WITH e AS (SELECT user_id, unnest(range(date_trunc('hour', ts) - INTERVAL 23 HOURS, ts + INTERVAL 1 MICROSECOND, INTERVAL 1 HOUR)) AS w FROM events WHERE event_type = 'error')
+    SELECT user_id, epoch_ms(w) // 1000 AS start, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(*) > 2""",
 )
 def str23(t):
-    return E.keyed_windows(t("events").filter("event_type = 'error'"), "user_id", "24 hours", rows().alias("n")).filter("n > 2")
+    """Users with more than two violations in 24 hours, by windows that begin every hour."""
+    found = E.keyed_windows(t("events").filter("event_type = 'error'"), "user_id", "24 hours", rows().alias("n"), slide="1 hour")
+    return found.filter("n > 2")
 
 
 @query(

@@ -11,6 +11,7 @@ from tradescope.operators import aggregates as A
 from tradescope.operators import quality as Q
 from tradescope.operators import windows as W
 from tradescope.operators import joins
+from tradescope.operators.rules import signatures
 from tradescope.registry import query
 
 COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -356,12 +357,20 @@ def sec02(t):
 
 @query(
     "sec04_signatures",
-    """WITH m AS (SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, max(n)
-    AS burst, CASE WHEN max(n) >= 3 THEN 'suspicious' ELSE 'normal' END AS verdict FROM m GROUP BY 1""",
+    """WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) // 10 ORDER BY ts, event_id) = 1 AS fresh,
+    count(*) OVER (PARTITION BY user_id, date_trunc('minute', ts)) AS rpm FROM events),
+    d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'error') AS failed, max(rpm) AS rpm, bool_or(fresh) AS fresh FROM x GROUP BY 1, 2),
+    h AS (SELECT user_id, day, unnest(['brute_force', 'unusual_traffic', 'suspicious_login']) AS rule, unnest(['high', 'medium', 'medium']) AS severity,
+    unnest([failed > 1, rpm > 1, fresh]) AS hit FROM d) SELECT user_id, day, rule, severity, 0.9::DOUBLE AS confidence FROM h WHERE hit""",
 )
 def sec04(t):
-    m = t("events").groupBy("user_id", F.date_trunc("minute", "ts").alias("minute")).agg(rows().alias("n"))
-    return m.groupBy("user_id").agg(F.max("n").alias("burst"), F.when(F.max("n") >= 3, "suspicious").otherwise("normal").alias("verdict"))
+    """Signatures by user and day; the limits are low, as the tables have few attempts."""
+    place = F.floor(F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("int") / 10)
+    first = t("events").groupBy("user_id", place.alias("place")).agg(F.min(F.struct("ts", "event_id")).alias("at")).select("user_id", F.col("at.ts").cast("date").alias("day")).distinct()
+    minutes = t("events").groupBy("user_id", F.date_trunc("minute", "ts").alias("m")).agg(rows().alias("rpm"), F.count_if(F.col("event_type") == "error").alias("failed"))
+    days = minutes.groupBy("user_id", F.col("m").cast("date").alias("day")).agg(F.sum("failed").alias("failed"), F.max("rpm").alias("rpm"))
+    d = days.join(first.withColumn("fresh", F.lit(True)), ["user_id", "day"], "left")
+    return signatures(d, ["user_id", "day"], F.col("failed"), F.col("rpm"), F.col("fresh"), attempts=1, per_minute=1)
 
 
 @query("sec06_trust_level", "SELECT event_id, CASE WHEN '10.0.' || user_id % 200 LIKE '10.0.1%' THEN 'internal' ELSE 'partner' END AS trust FROM events")

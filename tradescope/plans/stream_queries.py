@@ -69,14 +69,28 @@ def str12(t):
     return E.keyed_windows(t("events"), "event_type", "1 hour", rows().alias("n"), r(F.avg(F.col("value") / 250 - 1)).alias("polarity"))
 
 
-@query("str13_trending_items", "SELECT item_id, epoch_ms(date_trunc('day', ts)) // 1000 AS start, count(*) AS n FROM interactions GROUP BY 1, 2")
+@query(
+    "str13_trending_items",
+    """WITH e AS (SELECT max(ts) AS last FROM interactions), c AS (SELECT h AS hours, item_id, count(*) AS n FROM interactions, e, (VALUES (1), (24), (168)) w(h)
+    WHERE ts > last - to_hours(h) GROUP BY 1, 2) SELECT hours, item_id, n FROM c QUALIFY row_number() OVER (PARTITION BY hours ORDER BY n DESC, item_id) <= 5""",
+)
 def str13(t):
+    """The five items with most interactions in the last hour, day and week before the last one."""
+    return E.trending(t("interactions"), "item_id", (1, 24, 168), 5)
+
+
+@query("str13_daily_items", "SELECT item_id, epoch_ms(date_trunc('day', ts)) // 1000 AS start, count(*) AS n FROM interactions GROUP BY 1, 2")
+def str13b(t):
     return E.keyed_windows(t("interactions"), "item_id", "24 hours", rows().alias("n"))
 
 
-@query("str15_rate_limit", "SELECT user_id, epoch_ms(date_trunc('hour', ts)) // 1000 AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 2")
+@query(
+    "str15_rate_limit",
+    """SELECT user_id, epoch_ms(date_trunc('minute', ts)) // 1000 AS start, count(*) AS n, count(*) - 1 AS refused FROM events GROUP BY 1, 2 HAVING count(*) > 1""",
+)
 def str15(t):
-    return E.keyed_windows(t("events"), "user_id", "1 hour", rows().alias("n")).filter("n > 2")
+    """Users with more than one request in a minute; the tables have few."""
+    return E.over_limit(t("events"), "user_id", 1, "60 seconds")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -32,6 +32,22 @@ def keyed_windows(events: DataFrame, key: str, length: str, *metrics: Column, sl
     return g.select(key, F.unix_timestamp("w.start").alias("start"), *[c for c in g.columns if c not in (key, "w")])
 
 
+def over_limit(events: DataFrame, key: str, limit: int = 100, length: str = "60 seconds") -> DataFrame:
+    """Windows in which a key has more than ``limit`` requests: key, start (seconds), n and how many are refused."""
+    found = keyed_windows(events, key, length, F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    return found.withColumn("refused", F.col("n") - limit)
+
+
+def trending(events: DataFrame, item: str, hours: tuple[int, ...], n: int) -> DataFrame:
+    """(hours, item, n): the ``n`` items with most events in each of the spans before the last event of a table, ties to the smaller item."""
+    last = events.agg(F.max("ts").alias("_last"))
+    spans = F.filter(F.array(*map(F.lit, hours)), lambda h: F.col("_age") < h * 3600)
+    age = F.unix_micros(F.col("_last").cast("timestamp")) / 1e6 - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    counts = events.join(F.broadcast(last)).withColumn("_age", age).select(item, F.explode(spans).alias("hours")).groupBy("hours", item).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("hours").orderBy(F.desc("n"), item))  # a row per item
+    return counts.withColumn("_k", rank).filter(F.col("_k") <= n).select("hours", item, "n")
+
+
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes") -> DataFrame:
     """Sessions of a key that end after a gap: key, start and last event (seconds), events."""
     g = prepared(events).groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("events"))
