@@ -38,3 +38,11 @@ def signatures(df: DataFrame, keys: Sequence[str], failed: Column, requests: Col
     found = alerts(df, keys, [(name, when, SIGNATURE_CONFIDENCE) for name, when in met.items()])
     names = F.create_map(*[F.lit(v) for pair in SIGNATURES.items() for v in pair])
     return found.withColumn("severity", F.element_at(names, F.col("rule")))
+
+
+def login_level(failures: Column, blocked: Column) -> tuple[Column, Column, Column]:
+    """level, confidence and indicators of a login: 3 failures in a row are medium, 5 high, a blocked address high."""
+    bad = F.coalesce(blocked, F.lit(False))
+    level = F.when(bad | (failures >= 5), "high").when(failures >= 3, "medium").otherwise("low")
+    indicators = [F.when(failures >= 3, "multiple_failed_attempts"), F.when(failures >= 5, "brute_force_attempt"), F.when(bad, "blocked_ip")]
+    return level.alias("level"), F.when(level != "low", 0.8).otherwise(0.3).alias("confidence"), F.concat_ws(",", *indicators).alias("indicators")

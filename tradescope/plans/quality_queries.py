@@ -325,10 +325,17 @@ def mon05(t):
         F.when(s > 0.001, "improving").when(s < -0.001, "declining").otherwise("stable").alias("trend"))
 
 
-@query("mon06_label_encoding", "SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS label FROM customer")
+@query(
+    "mon06_label_encoding",
+    """SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS label, row_number() OVER (ORDER BY c_custkey) <= floor(0.8 * count(*) OVER ()) AS training
+    FROM customer""",
+)
 def mon06(t):
-    codes = t("customer").select("c_mktsegment").distinct().withColumn("label", F.row_number().over(Window.orderBy("c_mktsegment")) - 1)
-    return t("customer").join(joins.checked_broadcast(codes), "c_mktsegment").select("c_custkey", "label")
+    """Labels as places in their order, and the first four fifths of rows by key for training."""
+    codes = t("customer").select("c_mktsegment").distinct().withColumn("label", F.row_number().over(Window.orderBy("c_mktsegment")) - 1)  # a row per label
+    x = t("customer").join(joins.checked_broadcast(codes), "c_mktsegment").select("c_custkey", "label")
+    placed = O.running_sums(x, ["c_custkey"], [])
+    return A.with_figures(placed, rows().alias("all")).select("c_custkey", "label", (F.col("place") <= F.floor(0.8 * F.col("all"))).alias("training"))
 
 
 @query(
