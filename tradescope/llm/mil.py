@@ -120,6 +120,12 @@ class Attention:
     def scale(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) / self.spread
 
+    def widened(self) -> Attention:
+        """The same model in 64 bits, whose scores don't depend on how passages are batched."""
+        self.p = {k: v.astype(np.float64) for k, v in self.p.items()}
+        self.mean, self.spread = self.mean.astype(np.float64), self.spread.astype(np.float64)
+        return self
+
     def forward(self, x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
         """Of scaled passages and where bags start (each has a passage): weights of passages, scores of bags and what lies between."""
         p = self.p
@@ -187,7 +193,7 @@ def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     starts = np.append(0, np.cumsum([len(r[3]) for r in sample])[:-1])
     y = np.array([r[2] for r in sample], dtype=np.float32)
     del sample
-    model = Attention().fit(x, starts, y, max(EPOCHS, min(60, SEEN // len(y))))
+    model = Attention().fit(x, starts, y, max(EPOCHS, min(60, SEEN // len(y)))).widened()
     yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
     del x, model
     release()
