@@ -11,7 +11,6 @@ from tradescope.operators import aggregates as A
 from tradescope.operators import dimensions as D
 from tradescope.operators import joins
 from tradescope.operators import recommend as R
-from tradescope.operators import windows as W
 from tradescope.registry import query
 
 
