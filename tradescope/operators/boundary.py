@@ -56,7 +56,8 @@ def one_class_scores(df: DataFrame, row_id: str, columns: Sequence[str], outside
                     score = phi @ normal if normal is not None else np.zeros(len(phi))
                     at = np.clip(((score + low) / (2 * low) * BINS).astype(int), 0, BINS - 1)
                     counts += np.bincount(at, minlength=BINS)
-                    np.add.at(sums, at, phi)
+                    for b in np.unique(at):
+                        sums[b] += phi[at == b].sum(axis=0)
             some = np.flatnonzero(counts)
             yield pd.DataFrame({"bin": some, "n": counts[some], "s": list(sums[some])})
 
@@ -65,8 +66,9 @@ def one_class_scores(df: DataFrame, row_id: str, columns: Sequence[str], outside
     normal, low, cut = None, 1.0, 0.0
     for t in range(rounds):
         low = max(1e-6, float(np.sqrt((normal**2).sum())) * 1.5) if normal is not None else 1.0
-        found = rows.select("z").mapInPandas(binned(normal), "bin int, n long, s array<double>").groupBy("bin").agg(F.sum("n").alias("n"),
-            F.array(*[F.sum(F.get("s", F.lit(k))) for k in range(features)]).alias("s")).collect()  # BINS rows
+        found = rows.select("z").mapInPandas(binned(normal), "bin int, n long, s array<double>").select("bin", "n", F.posexplode("s").alias("k", "x"))
+        found = found.groupBy("bin", "k").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))  # two plain sums, however many features
+        found = found.groupBy("bin").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", "x")))["x"].alias("s")).collect()  # BINS rows
         if normal is None:
             normal = np.sum([r["s"] for r in found], axis=0) / n
             continue
