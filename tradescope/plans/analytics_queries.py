@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tradescope.functions import scalars as S
 from tradescope.operators import ordered as O
 from tradescope.operators import aggregates as A
+from tradescope.operators import counts as K
 from tradescope.operators import dimensions as D
 from tradescope.operators import joins
+from tradescope.operators import overlaps as V
 from tradescope.operators import recommend as R
 from tradescope.registry import query
 
@@ -162,7 +164,7 @@ _TFIDF = f"w AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents), tf AS (S
 
 def token_index(t):
     """Postings: doc_id, term, n."""
-    return t("documents").select("doc_id", F.explode(S.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(rows().alias("n"))
+    return K.postings(K.term_lists(t("documents"), "doc_id", S.tokens(F.col("text"))), "doc_id").select("doc_id", "term", "n")
 
 
 @query(
@@ -174,10 +176,8 @@ def token_index(t):
 def txt12(t):
     tf = token_index(t)
     df = tf.groupBy("term").agg(rows().alias("d"))
-    j = tf.join(df, "term").join(F.broadcast(t("documents").agg(rows().alias("docs"))))
-    j = j.withColumn("score", r(F.col("n") * F.log(F.col("docs") / F.col("d"))))
-    k = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "term"))
-    return j.withColumn("k", k).filter("k <= 5").select("doc_id", "term", "score")
+    j = tf.join(joins.checked_broadcast(df, V.BROADCAST_TERMS), "term").join(F.broadcast(t("documents").agg(rows().alias("docs"))))
+    return K.best_terms(j.withColumn("score", r(F.col("n") * F.log(F.col("docs") / F.col("d")))), "doc_id", 5)
 
 
 @query("txt20_log_parse", "SELECT event_id, split_part(line, ' - ', 2) AS level, substr(line, 1, 19) AS at FROM logs")
