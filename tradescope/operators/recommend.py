@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradescope.operators.graph import shared_checkpoints
+from tradescope.operators.joins import checked_broadcast
+
 
 def both_ways(similar: DataFrame) -> DataFrame:
     """Each pair of items in both directions."""
@@ -63,6 +66,40 @@ def top_items(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return ranked.withColumn("k", rank).filter(F.col("k") <= k).drop("k")
 
 
+def best_items(ratings: DataFrame, content: DataFrame, k: int, similar: DataFrame | None = None, weight: float = 0.6, digits: int = 6, liked: float = 4.0) -> DataFrame:
+    """(user_id, item_id, score): ``top_items`` of ``content_based`` one way, or of its ``hybrid`` with ``collaborative`` if ``similar`` is given.
+
+    Ratings are moved once, by user, and nothing of a user's is moved again. An item that no one rates can be among a user's
+    best only if it is among the k best of an item that the user likes, those that the user rates not counted; the other
+    pairs stay away. Ratings and similarities are not below 0.
+    """
+    shared_checkpoints(ratings.sparkSession)
+    part = 1.0 if similar is None else 1 - weight
+    mine = ratings.select("user_id", "item_id", "rating").repartition("user_id").groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating"))
+    own = mine.groupBy("user_id").agg(F.collect_list(F.struct("item_id", "rating")).alias("r"))  # the items at most
+    items = F.array_compact(F.transform("r", lambda x: x["item_id"]))
+    own = own.select("user_id", F.when(F.col("user_id").isNotNull(), items).otherwise(F.slice(items, 1, 0)).alias("own"), F.size("r").alias("m"), F.explode("r").alias("r"))
+    rated = ratings.select(F.col("item_id").alias("b")).filter("b IS NOT NULL").distinct().withColumn("rated", F.lit(True))
+    most = ratings.groupBy("user_id").agg(F.count_distinct("item_id").alias("m")).agg(F.coalesce(F.max("m"), F.lit(0)).alias("most"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round(part * F.col("similarity"), digits)), "b"))
+    near = content.select("a", "b", "similarity", rank.alias("rank")).join(F.broadcast(most)).join(F.broadcast(rated), "b", "left")
+    kept = F.col("rank") <= F.col("most") + 1 + k
+    near = near.filter(kept if similar is None else kept | F.col("rated")).select("a", "b", F.col("similarity").alias("cb"), "rank", F.coalesce("rated", F.lit(False)).alias("rated"))
+    pairs = near.withColumn("cs", F.lit(None).cast("double"))
+    if similar is not None:
+        none = F.lit(None)
+        pairs = pairs.unionByName(both_ways(similar).select("a", "b", F.col("similarity").alias("cs"), none.cast("double").alias("cb"), none.cast("int").alias("rank"), F.lit(True).alias("rated")))
+    met = own.join(checked_broadcast(pairs.checkpoint(), 5_000_000), F.col("r.item_id") == F.col("a")).filter(~F.array_contains("own", F.col("b")))
+    some = F.col("rank") <= k + F.col("m")
+    met = met.filter(F.col("cs").isNotNull() | ((F.col("r.rating") >= liked) & (some if similar is None else some | F.col("rated"))))
+    side = F.when(F.col("user_id").isNull(), F.col("cs").isNotNull()).alias("side")  # a join of both scores meets no null
+    scores = met.groupBy("user_id", F.col("b").alias("item_id"), side).agg((F.sum(F.col("cs") * F.col("r.rating")) / F.sum("cs") / 5).alias("cf"),
+        F.max(F.when(F.col("r.rating") >= liked, F.col("cb"))).alias("cb"))
+    zero = F.lit(0.0)
+    score = F.col("cb") if similar is None else weight * F.coalesce("cf", zero) + part * F.coalesce("cb", zero)
+    return top_items(scores.select("user_id", "item_id", score.alias("score")), k, digits)
+
+
 def diverse(scores: DataFrame, category: str, each: int, k: int) -> DataFrame:
     """The k best of each user with at most ``each`` of a category; best first, ties to the smaller item."""
     order = [F.desc("score"), F.col("item_id")]
