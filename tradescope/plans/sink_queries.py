@@ -14,11 +14,11 @@ def rows():
 
 @query("snk01_dedup_append", "SELECT order_id, line_number, min(pk) AS pk FROM records GROUP BY 1, 2")
 def snk01(t):
-    hashed = t("records").select("order_id", "line_number", "pk", F.sha2(F.concat_ws("|", "order_id", "line_number"), 256).alias("op_hash"))
-    smallest = hashed.groupBy("op_hash", "order_id", "line_number").agg(F.min("pk").alias("pk"))
+    x = t.stored("snk01", t("records").select("order_id", "line_number", "pk"))  # the joins behind it are made once
+    hashed = {"op_hash": F.sha2(F.concat_ws("|", "order_id", "line_number"), 256)}
     path = t.scratch()
-    for batch in (smallest.filter("order_id % 3 = 0"), smallest.filter("order_id % 2 = 0"), smallest, hashed):
-        kept = K.append_new(batch, path)
+    for batch in (x.filter("order_id % 3 = 0"), x.filter("order_id % 2 = 0"), x, x):
+        kept = K.append_new(batch, path, ("order_id", "line_number"), hashed)
     return kept.select("order_id", "line_number", "pk")
 
 

@@ -24,15 +24,23 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def append_new(rows: DataFrame, path: str, key: str = "op_hash") -> DataFrame:
+def append_new(rows: DataFrame, path: str, key: str | Sequence[str] = "op_hash", derived: Mapping[str, Column] | None = None) -> DataFrame:
     """Append rows whose key the target does not hold, each key once; returns what the target then holds.
 
-    Of rows with one key the smallest counts. Rows without a key are left out. A rerun adds nothing.
+    Of rows with one key the smallest counts. Rows without a key are left out; in a key of several columns null is a value.
+    A rerun adds nothing. Columns ``derived`` from the others are made as rows are written, so that they are not moved; of
+    the target only keys are, together with the rows.
     """
-    spark, others = rows.sparkSession, [c for c in rows.columns if c != key]
-    once = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*others)).alias("r")).select(key, "r.*").select(rows.columns)
-    once.join(read_or_empty(spark, path, rows.schema).select(key), key, "left_anti").select(rows.columns).write.mode("append").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    spark, keys, derived = rows.sparkSession, [key] if isinstance(key, str) else list(key), derived or {}
+    shape = rows.withColumns(dict(derived)).schema
+    others = F.struct(*[c for c in rows.columns if c not in keys])
+    given = rows.select(*keys, others.alias("r"), F.lit(False).alias("held"))
+    held = read_or_empty(spark, path, shape).select(*keys, F.lit(None).cast(given.schema["r"].dataType).alias("r"), F.lit(True).alias("held"))
+    both = given.unionByName(held)
+    both = both.filter(F.col(keys[0]).isNotNull()) if len(keys) == 1 else both
+    once = both.groupBy(*keys).agg(F.min("r").alias("r"), F.max("held").alias("held")).filter("NOT held").select(*keys, "r.*").select(rows.columns)
+    once.withColumns(dict(derived)).write.mode("append").parquet(path)
+    return spark.read.schema(shape).parquet(path)
 
 
 def latest_version(spark: SparkSession, path: str) -> int:
