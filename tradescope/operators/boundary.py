@@ -59,7 +59,8 @@ def one_class_scores(df: DataFrame, row_id: str, columns: Sequence[str], outside
                     for b in np.unique(at):
                         sums[b] += phi[at == b].sum(axis=0)
             some = np.flatnonzero(counts)
-            yield pd.DataFrame({"bin": some, "n": counts[some], "s": list(sums[some])})
+            if len(some):  # an empty list has no element type
+                yield pd.DataFrame({"bin": some, "n": counts[some], "s": list(sums[some])})
 
         return run
 
